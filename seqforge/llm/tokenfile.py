@@ -35,7 +35,7 @@ from .tokenizing import slices, tokenizer
 END_ID = 2
 HEAD, TAIL = b"TIDS0001", b"TIDSEND1"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("place", "<u8"), ("bytes", "<u4"), ("tokens", "<u8")])
-FOOTER = struct.Struct("<QQB32s8s")
+FOOTER = "<QQB32s8s"
 DICTIONARY_BYTES = 64 << 10
 SAMPLE, SAMPLE_BYTES = 1000, 8 << 10
 
@@ -77,7 +77,7 @@ class Reader:
         system, path = file_system(url)
         self.file = system.open_input_file(path)
         size = self.file.size()
-        count, place, self.width, digest, tail = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
+        count, place, self.width, digest, tail = struct.unpack(FOOTER, self.file.read_at(struct.calcsize(FOOTER), size - struct.calcsize(FOOTER)))
         if tail != TAIL or self.file.read_at(len(HEAD), 0) != HEAD:
             raise ValueError(f"{url}: not a token-id file")
         if digest != hashlib.sha256(dictionary).digest():
@@ -129,7 +129,7 @@ def write(docs: DataFrame, path: str, folder: str, dictionary: bytes, end_id: in
                 out.write(b"".join(frames))
         if out is not None:
             out.write(np.array(entries, INDEX).tobytes())
-            out.write(FOOTER.pack(len(entries), place, width, digest, TAIL))
+            out.write(struct.pack(FOOTER, len(entries), place, width, digest, TAIL))
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, TaskContext.get().partitionId(), len(entries), total)], names=["url", "nth", "documents", "tokens"])
 
