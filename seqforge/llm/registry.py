@@ -4,13 +4,18 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import packing, tokenfile
+    from . import decontaminate, packing, tokenfile
 
     return {
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op10_token_id_files": tokenfile.op10_token_id_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import decontaminate
+
+    return {
+        "op6_benchmark_decontamination": decontaminate.OP6_SQL,
+    }
