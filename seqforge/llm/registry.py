@@ -4,11 +4,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import decontaminate, packing, tokenfile
+    from . import chat, decontaminate, packing, secrets, tokenfile
 
     return {
+        "op1_chat_formatting": chat.op1_chat_formatting,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
+        "op7_secret_scan": secrets.op7_secret_scan,
         "op10_token_id_files": tokenfile.op10_token_id_files,
     }
 
