@@ -4,13 +4,15 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, decontaminate, packing, secrets, tokenfile
+    from . import chat, decontaminate, jaccard, packing, phrases, secrets, tokenfile
 
     return {
         "op1_chat_formatting": chat.op1_chat_formatting,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
         "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op7_secret_scan": secrets.op7_secret_scan,
+        "op9_substring_dedup": phrases.op9_substring_dedup,
         "op10_token_id_files": tokenfile.op10_token_id_files,
     }
 
@@ -19,5 +21,6 @@ def oracle_sql() -> dict[str, str]:
     from . import decontaminate
 
     return {
+        "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
         "op6_benchmark_decontamination": decontaminate.OP6_SQL,
     }
