@@ -81,32 +81,32 @@ def _grams(windows: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def scan(docs: DataFrame, windows: DataFrame, set_limit: int = SET_LIMIT) -> DataFrame:
-    """uid, doc_id, n_words, and the words of those documents that may hold a window."""
+    """uid, doc_id, th (a hash of the text), n_words, and the words of those documents that may hold a window."""
     sizes = sorted(r.m for r in windows.select("m").distinct().collect())
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), words(F.col("text")).alias("words"))
     if not sizes:
-        return base.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.size("words").cast("long").alias("n_words"), F.lit(None).cast("array<string>").alias("words"))
+        return base.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "th", F.size("words").cast("long").alias("n_words"), F.lit(None).cast("array<string>").alias("words"))
     grams = _grams(windows, sizes)
     held = [r.gram for r in grams.limit(set_limit + 1).collect()]
     runs = F.concat(*[_runs(F.size("words"), g, s, _hash(g)) for g, s in map(_aligned, sizes)])
     if len(held) <= set_limit:
         known = ",".join(f"{x}L" if x != -(1 << 63) else "(-9223372036854775807L - 1L)" for x in held)
         hit = F.expr(f"exists(runs, x -> x IN ({known}))")
-        return base.withColumn("runs", runs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.size("words").cast("long").alias("n_words"), F.when(hit, F.col("words")).alias("words"))
+        return base.withColumn("runs", runs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "th", F.size("words").cast("long").alias("n_words"), F.when(hit, F.col("words")).alias("words"))
     base = base.withColumn("uid", F.xxhash64("doc_id", "words"))  # rows of one doc_id and text are decided together
     hits = base.select("uid", F.explode(F.array_distinct(runs)).alias("gram")).join(grams, "gram", "left_semi").select("uid").distinct().withColumn("hit", F.lit(True))
     base = base.join(hits, "uid", "left")
-    return base.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.col("hit"), F.col("words")).alias("words"))
+    return base.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "th", F.size("words").cast("long").alias("n_words"), F.when(F.col("hit"), F.col("words")).alias("words"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_limit: int = SET_LIMIT, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, n_words, n_hit, items, hits (first word and words of each window found), by row."""
+    """uid, doc_id, th, n_words, n_hit, items, hits (first word and words of each window found), by row."""
     windows = cut(benchmark_windows(benchmark, n), "windows")
     sizes = sorted(r.m for r in windows.select("m").distinct().collect())
     held = cut(scan(docs, windows, set_limit), "scanned")
     marked = held.where(F.col("words").isNotNull())
     if not sizes:
-        return held.select("uid", "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<at:int,m:int>>").alias("hits"))
+        return held.select("uid", "doc_id", "th", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<at:int,m:int>>").alias("hits"))
     found = marked.select("uid", F.explode(F.concat(*map(_windows, sizes))).alias("w")).select("uid", "w.at", "w.m", "w.window")
     small = windows.limit(broadcast_windows + 1).count() <= broadcast_windows
     found = found.join(F.broadcast(windows) if small else windows, ["m", "window"])
@@ -116,10 +116,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_li
     return (
         held.drop("words")
         .join(hits, "uid", "left")
-        .select("uid", "doc_id", "n_words", F.coalesce(F.when(F.col("hits").isNotNull(), cover), F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("hits", F.array().cast("array<struct<at:int,m:int>>")).alias("hits"))
+        .select("uid", "doc_id", "th", "n_words", F.coalesce(F.when(F.col("hits").isNotNull(), cover), F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("hits", F.array().cast("array<struct<at:int,m:int>>")).alias("hits"))
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
+    """The documents that hold no window of the benchmark, with all their columns."""
+    hit = decontaminate(docs, benchmark, **parameters).where("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"))
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit.hit_id) & (own == hit.hit_th), "left_anti")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -159,8 +159,10 @@ def compare(group: pa.Table, n: int, threshold: float) -> pa.Table:
     return pa.table({"d1": d1, "d2": d2, "links": (linked @ weight).astype(np.int64), "other": np.sort(d1)[label]})
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, tile: int = TILE) -> DataFrame:
-    """doc_id, class_id, n_links, rep_id: a row for each document."""
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, tile: int = TILE) -> DataFrame:
+    """doc_id, th (a hash of the text), class_id, n_links, rep_id and first: a row for each document.
+
+    first: whether the row is the one, or a repetition of the one, that stands for its class."""
     bands, rows = choose_bands(threshold, recall, hashes)
     signed = cut(sign(docs, n, bands, rows), "signed")
     reps = cut(signed.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "bands")).alias("r"), F.count("*").alias("copies")).select("d1", "d2", "copies", "r.doc_id", "r.th", "r.bands"), "reps")
@@ -178,13 +180,24 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     linked = cut(dealt.groupBy("root", "a", "b").applyInArrow(lambda g: compare(g, n, threshold), "d1 long, d2 long, links long, other long"), "linked")
     links = linked.groupBy("d1", "d2").agg(F.sum("links").alias("links"))
     roots = components(linked.where("other <> d1").select(F.col("d1").alias("a"), F.col("other").alias("b")))
-    named = reps.join(roots, reps.d1 == roots.node, "left").join(links, ["d1", "d2"], "left").select("d1", "d2", "copies", F.col("doc_id").alias("rep_id"), F.coalesce("root", "d1").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    least = named.groupBy("root").agg(F.min("rep_id").alias("class_id"))
-    classes = named.join(least, "root").select("d1", "d2", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "rep_id")
-    members = signed.where("n > 0").select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "class_id", "n_links", "rep_id")
-    alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("rep_id"))
+    named = reps.join(roots, reps.d1 == roots.node, "left").join(links, ["d1", "d2"], "left").select("d1", "d2", "copies", F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th"), F.coalesce("root", "d1").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    order = F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "rep_th", "d1", "d2")
+    least = named.groupBy("root").agg(F.min(order).alias("least")).select("root", F.col("least.rep_id").alias("class_id"), F.struct("least.d1", "least.d2").alias("first"))
+    known = named.join(least, "root").select("d1", "d2", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "rep_id", "rep_th", (F.struct("d1", "d2") == F.col("first")).alias("first"))
+    members = signed.where("n > 0").select("doc_id", "th", "d1", "d2").join(known, ["d1", "d2"])
+    members = members.select("doc_id", "th", "class_id", "n_links", "rep_id", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).alias("first"))
+    alone = signed.where("n = 0").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("rep_id"), F.lit(True).alias("first"))
     return members.union(alone)
 
 
+def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
+    """The documents that stand for their classes, with all their columns; of repeated rows one stays."""
+    stay = classes(docs, **parameters).where("first").select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")).distinct()
+    names = docs.columns
+    keyed = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    kept = keyed.join(stay.hint("shuffle_hash"), keyed.key.eqNullSafe(stay.own_id) & (keyed.th == stay.own_th), "left_semi")
+    return kept.dropDuplicates(["key", "th"]).select("row.*")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "rep_id")

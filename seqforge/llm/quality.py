@@ -188,6 +188,20 @@ def score(docs: DataFrame, network: Network | None, share: float = 0.5) -> DataF
     return texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, network: Network | None, share: float = 0.5, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score reaches the threshold, with all their columns."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                data, offsets = arrow_text(part["text"])
+                raw = data.tobytes()
+                own = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield part.filter(pa.array(network.scores(own) >= threshold if network else np.full(len(own), share >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     network, share = fit(docs, table(spark, sf_dir, "labels"))

@@ -64,7 +64,7 @@ def _documents_with(data: bytes, parts, offsets: np.ndarray) -> set[int]:
     return set((np.searchsorted(offsets, at, "right") - 1).tolist())
 
 
-SCANNED = "uid long, doc_id long, owner string, repo string, kind array<int>, start array<int>, end array<int>, from array<int>, to array<int>, key array<string>, live array<boolean>"
+SCANNED = "uid long, doc_id long, th long, owner string, repo string, kind array<int>, start array<int>, end array<int>, from array<int>, to array<int>, key array<string>, live array<boolean>"
 
 
 def scan(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
@@ -99,9 +99,9 @@ def scan(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
                 kinds = [ints] * 5 + [pa.list_(pa.string()), pa.list_(pa.bool_())]
                 ids = pa.array(np.arange(uid, uid + part.num_rows))
                 uid += part.num_rows
-                yield pa.RecordBatch.from_arrays([ids, part["doc_id"], part["owner"], part["repo"], *map(pa.array, columns, kinds)], names=[x.split()[0] for x in SCANNED.split(", ")])
+                yield pa.RecordBatch.from_arrays([ids, part["doc_id"], part["th"], part["owner"], part["repo"], *map(pa.array, columns, kinds)], names=[x.split()[0] for x in SCANNED.split(", ")])
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(owner, F.lit("")).alias("owner"), F.coalesce(repo, F.lit("")).alias("repo"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce(owner, F.lit("")).alias("owner"), F.coalesce(repo, F.lit("")).alias("repo"))
     return base.mapInArrow(run, SCANNED)
 
 
@@ -112,7 +112,7 @@ def ownership(scanned: DataFrame) -> DataFrame:
 
 
 def secrets(docs: DataFrame, owner: Column | None = None, repo: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """uid, doc_id, base and spans: arrays of (start, kind, end) in order; n_copied and n_live candidates."""
+    """uid, doc_id, th (a hash of the text), base and spans: arrays of (start, kind, end) in order; n_copied and n_live candidates."""
     owner = F.col("source") if owner is None else owner
     repo = F.concat_ws("/", "source", "lang") if repo is None else repo
     held = cut(scan(docs, owner, repo), "secrets")
@@ -125,7 +125,22 @@ def secrets(docs: DataFrame, owner: Column | None = None, repo: Column | None =
     )
     base = F.expr("transform(arrays_zip(start, kind, end), x -> struct(x.start AS start, x.kind AS kind, x.end AS end))")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return held.select("uid", "doc_id", base.alias("base")).join(added, "uid", "left").select("uid", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"), F.coalesce("n_copied", F.lit(0).cast("long")).alias("n_copied"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_live"))
+    return held.select("uid", "doc_id", "th", base.alias("base")).join(added, "uid", "left").select("uid", "doc_id", "th", "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"), F.coalesce("n_copied", F.lit(0).cast("long")).alias("n_copied"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_live"))
+
+
+MARK = "[REDACTED]"
+
+
+def redacted(docs: DataFrame, **parameters) -> DataFrame:
+    """The documents with ``MARK`` in place of every live credential; n_chars, if there, follows."""
+    found = secrets(docs, **parameters).where("n_live > 0")
+    merged = "aggregate(filter(spans, x -> x.kind = 3), CAST(array() AS array<struct<start:int,end:int>>), (a, x) -> CASE WHEN size(a) > 0 AND element_at(a, -1).end >= x.start THEN array_append(slice(a, 1, size(a) - 1), struct(element_at(a, -1).start AS start, greatest(element_at(a, -1).end, x.end) AS end)) ELSE array_append(a, struct(x.start AS start, x.end AS end)) END)"
+    found = found.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), F.expr(merged).alias("hit_spans")).dropDuplicates(["hit_id", "hit_th"])
+    own, text = F.xxhash64(F.coalesce(docs["text"], F.lit(""))), docs["text"]
+    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found.hit_id) & (own == found.hit_th), "left")
+    changed = F.when(F.col("hit_spans").isNotNull(), F.aggregate(F.reverse("hit_spans"), text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(MARK), F.substring(t, s["end"] + 1, F.lit(2147483647))))).otherwise(text)
+    columns = [changed.alias(c) if c == "text" else F.when(F.col("hit_spans").isNotNull(), F.length(changed)).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    return joined.select(columns)
 
 
 def _shown(column: str) -> Column:
