@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, decontaminate, jaccard, packing, phrases, quality, secrets, tokenfile
+    from . import chat, decontaminate, jaccard, licences, packing, phrases, quality, secrets, tokenfile
 
     return {
         "op1_chat_formatting": chat.op1_chat_formatting,
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op7_secret_scan": secrets.op7_secret_scan,
+        "op8_license_scan": licences.op8_license_scan,
         "op9_substring_dedup": phrases.op9_substring_dedup,
         "op10_token_id_files": tokenfile.op10_token_id_files,
     }
