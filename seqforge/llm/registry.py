@@ -4,12 +4,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, decontaminate, jaccard, licences, packing, phrases, quality, secrets, tokenfile
+    from . import chat, decontaminate, images, jaccard, licences, packing, phrases, quality, secrets, tokenfile
 
     return {
         "op1_chat_formatting": chat.op1_chat_formatting,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+        "op4_image_copies": images.op4_image_copies,
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op7_secret_scan": secrets.op7_secret_scan,
@@ -24,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
 
     return {
         "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+        "op4_image_copies": images.op4_image_copies,
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_benchmark_decontamination": decontaminate.OP6_SQL,
     }
