@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from . import chat, decontaminate, images, jaccard, licences, packing, phrases, quality, secrets, tokenfile
 
-def queries() -> dict:
-    from . import chat, decontaminate, images, jaccard, licences, packing, phrases, quality, secrets, tokenfile
 
+def queries() -> dict:
     return {
         "op1_chat_formatting": chat.op1_chat_formatting,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
@@ -21,11 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate
-
-    return {
-        "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
-        "op4_image_copies": images.op4_image_copies,
-        "op5_quality_classifier": quality.op5_quality_classifier,
-        "op6_benchmark_decontamination": decontaminate.OP6_SQL,
-    }
+    return {"op6_benchmark_decontamination": decontaminate.OP6_SQL}
