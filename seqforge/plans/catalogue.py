@@ -1,15 +1,609 @@
-"""Every query of the package by name, with SQL that gives the same rows."""
+"""Every query of the package by name, with SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import features
+from ..functions import sequences as S
+from ..models import EchoModel, batched
+from ..operators import control, metrics, probes, results, vectors
+from ..sources import tables
+from . import stand_ins as L
+from . import tasks
 
-def queries() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def keep(f):
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql is not None:
+            _SQL[key] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark, d):
+    out = tasks.essentiality(L.seqs(spark, d), k=3, width=1000)
+    return out.select("genome", "n_genes", "n_essential", "scored", F.round("auroc", 6).alias("auroc"), F.round("auprc", 6).alias("auprc"))
+
+
+def _r(*names, to=6):
+    return [F.round(n, to).alias(n) for n in names]
+
+
+def _named(df, **columns):
+    return df.select(*[c.alias(n) if isinstance(c, F.Column) else F.col(c).alias(n) for n, c in columns.items()])
+
+
+# -- sources --------------------------------------------------------------------------------------
+@query(f"""WITH {L.SEQS}, g AS (SELECT CASE WHEN doc_id % 97 = 0 THEN '' ELSE genome END AS genome_name, CASE WHEN doc_id % 193 = 0 THEN 'other' ELSE genus END AS genus,
+  CASE WHEN doc_id % 61 = 0 THEN 'x' ELSE CAST(essential AS VARCHAR) END AS essential, CASE WHEN doc_id % 89 = 0 THEN '' ELSE seq END AS sequence FROM seqs),
+p AS (SELECT 'empty genome' AS problem, count(*) FILTER (genome_name = '') AS n FROM g UNION ALL SELECT 'label not 0 or 1', count(*) FILTER (essential NOT IN ('0', '1')) FROM g
+  UNION ALL SELECT 'empty sequence', count(*) FILTER (sequence = '') FROM g
+  UNION ALL SELECT 'genus differs within a genome', count(*) FROM (SELECT genome_name FROM g GROUP BY 1 HAVING count(DISTINCT genus) > 1)
+  UNION ALL SELECT 'no rows', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM g) SELECT problem, CAST(n AS BIGINT) AS n FROM p WHERE n > 0""")
+def scan_contract_violations(spark, d):
+    s, i = L.seqs(spark, d), F.col("doc_id")
+    rows = _named(s, genome_name=F.when(i % 97 == 0, "").otherwise(F.col("genome")), genus=F.when(i % 193 == 0, "other").otherwise(F.col("genus")), essential=F.when(i % 61 == 0, "x").otherwise(F.col("essential").cast("string")), sequence=F.when(i % 89 == 0, "").otherwise(F.col("seq")))
+    return tables.gene_violations(rows)
+
+
+@query(f"""WITH {L.VARIANTS} SELECT dms_id, count(*) AS n, round(sum(dms_score), 2) AS total FROM variants
+  WHERE trim(mutant) <> '' AND lower(trim(mutant)) <> 'nan' AND l_orderkey % 11 <> 0 GROUP BY dms_id""")
+def wildtype_drop(spark, d):
+    v = L.variants(spark, d).withColumn("dms_score", F.when(F.col("l_orderkey") % 11 == 0, "bad").otherwise(F.col("dms_score").cast("string")))
+    return tables.drop_wild_types(v).groupBy("dms_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dms_score"), 2).alias("total"))
+
+
+@query(f"""WITH {L.SEQS} SELECT split, count(DISTINCT genome) AS n_genomes, count(*) AS n_genes, CAST(sum(essential) AS BIGINT) AS n_essential, CAST(sum(length(seq)) AS BIGINT) AS total_nt,
+  CAST(min(length(seq)) AS INTEGER) AS min_nt, CAST(max(length(seq)) AS INTEGER) AS max_nt, round(avg(length(seq)), 6) AS avg_nt, string_agg(DISTINCT genus, ',' ORDER BY genus) AS genera FROM seqs GROUP BY split""")
+def split_stats(spark, d):
+    return tables.split_stats(L.seqs(spark, d).withColumnsRenamed({"genome": "genome_name", "seq": "sequence"})).withColumn("avg_nt", F.round("avg_nt", 6))
+
+
+@query(f"""WITH {L.SEQS} SELECT split, count(DISTINCT genome) AS genomes, count(*) AS genes, CAST(sum(essential) AS BIGINT) AS essential, round(100.0 * sum(essential) / count(*), 4) AS percent FROM seqs GROUP BY split""")
+def manifest_summary(spark, d):
+    g = L.seqs(spark, d).groupBy("split").agg(F.countDistinct("genome").alias("genomes"), F.count(F.lit(1)).alias("genes"), F.sum(F.col("essential").cast("long")).alias("essential"))
+    return g.withColumn("percent", F.round(F.lit(100.0) * F.col("essential") / F.col("genes"), 4))
+
+
+@query(f"""WITH {L.SEQS}, f AS (SELECT genome, min(doc_id) AS first FROM seqs GROUP BY 1 ORDER BY 2, 1 LIMIT 7) SELECT doc_id, genome FROM seqs WHERE genome IN (SELECT genome FROM f)""")
+def first_n_groups(spark, d):
+    return tables.first_groups(L.seqs(spark, d), "genome", "doc_id", 7).select("doc_id", "genome")
+
+
+@query(f"""WITH {L.SEQS}, f AS (SELECT genome, min(doc_id) AS first FROM seqs GROUP BY 1 ORDER BY 2, 1 LIMIT 7) SELECT round(count(*) / CAST(count(*) FILTER (genome IN (SELECT genome FROM f)) AS DOUBLE), 6) AS ratio FROM seqs""")
+def extrapolation_ratio(spark, d):
+    s = L.seqs(spark, d)
+    part = tables.first_groups(s, "genome", "doc_id", 7).agg(F.count(F.lit(1)).cast("double").alias("part"))
+    return s.agg(F.count(F.lit(1)).alias("whole")).crossJoin(part).select(F.round(F.col("whole") / F.col("part"), 6).alias("ratio"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def sha256_rows(spark, d):
+    return L.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("""SELECT doc_id, 'c' || k AS contig, k AS start, k + 9 AS "end", CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST((doc_id + k) % 2 AS INTEGER) AS essential
+  FROM (SELECT doc_id, unnest(range(1, 1 + CAST(doc_id % 4 AS BIGINT))) AS k FROM documents)""")
+def flatten_genomes(spark, d):
+    k = F.sequence(F.lit(1), (F.col("doc_id") % 4).cast("int"))
+    k = F.when(F.col("doc_id") % 4 > 0, k).otherwise(F.array().cast("array<int>"))
+    one = lambda f: F.transform(k, lambda x: F.array(f(x)))
+    nested = L.table(spark, d, "documents").select(F.col("doc_id").alias("genome_name"), F.lit("g").alias("genus"), F.transform(k, lambda x: F.concat(F.lit("c"), x.cast("string"))).alias("dna_sequence"), one(lambda x: x.cast("long")).alias("start"), one(lambda x: (x + 9).cast("long")).alias("end"), one(lambda x: F.when(x % 2 == 0, "+").otherwise("-")).alias("strand"), one(lambda x: ((F.col("doc_id") + x) % 2).cast("int")).alias("essential"))
+    return tables.flatten_genomes(nested).select(F.col("genome_name").alias("doc_id"), F.col("dna").alias("contig"), "start", "end", "strand", "essential")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_type = 'ECONOMY' AND p_brand = 'Brand#2'")
+def assay_selection(spark, d):
+    return L.table(spark, d, "part").where("p_type = 'ECONOMY' AND p_brand = 'Brand#2'").select("p_partkey", "p_name")
+
+
+@query(f"WITH {L.VARIANTS} SELECT dms_id, count(*) AS n_rows, CAST(max(length(sequence)) AS INTEGER) AS cds_len FROM variants GROUP BY dms_id")
+def source_stats(spark, d):
+    return L.variants(spark, d).groupBy("dms_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.length("sequence")).alias("cds_len"))
+
+
+# -- sequences ------------------------------------------------------------------------------------
+@query(f"WITH {L.SEQS} SELECT doc_id, CAST(length(seq) AS INTEGER) AS n, sha256(seq) AS seq_sha256 FROM seqs")
+def normalize(spark, d):
+    return L.seqs(spark, d).select("doc_id", F.length("seq").alias("n"), F.sha2("seq", 256).alias("seq_sha256"))
+
+
+_GENE = """g AS (SELECT doc_id, seq, CAST(doc_id % 40 + 1 AS INTEGER) AS s, CAST(doc_id % 40 + 50 AS INTEGER) AS e, CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN -1 END AS strand FROM seqs),
+  h AS (SELECT doc_id, seq, greatest(1, s - CASE WHEN strand IS NULL OR strand > 0 THEN 32 ELSE 0 END) AS a, least(length(seq), e + CASE WHEN strand IS NULL OR strand <= 0 THEN 32 ELSE 0 END) AS b FROM g)"""
+
+
+@query(f"WITH {L.SEQS}, {_GENE} SELECT doc_id, substr(seq, a, greatest(0, b - a + 1)) AS gene FROM h")
+def gene_extract(spark, d):
+    i = F.col("doc_id")
+    strand = F.when(i % 3 == 0, 1).when(i % 3 == 1, -1)
+    return L.seqs(spark, d).select("doc_id", S.gene_extract(F.col("seq"), (i % 40 + 1).cast("int"), (i % 40 + 50).cast("int"), strand, 32).alias("gene"))
+
+
+_MUTS = r"""m AS (SELECT l_orderkey, variant_idx, dms_id, sequence, mutant, list_filter(list_transform(string_split_regex(mutant, '[,:]'), lambda x: trim(x)), lambda x: x <> '') AS tk FROM variants),
+  ok AS (SELECT *, len(tk) > 0 AND len(list_filter(tk, lambda x: NOT regexp_matches(x, '^[ACGTUacgtu][1-9][0-9]*[ACGTUacgtu]$'))) = 0 AS good FROM m),
+  sites AS (SELECT l_orderkey, variant_idx, dms_id, sequence, i, CAST(substr(t, 2, length(t) - 2) AS INTEGER) - 1 AS pos0, translate(upper(substr(t, 1, 1)), 'U', 'T') AS wt, translate(upper(substr(t, length(t), 1)), 'U', 'T') AS mut
+    FROM (SELECT l_orderkey, variant_idx, dms_id, sequence, unnest(range(len(tk))) AS i, unnest(tk) AS t FROM ok WHERE good))"""
+
+
+@query(f"WITH {L.VARIANTS}, {_MUTS} SELECT l_orderkey, variant_idx, CAST(i AS INTEGER) AS i, pos0, wt, mut FROM sites")
+def parse_mutant(spark, d):
+    p = L.variants(spark, d).select("l_orderkey", "variant_idx", F.posexplode(S.parse_mutant(F.col("mutant"))).alias("i", "m"))
+    return p.select("l_orderkey", "variant_idx", "i", "m.pos0", "m.wt", "m.mut")
+
+
+@query(f"""WITH {L.VARIANTS}, {_MUTS} SELECT dms_id, count(DISTINCT (l_orderkey, variant_idx, sequence, good)) AS n_distinct, count(*) FILTER (good) AS n_scoreable, count(*) FILTER (NOT good) AS n_unscoreable FROM ok GROUP BY dms_id""")
+def scoreable_variants(spark, d):
+    v = L.variants(spark, d).withColumn("good", S.parse_mutant(F.col("mutant")).isNotNull())
+    return v.groupBy("dms_id").agg(F.countDistinct("l_orderkey", "variant_idx", "sequence", "good").alias("n_distinct"), F.count_if("good").alias("n_scoreable"), F.count_if(~F.col("good")).alias("n_unscoreable"))
+
+
+@query("""SELECT concat(l_returnflag, l_linestatus) AS dms_id, CAST(0 AS BIGINT) AS n_bad, CAST(1 AS BIGINT) AS n_references, repeat(substr('ACGTTGCA', CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END, 5), 3) AS reference, count(*) AS n_scoreable FROM lineitem WHERE l_linenumber >= 3 GROUP BY l_returnflag, l_linestatus""")
+def wt_reconstruct(spark, d):
+    ref = F.repeat(F.substring(F.lit("ACGTTGCA"), F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3), F.lit(5)), 3)
+    li = L.table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("dms_id"), F.col("l_linenumber").alias("p"), ref.alias("ref"))
+    wt = F.substring("ref", F.col("p"), F.lit(1))
+    mut = F.translate(wt, "ACGT", "CGTA")
+    made = li.select("dms_id", F.when(F.col("p") >= 3, F.concat(wt, F.col("p").cast("string"), mut)).otherwise("").alias("mutant"), F.when(F.col("p") >= 3, F.overlay("ref", mut, F.col("p"), F.lit(1))).otherwise(F.col("ref")).alias("sequence"))
+    return S.assay_check(made.withColumn("mutations", S.parse_mutant(F.col("mutant"))).where("mutations IS NOT NULL"))
+
+
+def _windows_sql(width, step, least=0):
+    return f"""w AS (SELECT doc_id, seq, i, substr(seq, CAST(i * {step} + 1 AS BIGINT), {width}) AS win FROM (SELECT doc_id, seq, unnest(range(CASE WHEN length(seq) = 0 THEN 0 WHEN length(seq) <= {width} THEN 1 ELSE CAST(ceil((length(seq) - {width}) / {float(step)}) AS BIGINT) + 1 END)) AS i FROM seqs))"""
+
+
+@query(f"WITH {L.SEQS}, {_windows_sql(100, 68)} SELECT doc_id, CAST(i AS INTEGER) AS i, win FROM w")
+def windows(spark, d):
+    return L.seqs(spark, d).select("doc_id", F.posexplode(S.windows(F.col("seq"), 100)).alias("i", "win"))
+
+
+@query(f"WITH {L.SEQS}, {_windows_sql(100, 68)}, k AS (SELECT doc_id, win FROM w WHERE length(win) >= 32) SELECT doc_id, win FROM k UNION ALL SELECT doc_id, seq FROM seqs WHERE doc_id NOT IN (SELECT doc_id FROM k)")
+def window_policy_gene(spark, d):
+    return L.seqs(spark, d).select("doc_id", F.explode(S.gene_windows(F.col("seq"), 100)).alias("win"))
+
+
+@query(f"""WITH {L.SEQS}, {_windows_sql(60, 28)}, k AS (SELECT doc_id, win FROM w WHERE length(win) >= 32 AND length(seq) > 60) SELECT doc_id, win FROM k
+  UNION ALL SELECT doc_id, CASE WHEN length(seq) <= 60 THEN seq ELSE substr(seq, (length(seq) - 60) // 2 + 1, 60) END FROM seqs WHERE doc_id NOT IN (SELECT doc_id FROM k)""")
+def window_policy_ec(spark, d):
+    return L.seqs(spark, d).select("doc_id", F.explode(S.enzyme_windows(F.col("seq"), 60)).alias("win"))
+
+
+@query(f"WITH {L.SEQS} SELECT doc_id, CASE WHEN length(seq) > 50 THEN substr(seq, (length(seq) - 50) // 2 + 1, 50) ELSE seq END AS win FROM seqs")
+def central_window(spark, d):
+    return L.seqs(spark, d).select("doc_id", S.central_window(F.col("seq"), 50).alias("win"))
+
+
+@query(f"""WITH {L.VARIANTS}, {_MUTS} SELECT dms_id, count(*) FILTER (NOT good) AS n_unscoreable, count(*) FILTER (good AND length(sequence) > 20) AS n_over_context, count(*) FILTER (good AND length(sequence) <= 20) AS n_kept FROM ok GROUP BY dms_id""")
+def context_skip(spark, d):
+    return S.context_report(L.variants(spark, d), 20)
+
+
+@query("""SELECT p_partkey, CAST(unnest(list_concat([p_size % 5], range(CAST(p_size % 7 AS BIGINT), CAST(p_size % 7 + 3 AS BIGINT)))) AS INTEGER) AS layer FROM part""")
+def layer_parse(spark, d):
+    n = F.col("p_size")
+    spec = F.concat((n % 5).cast("string"), F.lit(", "), (n % 7).cast("string"), F.lit("-"), (n % 7 + 2).cast("string"))
+    return L.table(spark, d, "part").select("p_partkey", F.explode(S.layer_list(spec)).alias("layer"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS token FROM (SELECT l_orderkey, l_linenumber, greatest(0, CAST(floor((l_suppkey % 60 - 6) / 2.0) AS BIGINT) + 1) AS lo, least(CAST(floor((CAST(l_quantity AS BIGINT) + 10 - 6) / 2.0) AS BIGINT), CAST(floor(l_suppkey % 60 / 2.0) AS BIGINT)) AS hi FROM lineitem) WHERE lo <= hi""")
+def affected_tokens(spark, d):
+    t = S.affected_tokens((F.col("l_suppkey") % 60).cast("int"), F.col("l_quantity").cast("int") + 10, 6, 2)
+    return L.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(t).alias("token"))
+
+
+@query("SELECT p_partkey, CAST(j * 2 AS INTEGER) AS start, CAST(j * 2 + 6 AS INTEGER) AS \"end\" FROM (SELECT p_partkey, unnest(range(CASE WHEN p_size >= 6 THEN (p_size - 6) // 2 + 1 ELSE 0 END)) AS j FROM part)")
+def token_spans(spark, d):
+    return L.table(spark, d, "part").select("p_partkey", F.explode(S.token_spans(F.col("p_size"), 6, 2)).alias("s")).select("p_partkey", "s.start", "s.end")
+
+
+# -- features -------------------------------------------------------------------------------------
+def _kmers(k):
+    sql = f"""WITH {L.SEQS}, w AS (SELECT doc_id, substr(seq, CAST(i AS BIGINT), {k}) AS kmer FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM seqs)),
+      c AS (SELECT doc_id, kmer, count(*) AS n FROM w WHERE kmer NOT LIKE '%N%' GROUP BY ALL) SELECT doc_id, kmer, n, round(n / CAST(sum(n) OVER (PARTITION BY doc_id) AS DOUBLE), 9) AS freq FROM c"""
+
+    @query(sql, f"kmer_k{k}")
+    def run(spark, d):
+        c = features.kmer_counts(L.seqs(spark, d), "doc_id", "seq", k)
+        total = c.groupBy("doc_id").agg(F.sum("n").alias("total"))
+        return c.join(total, "doc_id").select("doc_id", features.kmer_name(F.col("kmer"), k).alias("kmer"), "n", F.round(F.col("n") / F.col("total").cast("double"), 9).alias("freq"))
+
+
+for _k in (1, 2, 3, 4):
+    _kmers(_k)
+
+_ECHO = "e AS (SELECT doc_id, CAST(sum(-((ascii(c) * 2654435761) & 65535) / 65535.0) AS DOUBLE) AS s, count(*) AS n FROM (SELECT doc_id, unnest(string_split(seq, '')) AS c FROM seqs) WHERE c <> '' GROUP BY doc_id)"
+
+
+@query(f"WITH {L.SEQS}, {_ECHO} SELECT doc_id, round(coalesce(s, 0.0), 7) AS score_sum, round(coalesce(s / n, 0.0), 9) AS score_mean FROM seqs LEFT JOIN e USING (doc_id)")
+def echo_score(spark, d):
+    return L.seqs(spark, d).select("doc_id", F.round(features.echo_sum(F.col("seq")), 7).alias("score_sum"), F.round(features.echo_mean(F.col("seq")), 9).alias("score_mean"))
+
+
+@query(f"WITH {L.SEQS}, {_ECHO}, m AS (SELECT coalesce(s / n, 0.0) AS x FROM seqs LEFT JOIN e USING (doc_id)) SELECT round(avg(x), 8) AS mean, round(min(x), 9) AS least, round(max(x), 9) AS most FROM m")
+def score_summary(spark, d):
+    x = L.seqs(spark, d).select(features.echo_mean(F.col("seq")).alias("x"))
+    return x.agg(F.round(F.avg("x"), 8).alias("mean"), F.round(F.min("x"), 9).alias("least"), F.round(F.max("x"), 9).alias("most"))
+
+
+@query()
+def echo_embed(spark, d):
+    return EchoModel().embeddings(L.seqs(spark, d), "doc_id", "seq", "all").select("doc_id", "layer_id", F.posexplode("vec").alias("dim", "x"))
+
+
+@query()
+def echo_llr(spark, d):
+    v = L.variants(spark, d).withColumn("key", F.struct("l_orderkey", "variant_idx", "sequence").cast("string")).withColumn("reference", F.col("sequence")).withColumn("mutations", S.parse_mutant(F.col("mutant"))).where("mutations IS NOT NULL")
+    return EchoModel().variant_llrs(v.dropDuplicates(["key"]), "key")
+
+
+@query(f"""WITH {L.VARIANTS}, {_MUTS}, distinct_sites AS (SELECT DISTINCT sequence, pos0, wt, mut FROM sites) SELECT dms_id, (SELECT count(*) FROM distinct_sites) AS n_scored, count(*) AS n_sites, round(sum((ascii(mut) - ascii(wt)) / (1.0 + pos0)), 6) AS llr FROM sites GROUP BY dms_id""")
+def llr_dedup_join(spark, d):
+    v = L.variants(spark, d).select("dms_id", "sequence", F.explode(S.parse_mutant(F.col("mutant"))).alias("m")).select("dms_id", "sequence", "m.*")
+    each = v.dropDuplicates(["sequence", "pos0", "wt", "mut"]).select("sequence", "pos0", "wt", "mut", ((F.ascii("mut") - F.ascii("wt")) / (F.lit(1.0) + F.col("pos0"))).alias("llr"))
+    n = each.agg(F.count(F.lit(1)).alias("n_scored"))
+    return v.join(each, ["sequence", "pos0", "wt", "mut"]).groupBy("dms_id").agg(F.count(F.lit(1)).alias("n_sites"), F.round(F.sum("llr"), 6).alias("llr")).crossJoin(n)
+
+
+def _pool(how, sql):
+    @query(f"WITH {L.EMB} SELECT item // 5 AS item, CAST(layer_id AS INTEGER) AS layer_id, CAST(dim AS INTEGER) AS dim, round({sql}, 9) AS x FROM emb GROUP BY ALL", f"token_pool_{how}")
+    def run(spark, d):
+        e = L.emb(spark, d).withColumn("token", F.col("item") % 5).withColumn("item", F.expr("item div 5"))
+        return vectors.pool(e, ["item", "layer_id"], "token", how).select("item", "layer_id", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 9))
+
+
+for _h, _q in (("mean", "avg(x)"), ("max", "max(x)"), ("last", "arg_max(x, item)"), ("bos", "arg_min(x, item)")):
+    _pool(_h, _q)
+
+
+@query(f"WITH {L.SEQS}, b AS (SELECT doc_id // 32 AS batch, sum(length(seq)) AS t, max(length(seq)) * count(*) AS slots FROM seqs GROUP BY 1) SELECT round(CAST(sum(t) AS DOUBLE) / sum(slots), 9) AS efficiency FROM b")
+def padding_efficiency(spark, d):
+    b = L.seqs(spark, d).groupBy(F.expr("doc_id div 32").alias("batch")).agg(F.sum(F.length("seq")).alias("t"), (F.max(F.length("seq")) * F.count(F.lit(1))).alias("slots"))
+    return b.agg(F.round(F.coalesce(F.try_divide(F.sum("t"), F.sum("slots")), F.lit(1.0)), 9).alias("efficiency"))
+
+
+@query()
+def length_bucketing(spark, d):
+    return batched(L.seqs(spark, d), "doc_id", "seq", 65536)
+
+
+# -- vectors --------------------------------------------------------------------------------------
+@query(f"WITH {L.EMB} SELECT item // 5 AS item, CAST(layer_id AS INTEGER) AS layer_id, CAST(dim AS INTEGER) AS dim, round(avg(x), 9) AS x FROM emb GROUP BY ALL")
+def window_mean(spark, d):
+    e = L.emb(spark, d).withColumn("item", F.expr("item div 5"))
+    return vectors.window_mean(e, ["item", "layer_id"]).select("item", "layer_id", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 9))
+
+
+@query(f"WITH {L.SEQS}, {_windows_sql(100, 68)} SELECT split, count(*) AS n_windows, count(DISTINCT doc_id) AS n_items, count(DISTINCT doc_id) FILTER (length(seq) > 100) AS n_overflow FROM w JOIN (SELECT doc_id, split FROM seqs) USING (doc_id) GROUP BY split")
+def overflow_counts(spark, d):
+    w = L.seqs(spark, d).select("split", "doc_id", F.length("seq").alias("n"), F.explode(S.windows(F.col("seq"), 100)).alias("w"))
+    return w.groupBy("split").agg(F.count(F.lit(1)).alias("n_windows"), F.countDistinct("doc_id").alias("n_items"), F.countDistinct(F.when(F.col("n") > 100, F.col("doc_id"))).alias("n_overflow"))
+
+
+@query(f"WITH {L.EMB}, n AS (SELECT item, layer_id, sqrt(sum(x * x)) AS v FROM emb GROUP BY ALL) SELECT CAST(layer_id AS INTEGER) AS layer_id, round(avg(v), 9) AS norm FROM n GROUP BY layer_id")
+def embed_norm(spark, d):
+    return L.emb(spark, d).groupBy("layer_id").agg(F.round(F.avg(vectors.norm(F.col("vec"))), 9).alias("norm"))
+
+
+@query(f"WITH {L.EMB}, f AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM emb WHERE layer_id = 0 AND item % 5 <> 0 GROUP BY dim) SELECT item, CAST(dim AS INTEGER) AS dim, round((x - m) / s, 6) AS z FROM emb JOIN f USING (dim) WHERE layer_id = 0")
+def standardize(spark, d):
+    e = L.emb(spark, d).where("layer_id = 0")
+    return vectors.standardise(e, ["item"], F.col("item") % 5 != 0).withColumn("z", F.round("z", 6))
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM events), w AS (SELECT DISTINCT (i * (n - 1)) // 511 AS row FROM (SELECT unnest(range(512)) AS i), n), r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS row FROM events) SELECT event_id FROM r WHERE row IN (SELECT row FROM w)")
+def sample_rows(spark, d):
+    return vectors.sample_rows(L.table(spark, d, "events").select("event_id"), "event_id", 512)
+
+
+# -- probes ---------------------------------------------------------------------------------------
+def _fit(spark, d, **more):
+    return probes.probe(L.emb(spark, d).where("layer_id = 0").withColumn("y", (F.col("label") < 3).cast("int")), train=F.col("item") % 5 != 0, tol=1e-8, **more)
+
+
+@query()
+def probe_binary(spark, d):
+    return _fit(spark, d, label="y").select("item", "y", F.round("prob", 4).alias("prob"))
+
+
+@query()
+def probe_multiclass(spark, d):
+    return _fit(spark, d, label="label", multiclass=True, scale=False).select("item", "label", "predicted")
+
+
+@query()
+def probe_per_layer(spark, d):
+    e = L.emb(spark, d).withColumn("y", (F.col("label") < 3).cast("int"))
+    score = lambda rows: metrics.auroc(probes.probe(rows.withColumn("all", F.lit(1)), "y", F.col("item") % 5 != 0, tol=1e-6), ["all"], "y", "prob").first().auroc
+    found = probes.probe_layers(e, [0, 1, 2, 3], score)
+    return spark.createDataFrame([(k, float(v)) for k, v in found], "layer_id int, auroc double")
+
+
+@query()
+def essentiality_kmer(spark, d):
+    return flagship(spark, d)
+
+
+# -- metrics --------------------------------------------------------------------------------------
+_RANK = "r AS (SELECT genome, y, rank() OVER (PARTITION BY genome ORDER BY score) + (count(*) OVER (PARTITION BY genome, score) - 1) / 2.0 AS rk FROM preds), a AS (SELECT genome, (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS auroc FROM r GROUP BY genome)"
+_AP = "s AS (SELECT genome, score, sum(y) AS pos, count(*) AS n FROM preds GROUP BY ALL), t AS (SELECT genome, pos, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY genome) AS p FROM s WINDOW w AS (PARTITION BY genome ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), b AS (SELECT genome, sum(pos / CAST(p AS DOUBLE) * tp / CAST(seen AS DOUBLE)) AS auprc FROM t GROUP BY genome)"
+
+
+@query(f"WITH {L.PREDS}, {_RANK} SELECT genome, round(auroc, 9) AS auroc FROM a")
+def auroc(spark, d):
+    return metrics.auroc(L.preds(spark, d), ["genome"], "y", "score").select("genome", *_r("auroc", to=9))
+
+
+@query(f"WITH {L.PREDS}, {_AP} SELECT genome, round(auprc, 9) AS auprc FROM b")
+def auprc(spark, d):
+    return metrics.average_precision(L.preds(spark, d), ["genome"], "y", "score").select("genome", *_r("auprc", to=9))
+
+
+@query(f"WITH {L.PREDS}, {_RANK}, {_AP} SELECT genome, count(*) AS n_genes, CAST(sum(y) AS BIGINT) AS n_essential, true AS scored, round(any_value(auroc), 9) AS auroc, round(any_value(auprc), 9) AS auprc FROM preds JOIN a USING (genome) JOIN b USING (genome) GROUP BY genome")
+def genome_report(spark, d):
+    return metrics.group_report(L.preds(spark, d), ["genome"], "y", "score").select("genome", "n_genes", "n_essential", "scored", *_r("auroc", "auprc", to=9))
+
+
+@query(f"WITH {L.PREDS}, {_RANK}, {_AP} SELECT round(avg(auroc), 9) AS mean_auroc, round(median(auroc), 9) AS median_auroc, round(avg(auprc), 9) AS mean_auprc, round(median(auprc), 9) AS median_auprc, CAST(0 AS BIGINT) AS n_excluded, count(*) AS n_scored FROM a JOIN b USING (genome)")
+def macro_mean_median(spark, d):
+    m = metrics.macro(metrics.group_report(L.preds(spark, d), ["genome"], "y", "score"), ["auroc", "auprc"])
+    return m.select(*_r("mean_auroc", "median_auroc", "mean_auprc", "median_auprc", to=9), "n_excluded", "n_scored")
+
+
+@query(f"""WITH {L.PREDS}, c AS (SELECT count(*) FILTER (prob >= 0.5 AND y = 1) AS tp, count(*) FILTER (prob >= 0.5 AND y = 0) AS fp, count(*) FILTER (prob < 0.5 AND y = 0) AS tn, count(*) FILTER (prob < 0.5 AND y = 1) AS fn FROM preds)
+  SELECT tp, fp, tn, fn, round(tp / CAST(tp + fp AS DOUBLE), 9) AS "precision", round(tp / CAST(tp + fn AS DOUBLE), 9) AS recall, round(tn / CAST(tn + fp AS DOUBLE), 9) AS specificity, round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 9) AS f1, round((tp + tn) / CAST(tp + fp + tn + fn AS DOUBLE), 9) AS accuracy FROM c""")
+def confusion(spark, d):
+    return metrics.confusion(L.preds(spark, d), "y", "prob").select("tp", "fp", "tn", "fn", *_r("precision", "recall", "specificity", "f1", "accuracy", to=9))
+
+
+_CLF = "clf AS (SELECT o_orderstatus AS t, CASE CAST(floor(o_totalprice / 1000) AS BIGINT) % 4 WHEN 0 THEN 'F' WHEN 1 THEN 'O' WHEN 2 THEN 'P' ELSE 'X' END AS p FROM orders)"
+
+
+@query(f"""WITH {_CLF}, k AS (SELECT t AS c FROM clf UNION SELECT p FROM clf), f AS (SELECT c, (SELECT count(*) FROM clf WHERE t = c AND p = c) AS tp, (SELECT count(*) FROM clf WHERE t = c) AS nt, (SELECT count(*) FROM clf WHERE p = c) AS np FROM k)
+  SELECT round(avg(coalesce(2 * tp / nullif(CAST(nt + np AS DOUBLE), 0), 0)), 9) AS macro_f1, round(sum(tp) / CAST(sum(nt) AS DOUBLE), 9) AS accuracy, count(*) AS n_classes FROM f""")
+def macro_f1(spark, d):
+    b = F.floor(F.col("o_totalprice") / 1000) % 4
+    said = F.when(b == 0, "F").when(b == 1, "O").when(b == 2, "P").otherwise("X")
+    return metrics.macro_f1(L.table(spark, d, "orders").withColumn("said", said), "o_orderstatus", "said").select(*_r("macro_f1", "accuracy", to=9), "n_classes")
+
+
+_SPEAR = "q AS (SELECT dms_id, rna_type, rank() OVER (PARTITION BY dms_id ORDER BY dms_score) + (count(*) OVER (PARTITION BY dms_id, dms_score) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY dms_id ORDER BY model_score) + (count(*) OVER (PARTITION BY dms_id, model_score) - 1) / 2.0 AS rb FROM variants), sp AS (SELECT dms_id, rna_type, abs(corr(ra, rb)) AS spearman, count(*) AS n FROM q GROUP BY ALL)"
+_SPLIT = "md AS (SELECT dms_id, median(dms_score) AS mt, median(model_score) AS ms FROM variants GROUP BY 1), hi AS (SELECT dms_id, model_score, dms_score >= mt AS t, model_score >= ms AS s FROM variants JOIN md USING (dms_id))"
+_MAUC = "hr AS (SELECT dms_id, t, rank() OVER (PARTITION BY dms_id ORDER BY model_score) + (count(*) OVER (PARTITION BY dms_id, model_score) - 1) / 2.0 AS rk FROM hi), ha AS (SELECT dms_id, (sum(rk) FILTER (t) - count(*) FILTER (t) * (count(*) FILTER (t) + 1) / 2.0) / (CAST(count(*) FILTER (t) AS DOUBLE) * count(*) FILTER (NOT t)) AS auc FROM hr GROUP BY 1)"
+_MCC = "hc AS (SELECT dms_id, CAST(count(*) FILTER (t AND s) AS DOUBLE) AS tp, CAST(count(*) FILTER (NOT t AND s) AS DOUBLE) AS fp, CAST(count(*) FILTER (NOT t AND NOT s) AS DOUBLE) AS tn, CAST(count(*) FILTER (t AND NOT s) AS DOUBLE) AS fn FROM hi GROUP BY 1), hm AS (SELECT dms_id, abs((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))) AS mcc FROM hc)"
+
+
+@query(f"WITH {L.VARIANTS}, {_SPEAR} SELECT dms_id, round(spearman, 8) AS spearman, n AS n_variants FROM sp")
+def spearman(spark, d):
+    return metrics.spearman(L.variants(spark, d), ["dms_id"], "dms_score", "model_score").select("dms_id", *_r("spearman", to=8), "n_variants")
+
+
+@query(f"WITH {L.VARIANTS}, {_SPLIT}, {_MAUC} SELECT dms_id, round(greatest(auc, 1 - auc), 8) AS auc FROM ha")
+def median_auc(spark, d):
+    return metrics.median_auc(L.variants(spark, d), ["dms_id"], "dms_score", "model_score").select("dms_id", *_r("auc", to=8))
+
+
+@query(f"WITH {L.VARIANTS}, {_SPLIT}, {_MCC} SELECT dms_id, round(mcc, 8) AS mcc FROM hm")
+def mcc(spark, d):
+    return metrics.median_mcc(L.variants(spark, d), ["dms_id"], "dms_score", "model_score").select("dms_id", *_r("mcc", to=8))
+
+
+@query(f"WITH {L.VARIANTS}, {_SPEAR}, {_SPLIT}, {_MAUC}, {_MCC} SELECT dms_id, rna_type, n AS n_variants, CAST(0 AS BIGINT) AS n_missing, round(spearman, 8) AS spearman, round(greatest(auc, 1 - auc), 8) AS auc, round(mcc, 8) AS mcc FROM sp JOIN ha USING (dms_id) JOIN hm USING (dms_id)")
+def dms_report(spark, d):
+    r = metrics.variant_report(L.variants(spark, d), ["dms_id", "rna_type"], "dms_score", "model_score")
+    return r.select("dms_id", "rna_type", "n_variants", "n_missing", *_r("spearman", "auc", "mcc", to=8))
+
+
+@query(f"WITH {L.VARIANTS}, {_SPEAR}, k AS (SELECT rna_type, avg(spearman) AS spearman FROM sp GROUP BY 1) SELECT round(avg(spearman), 8) AS spearman FROM k")
+def type_mean(spark, d):
+    s = metrics.spearman(L.variants(spark, d), ["dms_id", "rna_type"], "dms_score", "model_score")
+    return metrics.type_mean(s, "rna_type", ["spearman"]).select(*_r("spearman", to=8))
+
+
+# -- layers ---------------------------------------------------------------------------------------
+_DEPTH = f"""{L.EMB}, pair AS (SELECT c.layer_id, c.item, sum(c.x * c.x) AS vv, sum(p.x * p.x) AS uu, sum(c.x * p.x) AS vu, sum((c.x - p.x) * (c.x - p.x)) AS dd FROM emb c LEFT JOIN emb p ON c.item = p.item AND c.dim = p.dim AND c.layer_id = p.layer_id + 1 GROUP BY ALL),
+  h AS (SELECT layer_id, sqrt(sum(vv) / (16.0 * count(*))) AS rms, avg(vu / (sqrt(vv) * sqrt(uu))) AS cos, sqrt(sum(dd) / (16.0 * count(dd))) AS moved FROM pair GROUP BY 1),
+  sd AS (SELECT layer_id, sqrt(avg(v)) AS spread FROM (SELECT layer_id, dim, var_pop(x) AS v FROM emb GROUP BY ALL) GROUP BY 1),
+  dh AS (SELECT CAST(layer_id AS INTEGER) AS layer_id, rms, spread / rms AS rel_std, cos, moved / rms AS delta FROM h JOIN sd USING (layer_id))"""
+
+
+def _health(spark, d):
+    return vectors.depth_health(L.emb(spark, d))
+
+
+@query(f"WITH {_DEPTH} SELECT layer_id, round(rms, 7) AS rms, round(rel_std, 7) AS rel_std, round(cos, 7) AS cos, round(delta, 7) AS delta, coalesce(delta <= 0.00390625, false) AS frozen, rms <= 1e-12 AS degenerate FROM dh")
+def depth_health(spark, d):
+    return _health(spark, d).select("layer_id", *_r("rms", "rel_std", "cos", "delta", to=7), "frozen", "degenerate")
+
+
+@query(f"WITH {_DEPTH} SELECT round(delta, 7) AS ratio_min, layer_id AS ratio_min_layer FROM dh WHERE delta IS NOT NULL ORDER BY delta, layer_id LIMIT 1")
+def depth_min_update(spark, d):
+    return vectors.least_update(_health(spark, d)).select(F.round("ratio_min", 7).alias("ratio_min"), "ratio_min_layer")
+
+
+@query("WITH l AS (SELECT DISTINCT p_size FROM part WHERE p_size % 4 <> 2), g AS (SELECT lag(p_size) OVER (ORDER BY p_size) AS after_layer, p_size AS next_layer FROM l) SELECT * FROM g WHERE next_layer - after_layer <> 1")
+def layer_gaps(spark, d):
+    return vectors.layer_gaps(L.table(spark, d, "part").where("p_size % 4 <> 2"), "p_size")
+
+
+_SCORES = "sc AS (SELECT CAST(event_id % 6 AS INTEGER) AS layer_id, round(avg(value), 6) AS score, event_id % 6 = 3 AS degenerate FROM events GROUP BY event_id % 6)"
+
+
+def _layer_scores(spark, d):
+    return L.table(spark, d, "events").groupBy((F.col("event_id") % 6).cast("int").alias("layer_id")).agg(F.round(F.avg("value"), 6).alias("score"))
+
+
+@query(f"WITH {_SCORES} SELECT layer_id FROM sc WHERE NOT degenerate")
+def usable_layers(spark, d):
+    s = _layer_scores(spark, d)
+    return vectors.usable_layers(s.withColumn("degenerate", F.col("layer_id") == 3))
+
+
+@query(f"WITH {_SCORES}, g AS (SELECT layer_id, score FROM sc WHERE NOT degenerate ORDER BY score DESC, layer_id LIMIT 1), n AS (SELECT layer_id FROM sc ORDER BY score DESC, layer_id LIMIT 1) SELECT g.layer_id AS best_layer, g.score AS best_score, n.layer_id AS would_have_picked, CAST(5 AS BIGINT) AS considered, CAST(1 AS BIGINT) AS excluded FROM g, n")
+def best_layer(spark, d):
+    s = _layer_scores(spark, d)
+    return vectors.best_layer(s, s.select("layer_id", (F.col("layer_id") == 3).alias("degenerate")))
+
+
+@query(f"WITH {_SCORES} SELECT concat('layer_', layer_id, '_score') AS metric, score AS value FROM sc UNION ALL SELECT 'best_layer', CAST((SELECT layer_id FROM sc ORDER BY score DESC, layer_id LIMIT 1) AS DOUBLE) UNION ALL SELECT 'score', max(score) FROM sc")
+def wide_sweep(spark, d):
+    s = _layer_scores(spark, d)
+    best = vectors.best_layer(s, s.select("layer_id", F.lit(False).alias("degenerate")))
+    named = F.array(F.struct(F.lit("best_layer").alias("metric"), F.col("best_layer").cast("double").alias("value")), F.struct(F.lit("score").alias("metric"), F.col("best_score").alias("value")))
+    return s.select(F.concat(F.lit("layer_"), F.col("layer_id").cast("string"), F.lit("_score")).alias("metric"), F.col("score").alias("value")).unionByName(best.select(F.explode(named).alias("x")).select("x.*"))
+
+
+# -- control --------------------------------------------------------------------------------------
+_CAPS = "SELECT r_regionkey, r_name, CASE WHEN r_regionkey % 2 = 0 THEN true ELSE false END AS has_score, r_regionkey % 3 = 0 AS has_llr FROM region"
+
+
+@query(f"WITH c AS ({_CAPS}) SELECT r_name AS model, task, CAST(CASE WHEN task = 'genes' THEN NULL WHEN has_llr THEN 0 WHEN has_score THEN 1 END AS INTEGER) AS chosen, CASE WHEN task = 'variants' AND (has_llr OR has_score) THEN 'ok' ELSE 'na' END AS status, CAST(CASE WHEN task = 'genes' THEN 1 WHEN has_llr OR has_score THEN 0 ELSE 1 END AS INTEGER) AS fewest_lacking FROM c, (SELECT unnest(['genes', 'variants']) AS task)")
+def negotiate(spark, d):
+    key = F.col("r_regionkey")
+    declared = L.table(spark, d, "region").select(F.col("r_name").alias("model"), F.filter(F.array(F.when(key % 2 == 0, "score"), F.when(key % 3 == 0, "variant_llr")), lambda x: x.isNotNull()).alias("capabilities"))
+    alternatives = spark.sql("SELECT 'variants' AS task, 0 AS alt, array('variant_llr') AS required UNION ALL SELECT 'variants', 1, array('score') UNION ALL SELECT 'genes', 0, array('embed')")
+    return control.negotiate(alternatives, declared)
+
+
+@query(f"WITH {L.RECORDS} SELECT DISTINCT model, task FROM records WHERE status <> 'ok'")
+def resume_pending(spark, d):
+    r = L.records(spark, d)
+    return control.pending(r.select("model", "task").distinct(), r)
+
+
+@query("SELECT o_custkey % 50 AS corpus, count(*) AS consumers, CAST(max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS INTEGER) AS all_layers, CAST(max(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS INTEGER) AS logprob, count(*) > 1 AS shared FROM orders GROUP BY 1")
+def fusion_plan(spark, d):
+    o = L.table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("corpus"), (F.col("o_orderstatus") == "F").alias("all_layers"), (F.col("o_orderpriority") == "1-URGENT").alias("logprob"))
+    return control.fusion_plan(o)
+
+
+@query(f"WITH {L.SEQS} SELECT genome, substr(sha256(concat(CAST(count(*) AS VARCHAR), chr(0), string_agg(seq, chr(0) ORDER BY doc_id))), 1, 24) AS corpus_key FROM seqs GROUP BY genome")
+def corpus_key(spark, d):
+    g = L.seqs(spark, d).groupBy("genome").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "seq"))), lambda x: x["seq"]).alias("s"))
+    return g.select("genome", features.corpus_key_column(F.col("s")).alias("corpus_key"))
+
+
+# -- result tables --------------------------------------------------------------------------------
+_TASKS = "tasks AS (SELECT DISTINCT event_type AS task FROM events)"
+
+
+def _tasks(spark, d):
+    return L.table(spark, d, "events").select(F.col("event_type").alias("task")).distinct()
+
+
+@query(f"""WITH {L.RECORDS} SELECT model, task, status, max(value) FILTER (metric = 'mean') AS "metric.mean", max(value) FILTER (metric = 'size') AS "metric.size", max(value) FILTER (metric = 'top') AS "metric.top" FROM records GROUP BY ALL""")
+def tidy(spark, d):
+    return results.tidy(L.records(spark, d), ["mean", "size", "top"])
+
+
+_HEAD = "hd AS (SELECT m.model, avg(value) AS headline, count(value) AS n_ok, count(*) AS n_tasks FROM (SELECT DISTINCT model FROM records) m CROSS JOIN tasks t LEFT JOIN (SELECT * FROM records WHERE status = 'ok' AND metric = \"primary\") r ON r.model = m.model AND r.task = t.task GROUP BY 1)"
+
+
+@query(f"WITH {L.RECORDS}, {_TASKS}, {_HEAD} SELECT model, round(headline, 6) AS headline, n_ok, n_tasks FROM hd")
+def headline(spark, d):
+    return results.headline(L.records(spark, d), _tasks(spark, d)).withColumn("headline", F.round("headline", 6))
+
+
+@query(f"WITH {L.RECORDS}, {_TASKS}, {_HEAD} SELECT model, round(headline, 6) AS headline, n_ok, n_tasks, CAST(row_number() OVER (ORDER BY headline DESC NULLS LAST, model) AS INTEGER) AS place FROM hd")
+def overall_board(spark, d):
+    return results.overall_board(L.records(spark, d), _tasks(spark, d)).withColumn("headline", F.round("headline", 6))
+
+
+@query(f"""WITH {L.RECORDS}, w AS (SELECT model, status, max(value) FILTER (metric = 'mean') AS mean, max(value) FILTER (metric = 'size') AS size FROM records WHERE task = 'view' GROUP BY ALL)
+  SELECT model, status, CASE status WHEN 'ok' THEN printf('%.4f', round(mean, 4)) WHEN 'na' THEN 'N/A' ELSE 'ERROR' END AS shown_mean, CASE status WHEN 'ok' THEN printf('%.4f', round(size, 4)) WHEN 'na' THEN 'N/A' ELSE 'ERROR' END AS shown_size,
+  CAST(row_number() OVER (ORDER BY CASE WHEN status = 'ok' THEN mean END DESC NULLS LAST, model) AS INTEGER) AS place FROM w""")
+def per_task_board(spark, d):
+    return results.task_board(L.records(spark, d), "view", ["mean", "size"], "mean")
+
+
+_LONG = """lr AS (SELECT model_id, task, CASE WHEN regexp_matches(metric, '^layer_\\d+_.+$') THEN regexp_extract(metric, '^layer_(\\d+)_(.+)$', 2) ELSE metric END AS metric, CASE WHEN regexp_matches(metric, '^layer_\\d+_.+$') THEN CAST(regexp_extract(metric, '^layer_(\\d+)_(.+)$', 1) AS INTEGER) END AS layer, metric = "primary" AS is_primary, value FROM sweeps JOIN models USING (model) WHERE status = 'ok')"""
+
+
+def _reference(spark, d):
+    return results.long_reference(L.sweeps(spark, d), L.models(spark, d))
+
+
+@query(f"WITH {L.SWEEPS}, {L.MODELS}, {_LONG} SELECT * FROM lr")
+def long_reference(spark, d):
+    return _reference(spark, d)
+
+
+_BEST = "lb AS (SELECT model_id, replace(task, '-layer-sweep', '') AS task, arg_max(value, layer) AS last, max(layer) AS top, max(value) AS best FROM lr WHERE layer IS NOT NULL GROUP BY ALL), tp AS (SELECT lb.*, min(lr.layer) AS tap FROM lb JOIN lr ON lr.model_id = lb.model_id AND replace(lr.task, '-layer-sweep', '') = lb.task AND lr.value = lb.best AND lr.layer IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"WITH {L.SWEEPS}, {L.MODELS}, {_LONG}, {_BEST} SELECT model_id, task, last, best, tap, round(tap / CAST(top AS DOUBLE), 6) AS relative_depth FROM tp")
+def last_vs_best(spark, d):
+    return results.last_and_best(_reference(spark, d)).withColumn("relative_depth", F.round("relative_depth", 6))
+
+
+@query(f"""WITH {L.SWEEPS}, {L.MODELS}, {_LONG}, x AS (SELECT task, metric, layer, value FROM lr WHERE model_id = (SELECT min(model_id) FROM models)), y AS (SELECT task, metric, layer, value + CASE WHEN layer = 2 THEN 0.01 ELSE 0.0 END AS value FROM x WHERE layer IS NULL OR layer <> 5),
+  f AS (SELECT coalesce(x.task, y.task) AS task, x.value AS a, y.value AS b FROM x FULL JOIN y ON x.task = y.task AND x.metric = y.metric AND x.layer IS NOT DISTINCT FROM y.layer)
+  SELECT task, count(abs(a - b)) AS n_shared, count(*) FILTER (a = b) AS n_equal, count(*) FILTER (abs(a - b) IS NULL) AS n_missing, round(max(abs(a - b)), 6) AS worst, bool_and(coalesce(abs(a - b) <= 0.001, false)) AS passes FROM f GROUP BY task""")
+def compare(spark, d):
+    ref = _reference(spark, d)
+    least = L.models(spark, d).agg(F.min("model_id").alias("model_id"))
+    ours = ref.join(F.broadcast(least), "model_id")
+    theirs = ours.where("layer IS NULL OR layer <> 5").withColumn("value", F.col("value") + F.when(F.col("layer") == 2, 0.01).otherwise(0.0))
+    return results.compare(ours, theirs, F.lit(0.001), F.lit(True)).withColumn("worst", F.round("worst", 6))
+
+
+@query("SELECT concat('m', n_nationkey) AS model, lower(n_name) AS name, CASE WHEN n_nationkey < 9 OR n_nationkey >= 15 THEN n_name END AS model_id FROM nation")
+def identify(spark, d):
+    n = L.table(spark, d, "nation")
+    key = F.concat(F.lit("m"), F.col("n_nationkey").cast("string"))
+    known = n.select(F.when(F.col("n_nationkey") < 5, key).alias("hash"), F.when(F.col("n_nationkey").between(5, 8), key).alias("other_hash"), F.when(F.col("n_nationkey") >= 15, F.lower("n_name")).alias("display_name"), F.col("n_name").alias("model_id"))
+    return results.identify(n.select(key.alias("model"), F.lower("n_name").alias("name")), known)
+
+
+_FLOOR = """ks AS (SELECT event_type AS task, event_id % 6 + 1 AS k, round(avg(value), 6) AS value, CASE WHEN event_id % 6 = 2 THEN 'error' ELSE 'ok' END AS status FROM events GROUP BY ALL),
+  fl AS (SELECT task, k, value AS floor FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY value DESC, k) AS r FROM ks WHERE status = 'ok') WHERE r = 1)"""
+
+
+def _floors(spark, d):
+    ks = L.table(spark, d, "events").groupBy(F.col("event_type").alias("task"), (F.col("event_id") % 6 + 1).alias("k")).agg(F.round(F.avg("value"), 6).alias("value"))
+    return results.floor(ks.withColumn("status", F.when(F.col("k") == 3, "error").otherwise("ok")))
+
+
+@query(f"WITH {_FLOOR} SELECT * FROM fl")
+def kmer_floor_best_k(spark, d):
+    return _floors(spark, d)
+
+
+@query(f"WITH {_FLOOR} SELECT * FROM fl UNION ALL SELECT concat(task, '-layer-sweep'), k, floor FROM fl WHERE task <> 'error'")
+def floor_inherit(spark, d):
+    f = _floors(spark, d)
+    twins = f.where("task <> 'error'").select(F.concat("task", F.lit("-layer-sweep")).alias("task"), F.col("task").alias("twin"))
+    return results.inherit(f, twins)
+
+
+@query(f"WITH {_FLOOR} SELECT task, k, CASE WHEN task IN ('view', 'click') THEN 0.5 ELSE floor END AS floor FROM fl")
+def floor_merge(spark, d):
+    f = _floors(spark, d)
+    return results.merge_floors(f, f.where("task IN ('view', 'click')").withColumn("floor", F.lit(0.5)))
+
+
+@query(f"WITH {L.RECORDS}, {_FLOOR} SELECT model, task, value, floor, k, round(value - floor, 6) AS headroom FROM records LEFT JOIN fl USING (task) WHERE status = 'ok' AND metric = 'mean'")
+def headroom(spark, d):
+    r = L.records(spark, d).where("status = 'ok' AND metric = 'mean'").select("model", "task", "value")
+    return results.headroom(r, _floors(spark, d)).select("model", "task", "value", "floor", "k", F.round("headroom", 6).alias("headroom"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_retailprice IS NULL THEN 'N/A' ELSE printf('%.4f', round(p_retailprice, 4)) END AS shown, CASE WHEN p_partkey * 1000003 >= 1e9 THEN printf('%.2fB', round(p_partkey * 1000003 / 1e9, 2)) ELSE printf('%.1fM', round(p_partkey * 1000003 / 1e6, 1)) END AS params FROM part")
+def formatting(spark, d):
+    return L.table(spark, d, "part").select("p_partkey", results.shown(F.col("p_retailprice")).alias("shown"), results.params_shown(F.col("p_partkey") * 1000003).alias("params"))
