@@ -173,9 +173,11 @@ def repeated(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, texts_to
     dealt = texts(docs).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(deal, "block")
 
     def anchors(group: pa.Table) -> pa.Table:
-        keys, count = np.unique(Words(group["text"], width, phrase).anchors, return_counts=True)
+        w = Words(group["text"], width, phrase)
+        keys = np.unique(w.anchors)
+        found, count = np.unique(w.phrases[_within(w.phrases, keys)], return_counts=True)
         records = np.zeros(len(keys), _ANCHOR)
-        records["key"], records["own"] = keys, count > 1
+        records["key"], records["own"] = keys, (count > 1)[np.searchsorted(found, keys)] if len(keys) else 0
         return _deal(_block(group), keys, records, shards)
 
     def candidates(group: pa.Table, replies: pa.Table) -> pa.Table:
