@@ -66,7 +66,7 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Absolute rank correlation, ties sharing ranks; null if either side is constant."""
     ranked = df.withColumn("rx", average_rank(by, x)).withColumn("ry", average_rank(by, y))
     varied = (F.max("rx") > F.min("rx")) & (F.max("ry") > F.min("ry"))
-    return ranked.groupBy(*by).agg(F.when(varied, F.abs(F.corr("rx", "ry"))).alias("spearman"), F.count(F.lit(1)).alias("n_variants"))
+    return ranked.groupBy(*by).agg(F.when(varied, F.abs(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")))).alias("spearman"), F.count(F.lit(1)).alias("n_variants"))
 
 
 def _split(df: DataFrame, by: list[str], column: str, inclusive: bool) -> DataFrame:
