@@ -41,7 +41,7 @@ N, THRESHOLD, RECALL, HASHES, TILE = 5, 0.8, 0.999, 128, 1000
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows whose bands reach the recall at the threshold within the hashes."""
     for rows in range(hashes, 0, -1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
         if bands * rows <= hashes:
             return bands, rows
     raise ValueError("no bands reach this recall with so few hashes")
