@@ -157,3 +157,28 @@ def run_tasks(model, tasks: list, spark, folder=None, benchmark: str = "default"
         if folder:
             write_record(folder, record)
     return {"model_hash": key, "model": model.name, "benchmark": benchmark, "spec": spec or {}, "tasks": [done[t.name] for t in tasks if t.name in done]}
+
+
+def identity_warnings(digest: str, revision: str | None) -> list[str]:
+    """What makes a run's identity weak: weights that are only declared, a revision that can move."""
+    out = []
+    if digest.startswith("declared"):
+        out.append("the weights' digest is declared, not computed")
+    if revision is not None and not (len(revision) >= 7 and all(c in "0123456789abcdef" for c in revision)):
+        out.append(f"revision {revision!r} can change")
+    return out
+
+
+def half_built(model) -> list[str]:
+    """Capabilities that a model declares without its own method."""
+    from ..models import SequenceModel
+
+    methods = {"tokenize": "tokenize", "score": "score", "per_token": "per_token", "variant_llr": "site_llr", "embed": "embed"}
+    return sorted(c for c in model.capabilities if getattr(type(model), methods[c]) is getattr(SequenceModel, methods[c]))
+
+
+def progress_line(done: int, total: int, seconds: float) -> str:
+    """done/total, rate and time to go."""
+    rate = done / seconds if seconds else 0.0
+    left = int((total - done) / rate) if rate else 0
+    return f"{done}/{total} ({100 * done / max(1, total):.0f}%) {rate:.1f}/s, {left // 3600:02d}:{left // 60 % 60:02d}:{left % 60:02d} left"

@@ -125,3 +125,18 @@ def headroom(scores: DataFrame, floors: DataFrame) -> DataFrame:
 def markdown(rows: list[dict], columns: list[str]) -> str:
     line = lambda cells: "| " + " | ".join(map(str, cells)) + " |"
     return "\n".join([line(columns), line(["---"] * len(columns)), *(line("N/A" if r[c] is None else f"{r[c]:.4f}" if isinstance(r[c], float) else r[c] for c in columns) for r in rows)]) + "\n"
+
+
+def mixed_methods(scoring: DataFrame) -> DataFrame:
+    """Tasks whose ok rows were scored in different ways, for a board's footnote.
+
+    scoring: task, status, scoring_method."""
+    ways = scoring.where("status = 'ok'").groupBy("task").agg(F.array_join(F.sort_array(F.collect_set("scoring_method")), ", ").alias("methods"), F.countDistinct("scoring_method").alias("n"))
+    return ways.where("n > 1").select("task", "methods")
+
+
+def assay_keys(report: DataFrame, prefix: str = "BLAT_ECOLX") -> DataFrame:
+    """metric, value: each assay's correlation by name, and that of the first assay with the prefix."""
+    named = report.where("spearman IS NOT NULL").select(F.concat("dms_id", F.lit("_spearman")).alias("metric"), F.col("spearman").alias("value"))
+    first = report.where(F.col("dms_id").startswith(prefix)).agg(F.min_by("spearman", "dms_id").alias("value")).where("value IS NOT NULL").select(F.lit("breakout_spearman").alias("metric"), "value")
+    return named.unionByName(first)

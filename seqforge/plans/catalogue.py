@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import features
 from ..functions import sequences as S
 from ..models import EchoModel, batched
-from ..operators import control, metrics, probes, results, vectors
+from ..operators import control, metrics, probes, results, tensors, vectors
 from ..sources import tables
 from . import stand_ins as L
 from . import tasks
@@ -607,3 +607,52 @@ def headroom(spark, d):
 @query("SELECT p_partkey, CASE WHEN p_retailprice IS NULL THEN 'N/A' ELSE printf('%.4f', round(p_retailprice, 4)) END AS shown, CASE WHEN p_partkey * 1000003 >= 1e9 THEN printf('%.2fB', round(p_partkey * 1000003 / 1e9, 2)) ELSE printf('%.1fM', round(p_partkey * 1000003 / 1e6, 1)) END AS params FROM part")
 def formatting(spark, d):
     return L.table(spark, d, "part").select("p_partkey", results.shown(F.col("p_retailprice")).alias("shown"), results.params_shown(F.col("p_partkey") * 1000003).alias("params"))
+
+
+@query(f"""WITH {L.VARIANTS}, {_SPEAR}, a AS (SELECT dms_id, round(spearman, 8) AS s FROM sp) SELECT concat(dms_id, '_spearman') AS metric, s AS value FROM a
+  UNION ALL SELECT 'breakout_spearman', arg_min(s, dms_id) FROM a WHERE dms_id LIKE 'A%'""")
+def assay_keys(spark, d):
+    s = metrics.spearman(L.variants(spark, d), ["dms_id"], "dms_score", "model_score").withColumn("spearman", F.round("spearman", 8))
+    return results.assay_keys(s, "A")
+
+
+@query("SELECT task, string_agg(DISTINCT m, ', ' ORDER BY m) AS methods FROM (SELECT event_type AS task, CASE WHEN event_type = 'view' OR user_id % 3 = 0 THEN 'llr' ELSE 'score' END AS m FROM events) GROUP BY task HAVING count(DISTINCT m) > 1")
+def mixed_methods(spark, d):
+    way = F.when((F.col("event_type") == "view") | (F.col("user_id") % 3 == 0), "llr").otherwise("score")
+    return results.mixed_methods(L.table(spark, d, "events").select(F.col("event_type").alias("task"), F.lit("ok").alias("status"), way.alias("scoring_method")))
+
+
+@query("SELECT p_partkey, CAST(j * 8 AS INTEGER) AS start, CAST(least(j * 8 + 8, p_size) AS INTEGER) AS \"end\", CAST(ceil(p_size / 16.0) AS INTEGER) * 16 AS padded FROM (SELECT p_partkey, p_size, unnest(range(CAST(ceil(p_size / 8.0) AS BIGINT))) AS j FROM part)")
+def coarse_spans(spark, d):
+    p = L.table(spark, d, "part").select("p_partkey", tensors.padded_length(F.col("p_size"), 16).alias("padded"), F.explode(tensors.coarse_spans(F.col("p_size"), 8)).alias("s"))
+    return p.select("p_partkey", "s.start", "s.end", "padded")
+
+
+@query(f"WITH {L.EMB} SELECT item, round(sum(x), 7) AS score_sum, round(avg(x), 8) AS score_mean FROM emb WHERE layer_id = 1 AND dim % 4 <> 0 GROUP BY item")
+def logprob_reduction(spark, d):
+    special = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: i % 4 == 0)
+    e = L.emb(spark, d).where("layer_id = 1").select("item", tensors.masked_logprobs(F.col("vec"), special).alias("z"))
+    return e.select("item", F.round(tensors.reduce_logprobs(F.col("z"), "sum"), 7).alias("score_sum"), F.round(tensors.reduce_logprobs(F.col("z")), 8).alias("score_mean"))
+
+
+@query(f"""WITH {L.EMB}, p AS (SELECT a.item, max(abs(a.x - b.x)) AS most, sum(a.x * a.x) AS aa, sum(b.x * b.x) AS bb, sum(a.x * b.x) AS ab FROM emb a JOIN emb b ON a.item = b.item AND a.dim = b.dim AND a.layer_id = 0 AND b.layer_id = 1 GROUP BY 1)
+  SELECT item, round(most / sqrt(aa / 16.0), 6) AS rel_delta, round(ab / (sqrt(aa) * sqrt(bb)), 6) AS cosine, most / sqrt(aa / 16.0) <= 1e-5 AS same FROM p""")
+def last_block_check(spark, d):
+    e = L.table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    c = e.select("item", tensors.last_block_check(F.slice("v", 1, 16), F.slice("v", 17, 16)).alias("c"))
+    return c.select("item", F.round("c.rel_delta", 6).alias("rel_delta"), F.round("c.cosine", 6).alias("cosine"), F.col("c.same").alias("same"))
+
+
+@query("SELECT n_name AS model, CAST(CASE WHEN n_nationkey % 5 = 4 THEN NULL WHEN n_nationkey % 4 = 0 THEN 3 WHEN n_regionkey = 0 THEN 8 ELSE 9 END AS INTEGER) AS expected, CAST(n_nationkey % 4 AS BIGINT) AS swept, round(n_nationkey % 4 / CAST(CASE WHEN n_nationkey % 5 = 4 THEN NULL WHEN n_nationkey % 4 = 0 THEN 3 WHEN n_regionkey = 0 THEN 8 ELSE 9 END AS DOUBLE), 6) AS coverage FROM nation")
+def sweep_coverage(spark, d):
+    n = L.table(spark, d, "nation")
+    key = F.col("n_nationkey")
+    models = n.select(F.col("n_name").alias("model"), F.when(F.col("n_regionkey") == 0, "glm2").otherwise("other").alias("family"), F.when(key % 5 != 4, F.lit(8)).alias("n_layers"), F.when((key % 5 != 4) & (key % 4 == 0), F.lit(3)).alias("n_taps"))
+    swept = n.where("n_nationkey % 4 > 0").select(F.col("n_name").alias("model"), F.explode(F.sequence(F.lit(1), (key % 4).cast("int"))).alias("layer_id"))
+    return tensors.sweep_coverage(models, swept).withColumn("coverage", F.round("coverage", 6))
+
+
+@query("SELECT event_type AS model FROM events GROUP BY 1 HAVING count(DISTINCT CASE event_id % 2 WHEN 0 THEN 'residual' ELSE 'branch' END) > 1")
+def mixed_readouts(spark, d):
+    tap = F.when(F.col("event_id") % 2 == 0, "blocks.3").otherwise("blocks.3.mlp.l2")
+    return tensors.mixed_readouts(L.table(spark, d, "events").select(F.col("event_type").alias("model"), tap.alias("tap")))
