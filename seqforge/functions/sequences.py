@@ -67,17 +67,20 @@ def enzyme_windows(seq: Column, width: int | None, policy: str = "window", overl
     return F.when(F.length(seq) <= width, F.array(seq)).when(F.size(kept) > 0, kept).otherwise(centre)
 
 
-_BASE = "^[A-Za-z][0-9]+[A-Za-z]$"
+_SITE = "[ACGTUacgtu]0*+[1-9][0-9]{0,8}[ACGTUacgtu]"
+_MUTANT = rf"^[,: ]*+{_SITE}(?:[ ]*+[,:][,: ]*+{_SITE})*+[,: ]*+$"
+
+
+def scoreable(mutant: Column) -> Column:
+    """Whether all of a mutant's sites can be scored; never null."""
+    return F.coalesce(mutant.rlike(_MUTANT), F.lit(False))
 
 
 def parse_mutant(mutant: Column) -> Column:
     """Mutations such as A1C:T4G as an array of (pos0, wt, mut); null unless all of it can be scored."""
-    tokens = F.filter(F.transform(F.split(mutant, "[,:]"), lambda x: F.trim(x)), lambda x: x != "")
     base = lambda x: F.translate(F.upper(x), "U", "T")
-    position = lambda x: F.substring(x, F.lit(2), F.length(x) - 2).try_cast("int")
-    good = lambda x: x.rlike(_BASE) & base(F.substring(x, 1, 1)).isin(*"ACGT") & base(F.substring(x, -1, 1)).isin(*"ACGT") & (F.coalesce(position(x), F.lit(0)) >= 1)
-    each = F.transform(tokens, lambda x: F.struct((position(x) - 1).alias("pos0"), base(F.substring(x, 1, 1)).alias("wt"), base(F.substring(x, -1, 1)).alias("mut")))
-    return F.when((F.size(tokens) > 0) & F.forall(tokens, good), each)
+    site = lambda x: F.struct((F.substring(x, F.lit(2), F.length(x) - 2).cast("int") - 1).alias("pos0"), base(F.substring(x, 1, 1)).alias("wt"), base(F.substring(x, -1, 1)).alias("mut"))
+    return F.when(scoreable(mutant), F.transform(F.regexp_extract_all(mutant, F.lit("[A-Za-z][0-9]+[A-Za-z]"), F.lit(0)), site))
 
 
 def revert(seq: Column, mutations: Column) -> Column:
@@ -85,11 +88,16 @@ def revert(seq: Column, mutations: Column) -> Column:
     return F.aggregate(mutations, seq, lambda s, x: F.overlay(s, x["wt"], x["pos0"] + 1, F.lit(1)))
 
 
-def mutations_fit(seq: Column, mutations: Column) -> Column:
-    """Whether every mutation is within the sequence and is there, mutations at one place in turn."""
+def undo(seq: Column, mutations: Column) -> Column:
+    """(s, ok): the sequence with its mutations undone in turn, and whether each was within and there."""
     state = F.struct(seq.alias("s"), F.lit(True).alias("ok"))
     step = lambda a, x: F.struct(F.overlay(a["s"], x["wt"], x["pos0"] + 1, F.lit(1)).alias("s"), (a["ok"] & (x["pos0"] < F.length(a["s"])) & (F.substring(a["s"], x["pos0"] + 1, F.lit(1)) == x["mut"])).alias("ok"))
-    return F.aggregate(mutations, state, step, lambda a: a["ok"])
+    return F.aggregate(mutations, state, step)
+
+
+def mutations_fit(seq: Column, mutations: Column) -> Column:
+    """Whether every mutation is within the sequence and is there, mutations at one place in turn."""
+    return undo(seq, mutations)["ok"]
 
 
 def mutate(seq: Column, mutations: Column) -> Column:
@@ -130,13 +138,12 @@ def token_spans(length: Column, k: int, shift: int) -> Column:
 
 def context_report(variants: DataFrame, limit: int) -> DataFrame:
     """For each assay: unscoreable variants first, then those over the context, then what is left."""
-    scored = parse_mutant(F.col("mutant")).isNotNull()
+    scored = scoreable(F.col("mutant"))
     over = F.length("sequence") > limit
     return variants.groupBy("dms_id").agg(F.count_if(~scored).alias("n_unscoreable"), F.count_if(scored & over).alias("n_over_context"), F.count_if(scored & ~over).alias("n_kept"))
 
 
 def assay_check(parsed: DataFrame) -> DataFrame:
     """For each assay: mutations that are not in their sequence, distinct references, the reference."""
-    fits = mutations_fit(F.col("sequence"), F.col("mutations"))
-    each = parsed.select("dms_id", fits.alias("fits"), revert(F.col("sequence"), F.col("mutations")).alias("reference"))
+    each = parsed.select("dms_id", undo(F.col("sequence"), F.col("mutations")).alias("u")).select("dms_id", F.col("u.ok").alias("fits"), F.col("u.s").alias("reference"))
     return each.groupBy("dms_id").agg(F.count_if(~F.col("fits")).alias("n_bad"), F.countDistinct("reference").alias("n_references"), F.min("reference").alias("reference"), F.count(F.lit(1)).alias("n_scoreable"))

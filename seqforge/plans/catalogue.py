@@ -145,13 +145,13 @@ _MUTS = r"""m AS (SELECT l_orderkey, variant_idx, dms_id, sequence, mutant, list
 
 @query(f"WITH {L.VARIANTS}, {_MUTS} SELECT l_orderkey, variant_idx, CAST(i AS INTEGER) AS i, pos0, wt, mut FROM sites")
 def parse_mutant(spark, d):
-    p = L.variants(spark, d).select("l_orderkey", "variant_idx", F.posexplode(S.parse_mutant(F.col("mutant"))).alias("i", "m"))
+    p = L.variants(spark, d).where(S.scoreable(F.col("mutant"))).select("l_orderkey", "variant_idx", F.posexplode(S.parse_mutant(F.col("mutant"))).alias("i", "m"))
     return p.select("l_orderkey", "variant_idx", "i", "m.pos0", "m.wt", "m.mut")
 
 
 @query(f"""WITH {L.VARIANTS}, {_MUTS} SELECT dms_id, count(DISTINCT (l_orderkey, variant_idx, sequence, good)) AS n_distinct, count(*) FILTER (good) AS n_scoreable, count(*) FILTER (NOT good) AS n_unscoreable FROM ok GROUP BY dms_id""")
 def scoreable_variants(spark, d):
-    v = L.variants(spark, d).withColumn("good", S.parse_mutant(F.col("mutant")).isNotNull())
+    v = L.variants(spark, d).withColumn("good", S.scoreable(F.col("mutant")))
     return v.groupBy("dms_id").agg(F.countDistinct("l_orderkey", "variant_idx", "sequence", "good").alias("n_distinct"), F.count_if("good").alias("n_scoreable"), F.count_if(~F.col("good")).alias("n_unscoreable"))
 
 
@@ -162,7 +162,7 @@ def wt_reconstruct(spark, d):
     wt = F.substring("ref", F.col("p"), F.lit(1))
     mut = F.translate(wt, "ACGT", "CGTA")
     made = li.select("dms_id", F.when(F.col("p") >= 3, F.concat(wt, F.col("p").cast("string"), mut)).otherwise("").alias("mutant"), F.when(F.col("p") >= 3, F.overlay("ref", mut, F.col("p"), F.lit(1))).otherwise(F.col("ref")).alias("sequence"))
-    return S.assay_check(made.withColumn("mutations", S.parse_mutant(F.col("mutant"))).where("mutations IS NOT NULL"))
+    return S.assay_check(made.where(S.scoreable(F.col("mutant"))).withColumn("mutations", S.parse_mutant(F.col("mutant"))))
 
 
 def _windows_sql(width, step, least=0):
@@ -249,13 +249,13 @@ def echo_embed(spark, d):
 
 @query()
 def echo_llr(spark, d):
-    v = L.variants(spark, d).withColumn("key", F.struct("l_orderkey", "variant_idx", "sequence").cast("string")).withColumn("reference", F.col("sequence")).withColumn("mutations", S.parse_mutant(F.col("mutant"))).where("mutations IS NOT NULL")
+    v = L.variants(spark, d).withColumn("key", F.struct("l_orderkey", "variant_idx", "sequence").cast("string")).withColumn("reference", F.col("sequence")).where(S.scoreable(F.col("mutant"))).withColumn("mutations", S.parse_mutant(F.col("mutant")))
     return EchoModel().variant_llrs(v.dropDuplicates(["key"]), "key")
 
 
 @query(f"""WITH {L.VARIANTS}, {_MUTS}, distinct_sites AS (SELECT DISTINCT sequence, pos0, wt, mut FROM sites) SELECT dms_id, (SELECT count(*) FROM distinct_sites) AS n_scored, count(*) AS n_sites, round(sum((ascii(mut) - ascii(wt)) / (1.0 + pos0)), 6) AS llr FROM sites GROUP BY dms_id""")
 def llr_dedup_join(spark, d):
-    v = L.variants(spark, d).select("dms_id", "sequence", F.explode(S.parse_mutant(F.col("mutant"))).alias("m")).select("dms_id", "sequence", "m.*")
+    v = L.variants(spark, d).where(S.scoreable(F.col("mutant"))).select("dms_id", "sequence", F.explode(S.parse_mutant(F.col("mutant"))).alias("m")).select("dms_id", "sequence", "m.*")
     each = v.dropDuplicates(["sequence", "pos0", "wt", "mut"]).select("sequence", "pos0", "wt", "mut", ((F.ascii("mut") - F.ascii("wt")) / (F.lit(1.0) + F.col("pos0"))).alias("llr"))
     n = each.agg(F.count(F.lit(1)).alias("n_scored"))
     return v.join(each, ["sequence", "pos0", "wt", "mut"]).groupBy("dms_id").agg(F.count(F.lit(1)).alias("n_sites"), F.round(F.sum("llr"), 6).alias("llr")).crossJoin(n)

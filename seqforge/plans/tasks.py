@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features
-from ..functions.sequences import assay_check, enzyme_windows, gene_windows, parse_mutant
+from ..functions.sequences import assay_check, enzyme_windows, gene_windows, parse_mutant, scoreable
 from ..operators import metrics, probes, vectors
 from ..operators.control import TaskResult
 
@@ -42,7 +42,7 @@ def variant_effects(variants: DataFrame, score: F.Column, max_context: int | Non
 
 def variant_items(variants: DataFrame) -> DataFrame:
     """Scoreable variants with their assay's reference, rebuilt from the variants themselves."""
-    parsed = variants.withColumn("mutations", parse_mutant(F.col("mutant"))).where("mutations IS NOT NULL")
+    parsed = variants.where(scoreable(F.col("mutant"))).withColumn("mutations", parse_mutant(F.col("mutant")))
     refs = assay_check(parsed)
     bad = refs.where("n_bad > 0 OR n_references <> 1").limit(1).collect()
     if bad:
