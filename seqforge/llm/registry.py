@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, images, jaccard, licences, packing, phrases, quality, secrets, tokenfile
+from . import chat, decontaminate, images, jaccard, licences, packing, phrases, quality, secrets, sql, tokenfile
 
 
 def queries() -> dict:
@@ -21,4 +21,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": decontaminate.OP6_SQL}
+    return {
+        "op3_ngram_jaccard_join": sql.OP3_SQL,
+        "op6_benchmark_decontamination": decontaminate.OP6_SQL,
+        "op9_substring_dedup": sql.OP9_SQL,
+    }
