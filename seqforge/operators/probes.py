@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ITER, TOL, C = 1000, 1e-9, 1.0
+#: Bytes of training features that one task of a fit takes.
+FIT_BYTES = 32 << 20
 
 
-def _dense(df: DataFrame, train: F.Column, vec: str, scale: bool) -> tuple[DataFrame, int]:
+def _scaled(made: DataFrame, scale: bool) -> tuple[DataFrame, int]:
+    """The rows with features standardised by their training rows, if asked for; how many those are."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    made = df.withColumn("features", array_to_vector(F.col(vec).cast("array<double>"))).withColumn("_train", train)
     fit = made.where("_train").agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("m")).select(vector_to_array("m.mean").alias("mean"), vector_to_array("m.variance").alias("var"), F.col("m.count").alias("n")).first()
     if fit is None or not fit.n:
         raise ValueError("there are no training rows")
@@ -37,12 +39,13 @@ def probe(df: DataFrame, label: str, train: F.Column, vec: str = "vec", c: float
     """The rows that are not for training, with prob (of label 1) or predicted (the class)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    made, n = _dense(df, train, vec, scale)
-    made = made.cache()
+    held = df.withColumn("features", array_to_vector(F.col(vec).cast("array<double>"))).withColumn("_train", train).cache()  # read by the statistics, the fit and the result
     try:
-        fit_on = made.where("_train")
+        made, n = _scaled(held, scale)
+        width = made.select(F.size(vec)).first()[0]
+        fit_on = made.where("_train").coalesce(n * width * 8 // FIT_BYTES + 1)  # each step is a job: no more tasks than the numbers fill
         kinds = fit_on.select(label).distinct().limit(2).count()
         if kinds < 2:
             raise ValueError("the training rows are of one class")
@@ -57,7 +60,7 @@ def probe(df: DataFrame, label: str, train: F.Column, vec: str = "vec", c: float
             out = model.transform(made.where("NOT _train")).withColumn("predicted", names[F.col("prediction").cast("int")])
         return out.drop("features", "_train", "rawPrediction", "probability", "prediction")
     finally:
-        made.unpersist()
+        held.unpersist()
 
 
 def probe_layers(emb: DataFrame, layers: list[int], evaluate, threads: int = 4) -> list[tuple[int, float]]:
