@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Expected numbers of readable layers by family of model: layers and the input embedding, unless it says.
-SWEEP_WITHOUT_INPUT = ("glm2",)
+SWEEP_WITHOUT_INPUT = ("no-input",)
 
 
 def reduce_logprobs(z: Column, how: str = "mean") -> Column:

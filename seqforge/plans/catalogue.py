@@ -647,7 +647,7 @@ def last_block_check(spark, d):
 def sweep_coverage(spark, d):
     n = L.table(spark, d, "nation")
     key = F.col("n_nationkey")
-    models = n.select(F.col("n_name").alias("model"), F.when(F.col("n_regionkey") == 0, "glm2").otherwise("other").alias("family"), F.when(key % 5 != 4, F.lit(8)).alias("n_layers"), F.when((key % 5 != 4) & (key % 4 == 0), F.lit(3)).alias("n_taps"))
+    models = n.select(F.col("n_name").alias("model"), F.when(F.col("n_regionkey") == 0, "no-input").otherwise("other").alias("family"), F.when(key % 5 != 4, F.lit(8)).alias("n_layers"), F.when((key % 5 != 4) & (key % 4 == 0), F.lit(3)).alias("n_taps"))
     swept = n.where("n_nationkey % 4 > 0").select(F.col("n_name").alias("model"), F.explode(F.sequence(F.lit(1), (key % 4).cast("int"))).alias("layer_id"))
     return tensors.sweep_coverage(models, swept).withColumn("coverage", F.round("coverage", 6))
 
