@@ -3,8 +3,9 @@
 BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens one after another.
 Texts whose characters all lie below U+0240 are cut into pre-tokens by array operations that follow
 the tokenizer file's own split pattern; the distinct ones that a worker has not met yet go to the
-library, and a bounded table keeps their ids. Any other text goes to the library as it is. Both ways
-give the library's ids (tests/llm/test_tokenizing.py compares them on random texts).
+library, and a bounded table keeps their ids. Any other text, and any that may hold one of the file's
+added tokens (<|endoftext|>), goes to the library as it is. Both ways give the library's ids
+(tests/llm/test_tokens.py compares them on random texts).
 """
 
 from __future__ import annotations
@@ -195,10 +196,23 @@ class BatchTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # such strings in a text are ordinary text
         self.words = self.library.normalizer is not None
         self.cutter, self.hasher = Cutter(self.words), SpanHasher(11)
         self.remember, self.table = remember, _Table()
+        self.added = sorted({x.content.encode().lower() for x in self.library.get_added_tokens_decoder().values()})
+
+    def _holds_added(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """For each text whether it holds an added token's content, in capitals or not."""
+        low, found = raw.lower(), []
+        for token in self.added:
+            at = low.find(token)
+            while at >= 0:
+                found.append(at)
+                at = low.find(token, at + 1)
+        out = np.zeros(len(offsets) - 1, bool)
+        out[np.searchsorted(offsets, found, side="right") - 1] = True
+        return out
+
     def _library_ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -238,12 +252,12 @@ class BatchTokenizer:
     def ids(self, column):
         """(ids, offsets): the ids of all texts, and where each text's begin."""
         data, offsets = arrow_text(column)
-        plain = self.cutter.plain(data, offsets) if len(data) else np.ones(len(offsets) - 1, bool)
-        if plain.all() and len(data):
-            return self._plain_ids(data, offsets)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         raw, parts = data.tobytes(), []
+        plain = self.cutter.plain(data, offsets) & ~self._holds_added(raw, offsets)
+        if plain.all():
+            return self._plain_ids(data, offsets)
         odd = np.flatnonzero(~plain)
         library = dict(zip(odd.tolist(), self._library_ids([raw[offsets[i] : offsets[i + 1]].decode() for i in odd])))
         for i in range(len(plain)):

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from seqforge.llm import packing, tokenfile
 from seqforge.llm.common import shared_folder, tokenizer_path
@@ -32,6 +33,17 @@ def test_ids_are_the_librarys_on_random_texts(f):
         assert ids[at[i] : at[i + 1]].tolist() == want
 
 
+@pytest.mark.parametrize("f", FILES)
+def test_added_tokens_are_those_of_the_untouched_file(f):
+    plain = Tokenizer.from_file(tokenizer_path(f))
+    tokens = [x.content for x in plain.get_added_tokens_decoder().values()]
+    texts = ["end <|endoftext|> next", "END <|EndOfText|>", "<|endoftext|", "|>", "<|endoftext|><|startoftext|>é", "", "plain", *tokens, *(f"a {x}b" for x in tokens), "漢 <|endoftext|>", "last"]
+    ids, at = made[f].ids(pa.array(texts))
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+    assert any(plain.token_to_id("<|endoftext|>") in x for x in want)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.characters(max_codepoint=0x260, exclude_categories=["Cs"]), max_size=20), min_size=1, max_size=5))
 def test_ids_are_the_librarys(texts):
