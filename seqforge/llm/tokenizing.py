@@ -23,6 +23,8 @@ _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 _SINGLE, _DOUBLE = b"stmd", (b"re", b"ve", b"ll")
 #: Distinct pre-tokens that one worker remembers before it starts anew.
 REMEMBER = 1 << 21
+#: Ids that it remembers before it starts anew, so that offsets fit 31 bits; a length fits 32.
+REMEMBER_IDS = 1 << 25
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK_BYTES = 1 << 21
 
@@ -147,7 +149,7 @@ class _Table:
     def _make(self, bits):
         self.mask = (1 << bits) - 1
         self.keys = np.zeros(1 << bits, U64)
-        self.at = np.zeros(1 << bits, np.int64)  # offset << 20 | length
+        self.at = np.zeros(1 << bits, np.int64)  # offset << 32 | length
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The packed place of each key, -1 where it is missing."""
@@ -175,7 +177,7 @@ class _Table:
         self.pool[self.used : self.used + len(ids)] = ids
         offsets = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        self._put(keys, (offsets << 20) | lengths)
+        self._put(keys, (offsets << 32) | lengths)
         self.count += len(keys)
 
     def _put(self, keys, at):
@@ -234,7 +236,7 @@ class BatchTokenizer:
         data, s, e, first = self.cutter.cut(data, offsets)
         keys = self.hasher.bytes(data, s, e)
         keys[keys == 0] = 1
-        if self.table.count > self.remember:
+        if self.table.count > self.remember or self.table.used > REMEMBER_IDS:
             self.table = _Table()
         at = self.table.find(keys)
         missing = np.flatnonzero(at < 0)
@@ -243,10 +245,10 @@ class BatchTokenizer:
             one = missing[one]
             self._learn(data, s[one], e[one], keys[one])
             at[missing] = self.table.find(keys[missing])
-        length = at & 0xFFFFF
+        length = at & 0xFFFFFFFF
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.table.pool[np.repeat((at >> 20) - ends + length, length) + np.arange(total)]
+        ids = self.table.pool[np.repeat((at >> 32) - ends + length, length) + np.arange(total)]
         return ids, np.concatenate(([0], ends))[first]
 
     def ids(self, column):

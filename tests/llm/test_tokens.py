@@ -44,6 +44,17 @@ def test_added_tokens_are_those_of_the_untouched_file(f):
     assert any(plain.token_to_id("<|endoftext|>") in x for x in want)
 
 
+@pytest.mark.parametrize("f", FILES)
+def test_runs_of_more_than_a_million_ids(f):
+    run = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz", k=2_600_000))
+    texts = ["before it", run + " and after", "after it"]
+    ids, at = made[f].ids(pa.array(texts))
+    plain = Tokenizer.from_file(tokenizer_path(f))
+    assert at[2] - at[1] > 1 << 20
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.characters(max_codepoint=0x260, exclude_categories=["Cs"]), max_size=20), min_size=1, max_size=5))
 def test_ids_are_the_librarys(texts):
