@@ -146,3 +146,50 @@ def test_image_copies(spark):
         assert all(r.class_id == r.image_id and r.n_links == 0 for r in got if r.image_id is None or r.image_id > 9000)
     assert images.copies(df.limit(0)).count() == 0
     assert images.copies(images.drawn(spark.createDataFrame([(1, None), (2, [0.5] * 3), (3, [0.5] * 64)], "vec_id long, embedding array<float>"))).count() == 3
+
+
+IMAGE = "image_id long, height int, width int, pixels binary"
+
+
+def image_rows(pictures):
+    return [(i, *x.shape, np.ascontiguousarray(x).tobytes()) for i, x in enumerate(pictures)]
+
+
+def smooth(rng, h, w, block=7):
+    return np.clip(128 + 60 * np.kron(rng.normal(0, 1, (-(-h // block), -(-w // block))), np.ones((block, block))), 0, 255)[:h, :w].astype(np.uint8)
+
+
+def linked_alike(spark, pictures, **parameters):
+    """n_links and class_id of the operator and of consensus on all pairs."""
+    points = [images.describe(x[None])[0] for x in pictures]
+    n, root = [0] * len(points), list(range(len(points)))
+    for i in range(len(points)):
+        for j in range(i):
+            if np.array_equal(pictures[i], pictures[j]) or images.linked_by(points[j], points[i]):
+                n[i], n[j] = n[i] + 1, n[j] + 1
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    got = {r.image_id: r for r in images.copies(spark.createDataFrame(image_rows(pictures), IMAGE).repartition(3), **parameters).collect()}
+    return [(got[i].n_links, got[i].class_id) for i in range(len(points))], list(zip(n, root))
+
+
+def test_image_links_whatever_a_buckets_least(spark, monkeypatch):
+    # each bucket of two copies has a least image of its own, unlike both: no least is named more than twice
+    bits = np.random.default_rng(1).integers(0, 256, (12, images.BITS // 8)).astype(np.uint8)
+    xy = np.random.default_rng(2).uniform(0, 40, (12, 2))
+    made = []
+    for k in range(12):  # pictures of lower ids, each with one of the copies' descriptors
+        p = np.zeros(1, images.KEYPOINT)
+        p["bits"], p["x"], p["y"] = bits[k].copy(), *xy[k]
+        p["bits"][0, 8:] ^= 0xFF
+        made.append(p)
+    whole = np.zeros(12, images.KEYPOINT)
+    whole["bits"], whole["x"], whole["y"] = bits, xy[:, 0], xy[:, 1]
+    other = whole.copy()
+    other["bits"][:, 8:] ^= 0x01
+    made += [whole, other]
+    rows = [(i, bytes([i]), p.tobytes(), images._keys(p)) for i, p in enumerate(made)]
+    held = spark.createDataFrame(rows, "image_id long, digest binary, points binary, keys array<long>")
+    monkeypatch.setattr(images, "keyed", lambda *_: held)
+    got = {r.image_id: (r.class_id, r.n_links) for r in images.copies(held).collect()}
+    assert got[12] == got[13] == (12, 1) and all(got[i] == (i, 0) for i in range(12))
