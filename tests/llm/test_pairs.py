@@ -193,3 +193,16 @@ def test_image_links_whatever_a_buckets_least(spark, monkeypatch):
     monkeypatch.setattr(images, "keyed", lambda *_: held)
     got = {r.image_id: (r.class_id, r.n_links) for r in images.copies(held).collect()}
     assert got[12] == got[13] == (12, 1) and all(got[i] == (i, 0) for i in range(12))
+
+
+def test_image_links_with_one_key_in_common(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    whole = np.zeros(12, images.KEYPOINT)
+    whole["bits"], whole["x"], whole["y"] = rng.integers(0, 256, (12, images.BITS // 8)), *rng.uniform(0, 40, (2, 12))
+    other = whole.copy()
+    other["bits"][:, ::4] ^= 1  # a bit of each part
+    other["bits"][0, 0] ^= 1
+    assert len(set(images._keys(whole)) & set(images._keys(other))) == 1
+    held = spark.createDataFrame([(i, bytes([i]), p.tobytes(), images._keys(p)) for i, p in enumerate((whole, other))], "image_id long, digest binary, points binary, keys array<long>")
+    monkeypatch.setattr(images, "keyed", lambda *_: held)
+    assert {tuple(r) for r in images.copies(held).collect()} == {(0, 0, 1), (1, 0, 1)}
