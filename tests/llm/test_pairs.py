@@ -206,3 +206,13 @@ def test_image_links_with_one_key_in_common(spark, monkeypatch):
     held = spark.createDataFrame([(i, bytes([i]), p.tobytes(), images._keys(p)) for i, p in enumerate((whole, other))], "image_id long, digest binary, points binary, keys array<long>")
     monkeypatch.setattr(images, "keyed", lambda *_: held)
     assert {tuple(r) for r in images.copies(held).collect()} == {(0, 0, 1), (1, 0, 1)}
+
+
+def test_image_links_between_followers(spark):
+    wide = smooth(np.random.default_rng(2), 56, 140)
+    a, c, d, b = (np.ascontiguousarray(wide[:, x : x + 56]) for x in (0, 20, 40, 60))  # links A-C, C-D, D-B only
+    pictures = [a, b, c, d, a, a]
+    for tile in (400, 2):
+        got, want = linked_alike(spark, pictures, tile=tile)
+        assert got == want
+    assert got == [(3, 0), (1, 0), (4, 0), (2, 0), (3, 0), (3, 0)]
