@@ -216,3 +216,13 @@ def test_image_links_between_followers(spark):
         got, want = linked_alike(spark, pictures, tile=tile)
         assert got == want
     assert got == [(3, 0), (1, 0), (4, 0), (2, 0), (3, 0), (3, 0)]
+
+
+def test_image_crops_of_large_pictures_and_plain_copies(spark):
+    large = smooth(np.random.default_rng(4), 240, 240, 9)
+    blank = np.full((30, 30), 255, np.uint8)
+    logo = blank.copy()
+    logo[10:20, 10:20] = 0
+    pictures = [large, large[60:180, 40:160], blank, blank.copy(), logo, logo.copy(), smooth(np.random.default_rng(5), 240, 240, 9)]
+    got, want = linked_alike(spark, pictures)
+    assert got == want == [(1, 0), (1, 0), (1, 2), (1, 2), (1, 4), (1, 4), (0, 6)]
