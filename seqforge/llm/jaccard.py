@@ -5,10 +5,10 @@ equal n-gram sets form a class, found by a 128-bit digest; one of each class goe
 
 1. bands    MinHash bands; their number and rows are the widest that reach ``recall`` at the threshold;
 2. buckets  a shuffle on band hashes; each bucket links its members to its least, so that its edges grow
-            with its members, not with their pairs; connected buckets form candidate groups;
-3. verify   the texts of a candidate group meet once, in tiles of ``tile`` texts a side if they are many,
-            and all pairs in a tile are compared on their full n-gram sets. A tile returns one row a
-            text: its number of links, and the least text that it is linked to, directly or not.
+            with its members, not with their pairs, and connected buckets form candidate groups;
+3. verify   the n-gram sets of a group meet in one tile if they are few, else in the tiles of its parts or
+            those of its buckets, whichever are cheaper (tiles.py); pairs are compared on their full sets.
+            A tile returns one row a set: its number of links, and the least that it is linked to.
 
 The result has a row for each document: class_id, the least doc_id among the documents connected with it
 by links; n_links, the number of other documents whose n-gram set has a Jaccard similarity of
@@ -18,7 +18,8 @@ No link is given up: recall is bounded only by the bands, groups of any size are
 Words are runs of bytes other than white space, unchanged. Null and empty texts have no n-grams, no links
 and each is a class of its own. Repeated rows are copies like others and have a row each. A null doc_id
 stays null and is no class_id while any other is there. An empty table gives an empty result. Other
-columns are ignored.
+columns are ignored. Texts of any length are taken whole; a task needs about thirty times the bytes of
+its longest one.
 """
 
 from __future__ import annotations
@@ -32,10 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions, table, texts
 from .components import components
+from .tiles import TILE, belong, deal, spread
 from .textbuf import SPACE_BYTES, U64, SpanHasher, arrow_text, byte_table, mix64, spans
 from .tokenizing import slices
 
-N, THRESHOLD, RECALL, HASHES, TILE = 5, 0.8, 0.999, 128, 1000
+N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 128
+#: Sets in a tile of a group that is not split.
+TILE_SETS = 128
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -136,20 +140,38 @@ def _intersections(keys, offsets, dense_from: int = 16) -> np.ndarray:
     return out
 
 
-def compare(group: pa.Table, n: int, threshold: float) -> pa.Table:
-    """One tile: for each text the weight of the others that it is linked to in the pairs of this tile."""
+def _once(df: DataFrame, n: int) -> DataFrame:
+    """The n-gram sets of candidate texts as packed hashes. Rows of one text and doc_id stand for the same
+    set; a task lets through the first."""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                each = list(zip(part["d1"].to_pylist(), part["d2"].to_pylist()))
+                keep = [i for i, x in enumerate(each) if x not in seen and not seen.add(x)]
+                part = part.take(pa.array(keep, pa.int64()))
+                keys, offsets = gram_sets(part["text"], n)
+                sets = [keys[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+                columns = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), pa.array(sets, pa.binary())], names=[*columns, "grams"])
+
+    kept = df.drop("text")
+    return df.mapInArrow(run, kept.withColumn("grams", F.lit(b"")).schema)
+
+
+def compare(group: pa.Table, threshold: float) -> pa.Table:
+    """One tile: for each set the weight of the others that it is linked to in the pairs of this tile."""
     d1, d2 = group["d1"].to_numpy(), group["d2"].to_numpy()
     _, one = np.unique(np.stack([d1, d2]), axis=1, return_index=True)
     group = group.take(pa.array(one))
     d1, d2, weight = d1[one], d2[one], group["copies"].to_numpy().astype(np.float64)
-    part, a, b = group["part"].to_numpy(), group["a"][0].as_py(), group["b"][0].as_py()
-    keys, offsets = gram_sets(group["text"], n)
-    size = np.diff(offsets)
-    shared = _intersections(keys, offsets).astype(np.float64)
+    sets = [np.frombuffer(x.as_buffer(), U64) for x in group["grams"].combine_chunks()]
+    size = np.array([len(x) for x in sets])
+    shared = _intersections(np.concatenate(sets), np.concatenate(([0], np.cumsum(size)))).astype(np.float64)
     linked = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9
-    np.fill_diagonal(linked, False)
-    if a != b:
-        linked &= part[:, None] != part[None, :]
+    mode, tile, a, b = (group[c][0].as_py() for c in TILE)
+    linked &= belong(mode, tile, a, b, group["part"].to_numpy(), group["bands"].to_pylist() if mode else [])
     label = np.argsort(np.argsort(d1, kind="stable"), kind="stable")
     while True:
         low = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1))
@@ -159,31 +181,27 @@ def compare(group: pa.Table, n: int, threshold: float) -> pa.Table:
     return pa.table({"d1": d1, "d2": d2, "links": (linked @ weight).astype(np.int64), "other": np.sort(d1)[label]})
 
 
-def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, tile: int = TILE) -> DataFrame:
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, tile: int = TILE_SETS) -> DataFrame:
     """doc_id, th (a hash of the text), class_id, n_links, rep_id and first: a row for each document.
 
     first: whether the row is the one, or a repetition of the one, that stands for its class."""
     bands, rows = choose_bands(threshold, recall, hashes)
     signed = cut(sign(docs, n, bands, rows), "signed")
-    reps = cut(signed.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "bands")).alias("r"), F.count("*").alias("copies")).select("d1", "d2", "copies", "r.doc_id", "r.th", "r.bands"), "reps")
-    rows_of = reps.select("d1", F.posexplode("bands").alias("band", "hash"))
-    shared = rows_of.groupBy("band", "hash").agg(F.min("d1").alias("least"), F.count("*").alias("members")).where("members > 1").drop("members")
-    groups = cut(components(rows_of.join(shared, ["band", "hash"]).select(F.col("d1").alias("a"), F.col("least").alias("b"))), "groups")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("texts"))
-    candidates = reps.join(groups, reps.d1 == groups.node).join(sizes, "root").select("root", "d1", "d2", "copies", F.col("doc_id").alias("cid"), F.col("th").alias("cth"), F.ceil(F.col("texts") / tile).cast("int").alias("parts"))
+    reps = cut(signed.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "bands")).alias("r"), F.count("*").alias("copies"), F.max("n").alias("n")).select("d1", "d2", "copies", "n", "r.doc_id", "r.th", "r.bands"), "reps")
+    dealt = deal(reps.select(F.col("d1").alias("node"), (F.col("n") * 8).cast("long").alias("size"), F.col("bands").alias("keys")), tile // 2)
+    candidates = reps.join(dealt, reps.d1 == dealt.node).select("node", "d1", "d2", "copies", "bands", "deals", F.col("doc_id").alias("cid"), F.col("th").alias("cth"))
     full = texts(docs).withColumn("th", F.xxhash64("text"))
     found = full.join(candidates.hint("shuffle_hash"), (full.th == candidates.cth) & full.doc_id.eqNullSafe(candidates.cid))
-    part = F.pmod(F.xxhash64("d1", "d2"), F.col("parts")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("a"), F.greatest(k, F.col("part")).alias("b")))
-    dealt = found.withColumn("part", part).select("root", "d1", "d2", "copies", "part", "text", F.explode(tiles).alias("t")).select("root", F.col("t.a").alias("a"), F.col("t.b").alias("b"), "d1", "d2", "copies", "part", "text")
-    dealt = dealt.repartition(partitions(docs), "root", "a", "b")
-    linked = cut(dealt.groupBy("root", "a", "b").applyInArrow(lambda g: compare(g, n, threshold), "d1 long, d2 long, links long, other long"), "linked")
+    sets = _once(found.select("node", "d1", "d2", "copies", "bands", "deals", "text"), n)
+    tiles = spread(sets, "d1", "d2", "copies", "bands", "grams").repartition(partitions(docs), *TILE)
+    linked = cut(tiles.groupBy(*TILE).applyInArrow(lambda g: compare(g, threshold), "d1 long, d2 long, links long, other long"), "linked")
     links = linked.groupBy("d1", "d2").agg(F.sum("links").alias("links"))
     roots = components(linked.where("other <> d1").select(F.col("d1").alias("a"), F.col("other").alias("b")))
     named = reps.join(roots, reps.d1 == roots.node, "left").join(links, ["d1", "d2"], "left").select("d1", "d2", "copies", F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th"), F.coalesce("root", "d1").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     order = F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "rep_th", "d1", "d2")
-    least = named.groupBy("root").agg(F.min(order).alias("least")).select("root", F.col("least.rep_id").alias("class_id"), F.struct("least.d1", "least.d2").alias("first"))
-    known = named.join(least, "root").select("d1", "d2", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "rep_id", "rep_th", (F.struct("d1", "d2") == F.col("first")).alias("first"))
+    first = named.groupBy("root").agg(F.min(order).alias("least")).select("root", F.col("least.rep_id").alias("class_id"), F.struct("least.d1", "least.d2").alias("first"))
+    known = named.join(first, "root").select("d1", "d2", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "rep_id", "rep_th", (F.struct("d1", "d2") == F.col("first")).alias("first"))
+    known = cut(known, "known")
     members = signed.where("n > 0").select("doc_id", "th", "d1", "d2").join(known, ["d1", "d2"])
     members = members.select("doc_id", "th", "class_id", "n_links", "rep_id", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).alias("first"))
     alone = signed.where("n = 0").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("rep_id"), F.lit(True).alias("first"))
