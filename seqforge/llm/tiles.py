@@ -18,7 +18,7 @@ from .common import cut
 from .components import components
 
 #: Parts that a group is split into at first, and bytes that a part holds at most.
-PARTS, PART_BYTES = 16, 4 << 20
+PARTS, PART_BYTES = 24, 4 << 20
 TILE = ["mode", "tile", "a", "b"]
 
 
