@@ -3,12 +3,15 @@
 A window is ``n`` consecutive words of a benchmark item; an item of fewer words is one window. Of any
 ``m`` consecutive words, one run of g = ceil(m/2) words begins at a multiple of m - g + 1 in the
 document, so a document is scanned at every sixth word only: the hashes of its aligned runs are looked
-up in the set of all such runs of the items. Documents with a hit are verified window by window on the
-words themselves, and carry the items and the words that they cover.
+up in the set of all such runs of the items. Round each hit the windows that hold it are verified on the
+words themselves; documents carry the items and the words that they cover.
 
 The set travels with the plan as an IN-set while it has ``set_limit`` hashes at most (checked); a larger
 benchmark is joined on the hashes instead, by shuffle, with the same result.
 
+A text of any length is scanned whole, in one task; its hits are verified as rows of some fifteen words,
+so that a task needs about twenty times the bytes of its longest text, however much of it is hit.
+
 Null texts and texts without words have no words, no hits and are not contaminated. Items without words
 have no window; a null item_id counts as the id "". Repeated rows each have their row, null doc_ids too;
 items that repeat count once for each item_id. Empty tables give empty results (documents) or no hits
@@ -51,13 +54,6 @@ def _hash(g: int):
     return lambda i: F.xxhash64(F.lit(g), *[F.element_at("words", i + F.lit(k)) for k in range(g)])
 
 
-def _windows(m: int) -> Column:
-    """All runs of m words of a document: at, m, window."""
-    none = F.array().cast("array<struct<at:int,m:int,window:string>>")
-    each = F.transform(F.sequence(F.lit(1), F.size("words") - m + 1), lambda i: F.struct(i.alias("at"), F.lit(m).alias("m"), F.array_join(F.slice("words", i, F.lit(m)), " ").alias("window")))
-    return F.when(F.size("words") >= m, each).otherwise(none)
-
-
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """item, m, window (words joined by a space): the distinct windows of each item."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
@@ -80,23 +76,59 @@ def _grams(windows: DataFrame, sizes: list[int]) -> DataFrame:
     return out.distinct()
 
 
+def _key(doc_id: str = "doc_id") -> list[Column]:
+    """What names a document's text in joins, besides its hash: the id, and whether there is none."""
+    return [F.coalesce(doc_id, F.lit(0).cast("long")).alias("did"), F.col(doc_id).isNull().alias("none")]
+
+
+def _found_by(known: str, m: int) -> Column:
+    """The aligned runs of a document that are in the set: at, m."""
+    g, s = _aligned(m)
+    run = ", ".join(f"element_at(words, i + {k})" for k in range(g))
+    return F.expr(f"CASE WHEN size(words) >= {g} THEN transform(filter(sequence(1, size(words) - {g - 1}, {s}), i -> xxhash64({g}, {run}) IN ({known})), i -> struct(i AS at, {m} AS m)) ELSE CAST(array() AS array<struct<at:int,m:int>>) END")
+
+
+def _named_runs(m: int) -> Column:
+    """All aligned runs of a document: at, m, gram."""
+    g, s = _aligned(m)
+    return F.transform(_runs(F.size("words"), g, s, lambda i: i.cast("long")), lambda i: F.struct(i.cast("int").alias("at"), F.lit(m).alias("m"), _hash(g)(i.cast("int")).alias("gram")))
+
+
 def scan(docs: DataFrame, windows: DataFrame, set_limit: int = SET_LIMIT) -> DataFrame:
-    """uid, doc_id, th (a hash of the text), n_words, and the words of those documents that may hold a window."""
+    """uid, doc_id, th (a hash of the text), n_words, and of those documents that may hold a window the words
+    and ``runs``, the aligned runs (at, m) that are in the set."""
     sizes = sorted(r.m for r in windows.select("m").distinct().collect())
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), words(F.col("text")).alias("words"))
+    uid, n_words = F.monotonically_increasing_id().alias("uid"), F.size("words").cast("long").alias("n_words")
     if not sizes:
-        return base.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "th", F.size("words").cast("long").alias("n_words"), F.lit(None).cast("array<string>").alias("words"))
+        return base.select(uid, "doc_id", "th", n_words, F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("array<struct<at:int,m:int>>").alias("runs"))
     grams = _grams(windows, sizes)
     held = [r.gram for r in grams.limit(set_limit + 1).collect()]
-    runs = F.concat(*[_runs(F.size("words"), g, s, _hash(g)) for g, s in map(_aligned, sizes)])
     if len(held) <= set_limit:
         known = ",".join(f"{x}L" if x != -(1 << 63) else "(-9223372036854775807L - 1L)" for x in held)
-        hit = F.expr(f"exists(runs, x -> x IN ({known}))")
-        return base.withColumn("runs", runs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "th", F.size("words").cast("long").alias("n_words"), F.when(hit, F.col("words")).alias("words"))
-    base = base.withColumn("uid", F.xxhash64("doc_id", "words"))  # rows of one doc_id and text are decided together
-    hits = base.select("uid", F.explode(F.array_distinct(runs)).alias("gram")).join(grams, "gram", "left_semi").select("uid").distinct().withColumn("hit", F.lit(True))
-    base = base.join(hits, "uid", "left")
-    return base.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "th", F.size("words").cast("long").alias("n_words"), F.when(F.col("hit"), F.col("words")).alias("words"))
+        hashes = F.concat(*[_runs(F.size("words"), g, s, _hash(g)) for g, s in map(_aligned, sizes)])
+        some = base.withColumn("hashes", hashes).select(uid, "doc_id", "th", n_words, F.when(F.expr(f"exists(hashes, x -> x IN ({known}))"), F.col("words")).alias("words"))
+        some = cut(some, "marked")
+        return some.withColumn("runs", F.when(F.col("words").isNotNull(), F.concat(*[_found_by(known, m) for m in sizes])))
+    each = F.concat(*map(_named_runs, sizes))
+    hits = base.select(*_key(), "th", F.explode(each).alias("r")).select("did", "none", "th", "r.*").join(grams, "gram", "left_semi")
+    hits = hits.groupBy("did", "none", "th").agg(F.array_sort(F.collect_set(F.struct("at", "m"))).alias("runs"))
+    joined = base.select("*", *_key()).join(hits, ["did", "none", "th"], "left")
+    return joined.select(uid, "doc_id", "th", n_words, F.when(F.col("runs").isNotNull(), F.col("words")).alias("words"), "runs")
+
+
+def _around(x: Column) -> Column:
+    """A run's place in each window that may hold it: the first word's number and the words near it."""
+    back = x["m"] - F.floor((x["m"] + 1) / 2).cast("int")
+    first = F.greatest(F.lit(1), x["at"] - back)
+    return F.struct(first.alias("first"), x["m"].alias("m"), F.slice("words", first, F.least(F.size("words"), x["at"] + x["m"] - 1) - first + 1).alias("near"))
+
+
+def _windows() -> Column:
+    """The windows of m words among those near a run: at, window."""
+    room = F.size("near") - F.col("m")
+    each = F.transform(F.sequence(F.lit(0), room), lambda k: F.struct((F.col("first") + k).alias("at"), F.array_join(F.slice("near", k + 1, F.col("m")), " ").alias("window")))
+    return F.when(room >= 0, each).otherwise(F.array().cast("array<struct<at:int,window:string>>"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_limit: int = SET_LIMIT, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -104,17 +136,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_li
     windows = cut(benchmark_windows(benchmark, n), "windows")
     sizes = sorted(r.m for r in windows.select("m").distinct().collect())
     held = cut(scan(docs, windows, set_limit), "scanned")
-    marked = held.where(F.col("words").isNotNull())
     if not sizes:
         return held.select("uid", "doc_id", "th", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<at:int,m:int>>").alias("hits"))
-    found = marked.select("uid", F.explode(F.concat(*map(_windows, sizes))).alias("w")).select("uid", "w.at", "w.m", "w.window")
+    near = held.where(F.col("words").isNotNull()).select("uid", F.explode(F.transform("runs", _around)).alias("r")).select("uid", "r.*")
+    found = near.select("uid", "m", F.explode(_windows()).alias("w")).select("uid", "m", "w.at", "w.window")
     small = windows.limit(broadcast_windows + 1).count() <= broadcast_windows
     found = found.join(F.broadcast(windows) if small else windows, ["m", "window"])
     hits = found.groupBy("uid").agg(F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set(F.struct("at", "m"))).alias("hits"))
     ends = lambda h: h["at"] + h["m"]
     cover = F.aggregate("hits", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")), lambda a, h: F.struct((a["n"] + F.greatest(F.lit(0), ends(h) - F.greatest(a["to"], h["at"]))).alias("n"), F.greatest(a["to"], ends(h)).alias("to")), lambda a: a["n"])
     return (
-        held.drop("words")
+        held.drop("words", "runs")
         .join(hits, "uid", "left")
         .select("uid", "doc_id", "th", "n_words", F.coalesce(F.when(F.col("hits").isNotNull(), cover), F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("hits", F.array().cast("array<struct<at:int,m:int>>")).alias("hits"))
     )
