@@ -14,7 +14,9 @@ escape character as itself and 0; read backwards that gives the text again, what
 Null roles and texts are empty. Turns sort by turn, role, text, nulls first; repeated rows are turns of
 their own. A turn over the budget is a window of its own, without history, longer than the budget. A
 null conv_id is a conversation like any other. An empty table gives an empty result; other columns are
-ignored. A conversation is one row of the result, hence of one task, as its formatted text is.
+ignored. A conversation is one row of the result, hence of one task, as its formatted text is; a task needs
+about ten times the bytes of its longest one, of whatever number and length of turns. Sums and windows are
+built block by block of turns, as an array that grows one by one is copied each time.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 PAIRS = ((ESCAPE, ESCAPE + "0"), *((c, ESCAPE + chr(97 + i)) for i, c in enumerate(CONTROLS)))
 #: Tokens of a text: words or numbers, and every other visible character. Marks of a turn count OVERHEAD.
 TOKEN, OVERHEAD = r"[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]", 4
+#: Turns in a block.
+BLOCK = 64
 
 
 def escape(text: Column) -> Column:
@@ -53,6 +57,23 @@ def _settle(df: DataFrame, *columns: str) -> DataFrame:
     return df.selectExpr(f"inline(array(struct({', '.join(columns)})))")
 
 
+def _total(array: str, value: str, kind: str) -> str:
+    return f"aggregate({array}, CAST(0 AS {kind}), (s, x) -> s + CAST({value} AS {kind}))"
+
+
+def _block_sums(array: str, value: str, kind: str) -> str:
+    """What ``value`` (of x) sums to before each block of a full array."""
+    each = _total(f"slice({array}, b * {BLOCK} + 1, {BLOCK})", value, kind)
+    return f"aggregate(sequence(0, CAST((size({array}) - 1) div {BLOCK} AS int)), array(CAST(0 AS {kind})), (a, b) -> array_append(a, element_at(a, -1) + {each}))"
+
+
+def _sums(array: str, value: str, kind: str, blocks: str) -> str:
+    """0 and the running sums of ``value`` over a full array, given those before its blocks."""
+    own = _total(f"slice({array}, b * {BLOCK} + 1, k)", value, kind)
+    within = f"transform(sequence(1, least({BLOCK}, size({array}) - b * {BLOCK})), k -> {blocks}[b] + {own})"
+    return f"flatten(array(array(CAST(0 AS {kind})), flatten(transform(sequence(0, CAST((size({array}) - 1) div {BLOCK} AS int)), b -> {within}))))"
+
+
 def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, n_turns and windows: array of (formatted, repeated, loss).
 
@@ -64,31 +85,33 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
     chats = _settle(
         chats, "conv_id", "t", "size(t) AS n", "CASE WHEN t[0].role = 'system' THEN 1 ELSE 0 END AS sys",
         "transform(t, x -> concat('[INST]', x.er, '[/INST]', x.et, '</s>')) AS shown",
-        "aggregate(t, array(0L), (a, x) -> array_append(a, element_at(a, -1) + x.tokens)) AS pre",
-    )
-    chats = _settle(
-        chats, "conv_id", "t", "n", "sys", "shown", "pre",
-        "transform(t, x -> length(x.er) + 13) AS head",
-        "aggregate(shown, array(0), (a, x) -> array_append(a, element_at(a, -1) + length(x))) AS chars",
-        # where the history of a window begins whose first new turn is at i
-        f"transform(sequence(0, n - 1), i -> CASE WHEN i <= sys THEN i ELSE sys + size(filter(slice(pre, sys + 1, i - sys), p -> pre[i] - p > greatest(0, least({history}, {budget} - pre[sys] - t[i].tokens)))) END) AS since",
+        _block_sums("t", "x.tokens", "bigint") + " AS token_blocks",
     )
-    over = f"i > a.s AND pre[sys] + pre[i + 1] - pre[since[a.s]] > {budget}"
     chats = _settle(
-        chats, "conv_id", "t", "n", "sys", "shown", "head", "chars", "since",
-        f"""CASE WHEN n = sys THEN array(named_struct('s', sys, 'e', n)) ELSE
-            aggregate(sequence(sys, n - 1), named_struct('s', sys, 'out', CAST(array() AS array<struct<s: int, e: int>>)),
-                (a, i) -> CASE WHEN {over} THEN named_struct('s', i, 'out', array_append(a.out, named_struct('s', a.s, 'e', i))) ELSE a END,
-                a -> array_append(a.out, named_struct('s', a.s, 'e', n))) END AS spans""",
+        chats, "conv_id", "t", "n", "sys", "shown", _sums("t", "x.tokens", "bigint", "token_blocks") + " AS pre",
+        "transform(t, x -> length(x.er) + 13) AS head", _block_sums("shown", "length(x)", "int") + " AS shown_blocks",
     )
-    begin = "CASE WHEN w.s = sys THEN sys ELSE since[w.s] END"
+    chats = _settle(chats, "conv_id", "t", "n", "sys", "shown", "pre", "head", _sums("shown", "length(x)", "int", "shown_blocks") + " AS chars")
+    # where the history of a window begins whose first new turn is i: the least k from which all fits, by halving
+    room = f"greatest(0, least({history}, {budget} - pre[sys] - t[i].tokens))"
+    middle = "(h.low + h.high) div 2"
+    since = f"""CASE WHEN i <= sys THEN i ELSE aggregate(sequence(0, CAST(ceil(log2(i + 2)) AS int)), named_struct('low', sys, 'high', i),
+        (h, _) -> CASE WHEN h.low >= h.high THEN h WHEN pre[i] - pre[CAST({middle} AS int)] <= {room} THEN named_struct('low', h.low, 'high', CAST({middle} AS int)) ELSE named_struct('low', CAST({middle} AS int) + 1, 'high', h.high) END, h -> h.high) END"""
+    span, none = "struct<s: int, e: int, since: int>", "CAST(array() AS array<struct<s: int, e: int, since: int>>)"
+    over = f"i > a.s AND pre[sys] + pre[i + 1] - pre[a.since] > {budget}"
+    step = f"CASE WHEN {over} THEN named_struct('s', i, 'since', {since}, 'own', array_append(a.own, named_struct('s', a.s, 'e', i, 'since', a.since))) ELSE a END"
+    inner = f"aggregate(sequence(greatest(sys, b * {BLOCK}), least(n, (b + 1) * {BLOCK}) - 1), named_struct('s', o.s, 'since', o.since, 'own', {none}), (a, i) -> {step})"
+    outer = f"""aggregate(sequence(CAST(sys div {BLOCK} AS int), CAST((n - 1) div {BLOCK} AS int)), named_struct('s', sys, 'since', sys, 'out', CAST(array() AS array<array<{span}>>)),
+        (o, b) -> element_at(transform(array({inner}), r -> named_struct('s', r.s, 'since', r.since, 'out', array_append(o.out, r.own))), 1),
+        o -> array_append(flatten(o.out), named_struct('s', o.s, 'e', n, 'since', o.since)))"""
+    chats = _settle(chats, "conv_id", "t", "n", "sys", "shown", "head", "chars", f"CASE WHEN n = sys THEN array(named_struct('s', sys, 'e', n, 'since', sys)) ELSE {outer} END AS spans")
     return chats.selectExpr(
         "conv_id", "CAST(n AS bigint) AS n_turns",
-        f"""transform(spans, w -> named_struct(
-            'formatted', concat('<s>', CASE WHEN sys = 1 THEN shown[0] ELSE '' END, array_join(slice(shown, {begin} + 1, w.e - ({begin})), '')),
-            'repeated', CASE WHEN w.s = sys THEN 0 ELSE sys + w.s - since[w.s] END,
-            'loss', transform(filter(sequence(0, n - 1), j -> j >= w.s AND j < w.e AND t[j].role = 'assistant'),
-                j -> named_struct('at', 3 + chars[sys] + chars[j] - chars[{begin}] + head[j], 'chars', length(t[j].et))))) AS windows""",
+        """transform(spans, w -> named_struct(
+            'formatted', concat('<s>', CASE WHEN sys = 1 THEN shown[0] ELSE '' END, array_join(slice(shown, w.since + 1, w.e - w.since), '')),
+            'repeated', CASE WHEN w.s = sys THEN 0 ELSE sys + w.s - w.since END,
+            'loss', CASE WHEN w.e > w.s THEN transform(filter(sequence(w.s, w.e - 1), j -> t[j].role = 'assistant'),
+                j -> named_struct('at', 3 + chars[sys] + chars[j] - chars[w.since] + head[j], 'chars', length(t[j].et))) ELSE CAST(array() AS array<struct<at: int, chars: int>>) END)) AS windows""",
     )
 
 
