@@ -1,15 +1,17 @@
 """Secret scan with corpus-wide ownership of candidates (operator 7).
 
 Each text is scanned once for assignments, access keys and hexadecimal runs. The hash of every candidate
-value is then counted over the distinct repositories and owners that hold it anywhere in the corpus:
-a value that many owners share is a copied example; one that ``max_owners`` owners hold at most, and
-that looks like a credential, is marked again as a span of kind ``live``. Counts are of distinct
-(value, owner, repository), formed before each shuffle, so a value that a third of all documents hold
-costs its reducers one row for each repository and task.
+value is then counted over the distinct repositories and owners that hold it anywhere in the corpus: a
+value of more than ``max_owners`` owners, or of more than ``max_repositories`` repositories of whichever
+owners, is a copied example; one that is of fewer, and that looks like a credential, is marked again as a
+span of kind ``live``. Counts are of distinct (value, owner, repository), formed before each shuffle, so a
+value that a third of all documents hold costs its reducers one row for each repository and task; its
+occurrences meet the count in a join whose large partitions are split.
 
 Spans are code points, end exclusive. Null texts are empty and give no span; a null owner or repository
 is the owner or repository "". Rows that repeat have a row each, null doc_ids included. Empty tables give
-empty results; other columns are ignored. Any length of text is scanned whole.
+empty results; other columns are ignored. Any length of text is scanned whole, in time that follows it; a
+task needs about ten times the bytes of its longest one.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 #: Values with one of these parts stand for a credential and are none.
 PLACEHOLDERS = (b"example", b"changeme", b"placeholder", b"your", b"dummy", b"sample", b"xxxx", b"0000000000", b"1234567890")
 LEAST_BITS = 2.5  # of entropy a character
-MAX_OWNERS = 2
+MAX_OWNERS, MAX_REPOSITORIES = 2, 4
 
 
 def live_looking(value: bytes) -> bool:
@@ -81,6 +83,7 @@ def scan(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
                 s, e, first = spans(data, offsets, hexadecimal)
                 long = np.flatnonzero(e - s >= LEAST_HEX)
                 of = np.searchsorted(first, long, "right") - 1
+                hexes = np.searchsorted(of, np.arange(part.num_rows + 1))
                 chosen = _documents_with(raw.lower(), NAMES, offsets) | _documents_with(raw, (b"AKIA",), offsets) | set(of.tolist())
                 columns = [[] for _ in range(7)]
                 for i in range(part.num_rows):
@@ -90,8 +93,9 @@ def scan(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
                         continue
                     a = int(offsets[i])
                     text = raw[a : int(offsets[i + 1])]
-                    found = candidates(text, [(int(s[j]) - a, int(e[j]) - a) for j in long[of == i]])
-                    chars = lambda k, text=text: len(text[:k].decode("utf-8", "ignore"))
+                    found = candidates(text, [(int(s[j]) - a, int(e[j]) - a) for j in long[hexes[i] : hexes[i + 1]]])
+                    before = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
+                    chars = lambda k, before=before: int(before[k])
                     values = [text[v:w] for *_, v, w in found]
                     for c, x in zip(columns, ([f[1] for f in found], *([chars(f[k]) for f in found] for k in (0, 2, 3, 4)), [hashlib.sha256(v).hexdigest()[:32] for v in values], [live_looking(v) for v in values])):
                         c.append(x)
@@ -111,17 +115,18 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return each.groupBy("key", "owner").agg(F.count("*").alias("repos")).groupBy("key").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
 
-def secrets(docs: DataFrame, owner: Column | None = None, repo: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
+def secrets(docs: DataFrame, owner: Column | None = None, repo: Column | None = None, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """uid, doc_id, th (a hash of the text), base and spans: arrays of (start, kind, end) in order; n_copied and n_live candidates."""
     owner = F.col("source") if owner is None else owner
     repo = F.concat_ws("/", "source", "lang") if repo is None else repo
     held = cut(scan(docs, owner, repo), "secrets")
     one = held.where(F.size("key") > 0).select("uid", F.explode(F.arrays_zip("key", "live", "from", "to")).alias("c")).select("uid", F.col("c.key").alias("key"), F.col("c.live").alias("live"), F.col("c.from").alias("from"), F.col("c.to").alias("to"))
-    known = one.join(ownership(held), "key")
-    specific = F.col("live") & (F.col("owners") <= max_owners)
+    known = one.join(cut(ownership(held), "owners"), "key")
+    copied = (F.col("owners") > max_owners) | (F.col("repos") > max_repositories)
+    specific = F.col("live") & ~copied
     added = known.groupBy("uid").agg(
         F.collect_set(F.when(specific, F.struct(F.col("from").alias("start"), F.lit(3).alias("kind"), F.col("to").alias("end")))).alias("added"),
-        F.count_if(F.col("owners") > max_owners).alias("n_copied"),
+        F.count_if(copied).alias("n_copied"),
     )
     base = F.expr("transform(arrays_zip(start, kind, end), x -> struct(x.start AS start, x.kind AS kind, x.end AS end))")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
@@ -135,12 +140,17 @@ def redacted(docs: DataFrame, **parameters) -> DataFrame:
     """The documents with ``MARK`` in place of every live credential; n_chars, if there, follows."""
     found = secrets(docs, **parameters).where("n_live > 0")
     merged = "aggregate(filter(spans, x -> x.kind = 3), CAST(array() AS array<struct<start:int,end:int>>), (a, x) -> CASE WHEN size(a) > 0 AND element_at(a, -1).end >= x.start THEN array_append(slice(a, 1, size(a) - 1), struct(element_at(a, -1).start AS start, greatest(element_at(a, -1).end, x.end) AS end)) ELSE array_append(a, struct(x.start AS start, x.end AS end)) END)"
-    found = found.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), F.expr(merged).alias("hit_spans")).dropDuplicates(["hit_id", "hit_th"])
-    own, text = F.xxhash64(F.coalesce(docs["text"], F.lit(""))), docs["text"]
-    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found.hit_id) & (own == found.hit_th), "left")
-    changed = F.when(F.col("hit_spans").isNotNull(), F.aggregate(F.reverse("hit_spans"), text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(MARK), F.substring(t, s["end"] + 1, F.lit(2147483647))))).otherwise(text)
-    columns = [changed.alias(c) if c == "text" else F.when(F.col("hit_spans").isNotNull(), F.length(changed)).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return joined.select(columns)
+    found = found.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), F.expr(merged).alias("hits")).dropDuplicates(["hit_id", "hit_th"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_th"))
+    joined = keyed.join(found, keyed.key.eqNullSafe(found.hit_id) & (keyed.own_th == found.hit_th), "left")
+    text = F.col("row")["text"]
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at("hits", i)["end"])
+    pieces = F.transform("hits", lambda x, i: F.concat(F.substring(text, before(i) + 1, x["start"] - before(i)), F.lit(MARK)))
+    changed = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at("hits", -1)["end"] + 1, F.lit(2147483647)))
+    changed = F.when(F.col("hits").isNotNull(), changed).otherwise(text)
+    put = {"text": changed} | ({"n_chars": F.when(F.col("hits").isNotNull(), F.length(changed)).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return joined.select([put.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def _shown(column: str) -> Column:
