@@ -1,114 +1,122 @@
 """Sentence-rule recognition of licences (operator 8).
 
-A text is cut into sentences, each normalised: lower case, words of letters and digits only, words that
-say the same alike ("licence", "license"; "copies or substantial portions", and so on are left as they
-are). Sentences that licences are made of have identifiers; a text's sentences become the sequence of
-the identifiers that they map to. Rules are ordered sequences of identifiers, each with a licence and how
-many unknown sentences may stand between two of its own; the first rule in the list that matches at a
-place wins it, and its sentences are taken. What the sentences say nothing of is not a licence.
-
-A sentence may hold a known one (a header after a comment mark, a year, a holder's name): known sentences
-are found as runs of words inside it by one automaton over all of them, the longest first.
-
-Null and empty texts have no licence. Repeated rows have a row each, null doc_ids too; an empty table
-gives an empty result; other columns are ignored. Texts are read whole, whatever their length.
+A text is cut into sentences, both as its lines stand and with the lines of a paragraph joined, marks of
+comments and lists left out. A sentence is normalised (lower case, words of letters and digits, one
+spelling of licence) and looked up whole: it is the sentence of one known identifier or of none, so a
+phrase inside another sentence, or a denial of it, is not recognised. Declared slots in known sentences
+(<*>, a holder's name) take up to SLOT words.
+
+Rules are ordered sequences of identifiers: those of a licence's whole text, of the sentences that tell it,
+and of sentences that name it. Between two sentences of a rule up to ``gap`` others may stand, as copyright
+notices do. The longest rules come first; a rule that matches at a place takes its sentences, so that no
+other uses them. Matching looks only as far as the gap, so its cost follows the text's length.
+
+The known sentences are public texts (licence_texts.py). Null and empty texts have no licence. Repeated
+rows have a row each, null doc_ids too; an empty table gives an empty result; other columns are ignored.
+Texts are read whole, whatever their length; a task needs about ten times the bytes of its longest one.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, texts
+from .licence_texts import CORES, FORMS, NAMES, SHORTER, SLOT, TEXTS
 from .textbuf import arrow_text
 from .tokenizing import slices
 
-#: Identifier: sentences, as licences print them (public licence texts and notices).
-SENTENCES = {
-    "mit.name": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "The MIT License", "MIT License", "SPDX-License-Identifier: MIT"],
-    "mit.grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "mit.notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
-    "mit.warranty": ["The software is provided \"as is\", without warranty of any kind"],
-    "apache2.name": ["Licensed under the Apache License, Version 2.0", "Apache License Version 2.0", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache License, Version 2.0"],
-    "apache2.use": ["you may not use this file except in compliance with the License"],
-    "apache2.copy": ["You may obtain a copy of the License at"],
-    "apache2.basis": ["distributed under the License is distributed on an \"AS IS\" BASIS"],
-    "gpl3.name": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "GNU General Public License version 3", "GNU General Public License v3", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "gpl2.name": ["Licensed under the GNU General Public License, version 2", "GNU General Public License version 2", "GNU General Public License v2", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
-    "gpl.free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
-    "gpl.three": ["either version 3 of the License, or (at your option) any later version"],
-    "gpl.two": ["either version 2 of the License, or (at your option) any later version"],
-    "gpl.hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
-    "lgpl3.name": ["GNU Lesser General Public License version 3", "GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only"],
-    "agpl3.name": ["GNU Affero General Public License version 3", "GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "bsd.grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "bsd.source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
-    "bsd.binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation"],
-    "bsd.names": ["may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "bsd3.name": ["BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
-    "bsd2.name": ["BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
-    "isc.grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "isc.name": ["ISC License", "SPDX-License-Identifier: ISC"],
-    "mpl2.name": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
-    "ccbync4.name": ["Licensed under CC BY-NC 4.0", "CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "ccbysa4.name": ["Licensed under CC BY-SA 4.0", "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International", "SPDX-License-Identifier: CC-BY-SA-4.0"],
-    "ccby4.name": ["Licensed under CC BY 4.0", "CC BY 4.0", "Creative Commons Attribution 4.0 International", "SPDX-License-Identifier: CC-BY-4.0"],
-    "cc0.name": ["CC0 1.0 Universal", "Dedicated to the public domain under CC0", "SPDX-License-Identifier: CC0-1.0"],
-    "unlicense.free": ["This is free and unencumbered software released into the public domain"],
-    "reserved": ["All rights reserved"],
-}
-#: In this order: (licence, identifiers, unknown sentences allowed between two of them).
-RULES = [
-    ("MIT", ("mit.name", "mit.grant", "mit.notice", "mit.warranty"), 3),
-    ("MIT", ("mit.grant", "mit.notice"), 3),
-    ("Apache-2.0", ("apache2.name", "apache2.use", "apache2.copy", "apache2.basis"), 3),
-    ("GPL-3.0", ("gpl.free", "gpl.three"), 1),
-    ("GPL-2.0", ("gpl.free", "gpl.two"), 1),
-    ("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.names"), 3),
-    ("BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary"), 3),
-    ("MIT", ("mit.name",), 0),
-    ("Apache-2.0", ("apache2.name",), 0),
-    ("AGPL-3.0", ("agpl3.name",), 0),
-    ("LGPL-3.0", ("lgpl3.name",), 0),
-    ("GPL-3.0", ("gpl3.name",), 0),
-    ("GPL-2.0", ("gpl2.name",), 0),
-    ("BSD-3-Clause", ("bsd3.name",), 0),
-    ("BSD-2-Clause", ("bsd2.name",), 0),
-    ("ISC", ("isc.name", "isc.grant"), 3),
-    ("ISC", ("isc.grant",), 0),
-    ("ISC", ("isc.name",), 0),
-    ("MPL-2.0", ("mpl2.name",), 0),
-    ("CC-BY-NC-4.0", ("ccbync4.name",), 0),
-    ("CC-BY-SA-4.0", ("ccbysa4.name",), 0),
-    ("CC-BY-4.0", ("ccby4.name",), 0),
-    ("CC0-1.0", ("cc0.name",), 0),
-    ("Unlicense", ("unlicense.free",), 0),
-    ("All-rights-reserved", ("reserved",), 0),
-]
-#: Ends a sentence: a full stop, colon, semicolon or mark before white space, or a line without one.
-BREAK = re.compile(r"(?<=[.!?;:])\s+|\n+")
+GAP = 3
+#: Ends a sentence: a mark before white space.
+BREAK = re.compile(r"(?<=[.!?;:])\s+")
+#: Marks of comments and lists before a line or sentence, and sentences that are nothing else.
+LEADER = re.compile(r"[\s#*/;%>|!\"'<-]*(?:\(?(?:\d{1,2}|[a-zA-Z]|[ivxIVX]{1,4})[.)](?=\s|$)\s*)?")
+#: Between paragraphs: lines of white space or marks of comments alone.
+PARAGRAPH = re.compile(r"\n[\s#*/;%>|!<-]*\n")
+MARKED = re.compile(r"\s*(?:#|//|/\*|\*|;|%|--)")
 WORD = re.compile(r"[^\W_]+")
 SPELT = {"licence": "license", "licenced": "licensed", "licences": "licenses"}
 
 
 def normalise(sentence: str) -> str:
-    """Words of letters and digits, lower case, one spelling, with a space before and after each."""
-    return " " + " ".join(SPELT.get(w, w) for w in WORD.findall(sentence.lower())) + " "
+    """Words of letters and digits, lower case, one spelling, joined by spaces; without what leads it."""
+    return " ".join(SPELT.get(w, w) for w in WORD.findall(sentence[LEADER.match(sentence).end() :].lower()))
+
+
+def _paragraphs(text: str):
+    """The lines of each paragraph; two commented lines or more are one apart from lines that are not."""
+    for paragraph in PARAGRAPH.split(text):
+        runs = [list(run) for _, run in groupby(paragraph.split("\n"), lambda line: bool(MARKED.match(line)))]
+        own: list[str] = []
+        for run in runs:
+            if own and len(run) > 1 and MARKED.match(run[0]) or len(own) > 1 and MARKED.match(own[-1]) and MARKED.match(own[-2]):
+                yield own
+                own = []
+            own += run
+        yield own
+
+
+def sentences(text: str) -> list[str]:
+    """The sentences of a licence's text, in order."""
+    joined = (re.sub(r"\s+", " ", p) for p in re.split(r"\n\s*\n", text))
+    return [s for p in joined for s in BREAK.split(p.strip()) if normalise(s)]
+
+
+def _known() -> tuple[dict[str, list[str]], list[tuple[str, tuple[str, ...]]]]:
+    """(identifier: wordings; rules: licence, identifiers), the longest rules first."""
+    forms: dict[str, list[str]] = {}
+    of: dict[str, str] = {}
+    rules: list[tuple[str, tuple[str, ...]]] = []
+
+    def name(wording: str, own: str) -> str:
+        found = of.setdefault(normalise(wording), own)
+        if wording not in forms.setdefault(found, []):
+            forms[found].append(wording)
+        return found
+
+    for licence, names in NAMES.items():
+        own = f"{licence}.name"
+        for each in names:
+            short = each.removeprefix("the ")
+            for wording in [*(f.format(each) for f in FORMS), short]:
+                name(wording, own)
+        name(f"SPDX-License-Identifier: {licence}", own)
+        if "GPL" in licence:
+            for kind in ("only", "or-later"):
+                name(f"SPDX-License-Identifier: {licence}-{kind}", own)
+        rules.append((licence, (own,)))
+    for licence, text in TEXTS.items():
+        own = [name(s, f"{licence}.{k}") for k, s in enumerate(sentences(text))]
+        rules += [(licence, tuple(own))] + [(licence, tuple(own[k] for k in core)) for core in CORES[licence]]
+        for k, wording in ((k, w) for x, k, w in SHORTER if x == licence):
+            forms[own[k]].append(wording)
+    return forms, sorted(dict.fromkeys(rules), key=lambda r: -len(r[1]))
+
+
+#: Identifier: wordings. Rules: (licence, identifiers).
+SENTENCES, RULES = _known()
 
 
 class Recogniser:
-    def __init__(self, sentences=SENTENCES, rules=RULES):
+    def __init__(self, known=SENTENCES, rules=RULES, gap: int = GAP):
         import ahocorasick
 
-        self.rules = rules
-        self.known = ahocorasick.Automaton()
-        for name, forms in sentences.items():
-            for form in forms:
-                self.known.add_word(key := normalise(form), (name, len(key)))
-        self.known.make_automaton()
-        rarest = {min(normalise(f).split(), key=lambda w: (w in COMMON, -len(w))) for forms in sentences.values() for f in forms}
+        self.rules, self.gap = rules, gap
+        self.whole, self.slotted = {}, {}
+        for identifier, wordings in known.items():
+            for wording in wordings:
+                if "<*>" not in wording:
+                    self.whole[normalise(wording)] = identifier
+                else:
+                    pieces = [normalise(x) for x in wording.split("<*>")]
+                    slot = rf"(?:\S+ ){{0,{SLOT - 1}}}\S+"
+                    pattern = re.compile("".join(re.escape(x) + (" " if x else "") + (slot + " " * bool(y)) for x, y in zip(pieces, pieces[1:])) + re.escape(pieces[-1]))
+                    self.slotted.setdefault(" ".join(pieces[0].split()[:3]), []).append((pattern, identifier))
+        rarest = {min(normalise(w.replace("<*>", " ")).split(), key=lambda x: (x in COMMON, -len(x))) for wordings in known.values() for w in wordings}
         self.hints = ahocorasick.Automaton()
         for w in rarest:
             self.hints.add_word(w, w)
@@ -120,51 +128,74 @@ class Recogniser:
         low = text.lower().replace("licence", "license")
         return next(self.hints.iter(low), None) is not None
 
-    def identifiers(self, text: str) -> list[tuple[str, int, int]]:
-        """(identifier, number of the sentence, place in it), for texts' sentences in order. Lines of one
-        paragraph are joined first, so that a sentence may run over lines; each line counts as well."""
-        out, at = [], 0
-        for paragraph in re.split(r"\n\s*\n", text):
-            lines = [x for x in BREAK.split(paragraph) if x.strip()]
-            flowed = [x for x in BREAK.split(re.sub(r"\n", " ", paragraph)) if x.strip()]
-            one, two = self._found(lines, at), self._found(flowed, at)
-            out += two if len({x[0] for x in two}) > len({x[0] for x in one}) else one
-            at += max(len(lines), len(flowed))
+    def identifier(self, sentence: str) -> str | None:
+        """The identifier whose sentence this is, as a whole."""
+        key = normalise(sentence)
+        if key in self.whole:
+            return self.whole[key]
+        near = self.slotted.get(" ".join(key.split(" ", 3)[:3]), ())
+        return next((identifier for pattern, identifier in near if pattern.fullmatch(key)), None)
+
+    def identifiers(self, text: str) -> list[tuple[str, int]]:
+        """(identifier, number of the sentence) of the known sentences, in order. Where a line and a joined
+        sentence overlap the longer counts."""
+        out, number = [], 0
+        for paragraph in _paragraphs(text):
+            lines, joined, at = [], [], 0
+            for line in paragraph:
+                bare = line[LEADER.match(line).end() :] if joined else line
+                joined.append(bare.strip())
+                lines.append((at, line))
+                at += len(joined[-1]) + 1
+            flow = " ".join(joined)
+            found = []
+            begins = [0, *(m.end() for m in BREAK.finditer(flow))]
+            for a, b in zip(begins, [*begins[1:], len(flow)]):
+                if (known := self.identifier(flow[a:b])) is not None:
+                    found.append((a, -(b - a), known))
+            for at, line in lines:
+                inner = [0, *(m.end() for m in BREAK.finditer(line))]
+                for a, b in zip(inner, [*inner[1:], len(line)]):
+                    if (known := self.identifier(line[a:b])) is not None:
+                        found.append((at + min(a, max(0, len(line.strip()) - 1)), -len(line[a:b].strip()), known))
+            counted = [k for k, (a, b) in enumerate(zip(begins, [*begins[1:], len(flow)])) if normalise(flow[a:b])]
+            end = -1
+            for a, size, known in sorted(found):
+                if a >= end:
+                    out.append((known, number + bisect_right(counted, bisect_right(begins, a) - 1) - 1))
+                    end = a - size
+            number += len(counted)
         return out
 
-    def _found(self, parts, at):
-        out = []
-        for k, sentence in enumerate(parts):
-            hits = sorted((end - n + 1, -n, name) for end, (name, n) in self.known.iter(normalise(sentence)))
-            to = -1
-            for start, n, name in hits:
-                if start >= to:
-                    out.append((name, at + k, start))
-                    to = start - n - 1
-        return out
-
-    def licences(self, text: str) -> list[tuple[str, int]]:
-        """(licence, sentence of its first identifier), in order of the text."""
-        found, free, out = self.identifiers(text), None, []
-        free = [True] * len(found)
-        for licence, names, gap in self.rules:
-            for i, (name, *_) in enumerate(found):
-                if name != names[0] or not free[i]:
-                    continue
-                taken, j = [i], i + 1
-                for want in names[1:]:
-                    while j < len(found) and not (free[j] and found[j][0] == want):
-                        j += 1
-                    if j == len(found) or found[j][1] - found[taken[-1]][1] > gap + 1:
+    def matches(self, found: list[tuple[str, int]]) -> list[tuple[str, int]]:
+        """(licence, place in found of its first identifier): what the rules make of a sequence."""
+        places: dict[str, list[int]] = {}
+        for k, (identifier, _) in enumerate(found):
+            places.setdefault(identifier, []).append(k)
+        free, out = [True] * len(found), []
+        for licence, names in self.rules:
+            for i in places.get(names[0], ()):
+                taken = [i] if free[i] else []
+                for want in names[1:] if taken else ():
+                    own = places.get(want, [])
+                    k = bisect_right(own, taken[-1])
+                    limit = found[taken[-1]][1] + self.gap + 1
+                    while k < len(own) and not free[own[k]] and found[own[k]][1] <= limit:
+                        k += 1
+                    if k == len(own) or found[own[k]][1] > limit:
                         break
-                    taken.append(j)
-                    j += 1
+                    taken.append(own[k])
                 if len(taken) == len(names):
                     for k in taken:
                         free[k] = False
-                    out.append((licence, found[i][1]))
+                    out.append((licence, i))
         return sorted(out, key=lambda x: x[1])
 
+    def licences(self, text: str) -> list[tuple[str, int]]:
+        """(licence, number of the sentence of its first identifier), in order of the text."""
+        found = self.identifiers(text)
+        return [(licence, found[i][1]) for licence, i in self.matches(found)]
+
 
 #: Words too frequent to tell that a licence sentence may be near.
 COMMON = {"this", "that", "with", "without", "the", "and", "version", "under", "work", "name", "you", "may", "for"}
@@ -172,7 +203,7 @@ _made: list[Recogniser] = []
 
 
 def recognise(docs: DataFrame) -> DataFrame:
-    """doc_id, n_licences, licences (distinct, in order of the text, comma-joined), n_sentences known."""
+    """doc_id, n_licences, licences (distinct, in order of the text, comma-joined), n_known_sentences."""
 
     def run(batches):
         if not _made:
@@ -184,11 +215,9 @@ def recognise(docs: DataFrame) -> DataFrame:
                 raw, rows = data.tobytes(), []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     text = raw[a:b].decode()
-                    if not own.may_hold(text):
-                        rows.append((0, "", 0))
-                        continue
-                    found = own.licences(text)
-                    rows.append((len(found), ",".join(dict.fromkeys(x for x, _ in found)), len(own.identifiers(text))))
+                    known = own.identifiers(text) if own.may_hold(text) else []
+                    found = own.matches(known)
+                    rows.append((len(found), ",".join(dict.fromkeys(x for x, _ in found)), len(known)))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64())))], names=["doc_id", "n_licences", "licences", "n_known_sentences"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_licences long, licences string, n_known_sentences long")
