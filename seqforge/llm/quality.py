@@ -7,9 +7,10 @@ tell of chunks that repeat a few words and so have no large responses). Filters
 kept as tables of byte pairs, so that a response is four look-ups and no product.
 
 Filters learn on the driver from chunks of a bounded sample of labelled texts (``sample`` of each label,
-those with the least hash of doc_id, and ``sample_chars`` characters of each at most); the last layer
-learns from the same texts with weights that restore the labels' shares. Everything is seeded. Scoring is
-one pass over the texts, with no shuffle. Only bytes of texts enter a score.
+those with the least hash of doc_id, as long as they hold ``sample_bytes`` together); the last layer learns
+from the same texts, whole, with weights that restore the labels' shares. Everything is seeded. Scoring is
+one pass over whole texts, with no shuffle; a task needs about sixty times the bytes of its longest one.
+Only bytes of texts enter a score.
 
 Null texts are empty, and an empty text gets the score of a text of padding. Labels that are null, not 0
 or 1, or of no document are left out; without labels of both kinds every score is the share of label 1,
@@ -29,7 +30,7 @@ from .textbuf import arrow_text
 from .tokenizing import slices
 
 WIDTH, STEP, CHUNK, STRIDE, FILTERS = 8, 4, 64, 48, 24  # bytes, bytes, positions, positions
-SAMPLE, SAMPLE_CHARS = 1000, 1 << 16
+SAMPLE, SAMPLE_BYTES = 1000, 16 << 20  # texts of a label, bytes of all together
 EPOCHS, BATCH, CHUNKS_A_TEXT, RATE, DECAY = 14, 256, 8, 0.02, 1e-4
 THRESHOLD = 0.3
 
@@ -143,6 +144,19 @@ def _excerpts(texts: list[bytes], seed: int) -> list[bytes]:
     return out
 
 
+def _batches(texts: list[bytes], limit: int = 1 << 18):
+    """The texts in order, about ``limit`` bytes at a time; a longer text alone."""
+    own, size = [], 0
+    for x in texts:
+        if own and size + len(x) > limit:
+            yield own
+            own, size = [], 0
+        own.append(x)
+        size += len(x)
+    if own:
+        yield own
+
+
 def train(texts: list[bytes], labels: list[int], share: float, seed: int = 5) -> Network | None:
     """A network from labelled texts; share: of label 1 among all labels. None without both labels."""
     y = np.array(labels, np.float64)
@@ -151,7 +165,7 @@ def train(texts: list[bytes], labels: list[int], share: float, seed: int = 5) ->
     filters, bias = _learn_filters(texts, labels, np.random.default_rng(seed))
     net = Network(filters, bias, None, 0.0)
     texts, y = texts + _excerpts(texts, seed), np.append(y, y)
-    features = np.concatenate([net.features(texts[lo : lo + 64]) for lo in range(0, len(texts), 64)])
+    features = np.concatenate([net.features(own) for own in _batches(texts)])
     net.head, net.offset = _learn_head(features, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
     return net
 
@@ -160,7 +174,16 @@ def held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "utf-8")), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> tuple[Network | None, float]:
+def _affordable(rows, sample_bytes: int):
+    """Of (order, doc_id, quality, size) rows those that fit the bytes, half for each label, in order."""
+    left = {0: sample_bytes // 2, 1: sample_bytes // 2}
+    for _, doc, quality, size in sorted(rows):
+        if size <= left[quality]:
+            left[quality] -= size
+            yield doc, quality
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[Network | None, float]:
     """(network, share of label 1), from labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     counts = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -169,7 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
         return None, share
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     some = F.broadcast(picked[0].union(picked[1]))  # twice ``sample`` rows of two numbers at most
-    rows = texts(docs).join(some, "doc_id").select("doc_id", "quality", F.substring("text", 1, sample_chars).alias("text")).orderBy("doc_id", "quality", "text").limit(2 * sample).collect()
+    own = texts(docs)
+    sizes = own.join(some, "doc_id").select(F.xxhash64("doc_id"), "doc_id", "quality", F.octet_length("text")).limit(2 * sample).collect()
+    chosen = docs.sparkSession.createDataFrame(list(_affordable(sizes, sample_bytes)), "doc_id long, quality int").distinct()
+    rows = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").orderBy("doc_id", "quality", "text").limit(2 * sample).collect()
     return train([r.text.encode() for r in rows], [r.quality for r in rows], share), share
 
 
