@@ -13,7 +13,9 @@ Files are written under a name of their own for each task attempt and count only
 does, so attempts that fail or run twice leave nothing that is read. The dictionary is trained on
 ``sample`` documents at most, picked by a hash of doc_id; it changes sizes only, never what is read.
 Null texts are empty texts and give the end id alone; null doc_ids sort first; documents that share a
-doc_id each have their row, in any order among themselves; an empty table gives no rows.
+doc_id each have their row, in any order among themselves; an empty table gives no rows; other columns
+are ignored. A text of any length is one document and is compressed whole: a task needs about thirty
+times the bytes of its longest one. Ids are kept in two bytes where the tokenizer has no more, else in four.
 """
 
 from __future__ import annotations
@@ -40,6 +42,11 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE, SAMPLE_BYTES = 1000, 8 << 10
 
 
+def id_width(path: str, end_id: int = END_ID) -> int:
+    """Bytes that an id of this tokenizer needs: 2 or 4."""
+    return 2 if max(tokenizer(path).library.get_vocab(True).values(), default=0) < 1 << 16 and end_id < 1 << 16 else 4
+
+
 def _ids(part, tok, end_id, width):
     ids, offsets = tok.ids(part["text"])
     ids = ids.astype(f"<u{width}")
@@ -48,11 +55,11 @@ def _ids(part, tok, end_id, width):
         yield ids[a:b].tobytes() + end, b - a + 1
 
 
-def train(docs: DataFrame, path: str, end_id: int = END_ID, sample: int = SAMPLE, width: int = 2) -> bytes:
+def train(docs: DataFrame, path: str, end_id: int = END_ID, sample: int = SAMPLE, width: int | None = None) -> bytes:
     """A dictionary from about ``sample`` documents, at most twice as many; b"" if they are too few."""
     import zstandard
 
-    every = max(1, docs.count() // sample)
+    width, every = width or id_width(path, end_id), max(1, docs.count() // sample)
 
     def run(batches):
         tok = tokenizer(path)
@@ -100,11 +107,11 @@ class Reader:
         return self.ids(int(own[at])) if at < len(own) and self.index["doc_id"][own[at]] == doc_id else None
 
 
-def write(docs: DataFrame, path: str, folder: str, dictionary: bytes, end_id: int = END_ID, width: int = 2) -> list[dict]:
+def write(docs: DataFrame, path: str, folder: str, dictionary: bytes, end_id: int = END_ID, width: int | None = None) -> list[dict]:
     """Writes the files; their url, documents and tokens, in ascending order of doc_id.
 
     One row for each file reaches the driver, as for any sink that commits its files."""
-    digest = hashlib.sha256(dictionary).digest()
+    digest, width = hashlib.sha256(dictionary).digest(), width or id_width(path, end_id)
 
     def run(batches):
         import zstandard
