@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import struct
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from seqforge.llm import images, jaccard, phrases, quality
+from seqforge.llm import images, jaccard, phrases, pictures, quality, tiles
 from seqforge.llm.components import components
 
 
@@ -226,3 +228,172 @@ def test_image_crops_of_large_pictures_and_plain_copies(spark):
     pictures = [large, large[60:180, 40:160], blank, blank.copy(), logo, logo.copy(), smooth(np.random.default_rng(5), 240, 240, 9)]
     got, want = linked_alike(spark, pictures)
     assert got == want == [(1, 0), (1, 0), (1, 2), (1, 2), (1, 4), (1, 4), (0, 6)]
+
+
+def test_tiles_hold_every_pair_once(spark):
+    rng = random.Random(12)
+    chain = {i: [10_000 + i, 10_001 + i] for i in range(70)}  # long, loose: by buckets
+    crowd = {1000 + i: [1, 2, 3 + rng.randrange(3)] for i in range(40)}  # all alike: as a whole
+    mixed = {2000 + i: sorted({50 + rng.randrange(6) for _ in range(2)} | {500 + rng.randrange(20)}) for i in range(80)}
+    keys = chain | crowd | mixed | {5000: [99_999], 5001: []}
+    members = spark.createDataFrame([(i, 8, k) for i, k in keys.items()], "node long, size long, keys array<long>")
+    for least, most, parts in ((4, 8, 3), (500, 1000, 16)):
+        rows = tiles.spread(tiles.deal(members, least, most, parts).join(members.select("node", "keys"), "node"), "keys").collect()
+        groups, seen, modes = {}, Counter(), set()
+        for r in rows:
+            groups.setdefault((r.mode, r.tile, r.a, r.b), []).append(r)
+        for (mode, tile, a, b), own in groups.items():
+            modes.add(mode)
+            assert len({r.node for r in own}) == len(own) and len(own) <= 6 * 2 * max(least, 8)
+            here = tiles.belong(mode, tile, a, b, np.array([r.part for r in own]), [np.array(r["keys"]) for r in own])
+            for i in range(len(own)):
+                for j in range(i):
+                    if here[i, j]:
+                        seen[tuple(sorted((own[i].node, own[j].node)))] += 1
+        wanted = {(i, j) for i in keys for j in keys if i < j and set(keys[i]) & set(keys[j])}
+        assert wanted <= set(seen) and max(seen.values()) == 1
+        assert modes == ({0} if least == 500 else {0, 1})
+
+
+def test_a_repeated_row_is_sent_once(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, base)] * 60 + [(2, base + " more")] + [(None, base + " again and on")] * 9, "doc_id long, text string").repartition(4)
+    seen = []
+    whole = jaccard.spread
+    monkeypatch.setattr(jaccard, "spread", lambda df, *more: seen.append(df.count()) or whole(df, *more))
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(docs).collect())
+    assert seen == [3] and got == {(1, 1, 69): 60, (2, 1, 69): 1, (None, 1, 69): 9}
+
+
+def test_passages_are_found_by_the_automaton_alone(spark, monkeypatch):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
+    common = [word() for _ in range(60)]
+    rows = [(i, " ".join([*(word() for _ in range(20)), *common[i % 3 :], *(word() for _ in range(20))])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(r.n_removed for r in phrases.repeated(docs).collect()) > 600
+    assert Counter(tuple(r) for r in phrases.repeated(docs, span=2).collect()) == plain_removal(rows, 35)
+    words = rows[0][1].encode().split()
+    passage = b" ".join(w.encode() for w in common)
+    assert sum(phrases.removed(words, phrases.finders([passage]))) == 60 and phrases.removed(words, []) is None
+    broken = phrases.finders([passage])
+    broken[0].automaton = __import__("ahocorasick").Automaton()
+    broken[0].automaton.add_word("nothing", 0)
+    broken[0].automaton.make_automaton()
+    assert phrases.removed(words, broken) is None
+
+
+def test_automata_against_every_place():
+    rng = random.Random(14)
+    for _ in range(150):
+        width = rng.randint(3, 8)
+        phrase = rng.randint(1, width)
+        letters = [bytes([97 + k]) for k in range(rng.randint(2, 5))]
+        passages = [[rng.choice(letters) for _ in range(rng.randint(width, 30))] for _ in range(rng.randint(0, 25))]
+        text = [rng.choice(letters) for _ in range(rng.randint(0, 60))] + (passages[0] if passages else [])
+        held = {tuple(p[k : k + width]) for p in passages for k in range(len(p) - width + 1)}
+        want = {k + d for k in range(len(text) - width + 1) if tuple(text[k : k + width]) in held for d in range(width)}
+        got = phrases.removed(text, phrases.finders([b" ".join(p) for p in passages], width, phrase, vocabulary=rng.choice([2, 4, 1000])))
+        assert {k for k, x in enumerate(got or b"") if x} == want
+
+
+def plain_convolution(net, text, filters):
+    """Means, maxima and minima over chunks of the largest responses, one position at a time."""
+    data = text + bytes(quality.WIDTH + quality.STEP)
+    places = max(1, -(-len(text) // quality.STEP))
+    response = [np.maximum(net.bias + sum(filters[j][data[p * quality.STEP + j]] for j in range(quality.WIDTH)), 0) for p in range(places)]
+    pooled, begin = [], 0
+    while not pooled or begin - quality.STRIDE + quality.CHUNK < places:
+        pooled.append(np.max(response[begin : begin + quality.CHUNK], axis=0))
+        begin += quality.STRIDE
+    return np.concatenate((np.mean(pooled, axis=0), np.max(pooled, axis=0), np.min(pooled, axis=0)))
+
+
+def test_features_are_those_of_a_plain_convolution():
+    rng = np.random.default_rng(15)
+    filters = rng.normal(0, 1, (quality.WIDTH, 256, 5)).astype(np.float32)
+    net = quality.Network(filters, rng.normal(0, 1, 5), None, 0.0)
+    for sizes in ([0], [1, 0, 3, 4, 5], [255, 256, 257], [258, 700, 4 * 48 + 4 * 64, 4 * 48 + 4 * 64 + 1, 3000]):
+        texts = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in sizes]
+        got = net.features(texts)
+        for own, text in zip(got, texts):
+            assert np.allclose(own, plain_convolution(net, text, filters), atol=1e-4)
+
+
+def test_the_sample_holds_whole_texts_within_its_bytes():
+    rows = [(k, k, k % 2, 40) for k in range(20)] + [(-1, 99, 0, 1000)]
+    got = list(quality._affordable(rows, 400))
+    assert len(got) == 10 and Counter(q for _, q in got) == {0: 5, 1: 5} and 99 not in {d for d, _ in got}
+    assert [len(b) for b in quality._batches([b"x" * n for n in (3, 3, 9, 1, 1)], 6)] == [2, 1, 2]
+
+
+def png(rows, width, depth, kind, filters, palette=None, interlaced=0):
+    """A PNG file of packed rows, filtered as asked for."""
+    step = max(1, depth * {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind] // 8)
+    out = b""
+    for block in rows:
+        above = bytes(len(block[0])) if block else b""
+        for line, f in zip(block, filters * (len(block) + 1)):
+            got = bytearray()
+            for k, v in enumerate(line):
+                a, b, c = (line[k - step] if k >= step else 0), above[k], (above[k - step] if k >= step else 0)
+                p = a + b - c
+                paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                got.append((v - (0, a, b, (a + b) // 2, paeth)[f]) & 255)
+            out += bytes([f]) + bytes(got)
+            above = line
+    chunk = lambda n, x: struct.pack(">I", len(x)) + n + x + struct.pack(">I", zlib.crc32(n + x))
+    head = struct.pack(">IIBBBBB", width, png.height, depth, kind, 0, 0, interlaced)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+def test_picture_files(spark):
+    rng = np.random.default_rng(16)
+    grey = rng.integers(0, 256, (11, 13)).astype(np.uint8)
+    png.height = 11
+    lines = lambda x: [bytes(r) for r in x.reshape(len(x), -1)]
+    for filters in ([0], [1], [2], [3], [4], [0, 1, 2, 3, 4]):
+        assert np.array_equal(pictures.picture(png([lines(grey)], 13, 8, 0, filters)), grey)
+        colour = rng.integers(0, 256, (11, 13, 3)).astype(np.uint8)
+        want = np.rint(colour @ [0.299, 0.587, 0.114])
+        assert np.array_equal(pictures.picture(png([lines(colour)], 13, 8, 2, filters)), want)
+        assert np.array_equal(pictures.picture(png([lines(np.concatenate((colour, grey[..., None]), 2))], 13, 8, 6, filters)), want)
+        assert np.array_equal(pictures.picture(png([lines(np.stack((grey, colour[..., 0]), 2))], 13, 8, 4, filters)), grey)
+        assert np.array_equal(pictures.picture(png([lines(np.stack((grey, colour[..., 0]), 2))], 13, 16, 0, filters)), grey)
+    bits = rng.integers(0, 2, (11, 13)).astype(np.uint8)
+    assert np.array_equal(pictures.picture(png([lines(np.packbits(bits, axis=1))], 13, 1, 0, [0])), bits * 255)
+    palette = rng.integers(0, 256, (2, 3)).astype(np.uint8)
+    assert np.array_equal(pictures.picture(png([lines(np.packbits(bits, axis=1))], 13, 1, 3, [0], palette.tobytes())), np.rint(palette[bits] @ [0.299, 0.587, 0.114]))
+    passes = [lines(grey[y::dy, x::dx]) for x, y, dx, dy in pictures._PASSES]
+    whole = png(passes, 13, 8, 0, [0, 3, 4], interlaced=1)
+    assert np.array_equal(pictures.picture(whole), grey)
+    assert np.array_equal(pictures.picture(b"P5 # a\n13 11\n255\n" + grey.tobytes()), grey)
+    assert np.array_equal(pictures.picture(b"P6\n13 11 255\n" + np.repeat(grey, 3).tobytes()), grey)
+    broken = [b"", b"x", b"GIF89a", whole[:40], whole[:-30], whole[:60] + b"!" + whole[61:], b"P5 13 11 255\n123", b"P5 0 11 255\n", b"\x89PNG\r\n\x1a\n"]
+    assert [pictures.picture(x) for x in broken] == [None] * len(broken)
+    files = spark.createDataFrame([(1, whole, 0), (2, broken[4], 0), (3, None, 0), (4, b"P5 13 11 255\n" + grey.tobytes(), 0)], "image_id long, content binary, pixels int")
+    got = {r.image_id: r for r in images.decoded(files).collect()}
+    assert got[1].pixels == got[4].pixels == grey.tobytes() and got[2].pixels is None and got[3].pixels is None
+    assert {r.image_id: (r.class_id, r.n_links) for r in images.copies(images.decoded(files)).collect()} == {1: (1, 1), 4: (1, 1), 2: (2, 0), 3: (3, 0)}
+
+
+def test_recall_of_edited_copies():
+    """Tried pairs against consensus on all of them, by kind of edit."""
+    rng = np.random.default_rng(17)
+    vectors = rng.normal(size=(120, 64))
+    plain = images.scenes(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+    points = images.describe(plain)
+    resized = lambda x, z: np.clip(images._resize(x[None].astype(np.float32), z)[0], 0, 255).astype(np.uint8)
+    edits = {
+        "crop": lambda x: x[5:43, 4:44], "zoom in": lambda x: resized(x, 0.8), "zoom out": lambda x: resized(x, 4 / 3), "turn": lambda x: np.rot90(x),
+        "paler": lambda x: images.edited(x, 3), "noise": lambda x: np.clip(x + rng.normal(0, 10, x.shape), 0, 255).astype(np.uint8),
+    }
+    for name, edit in edits.items():
+        other = [images.describe(np.ascontiguousarray(edit(x))[None])[0] for x in plain]
+        linked = np.array([images.linked_by(a, b) for a, b in zip(points, other)])
+        i, j = images._tried(points + other, np.repeat([0, 1], 120))
+        tried = set(zip(i.tolist(), j.tolist()))
+        found = np.array([(k, k + 120) in tried for k in range(120)])
+        assert linked.mean() > 0.7 and found[linked].mean() >= 0.9, name
+    i, j = np.triu_indices(120, 1)
+    assert not images._linked(points, i, j, images.INLIERS).any()

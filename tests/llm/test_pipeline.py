@@ -13,6 +13,8 @@ def test_stages_against_plain_versions(spark, odd, odd_texts, none, tmp_path):
     bad = [(400 + i, " ".join("".join(rng.choice("AEIOULMN") for _ in range(5)) + "!!" for _ in range(60))) for i in range(150)]
     passage = " ".join(good[3][1].split()[20:34])
     leak = [(700, good[5][1] + " " + passage), (701, "token = hx7Kq92LmPz4 " + good[7][1])]
+    secret = " ".join("".join(rng.choice("aeioulmn") for _ in range(5)) for _ in range(60))
+    leak.append((702, "password: 'Wq82nfKz71mTc' " + secret))  # like no other document, so that only the secret scan changes it
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [*good, *bad, *leak, good[0]]], "doc_id long, text string, lang string, source string, n_chars long")
     d = str(tmp_path)
     docs.write.parquet(f"{d}/documents.parquet")
@@ -34,6 +36,7 @@ def test_stages_against_plain_versions(spark, odd, odd_texts, none, tmp_path):
     text = {r.doc_id: (r.text, r.n_chars) for r in held.collect()}
     if 701 in text:
         assert text[701][0].startswith("token = [REDACTED] ") and text[701][1] == len(text[701][0])
+    assert text[702] == ("password: '[REDACTED]' " + secret, len("password: '[REDACTED]' " + secret))
     packed = corpus_pipeline.run(spark, d).collect()
     assert {r.doc_id for r in packed} == set(seen[3])
     assert corpus_pipeline.ORACLE_SQL is None

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import textwrap
+import time
 from collections import Counter
 
 import pytest
@@ -144,3 +147,118 @@ def test_licences(spark, odd, none):
     assert len(rows) == odd.count() and {x.licences for x in rows} == {""} and licences.recognise(none).count() == 0
     docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string").withColumn("licences", F.lit(1))
     assert licences.recognise(docs).first().licences == "MIT"
+
+
+def plain_matches(rules, found, gap):
+    """Every rule at every place, looking at all that follows."""
+    free, out = [True] * len(found), []
+    for licence, names in rules:
+        for i in range(len(found)):
+            taken = []
+            for j in range(i, len(found)):
+                if len(taken) == len(names) or (j > i and not taken):
+                    break
+                if taken and found[j][1] > found[taken[-1]][1] + gap + 1:
+                    break
+                if free[j] and found[j][0] == names[len(taken)]:
+                    taken.append(j)
+            if len(taken) == len(names):
+                for j in taken:
+                    free[j] = False
+                out.append((licence, i))
+    return sorted(out, key=lambda x: x[1])
+
+
+def test_licence_rules_against_all_places():
+    rng = random.Random(3)
+    rules = sorted([("A", ("a", "b", "c")), ("B", ("a", "b")), ("C", ("b",)), ("D", ("c", "a", "c")), ("E", ("d", "d"))], key=lambda x: -len(x[1]))
+    r = licences.Recogniser({"a": ["one here"]}, rules, gap=2)
+    for _ in range(400):
+        numbers = sorted(rng.randrange(40) for _ in range(rng.randrange(25)))
+        found = [(rng.choice("abcde"), n) for n in numbers]
+        assert r.matches(found) == plain_matches(rules, found, 2)
+    start = time.perf_counter()
+    r.matches([("a", 2 * k) for k in range(100_000)])
+    assert time.perf_counter() - start < 5
+
+
+def test_licence_texts_names_and_what_is_none():
+    r = licences.Recogniser()
+    known = lambda t: [x for x, _ in r.licences(t)]
+    assert len({x for x, _ in licences.RULES}) >= 30
+    for licence, text in licences.TEXTS.items():
+        own = text.replace("<*>", "The Holders of it")
+        assert known(own) == [licence] == known("Copyright (c) 2001, 2002 A. Holder.\n" + own + "\nmore words\n")
+        wrapped = "\n".join(f"// {line}" for p in own.strip().split("\n\n") for line in [*textwrap.wrap(p, 70), ""])
+        assert set(known("x = 1\n" + wrapped + "\ny = 2")) == {licence}
+    for licence, names in licences.NAMES.items():
+        for name in names:
+            assert known(f"Words before.\nThis work is licensed under {name}.\nWords after.") == [licence]
+    for text in ("This is not released under the MIT License.", "see the MIT License exhibition", "He said: all rights reserved for guests.", "not licensed under CC BY 4.0", "Neither the name of X nor the names of Y matter."):
+        assert known(text) == []
+
+
+def plain_live(rows, max_owners, max_repositories):
+    """Live spans of each row, by loops over all rows."""
+    values = []
+    for i, t, lang, source in rows:
+        own = []
+        for start, kind, end in plain_secrets(t):
+            a = start + ASSIGN.match(t, start).start(2) - start if kind == 0 else start
+            own.append((a, end))
+        values.append({(a, b, t[a:b]) for a, b in own})
+    owners, repos = {}, {}
+    for (_, _, lang, source), own in zip(rows, values):
+        for *_, v in own:
+            owners.setdefault(v, set()).add(source)
+            repos.setdefault(v, set()).add((source, lang))
+    good = lambda v: len(owners[v]) <= max_owners and len(repos[v]) <= max_repositories and secrets.live_looking(v.encode())
+    return Counter((i, tuple(sorted((a, b) for a, b, v in own if good(v)))) for (i, *_), own in zip(rows, values))
+
+
+def test_ownership_against_loops(spark):
+    rng = random.Random(4)
+    pool = ["".join(rng.choice("abcXYZ0189") for _ in range(12)) for _ in range(25)] + ["examplevalue01", "aaaaaaaaaaaa"]
+    rows = []
+    for i in range(300):
+        text = " ".join(rng.choice([f"é token={rng.choice(pool)}", "AKIA" + rng.choice(pool).upper() * 2, "0123456789abcdef" * 2, "plain words", f'"password": "{rng.choice(pool[:3])}"']) for _ in range(rng.randrange(5)))
+        rows.append((i, text, rng.choice(["en", "de", "fr"]), f"s{int(rng.random() ** 3 * 12)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    for owners, repositories in ((2, 4), (1, 1), (5, 3)):
+        got = secrets.secrets(docs, max_owners=owners, max_repositories=repositories).collect()
+        assert Counter((r.doc_id, tuple(sorted((x.start, x.end) for x in r.spans if x.kind == 3))) for r in got) == plain_live(rows, owners, repositories)
+
+
+def test_redaction_beside_columns_of_any_name(spark):
+    value = "hx7Kq92LmPz4"
+    docs = spark.createDataFrame([(1, f"ß token={value} and password='{value}' end", "en", "s", 9, "x", 1), (2, "none", "en", "s", 4, "y", 2)], "doc_id long, text string, lang string, source string, n_chars int, hit_spans string, hits int")
+    docs = docs.withColumn("row", F.lit(1)).withColumn("key", F.lit(2)).withColumn("a.b", F.lit(3))
+    out = {r.doc_id: r for r in secrets.redacted(docs).collect()}
+    assert out[1].text == "ß token=[REDACTED] and password='[REDACTED]' end" and out[1].n_chars == len(out[1].text)
+    assert out[2].text == "none" and out[2].hit_spans == "y" and secrets.redacted(docs).columns == docs.columns
+
+
+def test_scans_of_long_texts_take_time_in_proportion(spark):
+    tokens = lambda n: " ".join(f"token=Zq83hf{i:07d}" for i in range(n))
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, tokens(n), "en", "s")], "doc_id long, text string, lang string, source string")
+        start = time.perf_counter()
+        assert secrets.scan(docs, F.col("source"), F.col("lang")).select(F.size("key")).first()[0] == n
+        return time.perf_counter() - start
+
+    seconds(10)
+    assert seconds(60_000) < 12
+    turns = [(1, k, "user" if k % 2 else "assistant", f"w{k}") for k in range(20_000)]
+    chats = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    start = time.perf_counter()
+    back = chat.read_back(chat.format_chats(chats, budget=40, history=20)).first()
+    assert [(x.role, x.text) for x in back.turns] == [(r, t) for *_, r, t in turns] and time.perf_counter() - start < 60
+
+
+def test_a_document_that_is_hit_everywhere(spark):
+    words = [f"w{i % 977}" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(words[i : i + 977 + 9])) for i in range(0, 977, 300)] + [(5000, "w3 w4 w5"), (5001, "w9")], "item_id long, text string")
+    r = decontaminate.decontaminate(docs, bench).first()
+    assert r.n_words == r.n_hit == 20_000 and len(r["items"]) == 6

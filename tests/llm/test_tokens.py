@@ -155,3 +155,12 @@ def test_a_trained_dictionary_is_used(spark):
     assert dictionary
     files = tokenfile.write(docs, path, f"{shared_folder(spark)}/test-dict", dictionary)
     assert tokenfile.read(spark, files, dictionary).count() == 400
+
+
+def test_ids_are_as_wide_as_the_tokenizer_needs(spark, monkeypatch):
+    path = tokenizer_path(FILES[1])
+    assert tokenfile.id_width(path) == 2 and tokenfile.id_width(path, end_id=1 << 16) == 4
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    files = tokenfile.write(docs, path, f"{shared_folder(spark)}/test-wide", b"", end_id=70_000)
+    rows = tokenfile.read(spark, files, b"").orderBy("doc_id").collect()
+    assert rows[1].ids_crc32 == zlib.crc32(np.array([70_000], "<u4").tobytes()) and rows[0].n_tokens == 3
