@@ -86,10 +86,9 @@ def fnv1a(data: bytes) -> int:
     return value
 
 
-def echo_llr_site(reference: str, pos0: int, wt: str, mut: str) -> float:
-    """The echo log-odds of one substitution."""
-    logit = lambda base: (fnv1a(f"{reference}|{pos0}|{base.lower()}".encode()) & 0xFFFF) / 0xFFFF
-    return logit(mut) - logit(wt)
+def echo_logit(reference: str, pos0: int, base: str) -> float:
+    """The echo logit of a base at a masked place."""
+    return (fnv1a(f"{reference}|{pos0}|{base.lower()}".encode()) & 0xFFFF) / 0xFFFF
 
 
 def echo_embedding(seq: str, layers: int, width: int = 8) -> np.ndarray:
@@ -103,5 +102,33 @@ def corpus_key(sequences: list[str]) -> str:
     return hashlib.sha256("\0".join([str(len(sequences)), *sequences]).encode()).hexdigest()[:24]
 
 
+def corpus_keys(df: DataFrame, group: str, order: str, seq: str) -> DataFrame:
+    """group, corpus_key: the key of each group's sequences in order, hashed as the sorted rows stream by."""
+    counted = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(seq).alias("s")).where(F.col("s").isNotNull())
+    sizes = counted.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.join(sizes, "g").repartition("g").sortWithinPartitions("g", "o", "s").select("g", "n", "s")
+
+    def run(batches):
+        import hashlib
+
+        now, digest, done = None, None, []
+        for b in batches:
+            for g, n, s in zip(*(c.to_pylist() for c in b.columns)):
+                if digest is None or g != now:
+                    if digest is not None:
+                        done.append((now, digest.hexdigest()[:24]))
+                    now, digest = g, hashlib.sha256(str(n).encode())
+                digest.update(b"\0" + s.encode())
+            yield _keyed(done)
+            done = []
+        if digest is not None:
+            yield _keyed([(now, digest.hexdigest()[:24])])
+
+    def _keyed(done):
+        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in done], pa.string()), pa.array([k for _, k in done], pa.string())], names=["g", "corpus_key"])
+
+    return rows.mapInArrow(run, "g string, corpus_key string").withColumnRenamed("g", group)
+
+
 def corpus_key_column(sequences: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\0", F.size(sequences).cast("string"), sequences), 256), 1, 24)

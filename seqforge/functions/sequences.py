@@ -15,8 +15,10 @@ def normalize(seq: Column) -> Column:
 
 
 def gene_extract(dna: Column, start: Column, end: Column, strand: Column, promoter: int = PROMOTER) -> Column:
-    """The gene at 1-based inclusive start..end with its promoter: before it on the plus strand (strand
-    > 0), after it on the minus strand, on both sides if the strand is unknown; clamped to the contig."""
+    """The gene at 1-based inclusive start..end with its promoter: before it on the plus strand ("+" or a
+    number > 0), after it on the minus strand, on both sides if the strand is unknown; clamped to the contig."""
+    sign = strand.cast("string")
+    strand = F.when(sign == "+", F.lit(1.0)).when(sign == "-", F.lit(-1.0)).otherwise(sign.try_cast("double"))
     before = F.when(strand.isNull() | (strand > 0), F.lit(promoter)).otherwise(F.lit(0))
     after = F.when(strand.isNull() | (strand <= 0), F.lit(promoter)).otherwise(F.lit(0))
     first = F.greatest(F.lit(1), start - before)

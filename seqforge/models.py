@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import features
 
+BASES = "ACGT"
 CAPABILITIES = ("tokenize", "score", "per_token", "variant_llr", "embed")
 
 
@@ -22,7 +24,7 @@ class Unsupported(NotImplementedError):
 class SequenceModel(ABC):
     """A model works on lists of sequences; its columns run it on Arrow batches of a DataFrame."""
 
-    name = "model"
+    name, version = "model", "1"
     capabilities: frozenset[str] = frozenset()
     max_context: int | None = None
     n_layers: int | None = None
@@ -36,9 +38,14 @@ class SequenceModel(ABC):
     def per_token(self, seqs: list[str]) -> list[list[float]]:
         raise Unsupported("per_token")
 
-    def site_llr(self, reference: str, pos0: int, wt: str, mut: str) -> float:
+    def site_logits(self, reference: str, pos0: int) -> list[float]:
+        """Of A, C, G and T at a masked place."""
         raise Unsupported("variant_llr")
 
+    def site_llr(self, reference: str, pos0: int, wt: str, mut: str) -> float:
+        logits = self.site_logits(reference, pos0)
+        return logits[BASES.index(mut)] - logits[BASES.index(wt)]
+
     def embed(self, seqs: list[str], layers: str = "last") -> np.ndarray:
         """items x layers x width."""
         raise Unsupported("embed")
@@ -75,19 +82,44 @@ class SequenceModel(ABC):
         return df.select(key, seq).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, layer_id int, vec array<double>").withColumnRenamed("key", key)
 
     def variant_llrs(self, df: DataFrame, key: str) -> DataFrame:
-        """key and the sum over a variant's mutations of the log-odds of its sites; each distinct
-        (reference, place, substitution) is scored once, then joined back."""
+        """key and the sum over a variant's mutations of the log-odds of its sites; the model sees each
+        distinct (reference, place) once, then its logits are joined back. To 12 places, so that equal sums tie
+        whatever their order."""
         self.require("variant_llr")
         sites = df.select(key, "reference", F.explode("mutations").alias("m")).select(key, "reference", "m.pos0", "m.wt", "m.mut")
-        distinct = sites.select("reference", "pos0", "wt", "mut").dropDuplicates()
 
         def run(batches):
             for b in batches:
-                own = [self.site_llr(*row) for row in zip(*(b[c].to_pylist() for c in ("reference", "pos0", "wt", "mut")))]
-                yield pa.RecordBatch.from_arrays([*(b[c] for c in ("reference", "pos0", "wt", "mut")), pa.array(own, pa.float64())], names=["reference", "pos0", "wt", "mut", "llr"])
+                own = [self.site_logits(*row) for row in zip(b["reference"].to_pylist(), b["pos0"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([b["reference"], b["pos0"], pa.array(own, pa.list_(pa.float64()))], names=["reference", "pos0", "logits"])
+
+        scored = sites.select("reference", "pos0").distinct().mapInArrow(run, "reference string, pos0 int, logits array<double>")
+        joined = sites.join(scored, ["reference", "pos0"]).withColumn("wt_logit", F.expr(f"element_at(logits, instr('{BASES}', wt))")).withColumn("mut_logit", F.expr(f"element_at(logits, instr('{BASES}', mut))"))
+        return joined.groupBy(key).agg(F.round(F.sum(F.col("mut_logit") - F.col("wt_logit")), 12).alias("llr"))
+
+    def tokens(self, df: DataFrame, key: str, seq: str) -> DataFrame:
+        """key, tokens: the numbers of each sequence's tokens."""
+        self.require("tokenize")
+        return self._lists(df, key, seq, self.tokenize, "tokens", pa.int32(), "int")
+
+    def logprobs(self, df: DataFrame, key: str, seq: str, one_a_letter: bool = False) -> DataFrame:
+        """key, logprobs: of each token; with ``one_a_letter`` another number of them than letters raises."""
+        self.require("per_token")
+
+        def checked(seqs):
+            out = self.per_token(seqs)
+            if one_a_letter and [len(z) for z in out] != [len(s) for s in seqs]:
+                raise ValueError(f"{self.name}: log-probabilities must be one for each letter")
+            return out
+
+        return self._lists(df, key, seq, checked, "logprobs", pa.float64(), "double")
+
+    def _lists(self, df, key, seq, make, name, arrow, kind):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b[0], pa.array(make([s or "" for s in b[1].to_pylist()]), pa.list_(arrow))], names=["key", name])
 
-        scored = distinct.mapInArrow(run, "reference string, pos0 int, wt string, mut string, llr double")
-        return sites.join(scored, ["reference", "pos0", "wt", "mut"]).groupBy(key).agg(F.sum("llr").alias("llr"))
+        return df.select(key, seq).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, {name} array<{kind}>").withColumnRenamed("key", key)
 
 
 class EchoModel(SequenceModel):
@@ -107,8 +139,8 @@ class EchoModel(SequenceModel):
         sums = [(sum(z), len(z)) for z in self.per_token(seqs)]
         return [round(t / n if reduction == "mean" and n else t, 12) for t, n in sums]
 
-    def site_llr(self, reference, pos0, wt, mut):
-        return features.echo_llr_site(reference, pos0, wt, mut)
+    def site_logits(self, reference, pos0):
+        return [features.echo_logit(reference, pos0, base) for base in BASES]
 
     def embed(self, seqs, layers="last"):
         n = self.n_layers if layers == "all" else 1
@@ -155,39 +187,47 @@ registry.add("model", "echo", EchoModel)
 registry.add("model", "kmer", KmerModel)
 
 
+def _numbered(widths, token_budget: int | None, batch_size: int | None, held: int = 0) -> tuple[np.ndarray, int, int]:
+    """Numbers of the batches of ascending widths, the last number, and how many rows that batch holds.
+
+    ``held``: rows that batch 0 has already. Rows times the widest must stay within the budget; as both
+    only grow along a batch, its end is found by bisection."""
+    numbers, number, at = np.zeros(len(widths), np.int64), 0, 0
+    while at < len(widths):
+        most = len(widths) - at if batch_size is None else min(len(widths) - at, batch_size - held)
+        fit = most if token_budget is None else bisect_right(range(1, most + 1), token_budget, key=lambda r, at=at, held=held: (held + r) * int(widths[at + r - 1]))
+        fit = max(fit, 0 if held else 1)  # what is over the budget is alone
+        numbers[at : at + fit] = number
+        at, held = at + fit, held + fit
+        if at < len(widths):
+            number, held = number + 1, 0
+    return numbers, number, held
+
+
 def length_batches(lengths: list[int], token_budget: int | None = None, batch_size: int | None = None, padded=lambda n: n) -> list[list[int]]:
-    """Batches of positions, short sequences first: a batch ends where one more row would pass the
-    budget of padded tokens or the size. A sequence over the budget is alone."""
+    """Batches of positions, short sequences first, each within the budget of padded tokens and the size;
+    a sequence over the budget is alone."""
     if token_budget is None and batch_size is None:
         raise ValueError("a token budget or a batch size is needed")
-    out: list[list[int]] = []
-    own: list[int] = []
-    widest = 0
-    for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
-        wide = max(widest, padded(lengths[i]))
-        if own and ((token_budget is not None and (len(own) + 1) * wide > token_budget) or (batch_size is not None and len(own) >= batch_size)):
-            out.append(own)
-            own, wide = [], padded(lengths[i])
-        own.append(i)
-        widest = wide
-    return out + [own] if own else out
-
-
-def batched(df: DataFrame, key: str, seq: str, token_budget: int, groups: int = 8) -> DataFrame:
-    """key, length, batch: rows dealt by length, then packed greedily within each partition."""
+    order = np.argsort(np.asarray(lengths, np.int64), kind="stable")
+    numbers, *_ = _numbered([padded(lengths[i]) for i in order], token_budget, batch_size)
+    return [part.tolist() for part in np.split(order, np.flatnonzero(np.diff(numbers)) + 1)] if len(order) else []
+
+
+def batched(df: DataFrame, key: str, seq: str, token_budget: int, groups: int | None = None) -> DataFrame:
+    """key, length, batch: rows dealt to tasks by length and sorted there, then batched as they stream by;
+    as many tasks as the session shuffles to, unless ``groups`` says otherwise."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        keys, lengths = [], []
+        number, held = TaskContext.get().partitionId() << 32, 0
         for b in batches:
-            keys += b[0].to_pylist()
-            lengths += b[1].to_pylist()
-        number = {i: k for k, own in enumerate(length_batches(lengths, token_budget)) for i in own}
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(lengths, pa.int64()), pa.array([(part << 32) + number[i] for i in range(len(keys))], pa.int64())], names=["key", "length", "batch"])
+            numbers, last, held = _numbered(b[1].to_numpy(), token_budget, None, held)
+            yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(number + numbers)], names=["key", "length", "batch"])
+            number += last
 
     kind = df.schema[key].dataType.simpleString()
-    sized = df.select(key, F.length(seq).cast("long").alias("length")).repartitionByRange(groups, "length")
+    groups = groups or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = df.select(key, F.coalesce(F.length(seq), F.lit(0)).cast("long").alias("length")).repartitionByRange(groups, "length").sortWithinPartitions("length")
     return sized.mapInArrow(run, f"key {kind}, length long, batch long").withColumnRenamed("key", key)
