@@ -4,9 +4,13 @@ what is wrong with them rather than turning them into nulls."""
 from __future__ import annotations
 
 import json
+import tempfile
+import zipfile
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import normalize
@@ -106,7 +110,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_splits(spark: SparkSession, manifest: str, splits: tuple[str, ...] = ("train", "test"), reader=read_genes) -> DataFrame:
-    """The splits asked for, checked; files of other splits are not opened."""
+    """The splits asked for, checked, with ``id``, distinct over all of them; files of other splits are not opened."""
     held = read_manifest(manifest)["splits"]
     entries = [e if isinstance(e, dict) else {"file": e} for e in held.values()] if isinstance(held, dict) else held
     names = list(held) if isinstance(held, dict) else [e["split"] for e in held]
@@ -116,10 +120,71 @@ def load_splits(spark: SparkSession, manifest: str, splits: tuple[str, ...] = ("
     folder = str(Path(manifest).parent)
     check_files(folder, [e for _, e in wanted])
     parts = [reader(spark, f"{folder}/{e['file']}", n) for n, e in wanted]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    number = next(c for c in parts[0].columns if c.endswith("_idx"))  # of a row in its own file
+    return reduce(DataFrame.unionByName, parts).withColumn("id", F.concat_ws(":", "split", number))
+
+
+def load_enzymes(spark: SparkSession, manifest: str, splits: tuple[str, ...] = ("train", "test")) -> DataFrame:
+    return load_splits(spark, manifest, splits, read_enzymes)
+
+
+def load_assays(spark: SparkSession, manifest: str) -> DataFrame:
+    """The variants of all assays that a manifest lists, checked (each must have a SHA-256); a variant is
+    known by (dms_id, variant_idx)."""
+    entries = read_manifest(manifest)["assays"]
+    if not entries:
+        raise ContractError(f"{manifest}: no assays")
+    folder = str(Path(manifest).parent)
+    check_files(folder, entries, digest_needed=True)
+    parts = [read_variants(spark, f"{folder}/{e['file']}", e["dms_id"], e.get("rna_type", "mRNA-coding")) for e in entries]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def select_assays(sheet: DataFrame, **wanted: str) -> DataFrame:
+    """The rows of a reference sheet whose columns have the values asked for; a byte order mark before the
+    first column's name does no harm."""
+    named = sheet.toDF(*[c.lstrip("\ufeff") for c in sheet.columns])
+    return named.where(reduce(lambda a, b: a & b, [F.col(c) == v for c, v in wanted.items()], F.lit(True)))
+
+
+def canonical_variants(rows: DataFrame) -> DataFrame:
+    """mutant, sequence and DMS_score of a table of any source, whatever the case of its columns' names."""
+    lower = {c.lower(): c for c in rows.columns}
+    if lacking := [c for c in ("mutant", "sequence", "dms_score") if c not in lower]:
+        raise ContractError(f"no column {', '.join(lacking)}")
+    return rows.select(F.col(lower["mutant"]).alias("mutant"), F.col(lower["sequence"]).alias("sequence"), F.col(lower["dms_score"]).alias("DMS_score"))
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet or CSV file, or the one file of those kinds in a zip archive."""
+    if path.endswith(".zip"):
+        with zipfile.ZipFile(path) as z:
+            inner = [n for n in z.namelist() if n.endswith((".csv", ".parquet"))]
+            if len(inner) != 1:
+                raise ContractError(f"{path}: {len(inner)} tables in the archive")
+            folder = tempfile.mkdtemp()
+            path = z.extract(inner[0], folder)
+    return spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).csv(path)
+
+
+def source_stats(variants: DataFrame, by: str = "dms_id") -> DataFrame:
+    """Rows and longest sequence of each assay."""
+    return variants.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.length("sequence")).alias("cds_len"))
+
+
+def manifest_summary(genes: DataFrame, genome: str = "genome_name") -> DataFrame:
+    """Genomes, genes, essential genes and their share of each split."""
+    g = genes.groupBy("split").agg(F.countDistinct(genome).alias("genomes"), F.count(F.lit(1)).alias("genes"), F.sum(F.col("essential").cast("long")).alias("essential"))
+    return g.withColumn("percent", F.lit(100.0) * F.col("essential") / F.col("genes"))
+
+
+def extrapolation_ratio(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """How many times a subset's rows the whole has."""
+    return rows.agg(F.count(F.lit(1)).alias("whole")).crossJoin(part.agg(F.count(F.lit(1)).cast("double").alias("part"))).select(F.try_divide("whole", "part").alias("ratio"))
+
+
+def sequence_digests(rows: DataFrame, key: str, text: str) -> DataFrame:
+    return rows.select(key, F.sha2(text, 256).alias("sha256"))
 
 
 def flatten_genomes(genomes: DataFrame) -> DataFrame:
@@ -147,14 +212,53 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, needed: tuple[str, ...] = ("sequence",)) -> DataFrame:
-    """Sequences or variants, a JSON object a line; an id that is absent is the line's position."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    rows = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0].value)).toDF("pos long, value string")
+    """Sequences or variants, a JSON object a line; an id that is absent is the line's number (blank lines
+    do not count), by file and place in it."""
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", place.alias("place")).where("trim(value) <> ''")
     keys = ("id", *needed)
-    rows = rows.select("pos", *[F.get_json_object("value", f"$.{k}").alias(k) for k in keys])
+    rows = lines.select("place", *[F.get_json_object("value", f"$.{k}").alias(k) for k in keys])
     if rows.where(" OR ".join(f"{k} IS NULL" for k in needed)).limit(1).count():
         raise ContractError(f"{path}: a line lacks {' or '.join(needed)}")
-    return rows.withColumn("id", F.coalesce("id", F.col("pos").cast("string"))).drop("pos")
+    if not rows.where("id IS NULL").limit(1).count():
+        return rows.drop("place")
+    parts = rows.select("place.file", "place.block").groupBy("file", "block").count()  # a row a file's split
+    before = parts.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("place.file", "place.block").orderBy("place.row")) - 1
+    numbered = rows.withColumn("k", within).withColumn("file", F.col("place.file")).withColumn("block", F.col("place.block")).join(F.broadcast(before.drop("count")), ["file", "block"])
+    return numbered.withColumn("id", F.coalesce("id", (F.col("before") + F.col("k")).cast("string"))).select(*keys)
+
+
+def read_variant_items(spark: SparkSession, path: str) -> DataFrame:
+    """id, reference and mutations (pos0, wt, mut) of lines such as {"id":, "reference":, "mutations": [[0, "A", "C"]]}."""
+    lines = read_jsonl(spark, path, ("reference", "mutations"))
+    each = F.transform(F.from_json("mutations", "array<array<string>>"), lambda m: F.struct(m[0].cast("int").alias("pos0"), m[1].alias("wt"), m[2].alias("mut")))
+    return lines.select("id", "reference", each.alias("mutations"))
+
+
+def write_variant_items(items: DataFrame, path: str) -> None:
+    each = F.transform("mutations", lambda m: F.array(m["pos0"].cast("string"), m["wt"], m["mut"]))
+    items.select(F.col("id").cast("string").alias("id"), "reference", each.alias("mutations")).write.mode("overwrite").json(path)
+
+
+def read_dense(spark: SparkSession, path: str) -> DataFrame:
+    """item, layer_id, vec of an .npz file with ``vectors`` (items x layers x width) and, maybe, ``layers``."""
+    with np.load(path) as z:
+        x = z["vectors"].astype(np.float64)
+        layers = z["layers"].tolist() if "layers" in z else list(range(x.shape[1]))
+    if x.ndim != 3 or len(layers) != x.shape[1]:
+        raise ContractError(f"{path}: vectors must be items x layers x width")
+    rows = [(i, layers[k], x[i, k].tolist()) for i in range(x.shape[0]) for k in range(x.shape[1])]
+    return spark.createDataFrame(rows, "item long, layer_id int, vec array<double>")
+
+
+def read_ragged(spark: SparkSession, path: str) -> DataFrame:
+    """item, values of an .npz file with ``values``, all items' numbers in a row, and ``offsets``."""
+    with np.load(path) as z:
+        values, offsets = z["values"].astype(np.float64), z["offsets"]
+    if len(offsets) < 1 or offsets[0] != 0 or offsets[-1] != len(values) or (np.diff(offsets) < 0).any():
+        raise ContractError(f"{path}: offsets do not fit the values")
+    return spark.createDataFrame([(i, values[a:b].tolist()) for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:]))], "item long, values array<double>")
 
 
 def write_board(df: DataFrame, path: str) -> None:
