@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import time
+from collections import Counter
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,32 +50,45 @@ def fusion_plan(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("corpus").agg(F.count(F.lit(1)).alias("consumers"), F.max(F.col("all_layers").cast("int")).alias("all_layers"), F.max(F.col("logprob").cast("int")).alias("logprob"), (F.count(F.lit(1)) > 1).alias("shared"))
 
 
+def pick_layers(there: list[int], layers: str | int | list[int] | None) -> list[int]:
+    """Which of the layers are meant by all, last, a number or a list; one that is not there raises."""
+    if layers in (None, "all"):
+        return list(there)
+    wanted = [-1] if layers == "last" else [layers] if isinstance(layers, int) else [int(x) for x in (layers.split(",") if isinstance(layers, str) else layers)]
+    found = [there[k] if k < 0 and -k <= len(there) else k for k in wanted]
+    if absent := [k for k in found if k not in there]:
+        raise KeyError(f"no layer {', '.join(map(str, absent))}; there are {', '.join(map(str, there))}")
+    return found
+
+
 class Reuse:
     """Embeddings of a corpus, made once in their widest form and let go after the last reader."""
 
     def __init__(self, consumers: dict[str, int]):
-        self.left, self.held, self.made = dict(consumers), {}, 0
-
-    def get(self, key: str, make, layers: str = "last") -> DataFrame:
-        if key not in self.held:
-            self.held[key] = make().persist()
+        self.left, self.held, self.layers, self.made = dict(consumers), {}, {}, 0
+
+    def get(self, key: str, make, layers: str | int | list[int] = "last", pool: str = "mean") -> DataFrame:
+        """The layers asked for (all, last, numbers; negative ones from the end) of a corpus under one pooling."""
+        own = (key, pool)
+        if own not in self.held:
+            self.held[own] = make().persist()
+            self.layers[own] = sorted(r.layer_id for r in self.held[own].select("layer_id").distinct().collect())
             self.made += 1
-        full = self.held[key]
-        return full if layers == "all" else full.withColumn("_top", F.max("layer_id").over(Window.partitionBy())).where("layer_id = _top").drop("_top") if layers == "last" else full.where(F.col("layer_id") == int(layers))
+        return self.held[own].where(F.col("layer_id").isin(pick_layers(self.layers[own], layers)))
 
     def release(self, key: str) -> None:
         self.left[key] = self.left.get(key, 1) - 1
-        if self.left[key] <= 0 and key in self.held:
-            self.held.pop(key).unpersist()
+        for own in [k for k in self.held if k[0] == key] if self.left[key] <= 0 else []:
+            self.held.pop(own).unpersist()
 
 
 def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def model_hash(weights_digest: str, spec: dict, benchmark: str) -> str:
-    """The identity of a run: weights, settings and benchmark."""
-    return "run:" + hashlib.sha256("\0".join([weights_digest, canonical(spec), benchmark]).encode()).hexdigest()[:24]
+def model_hash(weights_digest: str, spec: dict, adapter: str) -> str:
+    """The identity of a model: weights, settings and adapter (name@version)."""
+    return "run:" + hashlib.sha256("\0".join([weights_digest, canonical(spec), adapter]).encode()).hexdigest()[:24]
 
 
 def file_digest(path: str | os.PathLike, chunk: int = 1 << 20) -> str:
@@ -118,9 +133,15 @@ def expand_env(value, environ=os.environ):
     return out
 
 
+def record_path(folder: str | os.PathLike, record: dict) -> Path:
+    """One file for each model hash and benchmark."""
+    own = "" if record["benchmark"] == "default" else "-" + record["benchmark"]
+    return Path(folder) / f"{record['model_hash'].replace(':', '_')}{own}.json"
+
+
 def write_record(folder: str | os.PathLike, record: dict) -> Path:
-    """One file for each model hash, replaced whole."""
-    path = Path(folder) / f"{record['model_hash'].replace(':', '_')}.json"
+    """The record's file, replaced whole."""
+    path = record_path(folder, record)
     path.parent.mkdir(parents=True, exist_ok=True)
     part = path.with_suffix(".part")
     part.write_text(json.dumps(record, indent=2, sort_keys=True) + "\n")
@@ -128,35 +149,57 @@ def write_record(folder: str | os.PathLike, record: dict) -> Path:
     return path
 
 
-def run_tasks(model, tasks: list, spark, folder=None, benchmark: str = "default", spec: dict | None = None, digest: str = "declared") -> dict:
+def finished(path: Path) -> dict[str, dict]:
+    """The ok tasks of a record's file; a broken record counts for nothing."""
+    try:
+        return {t["task"]: t for t in json.loads(path.read_text())["tasks"] if t["status"] == "ok"}
+    except (OSError, ValueError, KeyError, TypeError):
+        return {}
+
+
+def shared_passes(tasks: list) -> Reuse:
+    """What the pending tasks share: of each corpus how many embed it."""
+    return Reuse(Counter(t.corpus for t in tasks if getattr(t, "corpus", None) is not None))
+
+
+def run_tasks(model, tasks: list, spark, folder=None, benchmark: str = "default", spec: dict | None = None, digest: str | None = None, told=None) -> dict:
     """Runs what has no ok result yet and writes the record after each task.
 
-    A task has name, alternatives, prepare(spark) and run(model, chosen, prepared)."""
-    key = model_hash(digest, spec or {"name": model.name}, benchmark)
-    path = Path(folder) / f"{key.replace(':', '_')}.json" if folder else None
-    done: dict[str, dict] = {}
-    if path and path.exists():
-        try:
-            done = {t["task"]: t for t in json.loads(path.read_text())["tasks"] if t["status"] == "ok"}
-        except (ValueError, KeyError, TypeError):
-            done = {}  # a broken record counts for nothing
-    for task in tasks:
-        if task.name in done:
-            continue
+    A task has name, alternatives, prepare(spark) and run(model, chosen, prepared); one with a ``corpus`` is
+    given ``reuse`` too, so that tasks of one corpus share its embeddings, in the widest form that any
+    pending one needs (``layers``). Weights named in the spec are hashed; ``told`` is called with a line after each task."""
+    spec = spec or {"name": model.name}
+    digest = digest or ("sha256:" + weights_digest(spec["weights"]) if spec.get("weights") else "declared")
+    record = {"model_hash": model_hash(digest, spec, f"{model.name}@{model.version}"), "model": model.name, "benchmark": benchmark, "spec": spec, "weights_digest": digest}
+    record["warnings"] = identity_warnings(digest, spec.get("revision")) + [f"declares {c} without a method" for c in half_built(model)]
+    done = finished(record_path(folder, record)) if folder else {}
+    pending_tasks = [t for t in tasks if t.name not in done]
+    reuse = shared_passes(pending_tasks)
+    widest = {t.corpus for t in pending_tasks if getattr(t, "layers", "last") == "all"}
+    began = time.time()
+    for k, task in enumerate(pending_tasks):
         chosen, lacking = choose(task.alternatives, model.capabilities)
+        corpus = getattr(task, "corpus", None)
         if chosen is None:
             result = TaskResult(task.name, "na", metadata={"lacks": lacking})
         else:
             try:
-                result = task.run(model, chosen, task.prepare(spark))
+                more = {"reuse": reuse, "widest": corpus in widest} if corpus is not None else {}
+                result = task.run(model, chosen, task.prepare(spark), **more)
                 result.metadata["scoring_method"] = "+".join(chosen)
+                if getattr(task, "manifest", None):
+                    result.metadata["manifest_sha256"] = file_digest(task.manifest)
             except Exception as e:  # a task's failure is its result
                 result = TaskResult(task.name, "error", metadata={"error": f"{type(e).__name__}: {e}"[:2000]})
+        if corpus is not None:
+            reuse.release(corpus)
         done[task.name] = result.__dict__
-        record = {"model_hash": key, "model": model.name, "benchmark": benchmark, "spec": spec or {}, "tasks": [done[t.name] for t in tasks if t.name in done]}
+        record["tasks"] = [done[t.name] for t in tasks if t.name in done]
         if folder:
             write_record(folder, record)
-    return {"model_hash": key, "model": model.name, "benchmark": benchmark, "spec": spec or {}, "tasks": [done[t.name] for t in tasks if t.name in done]}
+        if told:
+            told(f"{task.name}: {result.status}, {progress_line(k + 1, len(pending_tasks), time.time() - began)}")
+    return record | {"tasks": [done[t.name] for t in tasks if t.name in done]}
 
 
 def identity_warnings(digest: str, revision: str | None) -> list[str]:
@@ -173,7 +216,7 @@ def half_built(model) -> list[str]:
     """Capabilities that a model declares without its own method."""
     from ..models import SequenceModel
 
-    methods = {"tokenize": "tokenize", "score": "score", "per_token": "per_token", "variant_llr": "site_llr", "embed": "embed"}
+    methods = {"tokenize": "tokenize", "score": "score", "per_token": "per_token", "variant_llr": "site_logits", "embed": "embed"}
     return sorted(c for c in model.capabilities if getattr(type(model), methods[c]) is getattr(SequenceModel, methods[c]))
 
 

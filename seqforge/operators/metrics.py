@@ -12,9 +12,15 @@ def average_rank(by: list[str], value: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2
 
 
+def finite(column: str | Column, what: str) -> Column:
+    """The column, raising where it is NaN."""
+    column = F.col(column) if isinstance(column, str) else column
+    return F.when(F.isnan(column.cast("double")), F.raise_error(F.lit(f"a {what} is NaN"))).otherwise(column)
+
+
 def _distinct_scores(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     """Positives and rows of each distinct score: what the windows below see, whatever the ties."""
-    return df.groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
+    return df.withColumn(score, finite(score, "score")).groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
 
 
 def auroc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
@@ -47,7 +53,7 @@ def macro(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def confusion(df: DataFrame, label: str, prob: str, threshold: float = 0.5) -> DataFrame:
-    said, is_ = F.col(prob) >= threshold, F.col(label) == 1
+    said, is_ = finite(prob, "probability") >= threshold, F.col(label) == 1
     counts = df.agg(F.count_if(said & is_).alias("tp"), F.count_if(said & ~is_).alias("fp"), F.count_if(~said & ~is_).alias("tn"), F.count_if(~said & is_).alias("fn"))
     tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
     ratio = F.try_divide
@@ -101,3 +107,10 @@ def variant_report(df: DataFrame, by: list[str], truth: str, score: str) -> Data
     scored = df.where(F.col(score).isNotNull())
     size = df.groupBy(*by).agg(F.count(score).alias("n_variants"), F.count_if(F.col(score).isNull()).alias("n_missing"))
     return size.join(spearman(scored, by, truth, score).drop("n_variants"), by, "left").join(median_auc(scored, by, truth, score), by, "left").join(median_mcc(scored, by, truth, score), by, "left")
+
+
+def score_summary(df: DataFrame, score: str) -> DataFrame:
+    """mean, least, most of a score; no rows or a NaN raise."""
+    x = finite(score, "score")
+    none = F.raise_error(F.lit("there are no scores"))
+    return df.agg(F.when(F.count(F.lit(1)) > 0, F.avg(x)).otherwise(none).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"))

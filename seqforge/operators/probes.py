@@ -36,7 +36,10 @@ def _scaled(made: DataFrame, scale: bool) -> tuple[DataFrame, int]:
 
 
 def probe(df: DataFrame, label: str, train: F.Column, vec: str = "vec", c: float = C, scale: bool = True, multiclass: bool = False, max_iter: int = MAX_ITER, tol: float = TOL) -> DataFrame:
-    """The rows that are not for training, with prob (of label 1) or predicted (the class)."""
+    """The rows that are not for training, without ``vec``, with prob (of label 1) or predicted (the class).
+
+    The source is read once: features are cached while the probe is fitted and applied, and the result, a few
+    columns of the test rows, is cached until the caller unpersists it."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StringIndexer
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -58,7 +61,9 @@ def probe(df: DataFrame, label: str, train: F.Column, vec: str = "vec", c: float
             model = LogisticRegression(labelCol="_y", family="multinomial", **common).fit(index.transform(fit_on.withColumn(label, F.col(label).cast("string"))))
             names = F.array(*map(F.lit, index.labels))
             out = model.transform(made.where("NOT _train")).withColumn("predicted", names[F.col("prediction").cast("int")])
-        return out.drop("features", "_train", "rawPrediction", "probability", "prediction")
+        out = out.drop(vec, "features", "_train", "_y", "rawPrediction", "probability", "prediction").persist()
+        out.count()
+        return out
     finally:
         held.unpersist()
 

@@ -16,22 +16,39 @@ def long_form(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
 
 def pool(df: DataFrame, keys: list[str], order: str, how: str = "mean", vec: str = "vec") -> DataFrame:
     """One vector an item from those of its tokens or windows: mean, max, first (bos) or last (eos)."""
+    if how == "none":  # every token as it is
+        return df.select(*keys, order, vec)
     if how in ("last", "eos", "first", "bos", "cls", "marker"):
         pick = F.max_by if how in ("last", "eos") else F.min_by
         return df.groupBy(*keys).agg(pick(vec, order).alias("vec"))
     if how not in ("mean", "max"):
         raise ValueError(f"unknown pooling {how!r}")
-    each = long_form(df, keys, vec).groupBy(*keys, "dim").agg((F.avg if how == "mean" else F.max)("x").alias("x"))
-    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vec"))
+    return _summary(df, keys, how, vec)
 
 
-def window_mean(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
-    """Element-wise mean over an instance's windows, by MLlib's one-pass summariser."""
+def _summary(df: DataFrame, keys: list[str], how: str, vec: str = "vec") -> DataFrame:
+    """Element-wise mean, max and the like of vectors, by MLlib's one-pass summariser: a row a vector, not a number."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     made = df.withColumn("v", array_to_vector(F.col(vec).cast("array<double>")))
-    return made.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("vec"))
+    return made.groupBy(*keys).agg(vector_to_array(getattr(Summarizer, how)(F.col("v"))).alias("vec"))
+
+
+def window_mean(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
+    """Element-wise mean over an instance's windows."""
+    return _summary(df, keys, "mean", vec)
+
+
+def _moments(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
+    """keys, mean and var (population) of vectors, element by element."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    made = df.select(*keys, array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
+    found = made.groupBy(*keys).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("m"))
+    n = F.col("m.count").cast("double")
+    return found.select(*keys, vector_to_array("m.mean").alias("mean"), F.transform(vector_to_array("m.variance"), lambda x: x * (n - 1) / n).alias("var"))
 
 
 def check_one_to_one(made: DataFrame, wanted: DataFrame, key: str, vec: str = "vec") -> None:
@@ -50,10 +67,10 @@ def norm(vec: Column) -> Column:
 
 def standardise(df: DataFrame, keys: list[str], train: Column, vec: str = "vec") -> DataFrame:
     """keys, dim, z: by mean and population deviation of the training rows; a constant is divided by 1."""
-    flat = long_form(df.withColumn("_train", train), [*keys, "_train"], vec)
-    fitted = flat.where("_train").groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
-    z = (F.col("x") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
-    return flat.join(fitted, "dim").select(*keys, "dim", z.alias("z"))
+    fitted = _moments(df.where(train), [], vec)  # one row of as many numbers as a vector has
+    moved = F.zip_with(F.transform(vec, lambda x: x.cast("double")), F.col("mean"), lambda x, m: x - m)
+    z = F.zip_with(moved, F.col("var"), lambda x, v: x / F.when(v > 0, F.sqrt(v)).otherwise(1.0))
+    return df.crossJoin(F.broadcast(fitted)).select(*keys, F.posexplode(z).alias("dim", "z"))
 
 
 def sample_rows(df: DataFrame, key: str, limit: int = SAMPLE_ROWS) -> DataFrame:
@@ -82,7 +99,8 @@ def depth_health(emb: DataFrame, item: str = "item", layer: str = "layer_id", ve
         F.avg(F.try_divide(F.col("vu"), F.sqrt(F.col("vv")) * F.sqrt(F.col("uu")))).alias("cos"),
         F.when(F.count("uu") > 0, F.sqrt(F.sum(F.when(F.col("uu").isNotNull(), change)) / F.sum(F.when(F.col("uu").isNotNull(), F.col("dim"))))).alias("moved"),
     )
-    spread = long_form(own, [layer], "v").groupBy(layer, "dim").agg(F.var_pop("x").alias("var")).groupBy(layer).agg(F.sqrt(F.avg("var")).alias("spread"))
+    mean_of = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.greatest(x, F.lit(0.0))) / F.size(a)
+    spread = _moments(own, [layer], "v").select(layer, F.sqrt(mean_of(F.col("var"))).alias("spread"))
     out = per.join(spread, layer)
     delta = F.try_divide(F.col("moved"), F.when(F.col("rms") > 0, F.col("rms")))
     return out.select(layer, "rms", F.coalesce(F.try_divide("spread", F.when(F.col("rms") > 0, F.col("rms"))), F.lit(0.0)).alias("rel_std"), "cos", delta.alias("delta"), F.coalesce(delta <= ROUND_OFF[dtype], F.lit(False)).alias("frozen"), (F.col("rms") <= floor).alias("degenerate"))
@@ -115,3 +133,14 @@ def best_layer(scores: DataFrame, health: DataFrame, layer: str = "layer_id", sc
     guarded = all_.join(usable, layer).withColumn("r", F.row_number().over(rank())).where("r = 1").select(F.col(layer).alias("best_layer"), F.col("s").alias("best_score"))
     count = all_.join(usable.withColumn("u", F.lit(1)), layer, "left").agg(F.count("u").alias("considered"), F.count_if(F.col("u").isNull()).alias("excluded"))
     return guarded.crossJoin(naive).crossJoin(count)
+
+
+def padding_efficiency(batches: DataFrame) -> DataFrame:
+    """The share of real tokens in padded batches (batch, length): 1 if there are none."""
+    each = batches.groupBy("batch").agg(F.sum("length").alias("tokens"), (F.max("length") * F.count(F.lit(1))).alias("slots"))
+    return each.agg(F.coalesce(F.try_divide(F.sum("tokens"), F.sum("slots")), F.lit(1.0)).alias("efficiency"))
+
+
+def overflow_counts(windows: DataFrame, by: str, item: str, over: Column) -> DataFrame:
+    """Windows, items and items over the context of each split."""
+    return windows.groupBy(by).agg(F.count(F.lit(1)).alias("n_windows"), F.countDistinct(item).alias("n_items"), F.countDistinct(F.when(over, F.col(item))).alias("n_overflow"))
