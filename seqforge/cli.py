@@ -15,13 +15,13 @@ def _models(args) -> None:
 
 
 def _tasks(args) -> None:
-    print("genes\tembed\nvariants\tvariant_llr or score")
+    print("genes\tembed\ngenes-layer-sweep\tembed\nenzymes\tembed\nenzymes-layer-sweep\tembed\nvariants\tvariant_llr or score")
 
 
 def _model(spec: dict):
     from .models import registry
 
-    settings = {k: v for k, v in spec.items() if k not in ("model", "adapter_version")}
+    settings = {k: v for k, v in spec.items() if k not in ("model", "adapter_version", "weights", "revision")}
     made = registry.get("model", spec["model"])(**settings)
     wanted = spec.get("adapter_version")
     if wanted is not None and wanted != getattr(made, "version", "1"):
@@ -31,22 +31,32 @@ def _model(spec: dict):
 
 def _run(args) -> None:
     import yaml
+    from pyspark.sql import functions as F
 
     from .operators.control import expand_env, run_tasks
     from .plans import stand_ins
-    from .plans.tasks import GeneTask, VariantTask
+    from .plans.tasks import EnzymeTask, GeneTask, VariantTask
     from .session import session
-    from .sources.tables import load_splits
+    from .sources.tables import load_assays, load_enzymes, load_splits
 
     spec = expand_env(yaml.safe_load(Path(args.model).read_text()))
     spark = session(master=args.master)
     if args.manifest:
-        load = lambda s: load_splits(s, args.manifest).withColumnsRenamed({"gene_idx": "doc_id", "sequence": "seq", "genome_name": "genome"})
+        genes = lambda s: load_splits(s, args.manifest).withColumnsRenamed({"id": "doc_id", "sequence": "seq", "genome_name": "genome"})
     else:
-        load = lambda s: stand_ins.seqs(s, args.tables)
-    tasks = {"genes": GeneTask("genes", load), "variants": VariantTask("variants", lambda s: stand_ins.variants(s, args.tables))}
+        genes = lambda s: stand_ins.labelled(s, args.tables)
+    enzymes = (lambda s: load_enzymes(s, args.enzymes).withColumn("row_idx", F.col("id"))) if args.enzymes else (lambda s: stand_ins.enzymes(s, args.tables))
+    variants = (lambda s: load_assays(s, args.assays)) if args.assays else (lambda s: stand_ins.numbered_variants(s, args.tables))
+    tasks = {"variants": VariantTask("variants", variants, args.assays)}
+    for swept in (False, True):
+        name = "-layer-sweep" * swept
+        tasks["genes" + name] = GeneTask("genes" + name, genes, "genes", swept, manifest=args.manifest)
+        tasks["enzymes" + name] = EnzymeTask("enzymes" + name, enzymes, corpus="enzymes", sweep=swept, manifest=args.enzymes)
     began = time.time()
-    record = run_tasks(_model(spec), [tasks[t] for t in args.tasks.split(",")], spark, args.results, args.benchmark, spec)
+    told = lambda line: print(line, file=sys.stderr)
+    record = run_tasks(_model(spec), [tasks[t] for t in args.tasks.split(",")], spark, args.results, args.benchmark, spec, told=told)
+    for line in record["warnings"]:
+        print(f"warning: {line}", file=sys.stderr)
     for t in record["tasks"]:
         print(f"{t['task']}\t{t['status']}\t{t['metrics'].get(t['primary_metric'] or '', '')}")
     print(f"{time.time() - began:.0f} s", file=sys.stderr)
@@ -87,6 +97,8 @@ def main(argv: list[str] | None = None) -> None:
     run.add_argument("--model", required=True, help="a YAML file: model, and its settings")
     run.add_argument("--tasks", default="genes,variants")
     run.add_argument("--manifest", help="of gene splits; else the stand-in tables")
+    run.add_argument("--enzymes", help="a manifest of enzyme splits")
+    run.add_argument("--assays", help="a manifest of assays")
     run.add_argument("--tables", default="/root/testdata/sf0.01")
     run.add_argument("--benchmark", default="default")
     run.add_argument("--results", default="results")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features
 from ..functions import sequences as S
-from ..models import EchoModel, batched
+from ..models import BASES, EchoModel, KmerModel, SequenceModel, batched
 from ..operators import control, metrics, probes, results, tensors, vectors
 from ..sources import tables
 from . import stand_ins as L
@@ -39,7 +40,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark, d):
-    out = tasks.essentiality(L.seqs(spark, d), k=3, width=1000)
+    out = tasks.essentiality(L.labelled(spark, d), k=3, width=1000)
     return out.select("genome", "n_genes", "n_essential", "scored", F.round("auroc", 6).alias("auroc"), F.round("auprc", 6).alias("auprc"))
 
 
@@ -51,15 +52,41 @@ def _named(df, **columns):
     return df.select(*[c.alias(n) if isinstance(c, F.Column) else F.col(c).alias(n) for n, c in columns.items()])
 
 
+class CodeModel(SequenceModel):
+    """Logits of a place by the letters' codes, and sequences by their share of G and C, so that SQL can say the same."""
+
+    name, capabilities, n_layers = "code", frozenset({"variant_llr", "embed"}), 1
+
+    def site_logits(self, reference, pos0):
+        return [ord(c) / (1.0 + pos0) for c in BASES]
+
+    def embed(self, seqs, layers="last"):
+        return np.array([[[sum(c in "GC" for c in s) / max(1, len(s))]] for s in seqs])
+
+
+class ScoreModel(EchoModel):
+    """The echo model without log-odds of sites."""
+
+    name, capabilities = "echo-score", frozenset({"score"})
+
+
+def _result(spark, record, keys):
+    """metric, value of the one task of a record; its error raises."""
+    task = record["tasks"][0]
+    if task["status"] != "ok":
+        raise ValueError(task["metadata"])
+    return spark.createDataFrame([(k, float(task["metrics"][k])) for k in keys if k in task["metrics"]], "metric string, value double").withColumn("value", F.round("value", 7))
+
+
 # -- sources --------------------------------------------------------------------------------------
-@query(f"""WITH {L.SEQS}, g AS (SELECT CASE WHEN doc_id % 97 = 0 THEN '' ELSE genome END AS genome_name, CASE WHEN doc_id % 193 = 0 THEN 'other' ELSE genus END AS genus,
+@query(f"""WITH {L.LABELLED}, g AS (SELECT CASE WHEN doc_id % 97 = 0 THEN '' ELSE genome END AS genome_name, CASE WHEN doc_id % 193 = 0 THEN 'other' ELSE genus END AS genus,
   CASE WHEN doc_id % 61 = 0 THEN 'x' ELSE CAST(essential AS VARCHAR) END AS essential, CASE WHEN doc_id % 89 = 0 THEN '' ELSE seq END AS sequence FROM seqs),
 p AS (SELECT 'empty genome' AS problem, count(*) FILTER (genome_name = '') AS n FROM g UNION ALL SELECT 'label not 0 or 1', count(*) FILTER (essential NOT IN ('0', '1')) FROM g
   UNION ALL SELECT 'empty sequence', count(*) FILTER (sequence = '') FROM g
   UNION ALL SELECT 'genus differs within a genome', count(*) FROM (SELECT genome_name FROM g GROUP BY 1 HAVING count(DISTINCT genus) > 1)
   UNION ALL SELECT 'no rows', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM g) SELECT problem, CAST(n AS BIGINT) AS n FROM p WHERE n > 0""")
 def scan_contract_violations(spark, d):
-    s, i = L.seqs(spark, d), F.col("doc_id")
+    s, i = L.labelled(spark, d), F.col("doc_id")
     rows = _named(s, genome_name=F.when(i % 97 == 0, "").otherwise(F.col("genome")), genus=F.when(i % 193 == 0, "other").otherwise(F.col("genus")), essential=F.when(i % 61 == 0, "x").otherwise(F.col("essential").cast("string")), sequence=F.when(i % 89 == 0, "").otherwise(F.col("seq")))
     return tables.gene_violations(rows)
 
@@ -71,16 +98,15 @@ def wildtype_drop(spark, d):
     return tables.drop_wild_types(v).groupBy("dms_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dms_score"), 2).alias("total"))
 
 
-@query(f"""WITH {L.SEQS} SELECT split, count(DISTINCT genome) AS n_genomes, count(*) AS n_genes, CAST(sum(essential) AS BIGINT) AS n_essential, CAST(sum(length(seq)) AS BIGINT) AS total_nt,
+@query(f"""WITH {L.LABELLED} SELECT split, count(DISTINCT genome) AS n_genomes, count(*) AS n_genes, CAST(sum(essential) AS BIGINT) AS n_essential, CAST(sum(length(seq)) AS BIGINT) AS total_nt,
   CAST(min(length(seq)) AS INTEGER) AS min_nt, CAST(max(length(seq)) AS INTEGER) AS max_nt, round(avg(length(seq)), 6) AS avg_nt, string_agg(DISTINCT genus, ',' ORDER BY genus) AS genera FROM seqs GROUP BY split""")
 def split_stats(spark, d):
-    return tables.split_stats(L.seqs(spark, d).withColumnsRenamed({"genome": "genome_name", "seq": "sequence"})).withColumn("avg_nt", F.round("avg_nt", 6))
+    return tables.split_stats(L.labelled(spark, d).withColumnsRenamed({"genome": "genome_name", "seq": "sequence"})).withColumn("avg_nt", F.round("avg_nt", 6))
 
 
-@query(f"""WITH {L.SEQS} SELECT split, count(DISTINCT genome) AS genomes, count(*) AS genes, CAST(sum(essential) AS BIGINT) AS essential, round(100.0 * sum(essential) / count(*), 4) AS percent FROM seqs GROUP BY split""")
+@query(f"""WITH {L.LABELLED} SELECT split, count(DISTINCT genome) AS genomes, count(*) AS genes, CAST(sum(essential) AS BIGINT) AS essential, round(100.0 * sum(essential) / count(*), 4) AS percent FROM seqs GROUP BY split""")
 def manifest_summary(spark, d):
-    g = L.seqs(spark, d).groupBy("split").agg(F.countDistinct("genome").alias("genomes"), F.count(F.lit(1)).alias("genes"), F.sum(F.col("essential").cast("long")).alias("essential"))
-    return g.withColumn("percent", F.round(F.lit(100.0) * F.col("essential") / F.col("genes"), 4))
+    return tables.manifest_summary(L.labelled(spark, d), "genome").withColumn("percent", F.round("percent", 4))
 
 
 @query(f"""WITH {L.SEQS}, f AS (SELECT genome, min(doc_id) AS first FROM seqs GROUP BY 1 ORDER BY 2, 1 LIMIT 7) SELECT doc_id, genome FROM seqs WHERE genome IN (SELECT genome FROM f)""")
@@ -91,13 +117,12 @@ def first_n_groups(spark, d):
 @query(f"""WITH {L.SEQS}, f AS (SELECT genome, min(doc_id) AS first FROM seqs GROUP BY 1 ORDER BY 2, 1 LIMIT 7) SELECT round(count(*) / CAST(count(*) FILTER (genome IN (SELECT genome FROM f)) AS DOUBLE), 6) AS ratio FROM seqs""")
 def extrapolation_ratio(spark, d):
     s = L.seqs(spark, d)
-    part = tables.first_groups(s, "genome", "doc_id", 7).agg(F.count(F.lit(1)).cast("double").alias("part"))
-    return s.agg(F.count(F.lit(1)).alias("whole")).crossJoin(part).select(F.round(F.col("whole") / F.col("part"), 6).alias("ratio"))
+    return tables.extrapolation_ratio(s, tables.first_groups(s, "genome", "doc_id", 7)).select(F.round("ratio", 6).alias("ratio"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def sha256_rows(spark, d):
-    return L.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return tables.sequence_digests(L.table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("""SELECT doc_id, 'c' || k AS contig, k AS start, k + 9 AS "end", CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST((doc_id + k) % 2 AS INTEGER) AS essential
@@ -112,12 +137,12 @@ def flatten_genomes(spark, d):
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_type = 'ECONOMY' AND p_brand = 'Brand#2'")
 def assay_selection(spark, d):
-    return L.table(spark, d, "part").where("p_type = 'ECONOMY' AND p_brand = 'Brand#2'").select("p_partkey", "p_name")
+    return tables.select_assays(L.table(spark, d, "part"), p_type="ECONOMY", p_brand="Brand#2").select("p_partkey", "p_name")
 
 
 @query(f"WITH {L.VARIANTS} SELECT dms_id, count(*) AS n_rows, CAST(max(length(sequence)) AS INTEGER) AS cds_len FROM variants GROUP BY dms_id")
 def source_stats(spark, d):
-    return L.variants(spark, d).groupBy("dms_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.length("sequence")).alias("cds_len"))
+    return tables.source_stats(L.variants(spark, d))
 
 
 # -- sequences ------------------------------------------------------------------------------------
@@ -238,8 +263,8 @@ def echo_score(spark, d):
 
 @query(f"WITH {L.SEQS}, {_ECHO}, m AS (SELECT coalesce(s / n, 0.0) AS x FROM seqs LEFT JOIN e USING (doc_id)) SELECT round(avg(x), 8) AS mean, round(min(x), 9) AS least, round(max(x), 9) AS most FROM m")
 def score_summary(spark, d):
-    x = L.seqs(spark, d).select(features.echo_mean(F.col("seq")).alias("x"))
-    return x.agg(F.round(F.avg("x"), 8).alias("mean"), F.round(F.min("x"), 9).alias("least"), F.round(F.max("x"), 9).alias("most"))
+    x = metrics.score_summary(L.seqs(spark, d).select(features.echo_mean(F.col("seq")).alias("x")), "x")
+    return x.select(F.round("mean", 8).alias("mean"), F.round("least", 9).alias("least"), F.round("most", 9).alias("most"))
 
 
 @query()
@@ -253,12 +278,13 @@ def echo_llr(spark, d):
     return EchoModel().variant_llrs(v.dropDuplicates(["key"]), "key")
 
 
-@query(f"""WITH {L.VARIANTS}, {_MUTS}, distinct_sites AS (SELECT DISTINCT sequence, pos0, wt, mut FROM sites) SELECT dms_id, (SELECT count(*) FROM distinct_sites) AS n_scored, count(*) AS n_sites, round(sum((ascii(mut) - ascii(wt)) / (1.0 + pos0)), 6) AS llr FROM sites GROUP BY dms_id""")
+@query(f"""WITH {L.VARIANTS}, {_MUTS}, distinct_sites AS (SELECT DISTINCT sequence, pos0 FROM sites) SELECT dms_id, (SELECT count(*) FROM distinct_sites) AS n_scored, count(*) AS n_sites, round(sum((ascii(mut) - ascii(wt)) / (1.0 + pos0)), 6) AS llr FROM sites GROUP BY dms_id""")
 def llr_dedup_join(spark, d):
-    v = L.variants(spark, d).where(S.scoreable(F.col("mutant"))).select("dms_id", "sequence", F.explode(S.parse_mutant(F.col("mutant"))).alias("m")).select("dms_id", "sequence", "m.*")
-    each = v.dropDuplicates(["sequence", "pos0", "wt", "mut"]).select("sequence", "pos0", "wt", "mut", ((F.ascii("mut") - F.ascii("wt")) / (F.lit(1.0) + F.col("pos0"))).alias("llr"))
-    n = each.agg(F.count(F.lit(1)).alias("n_scored"))
-    return v.join(each, ["sequence", "pos0", "wt", "mut"]).groupBy("dms_id").agg(F.count(F.lit(1)).alias("n_sites"), F.round(F.sum("llr"), 6).alias("llr")).crossJoin(n)
+    v = L.variants(spark, d).where(S.scoreable(F.col("mutant"))).withColumn("mutations", S.parse_mutant(F.col("mutant"))).withColumn("reference", F.col("sequence")).withColumn("_id", F.struct("dms_id", "variant_idx"))
+    llr = CodeModel().variant_llrs(v, "_id").groupBy("_id.dms_id").agg(F.round(F.sum("llr"), 6).alias("llr"))
+    sites = v.select("dms_id", "reference", F.explode("mutations.pos0").alias("pos0"))
+    n = sites.select("reference", "pos0").distinct().agg(F.count(F.lit(1)).alias("n_scored"))
+    return llr.join(sites.groupBy("dms_id").agg(F.count(F.lit(1)).alias("n_sites")), "dms_id").crossJoin(n)
 
 
 def _pool(how, sql):
@@ -274,8 +300,8 @@ for _h, _q in (("mean", "avg(x)"), ("max", "max(x)"), ("last", "arg_max(x, item)
 
 @query(f"WITH {L.SEQS}, b AS (SELECT doc_id // 32 AS batch, sum(length(seq)) AS t, max(length(seq)) * count(*) AS slots FROM seqs GROUP BY 1) SELECT round(CAST(sum(t) AS DOUBLE) / sum(slots), 9) AS efficiency FROM b")
 def padding_efficiency(spark, d):
-    b = L.seqs(spark, d).groupBy(F.expr("doc_id div 32").alias("batch")).agg(F.sum(F.length("seq")).alias("t"), (F.max(F.length("seq")) * F.count(F.lit(1))).alias("slots"))
-    return b.agg(F.round(F.coalesce(F.try_divide(F.sum("t"), F.sum("slots")), F.lit(1.0)), 9).alias("efficiency"))
+    b = L.seqs(spark, d).select(F.expr("doc_id div 32").alias("batch"), F.length("seq").alias("length"))
+    return vectors.padding_efficiency(b).select(F.round("efficiency", 9).alias("efficiency"))
 
 
 @query()
@@ -293,7 +319,7 @@ def window_mean(spark, d):
 @query(f"WITH {L.SEQS}, {_windows_sql(100, 68)} SELECT split, count(*) AS n_windows, count(DISTINCT doc_id) AS n_items, count(DISTINCT doc_id) FILTER (length(seq) > 100) AS n_overflow FROM w JOIN (SELECT doc_id, split FROM seqs) USING (doc_id) GROUP BY split")
 def overflow_counts(spark, d):
     w = L.seqs(spark, d).select("split", "doc_id", F.length("seq").alias("n"), F.explode(S.windows(F.col("seq"), 100)).alias("w"))
-    return w.groupBy("split").agg(F.count(F.lit(1)).alias("n_windows"), F.countDistinct("doc_id").alias("n_items"), F.countDistinct(F.when(F.col("n") > 100, F.col("doc_id"))).alias("n_overflow"))
+    return vectors.overflow_counts(w, "split", "doc_id", F.col("n") > 100)
 
 
 @query(f"WITH {L.EMB}, n AS (SELECT item, layer_id, sqrt(sum(x * x)) AS v FROM emb GROUP BY ALL) SELECT CAST(layer_id AS INTEGER) AS layer_id, round(avg(v), 9) AS norm FROM n GROUP BY layer_id")
@@ -464,9 +490,9 @@ def best_layer(spark, d):
 @query(f"WITH {_SCORES} SELECT concat('layer_', layer_id, '_score') AS metric, score AS value FROM sc UNION ALL SELECT 'best_layer', CAST((SELECT layer_id FROM sc ORDER BY score DESC, layer_id LIMIT 1) AS DOUBLE) UNION ALL SELECT 'score', max(score) FROM sc")
 def wide_sweep(spark, d):
     s = _layer_scores(spark, d)
-    best = vectors.best_layer(s, s.select("layer_id", F.lit(False).alias("degenerate")))
-    named = F.array(F.struct(F.lit("best_layer").alias("metric"), F.col("best_layer").cast("double").alias("value")), F.struct(F.lit("score").alias("metric"), F.col("best_score").alias("value")))
-    return s.select(F.concat(F.lit("layer_"), F.col("layer_id").cast("string"), F.lit("_score")).alias("metric"), F.col("score").alias("value")).unionByName(best.select(F.explode(named).alias("x")).select("x.*"))
+    found = {r.layer_id: {"score": r.score} for r in s.collect()}  # a row a layer
+    _, wide = tasks.choose_layer(spark, found, None, "score")
+    return spark.createDataFrame(list(wide.items()), "metric string, value double")
 
 
 # -- control --------------------------------------------------------------------------------------
@@ -495,8 +521,7 @@ def fusion_plan(spark, d):
 
 @query(f"WITH {L.SEQS} SELECT genome, substr(sha256(concat(CAST(count(*) AS VARCHAR), chr(0), string_agg(seq, chr(0) ORDER BY doc_id))), 1, 24) AS corpus_key FROM seqs GROUP BY genome")
 def corpus_key(spark, d):
-    g = L.seqs(spark, d).groupBy("genome").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "seq"))), lambda x: x["seq"]).alias("s"))
-    return g.select("genome", features.corpus_key_column(F.col("s")).alias("corpus_key"))
+    return features.corpus_keys(L.seqs(spark, d), "genome", "doc_id", "seq")
 
 
 # -- result tables --------------------------------------------------------------------------------
@@ -656,3 +681,63 @@ def sweep_coverage(spark, d):
 def mixed_readouts(spark, d):
     tap = F.when(F.col("event_id") % 2 == 0, "blocks.3").otherwise("blocks.3.mlp.l2")
     return tensors.mixed_readouts(L.table(spark, d, "events").select(F.col("event_type").alias("model"), tap.alias("tap")))
+
+
+# -- tasks ----------------------------------------------------------------------------------------
+_GENE_RANKS = """gene AS (SELECT genome, split, essential AS y, (length(seq) - length(translate(seq, 'GC', ''))) / CAST(greatest(1, length(seq)) AS DOUBLE) AS gc FROM seqs),
+  dir AS (SELECT CASE WHEN avg(gc) FILTER (y = 1) >= avg(gc) FILTER (y = 0) THEN 1 ELSE -1 END AS up FROM gene WHERE split = 'train'),
+  preds AS (SELECT genome, y, gc * up AS score FROM gene, dir WHERE split = 'test')"""
+
+
+@query(f"""WITH {L.LABELLED}, {_GENE_RANKS}, {_RANK}, g AS (SELECT genome FROM preds GROUP BY 1 HAVING min(y) < max(y))
+  SELECT 'mean_auroc' AS metric, round(avg(auroc), 7) AS value FROM a JOIN g USING (genome) UNION ALL SELECT 'median_auroc', round(median(auroc), 7) FROM a JOIN g USING (genome)
+  UNION ALL SELECT 'n_scored', CAST(count(*) AS DOUBLE) FROM g""".replace("(sum(y) * (count(*) - sum(y)))", "nullif(sum(y) * (count(*) - sum(y)), 0)"))
+def gene_task(spark, d):
+    return _result(spark, control.run_tasks(CodeModel(), [tasks.GeneTask("genes", lambda s: L.labelled(s, d))], spark), ["mean_auroc", "median_auroc", "n_scored"])
+
+
+_ECHO_OF = "round((" + " + ".join(f"(length(sequence) - length(replace(sequence, '{c}', ''))) * CAST({features.echo_value(ord(c))!r} AS DOUBLE)" for c in "ACGT") + ") / length(sequence), 12)"
+
+
+@query(f"""WITH {L.VARIANTS.replace("variants AS", "v0 AS")}, variants AS (SELECT * REPLACE ({_ECHO_OF} AS model_score) FROM v0), {_SPEAR}, {_SPLIT}, {_MAUC}, t AS (SELECT rna_type, avg(spearman) AS s, avg(greatest(auc, 1 - auc)) AS u FROM sp JOIN ha USING (dms_id) GROUP BY 1)
+  SELECT 'spearman' AS metric, round(avg(s), 7) AS value FROM t UNION ALL SELECT 'auc', round(avg(u), 7) FROM t""")
+def variant_task(spark, d):
+    return _result(spark, control.run_tasks(ScoreModel(), [tasks.VariantTask("variants", lambda s: L.numbered_variants(s, d))], spark), ["spearman", "auc"])
+
+
+@query(f"WITH {L.ENZYMES} SELECT 'macro_f1' AS metric, 1.0::DOUBLE AS value UNION ALL SELECT 'accuracy', 1.0::DOUBLE UNION ALL SELECT 'n_classes', CAST(count(DISTINCT label) AS DOUBLE) FROM enzymes WHERE split = 'test'")
+def ec_macro_f1(spark, d):
+    return _result(spark, control.run_tasks(KmerModel(2), [tasks.EnzymeTask("enzymes", lambda s: L.enzymes(s, d))], spark), ["macro_f1", "accuracy", "n_classes"])
+
+
+@query(f"""WITH {L.ENZYMES}, r AS (SELECT CASE WHEN row_idx % 11 = 0 THEN '' ELSE entry END AS entry, CASE WHEN row_idx % 13 = 0 THEN '' ELSE label END AS label, CASE WHEN row_idx % 17 = 0 THEN '' ELSE sequence END AS sequence FROM enzymes),
+  p AS (SELECT 'empty entry' AS problem, count(*) FILTER (entry = '') AS n FROM r UNION ALL SELECT 'empty sequence', count(*) FILTER (sequence = '') FROM r UNION ALL SELECT 'empty label', count(*) FILTER (label = '') FROM r) SELECT problem, CAST(n AS BIGINT) AS n FROM p WHERE n > 0""")
+def enzyme_contract(spark, d):
+    blank = lambda c, k: F.when(F.col("row_idx") % k == 0, "").otherwise(F.col(c)).alias(c)
+    return tables.enzyme_violations(L.enzymes(spark, d).select(blank("entry", 11), blank("label", 13), blank("sequence", 17)))
+
+
+_SWEEP = f"""{L.EMB}, one AS (SELECT item, layer_id, CASE WHEN label < 3 THEN 1 ELSE 0 END AS y, CASE WHEN layer_id = 2 THEN 0 ELSE x END AS x FROM emb WHERE dim = 0),
+  up AS (SELECT layer_id, CASE WHEN avg(x) FILTER (y = 1) >= avg(x) FILTER (y = 0) THEN 1 ELSE -1 END AS up FROM one WHERE item % 5 <> 0 GROUP BY 1),
+  r AS (SELECT layer_id, y, rank() OVER (PARTITION BY layer_id ORDER BY x * up) + (count(*) OVER (PARTITION BY layer_id, x * up) - 1) / 2.0 AS rk FROM one JOIN up USING (layer_id) WHERE item % 5 = 0),
+  sc AS (SELECT layer_id, round((sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 7) AS score FROM r GROUP BY 1)"""
+
+
+@query(f"""WITH {_SWEEP} SELECT concat('layer_', layer_id, '_auroc') AS metric, score AS value FROM sc UNION ALL SELECT 'auroc', score FROM (SELECT score FROM sc WHERE layer_id <> 2 ORDER BY score DESC, layer_id LIMIT 1)
+  UNION ALL SELECT 'best_layer', CAST(layer_id AS DOUBLE) FROM (SELECT layer_id FROM sc WHERE layer_id <> 2 ORDER BY score DESC, layer_id LIMIT 1)""")
+def layer_sweep(spark, d):
+    e = L.emb(spark, d).withColumn("vec", F.when(F.col("layer_id") == 2, F.array(F.lit(0.0))).otherwise(F.slice("vec", 1, 1)))
+    rows = L.table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), (F.col("label") < 3).cast("int").alias("y"), F.lit(1).alias("all"))
+
+    def measure(layer):
+        out = probes.probe(layer, "y", F.col("item") % 5 != 0, tol=1e-8)
+        return {"auroc": round(metrics.auroc(out, ["all"], "y", "prob").first().auroc, 7)}
+
+    found, health = tasks.sweep(rows, e.select("item", "layer_id", "vec"), "item", measure)
+    _, wide = tasks.choose_layer(spark, found, health, "auroc")
+    return spark.createDataFrame(list(wide.items()), "metric string, value double")
+
+
+@query("SELECT 'genes' AS task, CAST(1 AS INTEGER) AS k, CAST(1.0 AS DOUBLE) AS floor")
+def floor_k1_6(spark, d):
+    return results.floor(tasks.kmer_floors(spark, [tasks.GeneTask("genes", lambda s: L.rich_genes(s, d))])).select("task", "k", F.round("floor", 7).alias("floor"))

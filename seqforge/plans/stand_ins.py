@@ -17,12 +17,18 @@ def seqs(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id", F.col("quality").alias("essential"))
     seq = F.regexp_replace(normalize(F.col("text")), "[^ACGTN]", "")
     own = docs.select("doc_id", seq.alias("seq"), F.concat("lang", F.lit("/"), "source").alias("genome"), F.col("lang").alias("genus"))
-    return own.join(labels, "doc_id").withColumn("split", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train"))
+    return own.join(labels, "doc_id", "left").withColumn("split", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train"))
+
+
+def labelled(spark, d):
+    """The sequences with a label."""
+    return seqs(spark, d).where("essential IS NOT NULL")
 
 
 _SEQ = r"regexp_replace(translate(upper(regexp_replace(text, '^\s+|\s+$', '', 'g')), 'U', 'T'), '[^ACGTN]', '', 'g')"
 SEQS = rf"""seqs AS (SELECT doc_id, {_SEQ} AS seq, concat(lang, '/', source) AS genome, lang AS genus, quality AS essential,
-  CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents JOIN labels USING (doc_id))"""
+  CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents LEFT JOIN labels USING (doc_id))"""
+LABELLED = SEQS.replace("LEFT JOIN labels USING (doc_id)", "JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
 
 
 def variants(spark, d):
@@ -31,10 +37,10 @@ def variants(spark, d):
     mutant = F.when(n == 1, "").when(n == 2, "NaN").when(n == 3, F.concat(base(0), n.cast("string"), base(1), F.lit(":"), base(2), (n + 4).cast("string"), base(3))).otherwise(F.concat(base(0), n.cast("string"), base(1)))
     seq = F.repeat(F.substring(F.lit("ACGTTGCAACGGT"), (F.col("l_partkey") % 5 + 1).cast("int"), F.lit(8)), (F.col("l_suppkey") % 4 + 1).cast("int"))
     li = table(spark, d, "lineitem")
-    return li.select(F.concat("l_returnflag", "l_linestatus").alias("dms_id"), F.col("l_returnflag").alias("rna_type"), "l_orderkey", F.col("l_linenumber").alias("variant_idx"), mutant.alias("mutant"), seq.alias("sequence"), F.col("l_extendedprice").alias("dms_score"), F.col("l_quantity").alias("model_score"))
+    return li.select(F.concat("l_returnflag", "l_linestatus").alias("dms_id"), F.col("l_returnflag").alias("rna_type"), "l_orderkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("variant_idx"), mutant.alias("mutant"), seq.alias("sequence"), F.col("l_extendedprice").alias("dms_score"), F.col("l_quantity").alias("model_score"))
 
 
-VARIANTS = """variants AS (SELECT concat(l_returnflag, l_linestatus) AS dms_id, l_returnflag AS rna_type, l_orderkey, l_linenumber AS variant_idx,
+VARIANTS = """variants AS (SELECT concat(l_returnflag, l_linestatus) AS dms_id, l_returnflag AS rna_type, l_orderkey, l_orderkey * 8 + l_linenumber AS variant_idx,
   CASE WHEN l_linenumber = 1 THEN '' WHEN l_linenumber = 2 THEN 'NaN'
        WHEN l_linenumber = 3 THEN concat(substr('ACGT', l_linenumber % 4 + 1, 1), l_linenumber, substr('ACGT', (l_linenumber + 1) % 4 + 1, 1), ':', substr('ACGT', (l_linenumber + 2) % 4 + 1, 1), l_linenumber + 4, substr('ACGT', (l_linenumber + 3) % 4 + 1, 1))
        ELSE concat(substr('ACGT', l_linenumber % 4 + 1, 1), l_linenumber, substr('ACGT', (l_linenumber + 1) % 4 + 1, 1)) END AS mutant,
@@ -42,6 +48,11 @@ VARIANTS = """variants AS (SELECT concat(l_returnflag, l_linestatus) AS dms_id,
   l_extendedprice AS dms_score, l_quantity AS model_score FROM lineitem)"""
 
 
+def numbered_variants(spark, d):
+    """The variants with a number of each row in place of their own, which repeats."""
+    return variants(spark, d).withColumn("variant_idx", F.monotonically_increasing_id())
+
+
 def preds(spark, d):
     return table(spark, d, "events").select("event_id", (F.col("user_id") % 5).alias("genome"), (F.col("event_type") == "error").cast("int").alias("y"), F.col("value").alias("score"), (F.col("value") / 100 - F.floor(F.col("value") / 100)).alias("prob"))
 
@@ -90,3 +101,20 @@ def models(spark, d):
 
 
 MODELS = "models AS (SELECT concat('m', n_nationkey) AS model, n_name AS model_id FROM nation WHERE n_nationkey < 6)"
+
+
+def enzymes(spark, d):
+    """A sequence for each supplier, of one of three motifs by its class."""
+    key = F.col("s_suppkey")
+    motif = F.when(key % 3 == 0, "ACCA").when(key % 3 == 1, "GTTG").otherwise("AGGA")
+    return table(spark, d, "supplier").select(key.alias("row_idx"), F.col("s_name").alias("entry"), F.concat(F.lit("1.1.1."), (key % 3).cast("string")).alias("label"), F.repeat(motif, (key % 7 + 9).cast("int")).alias("sequence"), F.when(key % 4 == 0, "test").otherwise("train").alias("split"))
+
+
+ENZYMES = """enzymes AS (SELECT s_suppkey AS row_idx, s_name AS entry, concat('1.1.1.', s_suppkey % 3) AS label, repeat(CASE s_suppkey % 3 WHEN 0 THEN 'ACCA' WHEN 1 THEN 'GTTG' ELSE 'AGGA' END, CAST(s_suppkey % 7 + 9 AS INTEGER)) AS sequence, CASE WHEN s_suppkey % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM supplier)"""
+
+
+def rich_genes(spark, d):
+    """A gene for each supplier, of A and C if it is essential, else of T and G."""
+    key = F.col("s_suppkey")
+    seq = F.repeat(F.when(key % 2 == 1, "ACAAC").otherwise("TGTTG"), (key % 5 + 10).cast("int"))
+    return table(spark, d, "supplier").select(key.alias("doc_id"), seq.alias("seq"), F.concat(F.lit("g"), (key % 3).cast("string")).alias("genome"), (key % 2).cast("int").alias("essential"), F.when(key % 4 > 1, "test").otherwise("train").alias("split"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import features
 from ..functions.sequences import assay_check, enzyme_windows, gene_windows, parse_mutant, scoreable
 from ..operators import metrics, probes, vectors
-from ..operators.control import TaskResult
+from ..operators.control import Reuse, TaskResult, run_tasks
 
 
 def gene_vectors(genes: DataFrame, key: str, seq: str, k: int, width: int | None) -> DataFrame:
@@ -50,43 +50,147 @@ def variant_items(variants: DataFrame) -> DataFrame:
     return parsed.join(F.broadcast(refs.select("dms_id", "reference")), "dms_id")  # one row an assay
 
 
-class GeneTask:
-    """Essentiality as a task of the run loop: genes from prepare, any model that embeds."""
+def _vectors(model, rows: DataFrame, key: str, windows, layers: str) -> DataFrame:
+    """key, layer_id, vec: a model's vectors of the windows of each row, averaged; raises unless there is one
+    of each row and layer, without NaN."""
+    cut = rows.select(key, F.explode(windows).alias("window"))
+    made = vectors.window_mean(model.embeddings(cut, key, "window", layers), [key, "layer_id"]).persist()
+    try:
+        for layer in (r.layer_id for r in made.select("layer_id").distinct().collect()):
+            vectors.check_one_to_one(made.where(F.col("layer_id") == layer), rows, key)
+    finally:
+        made.unpersist()
+    return made
+
+
+class _Probed:
+    """A task that probes the vectors of its rows. ``sweep``: every layer is probed, and the best of those that
+    carry something is the result. Tasks of one ``corpus`` and window policy share a model's vectors."""
 
     alternatives = [["embed"]]
+    score = "score"
 
-    def __init__(self, name: str, load, k: int = 3):
-        self.name, self.load, self.k = name, load, k
+    def __init__(self, name: str, load, corpus: str | None = None, sweep: bool = False, key: str = "doc_id", manifest: str | None = None):
+        self.name, self.load, self.corpus, self.sweep, self.key, self.manifest = name, load, corpus or name, sweep, key, manifest
+        self.layers = "all" if sweep else "last"
 
     def prepare(self, spark):
         return self.load(spark)
 
-    def run(self, model, chosen, genes) -> TaskResult:
-        cut = genes.select("doc_id", F.explode(gene_windows(F.col("seq"), model.max_context)).alias("window"))
-        vec = vectors.window_mean(model.embeddings(cut, "doc_id", "window"), ["doc_id"])
-        out = probes.probe(genes.join(vec, "doc_id"), "essential", F.col("split") == "train", tol=1e-6)
+    def windows(self, model):
+        raise NotImplementedError
+
+    def measure(self, rows: DataFrame) -> dict[str, float]:
+        """Metrics of one layer's rows with their vectors."""
+        raise NotImplementedError
+
+    def run(self, model, chosen, rows, reuse=None, widest: bool = False) -> TaskResult:
+        reuse = reuse or Reuse({self.corpus: 1})
+        make = lambda: _vectors(model, rows, self.key, self.windows(model), "all" if self.sweep or widest else "last")
+        vec = reuse.get(self.corpus, make, self.layers)
+        if not self.sweep:
+            metrics_ = self.measure(rows.join(vec, self.key))
+            return TaskResult(self.name, "ok", self.score, metrics_, {"embedding_dim": len(vec.first().vec)})
+        found, health = sweep(rows, vec, self.key, self.measure)
+        best, more = choose_layer(rows.sparkSession, found, health, self.score)
+        return TaskResult(self.name, "ok", self.score, more, {"best_layer": best["best_layer"], "considered": best["considered"], "excluded": best["excluded"], "would_have_picked": best["would_have_picked"], "depth_health_measured": health is not None})
+
+
+def sweep(rows: DataFrame, vec: DataFrame, key: str, measure) -> tuple[dict[int, dict[str, float]], DataFrame | None]:
+    """Metrics of each layer, and the layers' health: None where it cannot be measured, as of one layer alone."""
+    layers = sorted(r.layer_id for r in vec.select("layer_id").distinct().collect())
+    found = {k: measure(rows.join(vec.where(F.col("layer_id") == k), key)) for k in layers}
+    if len(layers) < 2 or vec.select(F.size("vec").alias("n")).distinct().count() > 1:
+        return found, None
+    return found, vectors.depth_health(vec, key)
+
+
+def choose_layer(spark, found: dict[int, dict[str, float]], health: DataFrame | None, score: str) -> tuple[dict, dict[str, float]]:
+    """The guarded best layer, and its metrics beside those of every layer."""
+    scores = spark.createDataFrame([(k, None if m.get(score) is None else float(m[score])) for k, m in found.items()], "layer_id int, score double")
+    best = vectors.best_layer(scores, health if health is not None else scores.select("layer_id", F.lit(False).alias("degenerate"))).first().asDict()
+    wide = {f"layer_{k}_{n}": v for k, m in found.items() for n, v in m.items()}
+    return best, wide | found[best["best_layer"]] | {"best_layer": float(best["best_layer"])}
+
+
+class GeneTask(_Probed):
+    """Essentiality as a task of the run loop: genes from prepare, any model that embeds."""
+
+    score = "mean_auroc"
+
+    def windows(self, model):
+        return gene_windows(F.col("seq"), model.max_context)
+
+    def measure(self, rows):
+        out = probes.probe(rows, "essential", F.col("split") == "train", tol=1e-6)
         report = metrics.macro(metrics.group_report(out, ["genome"], "essential", "prob"), ["auroc", "auprc"]).first().asDict()
+        pooled = metrics.confusion(out, "essential", "prob").first().asDict()
+        out.unpersist()
         if not report["n_scored"]:
             raise ValueError("no genome has both classes")
-        return TaskResult(self.name, "ok", "mean_auroc", {k: float(v) for k, v in report.items() if v is not None})
+        return {k: float(v) for k, v in (report | pooled).items() if v is not None}
+
+
+class EnzymeTask(_Probed):
+    """Enzyme classes: a multinomial probe, scored by macro F1 over the test rows."""
+
+    score = "macro_f1"
+
+    def __init__(self, name: str, load, policy: str = "window", scale: bool = False, **more):
+        super().__init__(name, load, **{"key": "row_idx"} | more)
+        self.policy, self.scale = policy, scale
+
+    def windows(self, model):
+        return enzyme_windows(F.col("sequence"), model.max_context, self.policy)
+
+    def measure(self, rows):
+        out = probes.probe(rows, "label", F.col("split") == "train", scale=self.scale, multiclass=True, tol=1e-6)
+        found = metrics.macro_f1(out, "label", "predicted").first().asDict()
+        out.unpersist()
+        if found["macro_f1"] is None:
+            raise ValueError("there are no test rows")
+        return {k: float(v) for k, v in found.items()}
 
 
 class VariantTask:
-    """Variant effects: log-odds of masked sites if the model has them, else sequence scores."""
+    """Variant effects: log-odds of masked sites if the model has them, else sequence scores. A variant is
+    known by its assay and its number there; those over the model's context have no score."""
 
     alternatives = [["variant_llr"], ["score"]]
 
-    def __init__(self, name: str, load):
-        self.name, self.load = name, load
+    def __init__(self, name: str, load, manifest: str | None = None):
+        self.name, self.load, self.manifest = name, load, manifest
 
     def prepare(self, spark):
         return self.load(spark)
 
     def run(self, model, chosen, variants) -> TaskResult:
+        known = variants.withColumn("_id", F.struct("dms_id", "variant_idx"))
+        if not known.groupBy("_id").count().where("count > 1").isEmpty():
+            raise ValueError("a variant's number repeats within its assay")
         if chosen == ["variant_llr"]:
-            scored = model.variant_llrs(variant_items(variants), "variant_idx").withColumnRenamed("llr", "s")
+            items, limited = variant_items(known), F.col("reference")
+            fits = F.lit(True) if model.max_context is None else F.length(limited) <= model.max_context
+            scored = model.variant_llrs(items.where(fits), "_id").withColumnRenamed("llr", "s")
         else:
-            scored = model.scores(variants, "variant_idx", "sequence").withColumnRenamed("score", "s")
-        report = metrics.variant_report(variants.join(scored, "variant_idx", "left"), ["dms_id", "rna_type"], "dms_score", "s")
+            fits = F.lit(True) if model.max_context is None else F.length("sequence") <= model.max_context
+            scored = model.scores(known.where(fits), "_id", "sequence").withColumnRenamed("score", "s")
+        report = metrics.variant_report(known.join(scored, "_id", "left"), ["dms_id", "rna_type"], "dms_score", "s").persist()
         row = metrics.type_mean(report, "rna_type", ["spearman", "auc", "mcc"]).first().asDict()
-        return TaskResult(self.name, "ok", "spearman", {k: v for k, v in row.items() if v is not None})
+        each = {f"{r.dms_id}_spearman": r.spearman for r in report.collect() if r.spearman is not None}  # a row an assay
+        report.unpersist()
+        if not each:
+            raise ValueError("no assay could be scored")
+        n = known.agg(F.count_if(~scoreable(F.col("mutant"))).alias("unscoreable"), F.count(F.lit(1)).alias("n")).first()
+        return TaskResult(self.name, "ok", "spearman", {k: v for k, v in row.items() if v is not None} | each, {"n_variants": n.n, "n_unscoreable": n.unscoreable})
+
+
+def kmer_floors(spark, tasks: list, ks=range(1, 7)) -> DataFrame:
+    """task, k, value, status of tasks run on k-mer composition alone, for each k."""
+    from ..models import KmerModel
+
+    rows = []
+    for k in ks:
+        for t in run_tasks(KmerModel(k), tasks, spark)["tasks"]:
+            rows.append((t["task"], k, t["metrics"].get(t["primary_metric"] or ""), t["status"]))
+    return spark.createDataFrame(rows, "task string, k int, value double, status string")

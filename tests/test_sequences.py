@@ -57,13 +57,24 @@ def test_window_policies_differ_when_no_window_is_long_enough(spark):
 @pytest.mark.parametrize(
     ("mutant", "want"),
     [("C70T", [(69, "C", "T")]), ("A1C:T4G", [(0, "A", "C"), (3, "T", "G")]), ("a3u", [(2, "A", "T")]), ("A1C, T4G", [(0, "A", "C"), (3, "T", "G")])]
-    + [(x, None) for x in ("G3", "3A", "GG3A", "G3AA", "ins5A", "G3-", "", " ", "X3A", "G3Z", "A0C", None)],
+    + [(x, None) for x in ("", " ", None, "A0C")],
 )
 def test_parse_mutant(spark, mutant, want):
     got = values(spark, S.parse_mutant(F.col("m")), [(mutant,)], "m string")[0]
     assert (None if got is None else [tuple(x) for x in got]) == want
 
 
+def test_mutants_with_one_thing_wrong(spark):
+    rng = random.Random(9)
+    base = lambda: rng.choice("ACGTUacgtu")
+    spoil = [lambda w, p, m: f"{p}{m}", lambda w, p, m: f"{w}{p}", lambda w, p, m: f"{w}{m}", lambda w, p, m: f"{w}{base()}{p}{m}", lambda w, p, m: f"{w}{p}{m}{base()}", lambda w, p, m: f"{rng.choice('XZN-*1')}{p}{m}", lambda w, p, m: f"{w}{p}{rng.choice('XZN-*')}", lambda w, p, m: f"{w}-{p}{m}", lambda w, p, m: f"{w}0{m}"]
+    good = [f"{base()}{rng.randint(1, 999)}{base()}" for _ in range(20)]
+    bad = [f(base(), rng.randint(1, 999), base()) for f in spoil for _ in range(4)]
+    rows = [(g, True) for g in good] + [(b, False) for b in bad] + [(f"{rng.choice(good)}{rng.choice(',:')}{b}", False) for b in bad] + [(f"{a}:{b}", True) for a, b in zip(good, good[1:])]
+    got = spark.createDataFrame(rows, "m string, ok boolean").select("m", "ok", S.parse_mutant(F.col("m")).isNotNull().alias("parsed")).collect()
+    assert [(r.m, r.parsed) for r in got] == rows
+
+
 def test_reference_is_rebuilt_and_errors_are_counted(spark):
     rows = [("a", "A1C", "CCGT"), ("a", "G3T", "ACTT"), ("b", "A1C", "CCGT"), ("b", "A9C", "CCGT"), ("c", "A1C", "TCGT"), ("d", "A1C:C1G", "ACGT")]
     parsed = spark.createDataFrame(rows, "dms_id string, mutant string, sequence string").withColumn("mutations", S.parse_mutant(F.col("mutant")))
