@@ -2,14 +2,59 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank within the groups ``by``, ties sharing the mean of theirs."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2
+STEPS = 1024
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join by keys that may be null."""
+    named = right.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    return left.join(named, same, "left").drop(*[f"_key{i}" for i in range(len(keys))])
+
+
+def _blocks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Adds ``_block``, which never falls as the value rises within its group, -1 for null.
+
+    It counts steps of the group's range and, within one, 1/256 powers of two of the value itself, so that
+    a group is in one block only if its range is both that narrow and stretched by an outlier.
+    """
+    x = F.col(value).cast("double")
+    ends = rows.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    span = F.col("_hi") - F.col("_lo")
+    step = F.when((span > 0) & (span < float("inf")), F.floor((x - F.col("_lo")) / span * STEPS)).otherwise(F.lit(0).cast("long"))
+    power = lambda v: F.floor(F.least(F.log2(v) * 256 + 300000, F.lit(1e6)))  # noqa: E731  # above 0 for every double
+    bits = F.when(x > 0, power(x)).when(x < 0, -power(-x)).otherwise(F.lit(0).cast("long"))
+    block = F.when(x.isNull(), F.lit(-1).cast("long")).otherwise(step * (1 << 21) + bits + (1 << 20))
+    return _beside(rows, ends, by).withColumn("_block", block).drop("_lo", "_hi")
+
+
+def _running(rows: DataFrame, by: list[str], value: str, sums: list[str], down: bool = False) -> DataFrame:
+    """Adds before_<c> for each c of ``sums``: its sum over the group's rows of lower (higher if ``down``) values.
+
+    Values are distinct within a group. A task holds a block of a group, or one number for each block of it.
+    """
+    order = F.desc if down else F.asc
+    rows = _blocks(rows, by, value)
+    until = lambda keys, column: Window.partitionBy(*keys).orderBy(order(column)).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c, keys, column: F.coalesce(F.sum(c).over(until(keys, column)), F.lit(0.0))
+    totals = rows.groupBy(*by, "_block").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    totals = totals.select(*by, "_block", *[earlier(f"_{c}", by, "_block").alias(f"_{c}") for c in sums])
+    inside = rows.select("*", *[earlier(c, [*by, "_block"], value).alias(f"before_{c}") for c in sums])
+    out = _beside(inside, totals, [*by, "_block"])
+    return out.withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"_{c}") for c in sums}).drop("_block", *[f"_{c}" for c in sums])
+
+
+def average_rank(df: DataFrame, by: list[str], value: str, rank: str) -> DataFrame:
+    """by, value and its rank within the group, ties sharing the mean of theirs: a row a distinct value."""
+    each = df.groupBy(*by, value).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return _running(each, by, value, ["n"]).select(*by, value, (F.col("before_n") + (F.col("n") + 1) / 2).alias(rank))
 
 
 def finite(column: str | Column, what: str) -> Column:
@@ -25,17 +70,16 @@ def _distinct_scores(df: DataFrame, by: list[str], label: str, score: str) -> Da
 
 def auroc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     """Area under the ROC curve by ranks; null with one class only."""
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = _distinct_scores(df, by, label, score).withColumn("neg_below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(below), F.lit(0.0)))
-    wins = F.sum(F.col("pos") * (F.col("neg_below") + (F.col("n") - F.col("pos")) / 2))
-    p, n = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
+    ranked = _running(_distinct_scores(df, by, label, score).withColumn("neg", F.col("n") - F.col("pos")), by, score, ["neg"])
+    wins = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
+    p, n = F.sum("pos"), F.sum("neg")
     return ranked.groupBy(*by).agg(F.try_divide(wins, p * n).alias("auroc"))
 
 
 def average_precision(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     """Precision summed over steps of recall, ties being one threshold; null with one class only."""
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = _distinct_scores(df, by, label, score).withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
+    ranked = _running(_distinct_scores(df, by, label, score), by, score, ["pos", "n"], down=True)
+    ranked = ranked.withColumn("tp", F.col("before_pos") + F.col("pos")).withColumn("seen", F.col("before_n") + F.col("n"))
     both = (F.sum("pos") > 0) & (F.sum("pos") < F.sum("n"))
     return ranked.groupBy(*by).agg(F.when(both, F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos"))).alias("auprc"))
 
@@ -70,7 +114,7 @@ def macro_f1(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Absolute rank correlation, ties sharing ranks; null if either side is constant."""
-    ranked = df.withColumn("rx", average_rank(by, x)).withColumn("ry", average_rank(by, y))
+    ranked = _beside(_beside(df.select(*by, x, y), average_rank(df, by, x, "rx"), [*by, x]), average_rank(df, by, y, "ry"), [*by, y])
     varied = (F.max("rx") > F.min("rx")) & (F.max("ry") > F.min("ry"))
     return ranked.groupBy(*by).agg(F.when(varied, F.abs(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")))).alias("spearman"), F.count(F.lit(1)).alias("n_variants"))
 

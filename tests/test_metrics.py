@@ -40,6 +40,25 @@ def test_rank_metrics_against_numpy(spark):
     assert {r.d: r.mcc for r in metrics.median_mcc(df, ["d"], "x", "y").collect()}["a"] == pytest.approx(abs(np.corrcoef(t, s)[0, 1]))
 
 
+def test_ranks_of_odd_values_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(8)
+    inf, huge, tiny = float("inf"), 1.7e308, 5e-324
+    groups = {
+        "odd": [None, -inf, -huge, -1.0, -tiny, 0.0, -0.0, tiny, 1.0, 1.0, huge, inf, float("nan")],
+        "wide": [-huge, huge, 0.0, 3.0, 3.0], "one": [2.5, 2.5], None: [2.0, 1.0, None, 1.0],
+        "narrow": (1 + rng.integers(0, 300, 500) * 1e-9).tolist(), "outlier": [*rng.normal(size=300).tolist(), 1e30, -1e25],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    got = {(r.g, "nan" if r.v != r.v else r.v): r.rank for r in metrics.average_rank(df, ["g"], "v", "rank").collect()}
+    place = lambda v: (0, 0.0) if v is None else (2, 0.0) if v != v else (1, v)
+    for g, vs in groups.items():
+        for v in vs:
+            want = sum(place(u) < place(v) for u in vs) + (sum(place(u) == place(v) for u in vs) + 1) / 2
+            assert got[g, "nan" if v is not None and v != v else v] == want
+    blocks = metrics._blocks(df.where("g IN ('narrow', 'outlier')"), ["g"], "v").groupBy("g", "_block").count().groupBy("g").agg(F.max("count").alias("m"))
+    assert all(r.m <= 30 for r in blocks.collect())
+
+
 def test_type_mean_is_not_the_plain_mean_and_keeps_gaps(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("a", 0.5), ("b", 0.0)], "t string, m double")
     assert metrics.type_mean(df, "t", ["m"]).first().m == pytest.approx(0.25)
