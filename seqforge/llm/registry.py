@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, images, jaccard, licences, packing, phrases, quality, secrets, sql, tokenfile
+from . import chat, decontaminate, images, jaccard, licences, packing, phrases, quality, rankbpe, secrets, sql, tokenfile
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_license_scan": licences.op8_license_scan,
         "op9_substring_dedup": phrases.op9_substring_dedup,
         "op10_token_id_files": tokenfile.op10_token_id_files,
+        "op11_byte_bpe": rankbpe.op11_byte_bpe,
     }
 
 
