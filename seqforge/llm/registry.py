@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, images, jaccard, licences, packing, phrases, quality, rankbpe, ranked, secrets, sql, tokenfile
+from . import chat, collocations, decontaminate, images, jaccard, licences, packing, phrases, quality, rankbpe, ranked, secrets, sql, tokenfile
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_substring_dedup": phrases.op9_substring_dedup,
         "op10_token_id_files": tokenfile.op10_token_id_files,
         "op11_byte_bpe": rankbpe.op11_byte_bpe,
+        "op12_phrase_collocations": collocations.op12_phrase_collocations,
         "op13_ranked_search": ranked.op13_ranked_search,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_ngram_jaccard_join": sql.OP3_SQL,
         "op6_benchmark_decontamination": decontaminate.OP6_SQL,
         "op9_substring_dedup": sql.OP9_SQL,
+        "op12_phrase_collocations": collocations.OP12_SQL,
         "op13_ranked_search": ranked.OP13_SQL,
     }
