@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from .common import cut, discard, partitions, table, texts
 from .phrases import _split, _table, _within
 from .textbuf import U64, SpanHasher, arrow_text, byte_table, mix64, spans
+from .tokenizing import slices
 
 LEAST, MOST, TOP, SHARE = 100, 5, 2000, 100
 BLOCK_BYTES = 4 << 20
+SLICE_BYTES = 1 << 18  # of text, hashed at once
 SPAN = 1 << 16  # blocks whose records meet in one shard
 HOT = 1 << 16  # occurrences of a prefix beyond which it is dealt to several tasks
 PARTS = 32  # in which a language's phrases are ranked first
@@ -75,23 +77,37 @@ class Encoder:
     def __init__(self, seed: int):
         self.seed, self.hasher, self.checker = seed, SpanHasher(seed + 100), SpanHasher(seed + 200)
 
+    def _words(self, column: pa.Array):
+        """(hash of each word, whether a piece begins with it, its bytes as slices give them) of some texts at a time."""
+        for part in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text", SLICE_BYTES):
+            data, offsets = arrow_text(part["text"])
+            data = _LOWER[data]
+            start, end, first = spans(data, offsets, _WORD)
+            marks = np.cumsum(_MARKS[data], dtype=np.int64)
+            apart = np.zeros(len(start), bool)
+            apart[1:] = marks[start[1:] - 1] > marks[end[:-1] - 1]
+            apart[first[:-1][first[:-1] < len(start)]] = True
+            yield self.hasher.bytes(data, start, end), apart, data, start, end
+
     def row(self, block: int, lang: str, column: pa.Array) -> tuple:
-        data, offsets = arrow_text(column)
-        data = _LOWER[data]
-        start, end, first = spans(data, offsets, _WORD)
-        keys, at, number = np.unique(self.hasher.bytes(data, start, end), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        vocabulary = b" ".join([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())])
-        marks = np.concatenate(([0], np.cumsum(_MARKS[data], dtype=np.int64)))
-        apart = np.zeros(len(start), bool)
-        apart[1:] = marks[start[1:]] > marks[end[:-1]]
-        apart[first[:-1][first[:-1] < len(start)]] = True
-        width = 2 if len(keys) < 1 << 16 else 4
-        sequence = np.insert(number.astype(f"<u{width}") + np.array(1, f"<u{width}"), np.flatnonzero(apart), 0)
+        keys, apart, spelled = [np.zeros(0, U64)], [np.zeros(0, bool)], {}
+        for own, breaks, data, start, end in self._words(column):
+            keys.append(own)
+            apart.append(breaks)
+            raw, (found, at) = data.tobytes(), np.unique(own, return_index=True)
+            for k, a, b in zip(found.tolist(), start[at].tolist(), end[at].tolist()):
+                if k not in spelled:
+                    spelled[k] = raw[a:b]
+        keys, number = np.unique(np.concatenate(keys), return_inverse=True)
+        n, width = len(number), 2 if len(keys) < 1 << 16 else 4
+        sequence = np.insert(number.astype(f"<u{width}") + np.array(1, f"<u{width}"), np.flatnonzero(np.concatenate(apart)), 0)
+        words = [spelled[k] for k in keys.tolist()]
+        vocabulary, size = b" ".join(words), np.array([len(w) for w in words], np.int64)
+        start = np.cumsum(size + 1) - size - 1
+        checks = (self.checker.bytes(np.frombuffer(vocabulary, np.uint8), start, start + size) >> U64(32)).astype("<u4")
         keys = mix64(keys ^ _tongue(lang, self.seed))
         keys[keys == 0] = 1
-        checks = (self.checker.bytes(data, start[at], end[at]) >> U64(32)).astype("<u4")
-        return block, lang, len(start), vocabulary, keys.astype("<u8").tobytes(), checks.tobytes(), width, sequence.tobytes()
+        return block, lang, n, vocabulary, keys.astype("<u8").tobytes(), checks.tobytes(), width, sequence.tobytes()
 
 
 def encoded(docs: DataFrame, seed: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
