@@ -28,6 +28,7 @@ class SequenceModel(ABC):
     capabilities: frozenset[str] = frozenset()
     max_context: int | None = None
     n_layers: int | None = None
+    pools: tuple[str, ...] = ("mean",)  # what ``embed`` can make of a sequence's tokens
 
     def tokenize(self, seqs: list[str]) -> list[list[int]]:
         raise Unsupported("tokenize")
@@ -47,9 +48,18 @@ class SequenceModel(ABC):
         return logits[BASES.index(mut)] - logits[BASES.index(wt)]
 
     def embed(self, seqs: list[str], layers: str = "last") -> np.ndarray:
-        """items x layers x width."""
+        """items x layers x width; models of more than one pooling take ``pool`` too. "last" is a slice of "all"."""
         raise Unsupported("embed")
 
+    def embed_with_logprobs(self, seqs: list[str], layers: str = "last", pool: str = "mean") -> tuple[np.ndarray, list[list[float]]]:
+        """What ``embed`` and ``per_token`` return, of one run of the network. Only for models that can."""
+        raise Unsupported("embed_with_logprobs")
+
+    @property
+    def fuses(self) -> bool:
+        """Whether both heads come from one run."""
+        return type(self).embed_with_logprobs is not SequenceModel.embed_with_logprobs and {"embed", "per_token"} <= self.capabilities
+
     def require(self, capability: str) -> None:
         if capability not in self.capabilities:
             raise Unsupported(f"{self.name} does not declare {capability}")
@@ -64,37 +74,65 @@ class SequenceModel(ABC):
 
         return df.select(key, seq).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, score double").withColumnRenamed("key", key)
 
-    def embeddings(self, df: DataFrame, key: str, seq: str, layers: str = "last") -> DataFrame:
-        """key, layer_id, vec: one row for each item and layer."""
-        self.require("embed")
+    def _vectors(self, seqs: list[str], layers: str, pool: str) -> np.ndarray:
+        if pool not in self.pools:
+            raise Unsupported(f"{self.name} does not pool by {pool}; it does by {', '.join(self.pools)}")
+        return self.embed(seqs, layers) if pool == "mean" else self.embed(seqs, layers, pool)
+
+    def outputs(self, df: DataFrame, keys: list[str], seq: str, layers: str = "last", pool: str = "mean", heads: tuple[str, ...] = ("vectors",)) -> DataFrame:
+        """keys, head, layer_id, vec of one run of the model over each Arrow batch: a row "vectors" for each layer,
+        a row "logprobs" with a number for each letter. Both heads together take a model that ``fuses``."""
+        both = len(heads) == 2
+        for head in heads:
+            self.require({"vectors": "embed", "logprobs": "per_token"}[head])
+        if both and not self.fuses:
+            raise Unsupported(f"{self.name} has no pass of both heads")
+        if pool not in self.pools:
+            raise Unsupported(f"{self.name} does not pool by {pool}; it does by {', '.join(self.pools)}")
+        own = [df.schema[k] for k in keys]
 
         def run(batches):
             for b in batches:
                 if not b.num_rows:
                     continue
-                x = np.asarray(self.embed([s or "" for s in b[1].to_pylist()], layers), np.float64)
-                if len(x) != b.num_rows or np.isnan(x).any():
-                    raise ValueError(f"{self.name}: embeddings must be as many as sequences and hold no NaN")
-                n, m, w = x.shape
-                first = 0 if layers == "all" else (self.n_layers or 1) - 1
-                yield pa.RecordBatch.from_arrays([b[0].take(pa.array(np.repeat(np.arange(n), m))), pa.array(np.tile(np.arange(m) + first, n).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(n * m + 1, dtype=np.int32) * w), pa.array(x.ravel()))], names=["key", "layer_id", "vec"])
-
-        return df.select(key, seq).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, layer_id int, vec array<double>").withColumnRenamed("key", key)
+                seqs = [s or "" for s in b[len(keys)].to_pylist()]
+                x, z = self.embed_with_logprobs(seqs, layers, pool) if both else (self._vectors(seqs, layers, pool), None) if "vectors" in heads else (None, self.per_token(seqs))
+                if x is not None:
+                    x = np.asarray(x, np.float64)
+                    if len(x) != b.num_rows or np.isnan(x).any():
+                        raise ValueError(f"{self.name}: embeddings must be as many as sequences and hold no NaN")
+                    n, m, w = x.shape
+                    first = 0 if layers == "all" else (self.n_layers or 1) - 1
+                    rows = pa.array(np.repeat(np.arange(n), m))
+                    yield _batch(b, keys, rows, "vectors", np.tile(np.arange(m) + first, n), pa.ListArray.from_arrays(pa.array(np.arange(n * m + 1, dtype=np.int32) * w), pa.array(x.ravel())))
+                if z is not None:
+                    if [len(a) for a in z] != [len(s) for s in seqs] or not all(np.isfinite(a).all() for a in z):
+                        raise ValueError(f"{self.name}: log-probabilities must be one finite number for each letter")
+                    yield _batch(b, keys, pa.array(range(b.num_rows)), "logprobs", None, pa.array([np.asarray(a, np.float64) for a in z], pa.list_(pa.float64())))
+
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own)
+        return df.select(*keys, seq).mapInArrow(run, f"{schema}, head string, layer_id int, vec array<double>")
+
+    def embeddings(self, df: DataFrame, key: str, seq: str, layers: str = "last", pool: str = "mean") -> DataFrame:
+        """key, layer_id, vec: one row for each item and layer."""
+        return self.outputs(df, [key], seq, layers, pool).select(key, "layer_id", "vec")
 
     def variant_llrs(self, df: DataFrame, key: str) -> DataFrame:
         """key and the sum over a variant's mutations of the log-odds of its sites; the model sees each
         distinct (reference, place) once, then its logits are joined back. To 12 places, so that equal sums tie
         whatever their order."""
         self.require("variant_llr")
-        sites = df.select(key, "reference", F.explode("mutations").alias("m")).select(key, "reference", "m.pos0", "m.wt", "m.mut")
+        sites = df.select(key, F.sha2("reference", 256).alias("ref"), "reference", F.explode("mutations").alias("m")).select(key, "ref", "reference", "m.pos0", "m.wt", "m.mut")
 
         def run(batches):
             for b in batches:
                 own = [self.site_logits(*row) for row in zip(b["reference"].to_pylist(), b["pos0"].to_pylist())]
-                yield pa.RecordBatch.from_arrays([b["reference"], b["pos0"], pa.array(own, pa.list_(pa.float64()))], names=["reference", "pos0", "logits"])
+                yield pa.RecordBatch.from_arrays([b["ref"], b["pos0"], pa.array(own, pa.list_(pa.float64()))], names=["ref", "pos0", "logits"])
 
-        scored = sites.select("reference", "pos0").distinct().mapInArrow(run, "reference string, pos0 int, logits array<double>")
-        joined = sites.join(scored, ["reference", "pos0"]).withColumn("wt_logit", F.expr(f"element_at(logits, instr('{BASES}', wt))")).withColumn("mut_logit", F.expr(f"element_at(logits, instr('{BASES}', mut))"))
+        # a site is known by its reference's hash: whole references travel once a reference and place, to the model
+        each = sites.groupBy("ref", "pos0").agg(F.first("reference").alias("reference"))
+        scored = each.mapInArrow(run, "ref string, pos0 int, logits array<double>")
+        joined = sites.drop("reference").join(scored, ["ref", "pos0"]).withColumn("wt_logit", F.expr(f"element_at(logits, instr('{BASES}', wt))")).withColumn("mut_logit", F.expr(f"element_at(logits, instr('{BASES}', mut))"))
         return joined.groupBy(key).agg(F.round(F.sum(F.col("mut_logit") - F.col("wt_logit")), 12).alias("llr"))
 
     def tokens(self, df: DataFrame, key: str, seq: str) -> DataFrame:
@@ -122,6 +160,11 @@ class SequenceModel(ABC):
         return df.select(key, seq).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, {name} array<{kind}>").withColumnRenamed("key", key)
 
 
+def _batch(b: pa.RecordBatch, keys: list[str], rows: pa.Array, head: str, layers, vec: pa.Array) -> pa.RecordBatch:
+    layer = pa.nulls(len(rows), pa.int32()) if layers is None else pa.array(layers.astype(np.int32))
+    return pa.RecordBatch.from_arrays([*(b[i].take(rows) for i in range(len(keys))), pa.array([head] * len(rows)), layer, vec], names=[*keys, "head", "layer_id", "vec"])
+
+
 class EchoModel(SequenceModel):
     """A deterministic stand-in: all it returns follows from the bytes of its input."""
 
@@ -146,6 +189,9 @@ class EchoModel(SequenceModel):
         n = self.n_layers if layers == "all" else 1
         return np.stack([features.echo_embedding(s, n) for s in seqs])
 
+    def embed_with_logprobs(self, seqs, layers="last", pool="mean"):
+        return self.embed(seqs, layers), self.per_token(seqs)
+
 
 class KmerModel(SequenceModel):
     """Composition only: every layer has the frequencies of k-mers."""
@@ -204,6 +250,11 @@ def _numbered(widths, token_budget: int | None, batch_size: int | None, held: in
     return numbers, number, held
 
 
+def padded_lengths(lengths: np.ndarray, multiple: int) -> np.ndarray:
+    """The next multiple that holds each length, one at least."""
+    return np.maximum(1, -(-np.asarray(lengths, np.int64) // multiple)) * multiple
+
+
 def length_batches(lengths: list[int], token_budget: int | None = None, batch_size: int | None = None, padded=lambda n: n) -> list[list[int]]:
     """Batches of positions, short sequences first, each within the budget of padded tokens and the size;
     a sequence over the budget is alone."""
@@ -214,16 +265,32 @@ def length_batches(lengths: list[int], token_budget: int | None = None, batch_si
     return [part.tolist() for part in np.split(order, np.flatnonzero(np.diff(numbers)) + 1)] if len(order) else []
 
 
-def batched(df: DataFrame, key: str, seq: str, token_budget: int, groups: int | None = None) -> DataFrame:
+def batched(df: DataFrame, key: str, seq: str, token_budget: int | None, groups: int | None = None, batch_size: int | None = None, multiple: int | None = None) -> DataFrame:
     """key, length, batch: rows dealt to tasks by length and sorted there, then batched as they stream by;
-    as many tasks as the session shuffles to, unless ``groups`` says otherwise."""
+    as many tasks as the session shuffles to, unless ``groups`` says otherwise.
+
+    With ``multiple`` a batch holds sequences of one padded length only, so that a network without a mask gives
+    each the same whatever its company."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        number, held = TaskContext.get().partitionId() << 32, 0
+        number, held, width = TaskContext.get().partitionId() << 32, 0, -1
         for b in batches:
-            numbers, last, held = _numbered(b[1].to_numpy(), token_budget, None, held)
+            lengths = b[1].to_numpy()
+            if multiple is None:
+                numbers, last, held = _numbered(lengths, token_budget, batch_size, held)
+            else:
+                padded = padded_lengths(lengths, multiple)
+                parts, last = [], 0
+                for own in np.split(padded, np.flatnonzero(np.diff(padded)) + 1) if len(padded) else []:
+                    if held and own[0] != width:
+                        last, held = last + 1, 0
+                    width = own[0]
+                    part, more, held = _numbered(own, token_budget, batch_size, held)
+                    parts.append(part + last)
+                    last += more
+                numbers = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(number + numbers)], names=["key", "length", "batch"])
             number += last
 

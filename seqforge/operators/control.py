@@ -6,13 +6,14 @@ import hashlib
 import json
 import os
 import time
-from collections import Counter
 from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .reuse import Reuse, pick_layers, plan  # noqa: F401
+
 
 @dataclass
 class TaskResult:
@@ -50,38 +51,6 @@ def fusion_plan(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("corpus").agg(F.count(F.lit(1)).alias("consumers"), F.max(F.col("all_layers").cast("int")).alias("all_layers"), F.max(F.col("logprob").cast("int")).alias("logprob"), (F.count(F.lit(1)) > 1).alias("shared"))
 
 
-def pick_layers(there: list[int], layers: str | int | list[int] | None) -> list[int]:
-    """Which of the layers are meant by all, last, a number or a list; one that is not there raises."""
-    if layers in (None, "all"):
-        return list(there)
-    wanted = [-1] if layers == "last" else [layers] if isinstance(layers, int) else [int(x) for x in (layers.split(",") if isinstance(layers, str) else layers)]
-    found = [there[k] if k < 0 and -k <= len(there) else k for k in wanted]
-    if absent := [k for k in found if k not in there]:
-        raise KeyError(f"no layer {', '.join(map(str, absent))}; there are {', '.join(map(str, there))}")
-    return found
-
-
-class Reuse:
-    """Embeddings of a corpus, made once in their widest form and let go after the last reader."""
-
-    def __init__(self, consumers: dict[str, int]):
-        self.left, self.held, self.layers, self.made = dict(consumers), {}, {}, 0
-
-    def get(self, key: str, make, layers: str | int | list[int] = "last", pool: str = "mean") -> DataFrame:
-        """The layers asked for (all, last, numbers; negative ones from the end) of a corpus under one pooling."""
-        own = (key, pool)
-        if own not in self.held:
-            self.held[own] = make().persist()
-            self.layers[own] = sorted(r.layer_id for r in self.held[own].select("layer_id").distinct().collect())
-            self.made += 1
-        return self.held[own].where(F.col("layer_id").isin(pick_layers(self.layers[own], layers)))
-
-    def release(self, key: str) -> None:
-        self.left[key] = self.left.get(key, 1) - 1
-        for own in [k for k in self.held if k[0] == key] if self.left[key] <= 0 else []:
-            self.held.pop(own).unpersist()
-
-
 def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
@@ -157,25 +126,21 @@ def finished(path: Path) -> dict[str, dict]:
         return {}
 
 
-def shared_passes(tasks: list) -> Reuse:
-    """What the pending tasks share: of each corpus how many embed it."""
-    return Reuse(Counter(t.corpus for t in tasks if getattr(t, "corpus", None) is not None))
-
-
-def run_tasks(model, tasks: list, spark, folder=None, benchmark: str = "default", spec: dict | None = None, digest: str | None = None, told=None) -> dict:
+def run_tasks(model, tasks: list, spark, folder=None, benchmark: str = "default", spec: dict | None = None, digest: str | None = None, told=None, keep: str | None = None) -> dict:
     """Runs what has no ok result yet and writes the record after each task.
 
     A task has name, alternatives, prepare(spark) and run(model, chosen, prepared); one with a ``corpus`` is
-    given ``reuse`` too, so that tasks of one corpus share its embeddings, in the widest form that any
-    pending one needs (``layers``). Weights named in the spec are hashed; ``told`` is called with a line after each task."""
+    given ``reuse`` too, so that tasks that read the same windows share a pass, in the widest form that any
+    pending one of the corpus needs (``layers``, ``head``). ``keep`` names a folder in which outputs outlive the
+    run. Weights named in the spec are hashed; ``told`` is called with a line after each task."""
     spec = spec or {"name": model.name}
     digest = digest or ("sha256:" + weights_digest(spec["weights"]) if spec.get("weights") else "declared")
     record = {"model_hash": model_hash(digest, spec, f"{model.name}@{model.version}"), "model": model.name, "benchmark": benchmark, "spec": spec, "weights_digest": digest}
     record["warnings"] = identity_warnings(digest, spec.get("revision")) + [f"declares {c} without a method" for c in half_built(model)]
     done = finished(record_path(folder, record)) if folder else {}
     pending_tasks = [t for t in tasks if t.name not in done]
-    reuse = shared_passes(pending_tasks)
-    widest = {t.corpus for t in pending_tasks if getattr(t, "layers", "last") == "all"}
+    able = {t.name for t in pending_tasks if choose(t.alternatives, model.capabilities)[0] is not None}
+    reuse = Reuse(plan([t for t in pending_tasks if t.name in able]), record["model_hash"], keep)
     began = time.time()
     for k, task in enumerate(pending_tasks):
         chosen, lacking = choose(task.alternatives, model.capabilities)
@@ -184,16 +149,17 @@ def run_tasks(model, tasks: list, spark, folder=None, benchmark: str = "default"
             result = TaskResult(task.name, "na", metadata={"lacks": lacking})
         else:
             try:
-                more = {"reuse": reuse, "widest": corpus in widest} if corpus is not None else {}
+                more = {"reuse": reuse} if corpus is not None else {}
                 result = task.run(model, chosen, task.prepare(spark), **more)
                 result.metadata["scoring_method"] = "+".join(chosen)
                 if getattr(task, "manifest", None):
                     result.metadata["manifest_sha256"] = file_digest(task.manifest)
             except Exception as e:  # a task's failure is its result
                 result = TaskResult(task.name, "error", metadata={"error": f"{type(e).__name__}: {e}"[:2000]})
-        if corpus is not None:
+        if corpus is not None and task.name in able:
             reuse.release(corpus)
         done[task.name] = result.__dict__
+        record["passes"] = [list(p) for p in reuse.passes]
         record["tasks"] = [done[t.name] for t in tasks if t.name in done]
         if folder:
             write_record(folder, record)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,55 @@ def padded_length(length: Column, multiple: int = 128) -> Column:
     return F.ceil(length / F.lit(float(multiple))).cast("int") * multiple
 
 
+def piece_spans(df: DataFrame, key: str, pieces: str, special: str | None = None) -> DataFrame:
+    """key, spans: half-open spans of tokens of any width, each from where the letters of those before it end. A
+    token that ``special`` marks has no letters and stands at (0, 0). Prefix sums over the tokens of a whole batch."""
+
+    def run(batches):
+        for b in batches:
+            lists = b[1]
+            count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            size = pc.fill_null(pc.utf8_length(lists.flatten()), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            mark = np.zeros(len(size), bool) if special is None else pc.fill_null(b[2].flatten(), False).to_numpy(zero_copy_only=False)
+            if len(mark) != len(size):
+                raise ValueError("marks are not as many as tokens")
+            size[mark] = 0
+            end = np.cumsum(size)
+            at = np.concatenate(([0], np.cumsum(count)))
+            before = np.concatenate(([0], end))[at[:-1]]
+            end -= np.repeat(before, count)
+            start = np.where(mark, 0, end - size)
+            spans = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(np.where(mark, 0, end).astype(np.int32))], ["start", "end"])
+            yield pa.RecordBatch.from_arrays([b[0], pa.ListArray.from_arrays(pa.array(at, pa.int32()), spans)], names=["key", "spans"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, pieces, *([special] if special else [])).mapInArrow(run, f"key {kind}, spans array<struct<start:int,end:int>>").withColumnRenamed("key", key)
+
+
+def spread(df: DataFrame, keys: list[str], spans: str, values: str) -> DataFrame:
+    """keys, pos, value: a token's value at each letter that it covers. Tokens without letters give none."""
+    each = df.select(*keys, F.explode(F.arrays_zip(F.col(spans).alias("s"), F.col(values).alias("v"))).alias("t")).select(*keys, "t.s.start", "t.s.end", F.col("t.v").alias("value"))
+    return each.where("end > start").select(*keys, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"), "value")
+
+
+def real_places(n: Column, padded: Column, states: Column) -> Column:
+    """How many of a layer's places hold letters, if ``states`` of them stand for ``padded`` letters; one at least."""
+    factor = F.floor(padded / states)
+    return F.least(F.greatest(F.ceil(n / factor), F.lit(1)), states).cast("int")
+
+
+def pool_places(states: Column, n: Column, padded: Column, how: str = "mean", include_special: bool = False) -> Column:
+    """One vector of a layer's places (array<array<double>>), over the real ones, or all if asked for."""
+    kept = states if include_special else F.slice(states, F.lit(1), real_places(n, padded, F.size(states)))
+    if how == "last":
+        return F.element_at(kept, -1)
+    if how not in ("mean", "max"):
+        raise ValueError(f"unknown pooling {how!r}")
+    join = (lambda x, y: x + y) if how == "mean" else (lambda x, y: F.greatest(x, y))
+    total = F.aggregate(F.slice(kept, F.lit(2), F.greatest(F.size(kept) - 1, F.lit(0))), kept[0], lambda a, v: F.zip_with(a, v, join))
+    return F.transform(total, lambda x: x / F.size(kept)) if how == "mean" else total
+
+
 def readout_kind(tap: Column) -> Column:
     """Of a named tap: inside a block's branch, or the residual stream, which alone can be compared."""
     return F.when(tap.rlike(r"\.(mlp|attn|mixer|filter|norm)"), "branch").when(tap.rlike(r"^(blocks|layers)\.\d+$|^embedding"), "residual").otherwise("unknown")

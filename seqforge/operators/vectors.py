@@ -14,16 +14,23 @@ def long_form(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
     return df.select(*keys, F.posexplode(F.transform(vec, lambda x: x.cast("double"))).alias("dim", "x"))
 
 
-def pool(df: DataFrame, keys: list[str], order: str, how: str = "mean", vec: str = "vec") -> DataFrame:
-    """One vector an item from those of its tokens or windows: mean, max, first (bos) or last (eos)."""
-    if how == "none":  # every token as it is
-        return df.select(*keys, order, vec)
-    if how in ("last", "eos", "first", "bos", "cls", "marker"):
-        pick = F.max_by if how in ("last", "eos") else F.min_by
-        return df.groupBy(*keys).agg(pick(vec, order).alias("vec"))
+def pool(df: DataFrame, keys: list[str], order: str, how: str = "mean", vec: str = "vec", special: str | None = None, include_special: bool = False) -> DataFrame:
+    """One vector an item from those of its tokens or windows: mean, max, first (bos) or last (eos).
+
+    Tokens that the column ``special`` marks are left out of all but bos, unless they are asked for or an item
+    has no others. "none" gives the real tokens as they are."""
+    masked = special is not None and not include_special
+    if how == "none":
+        return (df if special is None else df.where(~F.col(special))).select(*keys, order, vec)
+    if how in ("first", "bos", "cls", "marker"):
+        return df.groupBy(*keys).agg(F.min_by(vec, order).alias("vec"))
+    if how in ("last", "eos"):
+        return df.groupBy(*keys).agg(F.max_by(vec, F.struct(~F.col(special), order) if masked else order).alias("vec"))
     if how not in ("mean", "max"):
         raise ValueError(f"unknown pooling {how!r}")
-    return _summary(df, keys, how, vec)
+    if not masked:
+        return _summary(df, keys, how, vec)
+    return _summary(df, [*keys, special], how, vec).groupBy(*keys).agg(F.min_by("vec", special).alias("vec"))
 
 
 def _summary(df: DataFrame, keys: list[str], how: str, vec: str = "vec") -> DataFrame:
@@ -61,6 +68,19 @@ def check_one_to_one(made: DataFrame, wanted: DataFrame, key: str, vec: str = "v
         raise ValueError("vectors are NaN, repeated, missing or of no item")
 
 
+def check_layers(df: DataFrame, items: DataFrame, key: str, vec: str = "vec") -> list[int]:
+    """The layers of (key, layer_id, vec); raises unless each item has one vector without NaN in each. One job."""
+    nan = F.exists(vec, lambda x: F.isnan(x)) | F.col(vec).isNull()
+    made = df.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_set("layer_id")).alias("_layers"), F.count(F.lit(1)).alias("_n"), F.max(nan).alias("_nan"))
+    known = items.groupBy(key).agg(F.count(F.lit(1)).alias("_items"))
+    both = known.join(made, F.col(key).eqNullSafe(F.col("_key")), "full")
+    bad = F.col("_n").isNull() | F.col("_items").isNull() | (F.col("_items") > 1) | (F.col("_n") != F.size("_layers")) | F.col("_nan")
+    found = both.agg(F.count_if(bad).alias("bad"), F.min("_layers").alias("least"), F.max("_layers").alias("most")).first()
+    if found.bad or found.least != found.most:
+        raise ValueError("vectors are NaN, repeated, missing or of no item")
+    return list(found.least or [])
+
+
 def norm(vec: Column) -> Column:
     return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
 

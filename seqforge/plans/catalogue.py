@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import features
 from ..functions import sequences as S
 from ..models import BASES, EchoModel, KmerModel, SequenceModel, batched
+from ..tokens import KmerTokenModel, MixedModel, TokenModel, Tokens, spans_of
 from ..operators import control, metrics, probes, results, tensors, vectors
 from ..sources import tables
 from . import stand_ins as L
@@ -64,6 +65,73 @@ class CodeModel(SequenceModel):
         return np.array([[[sum(c in "GC" for c in s) / max(1, len(s))]] for s in seqs])
 
 
+class CountedModel(CodeModel):
+    """Both heads of one run: the share of G and C, in layer 0 that of A; a letter's log-probability by its code.
+    ``calls`` counts the sequences that it was run on."""
+
+    name, capabilities, n_layers = "counted", frozenset({"embed", "per_token"}), 2
+
+    def __init__(self, calls):
+        self.calls = calls
+
+    def embed(self, seqs, layers="last"):
+        self.calls.add(len(seqs))
+        share = lambda s, letters: sum(c in letters for c in s) / max(1, len(s))
+        x = np.array([[[share(s, "A")], [share(s, "GC")]] for s in seqs])
+        return x if layers == "all" else x[:, 1:]
+
+    def per_token(self, seqs):
+        self.calls.add(len(seqs))
+        return [[-ord(c) / 100.0 for c in s] for s in seqs]
+
+    def embed_with_logprobs(self, seqs, layers="last", pool="mean"):
+        out = self.embed(seqs, layers), self.per_token(seqs)
+        self.calls.add(-len(seqs))
+        return out
+
+
+class CodeKmerModel(KmerTokenModel):
+    """3-mers at every second letter; logits by the k-mer's number, its token and how many are masked with it."""
+
+    name, k, shift = "code-kmer", 3, 2
+
+    def number(self, kmer):
+        found = super().number(kmer)
+        return None if found is None or found % 7 == 3 else found
+
+    def set_logits(self, reference, tokens, wanted):
+        return [[x / (1.0 + j) + x * x / (10.0 * len(tokens)) for x in row] for j, row in zip(tokens, wanted)]
+
+
+class WordModel(TokenModel):
+    """Tokens of one to three letters between special ones; a token's state is its letters' codes and its width."""
+
+    name, n_layers = "word", 1
+
+    def run_tokens(self, seqs, layers):
+        out = []
+        for s in seqs:
+            pieces, at = [], 0
+            while at < len(s):
+                pieces.append(s[at : at + len(pieces) % 3 + 1])
+                at += len(pieces[-1])
+            pieces = ["<s>", *pieces, "</s>"]
+            special = np.array([True, *[False] * (len(pieces) - 2), True])
+            states = np.array([[[float(sum(map(ord, p))), 100.0 if k else float(len(p))]] for p, k in zip(pieces, special)])
+            out.append(Tokens(states, special, spans_of(pieces, special)))
+        return out
+
+
+class HalvingModel(MixedModel):
+    """Three layers of 1, 2 and 8 letters a place: the places' letters' codes, padding as 0."""
+
+    name, n_layers, multiple = "halving", 3, 16
+
+    def run_padded(self, seqs, padded):
+        x = np.array([[ord(s[i]) if i < len(s) else 0 for i in range(padded)] for s in seqs], float)
+        return [x.reshape(len(seqs), -1, f).sum(axis=2, keepdims=True) for f in (1, 2, 8)]
+
+
 class ScoreModel(EchoModel):
     """The echo model without log-odds of sites."""
 
@@ -309,6 +377,86 @@ def length_bucketing(spark, d):
     return batched(L.seqs(spark, d), "doc_id", "seq", 65536)
 
 
+@query(f"""WITH {L.SEQS}, x AS (SELECT doc_id, CAST(ceil(greatest(1, length(seq)) / 128.0) AS BIGINT) * 128 AS padded FROM seqs), c AS (SELECT padded, count(*) AS n FROM x GROUP BY 1)
+  SELECT padded, n AS n_rows, true AS alike, true AS within FROM c""")
+def equal_length_batches(spark, d):
+    b = batched(L.seqs(spark, d), "doc_id", "seq", None, batch_size=8, multiple=128).withColumn("padded", F.greatest(tensors.padded_length(F.col("length")), F.lit(128)))
+    each = b.groupBy("batch").agg(F.min("padded").cast("long").alias("padded"), F.count(F.lit(1)).alias("n"), (F.min("padded") == F.max("padded")).alias("alike"))
+    return each.groupBy("padded").agg(F.sum("n").alias("n_rows"), F.min("alike").alias("alike"), (F.max("n") <= 8).alias("within"))
+
+
+_KMER = "(4 * (4 * (instr('ACGT', substr(w, 1, 1)) - 1) + instr('ACGT', substr(w, 2, 1)) - 1) + instr('ACGT', substr(w, 3, 1)) - 1)"
+
+
+@query(f"""WITH {L.VARIANTS}, {_MUTS},
+  t AS (SELECT l_orderkey, variant_idx, dms_id, sequence, pos0, mut, lo, hi, unnest(range(lo, hi + 1)) AS j FROM (SELECT *, greatest(0, CAST(floor((pos0 - 3) / 2.0) AS BIGINT) + 1) AS lo, least((length(sequence) - 3) // 2, pos0 // 2) AS hi FROM sites)),
+  w AS (SELECT *, substr(sequence, CAST(2 * j + 1 AS BIGINT), 3) AS wt_w, concat(substr(sequence, CAST(2 * j + 1 AS BIGINT), CAST(pos0 - 2 * j AS BIGINT)), mut, substr(sequence, pos0 + 2, CAST(2 * j + 2 - pos0 AS BIGINT))) AS mut_w FROM t),
+  v AS (SELECT *, {_KMER.replace("(w,", "(wt_w,")} AS a, {_KMER.replace("(w,", "(mut_w,")} AS b, hi - lo + 1 AS m FROM w),
+  u AS (SELECT *, a % 7 = 3 OR b % 7 = 3 AS unknown, (b - a) / (1.0 + j) + (b * b - a * a) / (10.0 * m) AS gain FROM v)
+  SELECT dms_id, round(sum(CASE WHEN unknown THEN 0 ELSE gain END), 5) AS llr, CAST(count(*) FILTER (unknown) AS BIGINT) AS n_unknown FROM u GROUP BY dms_id""")
+def token_set_llr(spark, d):
+    v = L.variants(spark, d).where(S.scoreable(F.col("mutant"))).withColumn("reference", F.col("sequence")).withColumn("_id", F.struct("dms_id", "variant_idx", "l_orderkey"))
+    llr = CodeKmerModel().token_set_llrs(v.withColumn("mutations", S.parse_mutant(F.col("mutant"))), "_id")
+    return llr.groupBy("_id.dms_id").agg(F.round(F.sum("llr"), 5).alias("llr"), F.sum("n_unknown").alias("n_unknown"))
+
+
+@query("""WITH t AS (SELECT p_partkey, i, s, i % 3 = 1 AS special FROM (SELECT p_partkey, unnest(range(1, 1 + len(string_split(p_name, ' ')))) AS i, unnest(string_split(p_name, ' ')) AS s FROM part)),
+  e AS (SELECT *, CAST(sum(CASE WHEN special THEN 0 ELSE length(s) END) OVER (PARTITION BY p_partkey ORDER BY i) AS INTEGER) AS e FROM t)
+  SELECT p_partkey, CAST(i - 1 AS INTEGER) AS token, CASE WHEN special THEN 0 ELSE e - CAST(length(s) AS INTEGER) END AS start, CASE WHEN special THEN 0 ELSE e END AS "end" FROM e""")
+def piece_spans(spark, d):
+    p = L.table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("pieces"))
+    p = p.withColumn("special", F.transform("pieces", lambda _, i: i % 3 == 0))
+    return tensors.piece_spans(p, "p_partkey", "pieces", "special").select("p_partkey", F.posexplode("spans").alias("token", "s")).select("p_partkey", "token", "s.start", "s.end")
+
+
+@query("""WITH t AS (SELECT p_partkey, unnest(range(1, 1 + len(string_split(p_name, ' ')))) AS i, unnest(string_split(p_name, ' ')) AS s FROM part),
+  e AS (SELECT *, sum(length(s)) OVER (PARTITION BY p_partkey ORDER BY i) AS e FROM t) SELECT p_partkey, CAST(unnest(range(CAST(e - length(s) AS BIGINT), CAST(e AS BIGINT))) AS INTEGER) AS pos, CAST(i - 1 AS DOUBLE) / 2 AS value FROM e""")
+def token_letters(spark, d):
+    p = L.table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("pieces"))
+    t = tensors.piece_spans(p, "p_partkey", "pieces").withColumn("values", F.transform("spans", lambda _, i: i / F.lit(2.0)))
+    return tensors.spread(t, ["p_partkey"], "spans", "values")
+
+
+def _special_pool(how, sql):
+    @query(f"WITH {L.EMB}, t AS (SELECT *, item // 5 AS own, item % 3 = 0 OR item // 5 % 11 = 0 AS special FROM emb), r AS (SELECT * FROM t WHERE NOT special OR own % 11 = 0) SELECT own AS item, CAST(layer_id AS INTEGER) AS layer_id, CAST(dim AS INTEGER) AS dim, round({sql}, 9) AS x FROM r GROUP BY ALL", f"special_pool_{how}")
+    def run(spark, d):
+        e = L.emb(spark, d).withColumn("token", F.col("item")).withColumn("own", F.expr("item div 5")).withColumn("special", (F.col("item") % 3 == 0) | (F.expr("item div 5") % 11 == 0))
+        return vectors.pool(e, ["own", "layer_id"], "token", how, special="special").select(F.col("own").alias("item"), "layer_id", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 9))
+
+
+for _h, _q in (("mean", "avg(x)"), ("max", "max(x)"), ("last", "arg_max(x, item)")):
+    _special_pool(_h, _q)
+
+
+@query(f"""WITH {L.SEQS}, s AS (SELECT doc_id, seq, length(seq) AS n FROM seqs WHERE length(seq) > 0), c AS (SELECT doc_id, n, i, ascii(substr(seq, CAST(i + 1 AS BIGINT), 1)) AS x FROM (SELECT doc_id, seq, n, unnest(range(n)) AS i FROM s)),
+  f AS (SELECT unnest([1, 2, 8]) AS f), p AS (SELECT doc_id, f, n, i // f AS j, sum(x) AS x FROM c, f GROUP BY ALL)
+  SELECT doc_id, CAST(CASE f WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS INTEGER) AS layer_id, round(avg(x), 6) AS mean, CAST(max(x) AS DOUBLE) AS most, CAST(arg_max(x, j) AS DOUBLE) AS last FROM p GROUP BY doc_id, f""")
+def mixed_resolution_pool(spark, d):
+    """The network's layers of 1, 2 and 8 letters a place, pooled each over its own real places."""
+    s = L.seqs(spark, d).where("seq <> ''")
+    by = [HalvingModel().embeddings(s, "doc_id", "seq", "all", how).select("doc_id", "layer_id", F.col("vec")[0].alias(n)) for how, n in (("mean", "mean"), ("max", "most"), ("last", "last"))]
+    return by[0].join(by[1], ["doc_id", "layer_id"]).join(by[2], ["doc_id", "layer_id"]).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"""WITH e AS (SELECT vec_id, vec_id % 64 + 1 AS n, f, embedding FROM embeddings, (SELECT unnest([1, 2, 8]) AS f)),
+  x AS (SELECT vec_id, n, f, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM e), k AS (SELECT vec_id, f, i % f AS dim, i // f AS j, x FROM x WHERE i // f < greatest(1, CAST(ceil(n / CAST(f AS DOUBLE)) AS BIGINT)))
+  SELECT vec_id, CAST(f AS INTEGER) AS f, CAST(dim AS INTEGER) AS dim, round(avg(x), 9) AS x FROM k GROUP BY ALL""")
+def mixed_places(spark, d):
+    """States of 64, 32 and 8 places that stand for 64 letters, of which the first n are real."""
+    e = L.table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 64 + 1).cast("int").alias("n"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    states = lambda f: F.transform(F.sequence(F.lit(0), F.lit(64 // f - 1)), lambda j: F.slice("v", j * f + 1, F.lit(f)))
+    each = [F.struct(F.lit(f).alias("f"), tensors.pool_places(states(f), F.col("n"), F.lit(64)).alias("vec")) for f in (1, 2, 8)]
+    return e.select("vec_id", F.explode(F.array(*each)).alias("p")).select("vec_id", "p.f", F.posexplode("p.vec").alias("dim", "x")).withColumn("x", F.round("x", 9))
+
+
+@query(f"""WITH {L.SEQS}, s AS (SELECT doc_id, seq, length(seq) AS n FROM seqs), t AS (SELECT doc_id, seq, n, unnest(range(CAST(n AS BIGINT))) AS j FROM s),
+  w AS (SELECT doc_id, seq, n, j, 6 * (j // 3) + CASE j % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END AS a, j % 3 + 1 AS width FROM t)
+  SELECT doc_id, CAST(j AS INTEGER) AS token, CAST(a AS INTEGER) AS start, CAST(least(a + width, n) AS INTEGER) AS "end", CAST(list_sum(list_transform(string_split(substr(seq, CAST(a + 1 AS BIGINT), CAST(width AS BIGINT)), ''), lambda c: ascii(c))) AS DOUBLE) AS x FROM w WHERE a < n""")
+def variable_tokens(spark, d):
+    """Real tokens of a model with tokens of one to three letters, with the letters that they cover."""
+    return WordModel().token_vectors(L.seqs(spark, d), "doc_id", "seq").select("doc_id", "token", "start", "end", F.col("vec")[0].alias("x"))
+
+
 # -- vectors --------------------------------------------------------------------------------------
 @query(f"WITH {L.EMB} SELECT item // 5 AS item, CAST(layer_id AS INTEGER) AS layer_id, CAST(dim AS INTEGER) AS dim, round(avg(x), 9) AS x FROM emb GROUP BY ALL")
 def window_mean(spark, d):
@@ -696,6 +844,50 @@ def gene_task(spark, d):
     return _result(spark, control.run_tasks(CodeModel(), [tasks.GeneTask("genes", lambda s: L.labelled(s, d))], spark), ["mean_auroc", "median_auroc", "n_scored"])
 
 
+_UPPER = "gene AS (SELECT genome, split, essential AS y, {score} AS gc FROM seqs), dir AS (SELECT CASE WHEN avg(gc) FILTER (y = 1) >= avg(gc) FILTER (y = 0) THEN 1 ELSE -1 END AS up FROM gene WHERE split = 'train')"
+_CODES = "(" + " + ".join(f"(length(seq) - length(replace(seq, '{c}', ''))) * {ord(c)}" for c in "ACGTN") + ") / (-100.0 * length(seq))"
+
+
+def _auroc_of(score, up, name):
+    """SQL of the mean area of genes ranked by a number, turned as the training rows say if ``up``."""
+    way = "up" if up else "1"
+    body = f"WITH {L.LABELLED}, {_UPPER.format(score=score)}, preds AS (SELECT genome, y, gc * {way} AS score FROM gene, dir WHERE split = 'test' AND gc IS NOT NULL), {_RANK}, g AS (SELECT genome FROM preds GROUP BY 1 HAVING min(y) < max(y)) SELECT '{name}' AS metric, round(avg(auroc), 7) AS value FROM a JOIN g USING (genome)"
+    return body.replace("(sum(y) * (count(*) - sum(y)))", "nullif(sum(y) * (count(*) - sum(y)), 0)")
+
+
+_GC = "(length(seq) - length(translate(seq, 'GC', ''))) / CAST(greatest(1, length(seq)) AS DOUBLE)"
+_A = "(length(seq) - length(translate(seq, 'A', ''))) / CAST(greatest(1, length(seq)) AS DOUBLE)"
+_N = f"(WITH {L.LABELLED} SELECT count(*) FROM seqs)"
+
+
+def _shared(spark, d, own, keys):
+    """metric, value of several tasks, and how many sequences the model was run on for each row."""
+    calls = spark.sparkContext.accumulator(0)
+    record = control.run_tasks(CountedModel(calls), own, spark)
+    rows = [(f"{t['task']}_{k}", float(t["metrics"][k])) for t in record["tasks"] for k in keys if k in t["metrics"]]
+    if len(rows) < len(own):
+        raise ValueError(record["tasks"])
+    rows += [("passes", float(len(record["passes"]))), ("calls", float(calls.value))]
+    return spark.createDataFrame(rows, "metric string, value double").withColumn("value", F.round("value", 7))
+
+
+@query(f"({_auroc_of(_GC, True, 'genes_mean_auroc')}) UNION ALL ({_auroc_of(_CODES, False, 'likelihood_mean_auroc')}) UNION ALL SELECT 'passes', 1.0 UNION ALL SELECT 'calls', CAST({_N} AS DOUBLE)")
+def fused_heads(spark, d):
+    """A probe and a likelihood task of one corpus: one pass gives both heads, a row once."""
+    load = lambda s: L.labelled(s, d)
+    return _shared(spark, d, [tasks.GeneTask("genes", load, "genes"), tasks.LikelihoodTask("likelihood", load, "genes")], ["mean_auroc"])
+
+
+@query(f"""({_auroc_of(_GC, True, 'last_mean_auroc')}) UNION ALL ({_auroc_of(_GC, True, 'again_mean_auroc')}) UNION ALL ({_auroc_of(_A, True, 'all_layer_0_mean_auroc')}) UNION ALL ({_auroc_of(_GC, True, 'all_layer_1_mean_auroc')})
+  UNION ALL ({_auroc_of(_GC.replace("seq", "substr(seq, 1, 40)"), True, 'head_mean_auroc')}) UNION ALL SELECT 'passes', 2.0 UNION ALL SELECT 'calls', CAST(2 * {_N} AS DOUBLE)""")
+def reuse_passes(spark, d):
+    """Four tasks of one corpus, of which one reads it cut otherwise: its windows differ, so it has a pass of its own."""
+    load = lambda s: L.labelled(s, d)
+    head = tasks.GeneTask("head", load, "genes")
+    head.windows = lambda model: F.array(F.substring("seq", 1, 40))
+    return _shared(spark, d, [tasks.GeneTask("last", load, "genes"), tasks.GeneTask("all", load, "genes", sweep=True), tasks.GeneTask("again", load, "genes"), head], ["mean_auroc", "layer_0_mean_auroc", "layer_1_mean_auroc"]).where("metric <> 'all_mean_auroc'")
+
+
 _ECHO_OF = "round((" + " + ".join(f"(length(sequence) - length(replace(sequence, '{c}', ''))) * CAST({features.echo_value(ord(c))!r} AS DOUBLE)" for c in "ACGT") + ") / length(sequence), 12)"
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import features
 from ..functions.sequences import assay_check, enzyme_windows, gene_windows, parse_mutant, scoreable
 from ..operators import metrics, probes, vectors
-from ..operators.control import Reuse, TaskResult, run_tasks
+from ..operators.control import TaskResult, run_tasks
+from ..operators.reuse import Reuse, plan
 
 
 def gene_vectors(genes: DataFrame, key: str, seq: str, k: int, width: int | None) -> DataFrame:
@@ -50,25 +51,12 @@ def variant_items(variants: DataFrame) -> DataFrame:
     return parsed.join(F.broadcast(refs.select("dms_id", "reference")), "dms_id")  # one row an assay
 
 
-def _vectors(model, rows: DataFrame, key: str, windows, layers: str) -> DataFrame:
-    """key, layer_id, vec: a model's vectors of the windows of each row, averaged; raises unless there is one
-    of each row and layer, without NaN."""
-    cut = rows.select(key, F.explode(windows).alias("window"))
-    made = vectors.window_mean(model.embeddings(cut, key, "window", layers), [key, "layer_id"]).persist()
-    try:
-        for layer in (r.layer_id for r in made.select("layer_id").distinct().collect()):
-            vectors.check_one_to_one(made.where(F.col("layer_id") == layer), rows, key)
-    finally:
-        made.unpersist()
-    return made
-
-
 class _Probed:
     """A task that probes the vectors of its rows. ``sweep``: every layer is probed, and the best of those that
-    carry something is the result. Tasks of one ``corpus`` and window policy share a model's vectors."""
+    carry something is the result. Tasks of one ``corpus`` that cut it into the same windows share a pass."""
 
     alternatives = [["embed"]]
-    score = "score"
+    head, score = "vectors", "score"
 
     def __init__(self, name: str, load, corpus: str | None = None, sweep: bool = False, key: str = "doc_id", manifest: str | None = None):
         self.name, self.load, self.corpus, self.sweep, self.key, self.manifest = name, load, corpus or name, sweep, key, manifest
@@ -84,10 +72,13 @@ class _Probed:
         """Metrics of one layer's rows with their vectors."""
         raise NotImplementedError
 
-    def run(self, model, chosen, rows, reuse=None, widest: bool = False) -> TaskResult:
-        reuse = reuse or Reuse({self.corpus: 1})
-        make = lambda: _vectors(model, rows, self.key, self.windows(model), "all" if self.sweep or widest else "last")
-        vec = reuse.get(self.corpus, make, self.layers)
+    def cut(self, model, rows: DataFrame) -> DataFrame:
+        """key, at, window"""
+        return rows.select(self.key, F.posexplode(self.windows(model)).alias("at", "window"))
+
+    def run(self, model, chosen, rows, reuse=None) -> TaskResult:
+        reuse = reuse or Reuse(plan([self]))
+        vec = reuse.vectors(self.corpus, model, self.cut(model, rows), rows, self.key, self.layers)
         if not self.sweep:
             metrics_ = self.measure(rows.join(vec, self.key))
             return TaskResult(self.name, "ok", self.score, metrics_, {"embedding_dim": len(vec.first().vec)})
@@ -131,6 +122,23 @@ class GeneTask(_Probed):
         return {k: float(v) for k, v in (report | pooled).items() if v is not None}
 
 
+class LikelihoodTask(GeneTask):
+    """Essentiality without a probe: genes ranked by the mean log-probability of their letters over all windows."""
+
+    alternatives = [["per_token"]]
+    head = "logprobs"
+
+    def run(self, model, chosen, rows, reuse=None) -> TaskResult:
+        reuse = reuse or Reuse(plan([self]))
+        z = reuse.logprobs(self.corpus, model, self.cut(model, rows), rows, self.key)
+        total = z.groupBy(self.key).agg(F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("total"), F.sum(F.size("vec")).alias("n"))
+        out = rows.join(total.select(self.key, F.try_divide("total", "n").alias("mean")), self.key).where(F.col("split") == "test")
+        report = metrics.macro(metrics.group_report(out, ["genome"], "essential", "mean"), ["auroc", "auprc"]).first().asDict()
+        if not report["n_scored"]:
+            raise ValueError("no genome has both classes")
+        return TaskResult(self.name, "ok", self.score, {k: float(v) for k, v in report.items() if v is not None})
+
+
 class EnzymeTask(_Probed):
     """Enzyme classes: a multinomial probe, scored by macro F1 over the test rows."""
 

@@ -101,15 +101,6 @@ def test_length_batches():
         length_batches(lengths)
 
 
-def test_reuse_makes_one_pass(spark):
-    held = control.Reuse({"k": 2})
-    df = spark.createDataFrame([(0, 0, [1.0]), (0, 1, [2.0])], "item int, layer_id int, vec array<double>")
-    assert held.get("k", lambda: df, "last").first().vec == [2.0] and held.get("k", lambda: df, "all").count() == 2 and held.made == 1
-    held.release("k")
-    held.release("k")
-    assert not held.held
-
-
 def test_env():
     assert control.expand_env({"a": ["${X}/${Y:-z}", "$X"]}, {"X": "1"}) == {"a": ["1/z", "$X"]}
     with pytest.raises(KeyError, match="A, B"):
