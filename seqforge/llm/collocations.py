@@ -40,6 +40,7 @@ LEAST, MOST, TOP, SHARE = 100, 5, 2000, 100
 BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 18  # of text, hashed at once
 SPAN = 1 << 16  # blocks whose records meet in one shard
+SHARDS = 4  # for each task, so that tasks are even
 HOT = 1 << 16  # occurrences of a prefix beyond which it is dealt to several tasks
 PARTS = 32  # in which a language's phrases are ranked first
 SEEDS = 4
@@ -330,7 +331,8 @@ def _grow(least: int, most: int):
 
 def _mined(docs: DataFrame, seed: int, least: int, most: int, block_bytes: int, span: int, hot: int):
     """(totals by language, frequent words, phrases and spellings), None if words clash under this seed."""
-    shards = partitions(docs)
+    deal = partitions(docs)
+    shards = SHARDS * deal
     blocks = encoded(docs, seed, block_bytes)
     spans_ = blocks.count() // span + 1
     placed = blocks.withColumn("span", F.pmod(F.xxhash64("block"), F.lit(spans_)).cast("int"))
@@ -346,11 +348,11 @@ def _mined(docs: DataFrame, seed: int, least: int, most: int, block_bytes: int,
 
     sent = placed.mapInArrow(counts, _schema(_SENT))
     if spans_ == 1:
-        met = sent.repartition(shards, "shard").groupBy("shard").applyInArrow(_settle(least, hot), _schema(_MET))
+        met = sent.repartition(deal, "shard").groupBy("shard").applyInArrow(_settle(least, hot), _schema(_MET))
     else:
-        sent = cut(sent, "sent").repartition(shards, "shard", "span").groupBy("shard", "span")
-        met = cut(sent.applyInArrow(_gather, _schema(_SENT)).repartition(shards, "shard").groupBy("shard").applyInArrow(_settle(least, hot), _schema(_MET)), "settled")
-        told = met.where("packed IS NOT NULL").withColumn("span", F.col("block").cast("int")).repartition(shards, "shard", "span").groupBy("shard", "span")
+        sent = cut(sent, "sent").repartition(deal, "shard", "span").groupBy("shard", "span")
+        met = cut(sent.applyInArrow(_gather, _schema(_SENT)).repartition(deal, "shard").groupBy("shard").applyInArrow(_settle(least, hot), _schema(_MET)), "settled")
+        told = met.where("packed IS NOT NULL").withColumn("span", F.col("block").cast("int")).repartition(deal, "shard", "span").groupBy("shard", "span")
         met = met.where("packed IS NULL").unionByName(sent.cogroup(told).applyInArrow(_hand_on, _schema(_MET)))
     met = cut(met, "met")
     if not met.where("clash").isEmpty():
@@ -377,11 +379,11 @@ def _mined(docs: DataFrame, seed: int, least: int, most: int, block_bytes: int,
             rows.append((k, row, block.lang, None, b"", block.keys[x].tobytes(), b" ".join([spelled[i] for i in x.tolist()])))
         return _table(rows, _CELL)
 
-    replies = met.where("packed IS NOT NULL").select("block", "packed", "hot").repartition(shards, "block").groupBy("block")
-    cells = placed.repartition(shards, "block").groupBy("block").cogroup(replies).applyInArrow(project, _schema(_CELL))
+    replies = met.where("packed IS NOT NULL").select("block", "packed", "hot").repartition(deal, "block").groupBy("block")
+    cells = placed.repartition(deal, "block").groupBy("block").cogroup(replies).applyInArrow(project, _schema(_CELL))
     if spans_ > 1:
-        cells = cells.repartition(shards, "shard", "span").groupBy("shard", "span").applyInArrow(_merged(most), _schema(_CELL))
-    grown = cut(cells.repartition(shards, "shard").groupBy("shard").applyInArrow(_grow(least, most), _schema(_GROWN)), "grown")
+        cells = cells.repartition(deal, "shard", "span").groupBy("shard", "span").applyInArrow(_merged(most), _schema(_CELL))
+    grown = cut(cells.repartition(deal, "shard").groupBy("shard").applyInArrow(_grow(least, most), _schema(_GROWN)), "grown")
     return blocks.groupBy("lang").agg(F.sum("n").alias("total")), met.where("word IS NOT NULL").select(F.array("word").alias("words"), "n"), grown
 
 
