@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-STEPS = 1024
+#: Values that the optimiser takes to be of no more bytes than this are ranked with a group in one task.
+SMALL_BYTES = 64 << 20
+FAN = 16  # quantiles looked at in each of two steps: a group has up to FAN * FAN blocks
 
 
 def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -19,31 +21,37 @@ def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(named, same, "left").drop(*[f"_key{i}" for i in range(len(keys))])
 
 
+def _small(df: DataFrame) -> bool:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+
+
 def _blocks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Adds ``_block``, which never falls as the value rises within its group, -1 for null.
 
-    It counts steps of the group's range and, within one, 1/256 powers of two of the value itself, so that
-    a group is in one block only if its range is both that narrow and stretched by an outlier.
+    Blocks end at quantiles of the group's own distinct values, as one aggregate estimates them, so that neither
+    outliers nor spikes fill one; which estimates they are changes the work alone, not what comes of it.
     """
-    x = F.col(value).cast("double")
-    ends = rows.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    span = F.col("_hi") - F.col("_lo")
-    step = F.when((span > 0) & (span < float("inf")), F.floor((x - F.col("_lo")) / span * STEPS)).otherwise(F.lit(0).cast("long"))
-    power = lambda v: F.floor(F.least(F.log2(v) * 256 + 300000, F.lit(1e6)))  # noqa: E731  # above 0 for every double
-    bits = F.when(x > 0, power(x)).when(x < 0, -power(-x)).otherwise(F.lit(0).cast("long"))
-    block = F.when(x.isNull(), F.lit(-1).cast("long")).otherwise(step * (1 << 21) + bits + (1 << 20))
-    return _beside(rows, ends, by).withColumn("_block", block).drop("_lo", "_hi")
+    x, n = F.col(value).cast("double"), FAN * FAN
+    sound = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    ends = rows.groupBy(*by).agg(F.percentile_approx(sound, [k / n for k in range(1, n)], 10 * n).alias("_q"))
+    below = lambda part: F.size(F.filter(part, lambda q: q < x))
+    coarse = below(F.array(*[F.get("_q", F.lit(FAN * k - 1)) for k in range(1, FAN)]))
+    block = F.when(x.isNull(), -1).when(F.col("_q").isNull(), F.when(F.isnan(x) | (x > 0), 1).otherwise(0))
+    out = _beside(rows, ends, by).withColumn("_c", coarse)
+    return out.withColumn("_block", block.otherwise(F.col("_c") * FAN + below(F.slice("_q", F.col("_c") * FAN + 1, F.lit(FAN))))).drop("_q", "_c")
 
 
 def _running(rows: DataFrame, by: list[str], value: str, sums: list[str], down: bool = False) -> DataFrame:
     """Adds before_<c> for each c of ``sums``: its sum over the group's rows of lower (higher if ``down``) values.
 
-    Values are distinct within a group. A task holds a block of a group, or one number for each block of it.
-    """
+    Values are distinct within a group. A task holds a block of a group, or one number for each block of it; a
+    small table needs no blocks, and has the same sums without."""
     order = F.desc if down else F.asc
-    rows = _blocks(rows, by, value)
     until = lambda keys, column: Window.partitionBy(*keys).orderBy(order(column)).rowsBetween(Window.unboundedPreceding, -1)
     earlier = lambda c, keys, column: F.coalesce(F.sum(c).over(until(keys, column)), F.lit(0.0))
+    if _small(rows):
+        return rows.select("*", *[earlier(c, by, value).alias(f"before_{c}") for c in sums])
+    rows = _blocks(rows, by, value)
     totals = rows.groupBy(*by, "_block").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     totals = totals.select(*by, "_block", *[earlier(f"_{c}", by, "_block").alias(f"_{c}") for c in sums])
     inside = rows.select("*", *[earlier(c, [*by, "_block"], value).alias(f"before_{c}") for c in sums])
@@ -51,6 +59,21 @@ def _running(rows: DataFrame, by: list[str], value: str, sums: list[str], down:
     return out.withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"_{c}") for c in sums}).drop("_block", *[f"_{c}" for c in sums])
 
 
+def group_median(df: DataFrame, by: list[str], column: str, name: str = "median") -> DataFrame:
+    """by and the exact median of each group's values, the mean of the middle two; nulls do not count.
+
+    The middle is found among running counts of distinct values, which blocks share between tasks."""
+    each = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    ran = _running(each, by, "_v", ["n"])
+    if _small(each):
+        whole = ran.withColumn("_all", F.sum("n").over(Window.partitionBy(*by)))
+    else:
+        whole = _beside(ran, each.groupBy(*by).agg(F.sum("n").alias("_all")), by)
+    at = lambda place: F.max(F.when((F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n")), F.col("_v")))
+    lower, upper = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    return whole.groupBy(*by).agg(((at(lower) + at(upper)) / 2).alias(name))
+
+
 def average_rank(df: DataFrame, by: list[str], value: str, rank: str) -> DataFrame:
     """by, value and its rank within the group, ties sharing the mean of theirs: a row a distinct value."""
     each = df.groupBy(*by, value).agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -114,13 +137,18 @@ def macro_f1(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Absolute rank correlation, ties sharing ranks; null if either side is constant."""
-    ranked = _beside(_beside(df.select(*by, x, y), average_rank(df, by, x, "rx"), [*by, x]), average_rank(df, by, y, "ry"), [*by, y])
+    pairs = df.select(*by, x, y)
+    if _small(pairs):
+        rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
+        ranked = pairs.select(*by, rank(x).alias("rx"), rank(y).alias("ry"))
+    else:
+        ranked = _beside(_beside(pairs, average_rank(df, by, x, "rx"), [*by, x]), average_rank(df, by, y, "ry"), [*by, y])
     varied = (F.max("rx") > F.min("rx")) & (F.max("ry") > F.min("ry"))
     return ranked.groupBy(*by).agg(F.when(varied, F.abs(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")))).alias("spearman"), F.count(F.lit(1)).alias("n_variants"))
 
 
 def _split(df: DataFrame, by: list[str], column: str, inclusive: bool) -> DataFrame:
-    middle = df.groupBy(*by).agg(F.median(column).alias(f"{column}_median"))
+    middle = group_median(df, by, column, f"{column}_median")
     high = F.col(column) >= F.col(f"{column}_median") if inclusive else F.col(column) > F.col(f"{column}_median")
     return df.join(middle, by).withColumn(f"{column}_high", high.cast("int"))
 

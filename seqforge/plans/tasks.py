@@ -10,6 +10,7 @@ from ..functions.sequences import assay_check, enzyme_windows, gene_windows, par
 from ..operators import metrics, probes, vectors
 from ..operators.control import TaskResult, run_tasks
 from ..operators.reuse import Reuse, plan
+from ..sources.shared import dropped, written
 
 
 def gene_vectors(genes: DataFrame, key: str, seq: str, k: int, width: int | None) -> DataFrame:
@@ -183,10 +184,13 @@ class VariantTask:
         else:
             fits = F.lit(True) if model.max_context is None else F.length("sequence") <= model.max_context
             scored = model.scores(known.where(fits), "_id", "sequence").withColumnRenamed("score", "s")
-        report = metrics.variant_report(known.join(scored, "_id", "left"), ["dms_id", "rna_type"], "dms_score", "s").persist()
+        # written once: the metrics read the scores several times, the model runs once
+        table = written(known.join(scored, "_id", "left").select("dms_id", "rna_type", "dms_score", "s"), f"scores-{self.name}")
+        report = metrics.variant_report(table, ["dms_id", "rna_type"], "dms_score", "s").persist()
         row = metrics.type_mean(report, "rna_type", ["spearman", "auc", "mcc"]).first().asDict()
         each = {f"{r.dms_id}_spearman": r.spearman for r in report.collect() if r.spearman is not None}  # a row an assay
         report.unpersist()
+        dropped(table)
         if not each:
             raise ValueError("no assay could be scored")
         n = known.agg(F.count_if(~scoreable(F.col("mutant"))).alias("unscoreable"), F.count(F.lit(1)).alias("n")).first()

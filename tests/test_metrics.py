@@ -14,7 +14,14 @@ def test_curve_areas(spark):
     assert got["b"].auroc is None and got["b"].auprc is None and not got["b"].scored
 
 
-def test_areas_against_pairs(spark):
+@pytest.fixture(params=["one task a group", "blocks"])
+def dealing(request, monkeypatch):
+    if request.param == "blocks":
+        monkeypatch.setattr(metrics, "SMALL_BYTES", -1)
+    return request.param
+
+
+def test_areas_against_pairs(spark, dealing):
     rng = np.random.default_rng(3)
     rows = [(int(g), int(y), float(s)) for g, y, s in zip(rng.integers(0, 3, 400), rng.integers(0, 2, 400), rng.integers(0, 25, 400) / 25)]
     got = {r.g: r for r in metrics.group_report(spark.createDataFrame(rows, "g int, y int, s double"), ["g"], "y", "s").collect()}
@@ -29,7 +36,7 @@ def test_areas_against_pairs(spark):
         assert got[g].auprc == pytest.approx(area)
 
 
-def test_rank_metrics_against_numpy(spark):
+def test_rank_metrics_against_numpy(spark, dealing):
     rng = np.random.default_rng(4)
     x, y = rng.integers(0, 9, 60).astype(float), rng.integers(0, 9, 60).astype(float)
     df = spark.createDataFrame([("a", "t", float(a), float(b)) for a, b in zip(x, y)] + [("c", "u", 1.0, float(b)) for b in range(4)], "d string, k string, x double, y double")
@@ -40,7 +47,7 @@ def test_rank_metrics_against_numpy(spark):
     assert {r.d: r.mcc for r in metrics.median_mcc(df, ["d"], "x", "y").collect()}["a"] == pytest.approx(abs(np.corrcoef(t, s)[0, 1]))
 
 
-def test_ranks_of_odd_values_do_not_depend_on_blocks(spark):
+def test_ranks_of_odd_values_do_not_depend_on_blocks(spark, dealing):
     rng = np.random.default_rng(8)
     inf, huge, tiny = float("inf"), 1.7e308, 5e-324
     groups = {
@@ -59,6 +66,37 @@ def test_ranks_of_odd_values_do_not_depend_on_blocks(spark):
     assert all(r.m <= 30 for r in blocks.collect())
 
 
+def test_medians_without_a_median(spark, dealing):
+    rng = np.random.default_rng(9)
+    groups = {"even": rng.normal(size=40), "odd": rng.integers(0, 5, 31) * 1.0, "spike": np.r_[np.full(300, 2.0), rng.normal(size=20)], "outlier": np.r_[rng.normal(size=25), 1e300], "one": np.array([3.5])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("none", None), ("one", None)], "g string, v double")
+    got = {r.g: r.median for r in metrics.group_median(df, ["g"], "v").collect()}
+    assert got == {g: pytest.approx(np.median(v)) for g, v in groups.items()}
+
+
+def test_blocks_of_a_spike_and_an_outlier_are_even(spark, monkeypatch):
+    """However skewed the values, no block holds many times the distinct values of another."""
+    monkeypatch.setattr(metrics, "SMALL_BYTES", -1)
+    rng = np.random.default_rng(10)
+    close = 1 + rng.permutation(4000) * 1e-13  # within 1/1024 of the range and 1/256 of the value
+    values = [*close.tolist(), 1e12, -1e12]
+    df = spark.createDataFrame([("a", v) for v in values], "g string, v double")
+    sizes = [r["count"] for r in metrics._blocks(df.distinct(), ["g"], "v").groupBy("_block").count().collect()]
+    assert len(sizes) > 200 and max(sizes) <= 4 * np.median(sizes)
+
+
+def test_rank_plans(spark):
+    """Two shuffles of the data for ranks of small tables; no aggregate that holds a group's values anywhere."""
+    from pyspark.sql.types import DoubleType
+
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_returnflag", F.col("l_quantity").cast(DoubleType()).alias("x"), F.col("l_extendedprice").alias("y"), (F.col("l_linenumber") % 2).alias("t"))
+    plan = lambda out: out._jdf.queryExecution().executedPlan().toString()
+    assert plan(metrics.spearman(df, ["l_returnflag"], "x", "y")).count("Exchange") <= 2
+    assert plan(metrics.auroc(df, ["l_returnflag"], "t", "x")).count("Exchange") <= 2
+    for out in (metrics.median_auc(df, ["l_returnflag"], "y", "x"), metrics.median_mcc(df, ["l_returnflag"], "y", "x"), metrics.variant_report(df, ["l_returnflag"], "y", "x")):
+        assert "median(" not in plan(out) and "percentile(" not in plan(out)
+
+
 def test_type_mean_is_not_the_plain_mean_and_keeps_gaps(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("a", 0.5), ("b", 0.0)], "t string, m double")
     assert metrics.type_mean(df, "t", ["m"]).first().m == pytest.approx(0.25)

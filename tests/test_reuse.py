@@ -105,6 +105,7 @@ def test_a_wider_reader_promotes(spark, items):
     assert len(pairs(held.vectors("c", model, windows(items), items, "item", "all"))) == 40
     assert len(pairs(held.vectors("c", model, windows(items), items, "item", [-1]))) == 20
     assert [w for *_, w in held.passes] == ["last", "all"] and not complete(spark, narrow)
+    assert {r.layer_id for r in held.vectors("c", model, windows(items), items, "item", "0,-1").collect()} == {0, 1} and len(held.passes) == 2
     with pytest.raises(KeyError):
         held.vectors("c", model, windows(items), items, "item", 7)
 

@@ -171,11 +171,6 @@ def test_layers_by_name_number_and_list(spark):
     assert [control.pick_layers([0, 2, 5], x) for x in ("all", "last", 2, [-1, 0], "0,-2", None)] == [[0, 2, 5], [5], [2], [5, 0], [0, 2], [0, 2, 5]]
     with pytest.raises(KeyError, match="no layer 3"):
         control.pick_layers([0, 2], [3])
-    held = control.Reuse({"k": 1})
-    df = spark.createDataFrame([(0, k, [float(k)]) for k in (0, 2, 5)], "item int, layer_id int, vec array<double>")
-    assert {r.layer_id for r in held.get("k", lambda: df, [0, -1]).collect()} == {0, 5} and "Window" not in held.get("k", None)._jdf.queryExecution().toString()
-    held.get("k", lambda: df, pool="max")
-    assert held.made == 2
 
 
 def plain_batches(lengths, budget, size):
