@@ -8,8 +8,10 @@ Documents are dealt to blocks of a few megabytes; blocks and shards exchange pac
 1. anchors   each window has an anchor, the ``phrase`` words in it with the least hash, so that equal windows
              have equal anchors. Blocks send their distinct anchors to shards by hash and are told which recur;
 2. confirm   blocks send the distinct windows over recurring anchors (95-bit identities, and where they
-             begin). Of each window that recurs a shard names one owner, the least block that has it, and
-             tells the owner, and only it, which blocks need it;
+             begin). Of each window that recurs a shard names one owner among the blocks that have it, and
+             tells the owner, and only it, which blocks need it. Owners are drawn by hashes of the blocks and
+             of the region that a window stands in, so that they share the work whatever recurs where, and
+             neighbouring windows mostly have one owner;
 3. passages  an owner cuts its recurring windows out as passages, runs of windows up to PIECE, and sends each
              to the blocks that need it;
 4. locate    a block compiles an Aho-Corasick automaton of phrases of the passages it was sent, by every
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, table, texts
-from .textbuf import SPACE_BYTES, U64, SpanHasher, arrow_text, byte_table, sliding_min, spans, windows
+from .textbuf import SPACE_BYTES, U64, SpanHasher, arrow_text, byte_table, mix64, sliding_min, spans, windows
 from .tokenizing import slices
 
 WIDTH, PHRASE = 35, 10
@@ -47,12 +49,13 @@ BLOCK_BYTES = 4 << 20  # of the input's files, for each block
 SLICE_BYTES = 1 << 18  # of text, hashed at once
 SPAN = 1 << 16  # blocks whose records meet in one shard
 PIECE = 128  # windows of a passage at most
+REGION = 128  # phrases of which the least names a region: passages of one owner are about half as long
 VOCABULARY = 1 << 18  # words of an automaton at most: three digits of 64
 CROWD = 8  # places of a phrase that are tried one by one
 _NOT_SPACE = ~byte_table(SPACE_BYTES)
 _PACKED = "shard int, span int, block long, packed binary"
 _ANCHOR = np.dtype([("key", "<u8"), ("own", "u1")])
-_WINDOW = np.dtype([("key", "<u8"), ("more", "<u4"), ("at", "<u4")])  # the lowest bit of more: twice in the block
+_WINDOW = np.dtype([("key", "<u8"), ("more", "<u4"), ("at", "<u4"), ("region", "<u2")])  # the lowest bit of more: twice in the block
 _NEED = np.dtype([("at", "<u4"), ("to", "<u4")])
 
 
@@ -69,6 +72,12 @@ class Words:
         least = sliding_min(self.phrases, width - phrase + 1)
         self.anchors = least[self.starts] if len(self.starts) else np.zeros(0, U64)
 
+    def regions(self, starts: np.ndarray) -> np.ndarray:
+        """A digest of the region round each window, alike for neighbours and where the texts round them agree."""
+        least = sliding_min(self.phrases, min(REGION, max(1, len(self.phrases))))
+        at = np.clip(starts - REGION // 2, 0, max(0, len(least) - 1))
+        return (mix64(least[at], 21) >> U64(48)).astype(np.uint16) if len(starts) else np.zeros(0, np.uint16)
+
     def identities(self, starts: np.ndarray):
         return SpanHasher(7).runs(self.words, starts, self.width), SpanHasher(9).runs(self.words, starts, self.width)
 
@@ -126,9 +135,9 @@ def _told(replies: pa.Table, kind) -> np.ndarray:
 def _meet(kind: np.dtype, last: bool, up: bool):
     """For the records of a shard: what blocks are told of the keys that recur, as rows of (block, packed).
 
-    Of anchors every block that has one is told its key. Of windows the least block that has one is told
-    where it begins there, for each block that needs it, itself included. With ``up`` each key goes on, as its
-    least block's record, marked if it has been settled here; such marks are what ``last`` reads."""
+    Of anchors every block that has one is told its key. Of windows the owner is told where it begins there,
+    for each block that needs it, itself included. With ``up`` each key goes on, as its owner's record (any block's,
+    of anchors), marked if it has been settled here; such marks are what ``last`` reads."""
 
     def run(group: pa.Table) -> pa.Table:
         cells = _records(group["packed"], kind)
@@ -143,6 +152,11 @@ def _meet(kind: np.dtype, last: bool, up: bool):
         new[1:] = np.any([c[order][1:] != c[order][:-1] for c in identity], axis=0)
         first = np.flatnonzero(new)
         of = np.cumsum(new) - 1
+        if window:  # the owner first
+            region = np.minimum.reduceat(records["region"], first)[of]
+            order = np.lexsort([mix64(block.astype(U64) * U64(1 << 16) + region, 23), of])
+            records, block, mark = records[order], block[order], mark[order]
+            records["region"] = region
         several = np.diff(np.append(first, len(records))) > 1
         recurs = several if last else several | np.logical_or.reduceat(mark, first)
         hit = recurs[of] & ~mark if last else recurs[of]
@@ -341,7 +355,7 @@ def repeated(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, texts_to
             starts = w.starts[_within(w.anchors, recurring)]
             a, b = w.identities(starts)
             own = np.zeros(len(a), _WINDOW)
-            own["key"], own["more"], own["at"] = a, (b >> U64(33)).astype(np.uint32) << 1, before + starts
+            own["key"], own["more"], own["at"], own["region"] = a, (b >> U64(33)).astype(np.uint32) << 1, before + starts, w.regions(starts)
             found.append(own)
         own = np.concatenate(found)
         own = own[np.lexsort((own["at"], own["more"], own["key"]))]

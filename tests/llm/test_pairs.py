@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqforge.llm import images, jaccard, phrases, pictures, quality, tiles
@@ -283,6 +284,31 @@ def test_passages_are_found_by_the_automaton_alone(spark, monkeypatch):
     assert phrases.removed(words, broken) is None
 
 
+def test_owners_share_a_passage_that_all_blocks_have():
+    """One long passage in each of 64 blocks: its windows are owned, and its passages sent, about evenly."""
+    rng = random.Random(6)
+    text = " ".join(rng.choice(["ka", "lo", "mi", "nu"]) + str(rng.randrange(5000)) for _ in range(100_000))
+    w = phrases.Words(pa.array([text]), 35, 10)
+    a, b = w.identities(w.starts)
+    own = np.zeros(len(a), phrases._WINDOW)
+    own["key"], own["more"], own["at"], own["region"] = a, (b >> np.uint64(33)).astype(np.uint32) << 1, w.starts, w.regions(w.starts)
+    own = own[np.lexsort((own["more"], own["key"]))]
+    sent = phrases._table([(0, 0, k, own.tobytes()) for k in range(64)], {"shard": pa.int32(), "span": pa.int32(), "block": pa.int64(), "packed": pa.binary()})
+    told = phrases._meet(phrases._WINDOW, False, False)(sent)
+    batch = pa.RecordBatch.from_arrays([pa.array([text])], ["text"])
+    windows, sends, passages = [], [], 0
+    for packed in told["packed"]:
+        need = np.frombuffer(packed.as_buffer(), phrases._NEED)
+        windows.append(len(np.unique(need["at"])))
+        rows = list(phrases._passages(batch, need, 35))
+        passages += len(rows)
+        sends.append(sum(len(x) * len(to) for x, to in rows))
+        assert all(len(to) == 64 for _, to in rows)
+    assert len(told) == 64 and sum(windows) == len(w.starts)
+    assert max(windows) <= 2 * np.median(windows) and max(sends) <= 2 * np.median(sends)
+    assert len(w.starts) / passages > 25  # runs of neighbours stay whole
+
+
 def test_automata_against_every_place():
     rng = random.Random(14)
     for _ in range(150):
