@@ -68,8 +68,13 @@ def file_digest(path: str | os.PathLike, chunk: int = 1 << 20) -> str:
     return digest.hexdigest()
 
 
-def weights_digest(path: str | os.PathLike) -> str:
-    """Of a file its SHA-256; of a folder that of its sorted names and digests."""
+def weights_digest(path: str | os.PathLike, spark=None, sidecar: bool = False) -> str:
+    """Of a file its SHA-256; of a folder that of its sorted names and digests. Tasks read the files if there is a
+    session, and keep their digests beside them if asked to."""
+    if spark is not None:
+        from ..sources.files import tree_digest
+
+        return tree_digest(spark, str(path), sidecar)
     path = Path(path)
     if path.is_file():
         return file_digest(path)
@@ -134,7 +139,7 @@ def run_tasks(model, tasks: list, spark, folder=None, benchmark: str = "default"
     pending one of the corpus needs (``layers``, ``head``). ``keep`` names a folder in which outputs outlive the
     run. Weights named in the spec are hashed; ``told`` is called with a line after each task."""
     spec = spec or {"name": model.name}
-    digest = digest or ("sha256:" + weights_digest(spec["weights"]) if spec.get("weights") else "declared")
+    digest = digest or ("sha256:" + weights_digest(spec["weights"], spark, bool(spec.get("digest_sidecar"))) if spec.get("weights") else "declared")
     record = {"model_hash": model_hash(digest, spec, f"{model.name}@{model.version}"), "model": model.name, "benchmark": benchmark, "spec": spec, "weights_digest": digest}
     record["warnings"] = identity_warnings(digest, spec.get("revision")) + [f"declares {c} without a method" for c in half_built(model)]
     done = finished(record_path(folder, record)) if folder else {}

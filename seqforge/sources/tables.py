@@ -4,26 +4,20 @@ what is wrong with them rather than turning them into nulls."""
 from __future__ import annotations
 
 import json
-import tempfile
-import zipfile
 from functools import reduce
 from pathlib import Path
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import normalize
-from ..operators.control import file_digest
+from . import files
+from .files import ContractError, read_dense, read_ragged  # noqa: F401
 
 GENES, ENZYMES = ("genome_name", "genus", "essential", "sequence"), ("entry", "sequence", "label")
 RECORD = "model_hash string, model string, benchmark string, tasks array<struct<task:string,status:string,primary_metric:string,metrics:map<string,double>>>, _broken string"
 
 
-class ContractError(ValueError):
-    """A table is not as its contract says."""
-
-
 def read_strings(spark: SparkSession, path: str, needed: tuple[str, ...]) -> DataFrame:
     """A CSV file with all columns as trimmed strings; a needed column that is absent raises."""
     df = spark.read.option("header", True).option("multiLine", False).option("escape", '"').csv(path)
@@ -90,23 +84,16 @@ def read_manifest(path: str) -> dict:
     return yaml.safe_load(Path(path).read_text())
 
 
-def check_files(folder: str, entries: list[dict], digest_needed: bool = False) -> None:
+def check_files(spark: SparkSession, folder: str, entries: list[dict], digest_needed: bool = False) -> None:
     """Raises if a listed file is absent, or is not what its SHA-256 says; one without is skipped,
-    unless all must have one."""
-    for e in entries:
-        path = Path(folder) / e["file"]
-        if not path.is_file():
-            raise ContractError(f"{path} is missing")
-        wanted = e.get("sha256")
-        if wanted is None and digest_needed:
-            raise ContractError(f"{path} has no sha256 in the manifest")
-        if wanted is not None and file_digest(path) != wanted:
-            raise ContractError(f"{path} has changed: its sha256 is not the manifest's")
+    unless all must have one. Tasks hash the files."""
+    rows = spark.createDataFrame([(f"{folder}/{e['file']}", e.get("sha256")) for e in entries], "path string, wanted string")
+    files.check_files(spark, rows, digest_needed)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256, length of whole files, hashed where they are read (files below 2 GB)."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")
+    """path, sha256, length of a file, or of all in a folder, hashed as streams where they are read."""
+    return files.digests(spark, files.listed(path)).drop("cached")
 
 
 def load_splits(spark: SparkSession, manifest: str, splits: tuple[str, ...] = ("train", "test"), reader=read_genes) -> DataFrame:
@@ -118,7 +105,7 @@ def load_splits(spark: SparkSession, manifest: str, splits: tuple[str, ...] = ("
     if missing := [s for s in splits if s not in names]:
         raise ContractError(f"{manifest}: no split {', '.join(missing)}")
     folder = str(Path(manifest).parent)
-    check_files(folder, [e for _, e in wanted])
+    check_files(spark, folder, [e for _, e in wanted])
     parts = [reader(spark, f"{folder}/{e['file']}", n) for n, e in wanted]
     number = next(c for c in parts[0].columns if c.endswith("_idx"))  # of a row in its own file
     return reduce(DataFrame.unionByName, parts).withColumn("id", F.concat_ws(":", "split", number))
@@ -135,7 +122,7 @@ def load_assays(spark: SparkSession, manifest: str) -> DataFrame:
     if not entries:
         raise ContractError(f"{manifest}: no assays")
     folder = str(Path(manifest).parent)
-    check_files(folder, entries, digest_needed=True)
+    check_files(spark, folder, entries, digest_needed=True)
     parts = [read_variants(spark, f"{folder}/{e['file']}", e["dms_id"], e.get("rna_type", "mRNA-coding")) for e in entries]
     return reduce(DataFrame.unionByName, parts)
 
@@ -156,17 +143,22 @@ def canonical_variants(rows: DataFrame) -> DataFrame:
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet or CSV file, or the one file of those kinds in a zip archive."""
+    """A Parquet or CSV file, or the one file of those kinds in a zip archive, which tasks read where it is."""
     if path.endswith(".zip"):
-        with zipfile.ZipFile(path) as z:
-            inner = [n for n in z.namelist() if n.endswith((".csv", ".parquet"))]
-            if len(inner) != 1:
-                raise ContractError(f"{path}: {len(inner)} tables in the archive")
-            folder = tempfile.mkdtemp()
-            path = z.extract(inner[0], folder)
+        inner = files.members(spark, [path]).limit(2).collect()
+        if len(inner) != 1:
+            raise ContractError(f"{path}: {'no table' if not inner else 'several tables'} in the archive")
+        names = files.header(spark, path, inner[0].member)
+        return files.archived(spark, [path], names).select(*[F.col(f"`{n}`") for n in names])
     return spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).csv(path)
 
 
+def archived_variants(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """dms_id (the member's name without its folder and kind), mutant, sequence, DMS_score of all tables in zip archives."""
+    rows = files.archived(spark, paths, ["mutant", "sequence", "DMS_score"])
+    return rows.select(F.regexp_extract("member", r"([^/]+)\.[^./]+$", 1).alias("dms_id"), "row", "mutant", "sequence", "DMS_score")
+
+
 def source_stats(variants: DataFrame, by: str = "dms_id") -> DataFrame:
     """Rows and longest sequence of each assay."""
     return variants.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.length("sequence")).alias("cds_len"))
@@ -241,26 +233,6 @@ def write_variant_items(items: DataFrame, path: str) -> None:
     items.select(F.col("id").cast("string").alias("id"), "reference", each.alias("mutations")).write.mode("overwrite").json(path)
 
 
-def read_dense(spark: SparkSession, path: str) -> DataFrame:
-    """item, layer_id, vec of an .npz file with ``vectors`` (items x layers x width) and, maybe, ``layers``."""
-    with np.load(path) as z:
-        x = z["vectors"].astype(np.float64)
-        layers = z["layers"].tolist() if "layers" in z else list(range(x.shape[1]))
-    if x.ndim != 3 or len(layers) != x.shape[1]:
-        raise ContractError(f"{path}: vectors must be items x layers x width")
-    rows = [(i, layers[k], x[i, k].tolist()) for i in range(x.shape[0]) for k in range(x.shape[1])]
-    return spark.createDataFrame(rows, "item long, layer_id int, vec array<double>")
-
-
-def read_ragged(spark: SparkSession, path: str) -> DataFrame:
-    """item, values of an .npz file with ``values``, all items' numbers in a row, and ``offsets``."""
-    with np.load(path) as z:
-        values, offsets = z["values"].astype(np.float64), z["offsets"]
-    if len(offsets) < 1 or offsets[0] != 0 or offsets[-1] != len(values) or (np.diff(offsets) < 0).any():
-        raise ContractError(f"{path}: offsets do not fit the values")
-    return spark.createDataFrame([(i, values[a:b].tolist()) for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:]))], "item long, values array<double>")
-
-
 def write_board(df: DataFrame, path: str) -> None:
     """A board, which has a row a model, as CSV and Markdown files."""
     from ..operators.results import markdown

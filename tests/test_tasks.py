@@ -238,8 +238,8 @@ def test_wire_formats(spark, tmp_path):
     np.savez(tmp_path / "r.npz", values=np.arange(5.0), offsets=np.array([0, 2, 2, 5]))
     assert [r["values"] for r in tables.read_ragged(spark, str(tmp_path / "r.npz")).orderBy("item").collect()] == [[0.0, 1.0], [], [2.0, 3.0, 4.0]]
     np.savez(tmp_path / "r.npz", values=np.arange(5.0), offsets=np.array([0, 6]))
-    with pytest.raises(tables.ContractError, match="offsets"):
-        tables.read_ragged(spark, str(tmp_path / "r.npz"))
+    with pytest.raises(Exception, match="offsets do not fit"):
+        tables.read_ragged(spark, str(tmp_path / "r.npz")).collect()
 
 
 def test_sources_of_other_kinds(spark, tmp_path):
