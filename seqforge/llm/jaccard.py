@@ -211,8 +211,8 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """The documents that stand for their classes, with all their columns; of repeated rows one stays."""
     stay = classes(docs, **parameters).where("first").select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")).distinct()
-    names = docs.columns
-    keyed = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     kept = keyed.join(stay.hint("shuffle_hash"), keyed.key.eqNullSafe(stay.own_id) & (keyed.th == stay.own_th), "left_semi")
     return kept.dropDuplicates(["key", "th"]).select("row.*")
 

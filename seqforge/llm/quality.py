@@ -193,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     some = F.broadcast(picked[0].union(picked[1]))  # twice ``sample`` rows of two numbers at most
     own = texts(docs)
-    sizes = own.join(some, "doc_id").select(F.xxhash64("doc_id"), "doc_id", "quality", F.octet_length("text")).limit(2 * sample).collect()
+    sizes = own.join(some, "doc_id").select(F.xxhash64("doc_id").alias("turn"), "doc_id", "quality", F.octet_length("text").alias("size"))
+    sizes = sizes.orderBy("turn", "doc_id", "quality", "size").limit(2 * sample).collect()
     chosen = docs.sparkSession.createDataFrame(list(_affordable(sizes, sample_bytes)), "doc_id long, quality int").distinct()
     rows = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").orderBy("doc_id", "quality", "text").limit(2 * sample).collect()
     return train([r.text.encode() for r in rows], [r.quality for r in rows], share), share
@@ -217,15 +218,18 @@ def score(docs: DataFrame, network: Network | None, share: float = 0.5) -> DataF
 def accepted(docs: DataFrame, network: Network | None, share: float = 0.5, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns."""
 
+    at = f"c{docs.columns.index('text')}"
+
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                data, offsets = arrow_text(part["text"])
+            for part in slices(batch, at, 1 << 20):
+                data, offsets = arrow_text(part[at])
                 raw = data.tobytes()
                 own = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield part.filter(pa.array(network.scores(own) >= threshold if network else np.full(len(own), share >= threshold)))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names of any kind do no harm
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

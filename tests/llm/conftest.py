@@ -4,12 +4,12 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid long, th string, words string, block int, root long, key string, score double, hit_id long, text2 string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid long, th string, words string, block int, root long, key string, score double, hit_id long, text2 string, `a.b` int"
 
 
 def rows_of(texts, first=0):
     """Documents with columns that clash with names inside the operators."""
-    return [(i, t, "en" if i is None or i % 2 else None, f"src{(i or 0) % 3}", len(t or ""), 1, "th", "w", 2, 3, "k", 0.5, 4, "x") for i, t in texts]
+    return [(i, t, "en" if i is None or i % 2 else None, f"src{(i or 0) % 3}", len(t or ""), 1, "th", "w", 2, 3, "k", 0.5, 4, "x", 7) for i, t in texts]
 
 
 @pytest.fixture(scope="session")

@@ -34,8 +34,6 @@ def test_stages_against_plain_versions(spark, odd, odd_texts, none, tmp_path):
     assert max(seen[1].values()) == 1 and 700 not in seen[1] and ids(good) <= set(seen[1])
     assert set(seen[1]) - set(seen[2]) == {103}
     text = {r.doc_id: (r.text, r.n_chars) for r in held.collect()}
-    if 701 in text:
-        assert text[701][0].startswith("token = [REDACTED] ") and text[701][1] == len(text[701][0])
     assert text[702] == ("password: '[REDACTED]' " + secret, len("password: '[REDACTED]' " + secret))
     packed = corpus_pipeline.run(spark, d).collect()
     assert {r.doc_id for r in packed} == set(seen[3])
