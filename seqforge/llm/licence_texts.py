@@ -192,12 +192,24 @@ SHORTER = [("BSD-2-Clause", 3, "Redistributions in binary form must reproduce th
 #: Names that licences go by, in a sentence of the FORMS.
 NAMES = {
     "MIT": ["the MIT License"], "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0"], "ISC": ["the ISC License"], "Zlib": ["the zlib License"], "BSL-1.0": ["the Boost Software License, Version 1.0"],
-    "BSD-2-Clause": ["the BSD 2-Clause License"], "BSD-3-Clause": ["the BSD 3-Clause License"], "GPL-2.0": ["the GNU General Public License, version 2", "the GNU General Public License v2"], "GPL-3.0": ["the GNU General Public License, version 3", "the GNU General Public License v3"],
-    "LGPL-2.1": ["the GNU Lesser General Public License, version 2.1"], "LGPL-3.0": ["the GNU Lesser General Public License, version 3"], "AGPL-3.0": ["the GNU Affero General Public License, version 3"], "MPL-2.0": ["the Mozilla Public License, version 2.0"],
+    "BSD-2-Clause": ["the BSD 2-Clause License"], "BSD-3-Clause": ["the BSD 3-Clause License"], "GPL-2.0": ["the GNU General Public License, version 2", "the GNU General Public License v2", "GPLv2"], "GPL-3.0": ["the GNU General Public License, version 3", "the GNU General Public License v3", "GPLv3"],
+    "LGPL-2.1": ["the GNU Lesser General Public License, version 2.1", "LGPLv2.1"], "LGPL-3.0": ["the GNU Lesser General Public License, version 3", "LGPLv3"], "AGPL-3.0": ["the GNU Affero General Public License, version 3", "AGPLv3"], "MPL-2.0": ["the Mozilla Public License, version 2.0"],
     "EPL-2.0": ["the Eclipse Public License, version 2.0"], "Unlicense": ["the Unlicense"], "OFL-1.1": ["the SIL Open Font License, Version 1.1"], "Artistic-2.0": ["the Artistic License 2.0"],
     "CC-BY-4.0": ["CC BY 4.0", "the Creative Commons Attribution 4.0 International License"], "CC-BY-SA-4.0": ["CC BY-SA 4.0", "the Creative Commons Attribution-ShareAlike 4.0 International License"], "CC-BY-NC-4.0": ["CC BY-NC 4.0", "the Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-ND-4.0": ["CC BY-ND 4.0", "the Creative Commons Attribution-NoDerivatives 4.0 International License"], "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
     "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0", "the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"], "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
+    "CC-BY-3.0": ["CC BY 3.0", "the Creative Commons Attribution 3.0 Unported License"], "CC-BY-SA-3.0": ["CC BY-SA 3.0", "the Creative Commons Attribution-ShareAlike 3.0 Unported License"], "CC-BY-2.0": ["CC BY 2.0"], "CC-BY-SA-2.0": ["CC BY-SA 2.0"],
+    "AFL-3.0": ["the Academic Free License version 3.0"], "Apache-1.1": ["the Apache License, Version 1.1"], "APSL-2.0": ["the Apple Public Source License 2.0"], "Artistic-1.0": ["the Artistic License 1.0"], "BlueOak-1.0.0": ["the Blue Oak Model License 1.0.0"],
+    "BUSL-1.1": ["the Business Source License 1.1"], "CDDL-1.1": ["the Common Development and Distribution License 1.1"], "CDDL-1.0": ["the Common Development and Distribution License 1.0"], "CECILL-2.1": ["the CeCILL License, version 2.1"], "CPL-1.0": ["the Common Public License 1.0"],
+    "ECL-2.0": ["the Educational Community License, Version 2.0"], "Elastic-2.0": ["the Elastic License 2.0"], "EPL-1.0": ["the Eclipse Public License, version 1.0"], "EUPL-1.1": ["the European Union Public License, version 1.1"], "EUPL-1.2": ["the European Union Public License, version 1.2"],
+    "GFDL-1.2": ["the GNU Free Documentation License, version 1.2"], "GFDL-1.3": ["the GNU Free Documentation License, version 1.3"], "GPL-1.0": ["the GNU General Public License, version 1"], "LGPL-2.0": ["the GNU Library General Public License, version 2"], "IPL-1.0": ["the IBM Public License 1.0"],
+    "LPPL-1.3c": ["the LaTeX Project Public License, version 1.3c"], "MPL-1.1": ["the Mozilla Public License, version 1.1"], "MS-PL": ["the Microsoft Public License"], "MS-RL": ["the Microsoft Reciprocal License"], "MulanPSL-2.0": ["the Mulan Permissive Software License, Version 2"],
+    "NCSA": ["the University of Illinois/NCSA Open Source License"], "ODbL-1.0": ["the Open Database License 1.0"], "OpenSSL": ["the OpenSSL License"], "OSL-3.0": ["the Open Software License 3.0"], "PHP-3.01": ["the PHP License, version 3.01"], "PostgreSQL": ["the PostgreSQL License"],
+    "PSF-2.0": ["the Python Software Foundation License 2.0"], "QPL-1.0": ["the Q Public License 1.0"], "SSPL-1.0": ["the Server Side Public License, version 1"], "UPL-1.0": ["the Universal Permissive License 1.0"], "Vim": ["the Vim License"], "ZPL-2.1": ["the Zope Public License 2.1"],
+    "0BSD": ["the BSD Zero Clause License"], "MIT-0": ["the MIT No Attribution License"], "X11": ["the X11 License"], "BSD-4-Clause": ["the BSD 4-Clause License"], "WTFPL": ["the WTFPL"],
 }
 #: What a sentence that names a licence says, besides the name alone.
-FORMS = ["{}", "Licensed under {}", "Released under {}", "Distributed under {}", "This work is licensed under {}", "This project is licensed under {}", "This software is licensed under {}", "This file is licensed under {}", "This work is released under {}"]
+FORMS = ["{}", "Licensed under {}", "Released under {}", "Distributed under {}", "This work is licensed under {}", "This project is licensed under {}", "This software is licensed under {}", "This file is licensed under {}", "This work is released under {}", "This program is licensed under {}", "License: {}"]
+#: The forms that may say "the terms of" a licence, and those in which its SPDX identifier stands for its name.
+TERMS = ["Licensed under the terms of {}", "Released under the terms of {}", "Distributed under the terms of {}", "This work is licensed under the terms of {}", "This project is licensed under the terms of {}", "This software is licensed under the terms of {}"]
+IDENTIFIED = ["License: {}", "Licensed under {}", "Released under {}", "Distributed under {}", "This project is licensed under {}"]

@@ -4,7 +4,8 @@ A text is cut into sentences, both as its lines stand and with the lines of a pa
 comments and lists left out. A sentence is normalised (lower case, words of letters and digits, one
 spelling of licence) and looked up whole: it is the sentence of one known identifier or of none, so a
 phrase inside another sentence, or a denial of it, is not recognised. Declared slots in known sentences
-(<*>, a holder's name) take up to SLOT words.
+(<*>, a holder's name) take up to SLOT words. A line of SPDX-License-Identifier is the sentence of each
+identifier in its expression (AND, OR, WITH, brackets; -only, -or-later and + are of the licence before them).
 
 Rules are ordered sequences of identifiers: those of a licence's whole text, of the sentences that tell it,
 and of sentences that name it. Between two sentences of a rule up to ``gap`` others may stand, as copyright
@@ -26,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, texts
-from .licence_texts import CORES, FORMS, NAMES, SHORTER, SLOT, TEXTS
+from .licence_texts import CORES, FORMS, IDENTIFIED, NAMES, SHORTER, SLOT, TERMS, TEXTS
 from .textbuf import arrow_text
 from .tokenizing import slices
 
 GAP = 3
 #: Ends a sentence: a mark before white space.
 BREAK = re.compile(r"(?<=[.!?;:])\s+")
+#: Sentences that end with one of these may go on behind it: "License: MIT".
+TAG = re.compile(r"(?:identifier|licen[cs]e):\s+$", re.IGNORECASE)
+SPDX = re.compile(r"[\s#*/;%>|!\"'<-]*SPDX-License-Identifier:\s*([\w.+() -]*\w[+)]*)", re.IGNORECASE)
 #: Marks of comments and lists before a line or sentence, and sentences that are nothing else.
 LEADER = re.compile(r"[\s#*/;%>|!\"'<-]*(?:\(?(?:\d{1,2}|[a-zA-Z]|[ivxIVX]{1,4})[.)](?=\s|$)\s*)?")
 #: Between paragraphs: lines of white space or marks of comments alone.
@@ -82,12 +86,11 @@ def _known() -> tuple[dict[str, list[str]], list[tuple[str, tuple[str, ...]]]]:
         own = f"{licence}.name"
         for each in names:
             short = each.removeprefix("the ")
-            for wording in [*(f.format(each) for f in FORMS), short]:
+            for wording in [*(f.format(each) for f in FORMS + TERMS), short]:
                 name(wording, own)
+        for form in IDENTIFIED:
+            name(form.format(licence), own)
         name(f"SPDX-License-Identifier: {licence}", own)
-        if "GPL" in licence:
-            for kind in ("only", "or-later"):
-                name(f"SPDX-License-Identifier: {licence}-{kind}", own)
         rules.append((licence, (own,)))
     for licence, text in TEXTS.items():
         own = [name(s, f"{licence}.{k}") for k, s in enumerate(sentences(text))]
@@ -101,6 +104,13 @@ def _known() -> tuple[dict[str, list[str]], list[tuple[str, tuple[str, ...]]]]:
 SENTENCES, RULES = _known()
 
 
+def cuts(text: str) -> list[tuple[int, int]]:
+    """(begin, end) of the sentences of a text, and of those that a TAG ends together with what follows."""
+    begins = [0, *(m.end() for m in BREAK.finditer(text))]
+    ends = [*begins[1:], len(text)]
+    return [*zip(begins, ends), *((a, ends[k + 1]) for k, (a, b) in enumerate(zip(begins, ends)) if k + 1 < len(ends) and TAG.search(text, a, b))]
+
+
 class Recogniser:
     def __init__(self, known=SENTENCES, rules=RULES, gap: int = GAP):
         import ahocorasick
@@ -116,6 +126,7 @@ class Recogniser:
                     slot = rf"(?:\S+ ){{0,{SLOT - 1}}}\S+"
                     pattern = re.compile("".join(re.escape(x) + (" " if x else "") + (slot + " " * bool(y)) for x, y in zip(pieces, pieces[1:])) + re.escape(pieces[-1]))
                     self.slotted.setdefault(" ".join(pieces[0].split()[:3]), []).append((pattern, identifier))
+        self.spdx = {licence.lower(): f"{licence}.name" for licence in NAMES if f"{licence}.name" in known}
         rarest = {min(normalise(w.replace("<*>", " ")).split(), key=lambda x: (x in COMMON, -len(x))) for wordings in known.values() for w in wordings}
         self.hints = ahocorasick.Automaton()
         for w in rarest:
@@ -136,6 +147,14 @@ class Recogniser:
         near = self.slotted.get(" ".join(key.split(" ", 3)[:3]), ())
         return next((identifier for pattern, identifier in near if pattern.fullmatch(key)), None)
 
+    def named(self, sentence: str) -> tuple[str, ...]:
+        """The identifiers whose sentence this is: those of an SPDX expression, or one at most."""
+        if (line := SPDX.match(sentence)) is not None:
+            words = (re.sub(r"(-only|-or-later|\+)$", "", w) for w in re.findall(r"[\w.+-]+", line[1].lower()))
+            return tuple(dict.fromkeys(self.spdx[w] for w in words if w in self.spdx))
+        found = self.identifier(sentence)
+        return () if found is None else (found,)
+
     def identifiers(self, text: str) -> list[tuple[str, int]]:
         """(identifier, number of the sentence) of the known sentences, in order. Where a line and a joined
         sentence overlap the longer counts."""
@@ -145,24 +164,24 @@ class Recogniser:
             for line in paragraph:
                 bare = line[LEADER.match(line).end() :] if joined else line
                 joined.append(bare.strip())
-                lines.append((at, line))
+                lines.append((at, joined[-1]))
                 at += len(joined[-1]) + 1
             flow = " ".join(joined)
             found = []
             begins = [0, *(m.end() for m in BREAK.finditer(flow))]
-            for a, b in zip(begins, [*begins[1:], len(flow)]):
-                if (known := self.identifier(flow[a:b])) is not None:
+            for a, b in cuts(flow):
+                if known := self.named(flow[a:b]):
                     found.append((a, -(b - a), known))
             for at, line in lines:
-                inner = [0, *(m.end() for m in BREAK.finditer(line))]
-                for a, b in zip(inner, [*inner[1:], len(line)]):
-                    if (known := self.identifier(line[a:b])) is not None:
-                        found.append((at + min(a, max(0, len(line.strip()) - 1)), -len(line[a:b].strip()), known))
+                for a, b in cuts(line):
+                    if known := self.named(line[a:b]):
+                        found.append((at + a, a - b, known))
             counted = [k for k, (a, b) in enumerate(zip(begins, [*begins[1:], len(flow)])) if normalise(flow[a:b])]
             end = -1
             for a, size, known in sorted(found):
                 if a >= end:
-                    out.append((known, number + bisect_right(counted, bisect_right(begins, a) - 1) - 1))
+                    place = number + bisect_right(counted, bisect_right(begins, a) - 1) - 1
+                    out += [(each, place) for each in known]
                     end = a - size
             number += len(counted)
         return out

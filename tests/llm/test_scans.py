@@ -182,10 +182,39 @@ def test_licence_rules_against_all_places():
     assert time.perf_counter() - start < 5
 
 
+def test_spdx_lines_and_terms():
+    r = licences.Recogniser()
+    known = lambda t: [x for x, _ in r.licences(t)]
+    assert known("SPDX-License-Identifier: MIT") == ["MIT"] and known("// SPDX-License-Identifier: Apache-2.0\nint x;") == ["Apache-2.0"]
+    assert known("# SPDX-License-Identifier: GPL-2.0-or-later") == known("/* SPDX-License-Identifier: GPL-2.0+ */") == known("SPDX-License-Identifier: GPL-2.0-only") == ["GPL-2.0"]
+    assert known("code\n/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause */\ncode") == ["MIT", "Apache-2.0", "BSD-3-Clause"]
+    assert known("<!-- SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 -->") == ["GPL-2.0"]
+    assert known("This project is licensed under the terms of the MIT license.") == known("License: MIT") == known("Notes.\nlicence: MIT\nmore") == ["MIT"]
+    assert known("It is here. Released under GPLv3.") == ["GPL-3.0"] and known("Licensed under the terms of the GNU General Public License v3.") == ["GPL-3.0"]
+    assert known("License: Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.") == ["MIT"]
+    for text in ("SPDX-License-Identifier: Nothing-1.0", "No SPDX-License-Identifier: MIT", "not released under GPLv3", "License: see MIT", "His license: MIT lectures are long.", "the license: it was lost", "This project is not licensed under the terms of the MIT license."):
+        assert known(text) == [], text
+
+
+def test_sentences_against_a_plain_mapper():
+    """Known and unknown sentences in any order, wrapped, commented or not: each known one is found, at its place."""
+    rng = random.Random(5)
+    r = licences.Recogniser()
+    wordings = {licences.normalise(w): k for k, ws in licences.SENTENCES.items() for w in ws if "<*>" not in w and "SPDX" not in w and not licences.BREAK.search(w) and len(w.split()) > 3}
+    shown = [w for ws in licences.SENTENCES.values() for w in ws if licences.normalise(w) in wordings]
+    for _ in range(150):
+        chosen = [rng.choice(shown).rstrip(".:; ") if rng.random() < 0.5 else " ".join(rng.choice(["river", "stone", "Walk", "granted", "license"]) for _ in range(rng.randint(3, 20))) for _ in range(rng.randint(1, 9))]
+        text = ". ".join(x[0].upper() + x[1:] for x in chosen) + "."
+        if rng.random() < 0.5:
+            text = "\n".join(("# " if rng.random() < 2 else "") + line for line in textwrap.wrap(text, rng.choice([60, 100]), break_long_words=False, break_on_hyphens=False))
+        plain = [(wordings[k], n) for n, k in enumerate(licences.normalise(x) for x in chosen) if k in wordings]
+        assert r.identifiers(text) == plain, text
+
+
 def test_licence_texts_names_and_what_is_none():
     r = licences.Recogniser()
     known = lambda t: [x for x, _ in r.licences(t)]
-    assert len({x for x, _ in licences.RULES}) >= 30
+    assert len({x for x, _ in licences.RULES}) >= 60
     for licence, text in licences.TEXTS.items():
         own = text.replace("<*>", "The Holders of it")
         assert known(own) == [licence] == known("Copyright (c) 2001, 2002 A. Holder.\n" + own + "\nmore words\n")
@@ -238,6 +267,21 @@ def test_redaction_beside_columns_of_any_name(spark):
     assert out[2].text == "none" and out[2].hit_spans == "y" and secrets.redacted(docs).columns == docs.columns
 
 
+def test_redaction_of_many_secrets_takes_time_in_proportion(spark):
+    value = lambda i: f"Zq83hf{i * 7919 % 10**7:07d}xK"
+    text = "é " + " ".join(f"token={value(i)}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "plain", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars int")
+    live = secrets.secrets(docs).where("doc_id = 1").first()
+    start = time.perf_counter()
+    out = {r.doc_id: r for r in secrets.redacted(docs).collect()}
+    assert time.perf_counter() - start < 60 and live.n_live > 50_000
+    want, at = [], 0
+    for x in sorted((s.start, s.end) for s in live.spans if s.kind == 3):
+        want += [text[at : x[0]], "[REDACTED]"]
+        at = x[1]
+    assert out[1].text == "".join(want) + text[at:] and out[1].n_chars == len(out[1].text) and out[2].text == "plain"
+
+
 def test_scans_of_long_texts_take_time_in_proportion(spark):
     tokens = lambda n: " ".join(f"token=Zq83hf{i:07d}" for i in range(n))
 
