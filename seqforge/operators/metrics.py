@@ -114,25 +114,25 @@ def group_report(df: DataFrame, by: list[str], label: str, score: str) -> DataFr
     return out.select(*by, "n_genes", "n_essential", F.col("auroc").isNotNull().alias("scored"), "auroc", "auprc")
 
 
-def macro(df: DataFrame, columns: list[str]) -> DataFrame:
+def macro(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Mean and median of each column over the groups that have it, and how many have none."""
-    return df.agg(*[f(c).alias(f"{name}_{c}") for c in columns for name, f in (("mean", F.avg), ("median", F.median))], F.count_if(F.col(columns[0]).isNull()).alias("n_excluded"), F.count(columns[0]).alias("n_scored"))
+    return df.groupBy(*by).agg(*[f(c).alias(f"{name}_{c}") for c in columns for name, f in (("mean", F.avg), ("median", F.median))], F.count_if(F.col(columns[0]).isNull()).alias("n_excluded"), F.count(columns[0]).alias("n_scored"))
 
 
-def confusion(df: DataFrame, label: str, prob: str, threshold: float = 0.5) -> DataFrame:
+def confusion(df: DataFrame, label: str, prob: str, threshold: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
     said, is_ = finite(prob, "probability") >= threshold, F.col(label) == 1
-    counts = df.agg(F.count_if(said & is_).alias("tp"), F.count_if(said & ~is_).alias("fp"), F.count_if(~said & ~is_).alias("tn"), F.count_if(~said & is_).alias("fn"))
+    counts = df.groupBy(*by).agg(F.count_if(said & is_).alias("tp"), F.count_if(said & ~is_).alias("fp"), F.count_if(~said & ~is_).alias("tn"), F.count_if(~said & is_).alias("fn"))
     tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
     ratio = F.try_divide
-    return counts.select("tp", "fp", "tn", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(tn, tn + fp).alias("specificity"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"))
+    return counts.select(*by, "tp", "fp", "tn", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(tn, tn + fp).alias("specificity"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"))
 
 
-def macro_f1(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+def macro_f1(df: DataFrame, truth: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean F1 over all classes that are true or predicted anywhere (0 where undefined), and accuracy."""
-    cells = df.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    sides = cells.select(F.explode(F.array(F.struct(F.col("t").alias("c"), F.col("n").alias("true"), F.lit(0.0).alias("said")), F.struct(F.col("p").alias("c"), F.lit(0.0).alias("true"), F.col("n").alias("said")))).alias("s"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0.0).alias("hit"))
-    classes = sides.groupBy("s.c").agg(F.sum("s.true").alias("true"), F.sum("s.said").alias("said"), (F.sum("hit") / 2).alias("tp"))
-    return classes.agg(F.avg(F.coalesce(F.try_divide(2 * F.col("tp"), F.col("true") + F.col("said")), F.lit(0.0))).alias("macro_f1"), F.try_divide(F.sum("tp"), F.sum("true")).alias("accuracy"), F.count(F.lit(1)).alias("n_classes"))
+    cells = df.groupBy(*by, F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    sides = cells.select(*by, F.explode(F.array(F.struct(F.col("t").alias("c"), F.col("n").alias("true"), F.lit(0.0).alias("said")), F.struct(F.col("p").alias("c"), F.lit(0.0).alias("true"), F.col("n").alias("said")))).alias("s"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0.0).alias("hit"))
+    classes = sides.groupBy(*by, "s.c").agg(F.sum("s.true").alias("true"), F.sum("s.said").alias("said"), (F.sum("hit") / 2).alias("tp"))
+    return classes.groupBy(*by).agg(F.avg(F.coalesce(F.try_divide(2 * F.col("tp"), F.col("true") + F.col("said")), F.lit(0.0))).alias("macro_f1"), F.try_divide(F.sum("tp"), F.sum("true")).alias("accuracy"), F.count(F.lit(1)).alias("n_classes"))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Generator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,3 +79,155 @@ def probe_layers(emb: DataFrame, layers: list[int], evaluate, threads: int = 4)
             return list(zip(layers, pool.map(lambda k: evaluate(emb.where(F.col("layer_id") == k)), layers)))
     finally:
         emb.unpersist()
+
+
+#: Steps that a direction remembers, and halvings of a step before the search ends.
+MEMORY, HALVINGS = 10, 40
+
+
+def minimise(w: np.ndarray, tol: float, max_iter: int) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+    """A limited-memory quasi-Newton search as a coroutine: yields points, is sent (value, gradient), returns the least."""
+    f, g = yield w
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(max_iter):
+        if np.abs(g).max(initial=0.0) <= tol * max(1.0, abs(f)):
+            break
+        d, held = -g, []
+        for s, y in reversed(steps):
+            a = (s @ d) / (s @ y)
+            d = d - a * y
+            held.append(a)
+        if steps:
+            s, y = steps[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y), a in zip(steps, reversed(held)):
+            d = d + s * (a - (y @ d) / (s @ y))
+        if not d @ g < 0:
+            d, steps = -g, []
+        size = 1.0 if steps else 1.0 / max(1.0, np.abs(g).max())
+        for _ in range(HALVINGS):
+            at = w + size * d
+            value, slope = yield at
+            if value <= f + 1e-4 * size * (d @ g):
+                break
+            size /= 2
+        else:
+            break  # no step is better: the numbers allow no less
+        s, y = at - w, slope - g
+        if s @ y > 1e-12 * (y @ y):
+            steps = [*steps, (s, y)][-MEMORY:]
+        w, f, g = at, value, slope
+    return w
+
+
+def _by_layer(batch: pa.RecordBatch, names: list[str]):
+    """(layer, its rows, their vectors as a matrix) for each layer of a batch."""
+    layer = batch[names[0]].to_numpy()
+    for k in np.unique(layer).tolist():
+        at = np.flatnonzero(layer == k)
+        own = batch[names[1]].take(pa.array(at))
+        yield k, at, own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
+
+
+def _margins(x: np.ndarray, w: np.ndarray, mean: np.ndarray, sd: np.ndarray, outputs: int) -> np.ndarray:
+    """rows x outputs; w: outputs x (width + 1), of standardised features and a constant."""
+    w = w.reshape(outputs, -1)
+    by = w[:, :-1] / sd
+    return x @ by.T + (w[:, -1] - by @ mean)
+
+
+def probe_all(df: DataFrame, label: str, train: F.Column, layer: str = "layer_id", vec: str = "vec", c: float = C, scale: bool = True, multiclass: bool = False, max_iter: int = MAX_ITER, tol: float = TOL) -> DataFrame:
+    """What ``probe`` gives of each layer's rows alone, for all layers of a table at once.
+
+    Every layer is searched on its own, but one job evaluates the points that all of them ask for: tasks sum each
+    layer's loss and slope over their rows, the sums meet by layer, and a vector for each layer reaches the driver.
+    So there are as many jobs as the slowest layer takes steps, however many layers there are."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    held = df.withColumn("_train", train).withColumn("_y", (F.col(label) if multiclass else F.col(label).cast("int")).cast("string")).cache()
+    try:
+        fit = held.where("_train")
+        each = fit.groupBy(layer).agg(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.col(vec).cast("array<double>"))).alias("m"), F.sort_array(F.collect_set("_y")).alias("kinds"))
+        found = each.select(layer, vector_to_array("m.mean").alias("mean"), vector_to_array("m.variance").alias("var"), F.col("m.count").alias("n"), "kinds").collect()  # a row a layer
+        if not found:
+            raise ValueError("there are no training rows")
+        if any(len(r.kinds) < 2 for r in found):
+            raise ValueError("the training rows are of one class")
+        kinds = sorted({k for r in found for k in r.kinds})
+        if not multiclass and not set(kinds) <= {"0", "1"}:
+            raise ValueError("labels of a binary probe are 0 and 1")
+        outputs, code = (len(kinds), {k: i for i, k in enumerate(kinds)}) if multiclass else (1, {"0": 0, "1": 1})
+        n = {r[layer]: r.n for r in found}
+        mean = {r[layer]: np.array(r["mean"]) if scale else np.zeros(len(r["mean"])) for r in found}
+        sd = {r[layer]: np.array([(v * (r.n - 1) / r.n) ** 0.5 or 1.0 for v in r["var"]]) if scale else np.ones(len(r["mean"])) for r in found}
+        seen = {r[layer]: np.isin(kinds, r.kinds) for r in found}  # a class that a layer's rows lack is none of its own
+
+        def sums(points: dict[int, np.ndarray]):
+            def run(batches):
+                out: dict[int, np.ndarray] = {}
+                for b in batches:
+                    y = np.array([code[v] for v in b["_y"].to_pylist()], np.int64)
+                    for k, at, x in _by_layer(b, [layer, vec]):
+                        if k not in points:
+                            continue
+                        own, m = y[at], _margins(x, points[k], mean[k], sd[k], outputs)
+                        if multiclass:
+                            m = np.where(seen[k], m, -np.inf)
+                            top = m.max(axis=1, keepdims=True)
+                            p = np.exp(m - top)
+                            total = p.sum(axis=1, keepdims=True)
+                            loss = (np.log(total[:, 0]) + top[:, 0] - m[np.arange(len(own)), own]).sum()
+                            slope = p / total
+                            slope[np.arange(len(own)), own] -= 1
+                        else:
+                            z = m[:, 0]
+                            loss = (np.logaddexp(0, z) - own * z).sum()
+                            slope = (1 / (1 + np.exp(-np.clip(z, -700, 700))) - own)[:, None]
+                        all_ = slope.sum(axis=0)
+                        grad = np.concatenate(((slope.T @ x - np.outer(all_, mean[k])) / sd[k], all_[:, None]), axis=1)
+                        out[k] = out.get(k, 0.0) + np.concatenate(([loss], grad.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.float64()))], ["k", "v"])
+
+            parts = fit.select(layer, vec, "_y").mapInArrow(run, "k long, v array<double>")
+            rows = parts.groupBy("k").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).collect()  # a vector a layer
+            return {r.k: np.array(r.v) for r in rows}
+
+        def judged(k: int, w: np.ndarray, v: np.ndarray) -> tuple[float, np.ndarray]:
+            free = w.reshape(outputs, -1).copy()
+            free[:, -1] = 0
+            return c * v[0] + (free**2).sum() / 2, c * v[1:] + free.ravel()
+
+        searches = {k: minimise(np.zeros(outputs * (len(mean[k]) + 1)), tol, max_iter) for k in n}
+        points, least = {k: next(s) for k, s in searches.items()}, {}
+        while points:
+            values = sums(points)
+            for k in list(points):
+                try:
+                    points[k] = searches[k].send(judged(k, points[k], values[k]))
+                except StopIteration as end:
+                    least[k] = end.value
+                    del points[k]
+
+        names = [f for f in held.schema if f.name not in (vec, "_train", "_y")]
+
+        def apply(batches):
+            for b in batches:
+                out = np.zeros(b.num_rows)
+                known = np.zeros(b.num_rows, bool)
+                for k, at, x in _by_layer(b, [layer, vec]):
+                    if k not in least:
+                        continue
+                    m = _margins(x, least[k], mean[k], sd[k], outputs)
+                    out[at] = np.where(seen[k], m, -np.inf).argmax(axis=1) if multiclass else 1 / (1 + np.exp(-np.clip(m[:, 0], -700, 700)))
+                    known[at] = True
+                made = pa.array([kinds[int(i)] if ok else None for i, ok in zip(out, known)], pa.string()) if multiclass else pa.array(out, mask=~known)
+                yield pa.RecordBatch.from_arrays([*(b[f.name] for f in names), made], [*(f.name for f in names), "predicted" if multiclass else "prob"])
+
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in names), "predicted string" if multiclass else "prob double"])
+        test = held.where("NOT _train").select(*[f"`{f.name}`" for f in names], vec)
+        out = test.mapInArrow(apply, schema).persist()
+        out.count()
+        return out
+    finally:
+        held.unpersist()

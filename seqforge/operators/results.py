@@ -87,6 +87,40 @@ def compare(ours: DataFrame, theirs: DataFrame, tolerance: Column, checked: Colu
     return both.groupBy("task").agg(F.count(gap).alias("n_shared"), F.count_if(F.col("x") == F.col("y")).alias("n_equal"), F.count_if(gap.isNull()).alias("n_missing"), F.max(gap).alias("worst"), F.bool_and(good).alias("passes"))
 
 
+def compare_taps(reference: DataFrame, candidate: DataFrame, tolerances: DataFrame, exact: bool = False, assays: tuple[str, ...] = ()) -> DataFrame:
+    """task, n_shared, n_equal, n_missing, worst, reference_tap, tap, tap_ok, passes: each task of a reference
+    against a candidate's.
+
+    reference: task, metric, layer (null if of no layer), value, is_primary; candidate: the same but is_primary;
+    tolerances: task, tolerance, 0 where there is none. Checked are the primary metric, of every layer too, and of
+    ``assays`` each *_spearman: they must be there and within the tolerance, nulls only beside nulls. Where the
+    reference has layers of the primary metric, both sides' ``best_layer`` must be one; another passes if the
+    candidate's own score there is better than its score at the reference's by the tolerance at most. ``exact``
+    allows no difference at all, of any metric. A task that the candidate lacks fails."""
+    named = reference.groupBy("task").agg(F.max(F.when(F.col("is_primary"), F.col("metric"))).alias("_primary"))
+    a = reference.select("task", "metric", "layer", F.col("value").alias("x"), F.lit(True).alias("_in_a"))
+    b = candidate.select(F.col("task").alias("_task"), F.col("metric").alias("_metric"), F.col("layer").alias("_layer"), F.col("value").alias("y"), F.lit(True).alias("_in_b"))
+    same = (F.col("task") == F.col("_task")) & (F.col("metric") == F.col("_metric")) & F.col("layer").eqNullSafe(F.col("_layer"))
+    both = a.join(b, same, "full_outer").select(F.coalesce("task", "_task").alias("task"), F.coalesce("metric", "_metric").alias("metric"), F.coalesce("layer", "_layer").alias("layer"), "x", "y", F.coalesce("_in_a", F.lit(False)).alias("_in_a"), F.coalesce("_in_b", F.lit(False)).alias("_in_b"))
+    rows = both.join(named, "task").join(tolerances, "task", "left").withColumn("_tol", F.lit(0.0) if exact else F.coalesce("tolerance", F.lit(0.0)))
+    checked = (F.col("metric") == F.col("_primary")) | (F.col("task").isin(*assays) & F.col("metric").endswith("_spearman") & F.col("layer").isNull())
+    shared, gap = F.col("_in_a") & F.col("_in_b"), F.abs(F.col("x") - F.col("y"))
+    lacking = F.col("_in_a") & ~F.col("_in_b") & checked
+    off = shared & F.when(F.col("x").isNull() | F.col("y").isNull(), ~F.col("x").eqNullSafe(F.col("y"))).otherwise(F.when(checked, gap > F.col("_tol")).otherwise(F.lit(exact) & (gap > 0)))
+    best = (F.col("metric") == "best_layer") & F.col("layer").isNull()
+    own = (F.col("metric") == F.col("_primary")) & F.col("layer").isNotNull()
+    each = rows.groupBy("task").agg(
+        F.count_if(shared).alias("n_shared"), F.count_if(shared & F.col("x").eqNullSafe(F.col("y"))).alias("n_equal"), F.count_if(lacking).alias("n_missing"),
+        F.coalesce(F.max(F.when(shared & checked, gap)), F.lit(0.0)).alias("worst"), F.max(F.when(best, F.col("x"))).cast("int").alias("reference_tap"), F.max(F.when(best, F.col("y"))).cast("int").alias("tap"),
+        F.count_if(own & F.col("_in_a")).alias("_layers"), F.count_if(off).alias("_off"), F.max("_tol").alias("_tol"), F.bool_or("_in_b").alias("_there"),
+        F.map_from_entries(F.collect_list(F.when(own & F.col("_in_b"), F.struct("layer", "y")))).alias("_scores"),  # a number a layer
+    )
+    near = F.lit(False) if exact else F.coalesce(F.try_element_at("_scores", F.col("tap")) - F.try_element_at("_scores", F.col("reference_tap")) <= F.col("_tol"), F.lit(False))
+    tap_ok = (F.col("_layers") == 0) | F.coalesce(F.col("reference_tap") == F.col("tap"), F.lit(False)) | (F.col("reference_tap").isNotNull() & F.col("tap").isNotNull() & near)
+    judged = each.withColumn("tap_ok", tap_ok)
+    return judged.select("task", "n_shared", "n_equal", "n_missing", "worst", "reference_tap", "tap", "tap_ok", (F.col("tap_ok") & (F.col("_off") == 0) & (F.col("n_missing") == 0) & F.col("_there")).alias("passes"))
+
+
 def identify(records: DataFrame, models: DataFrame) -> DataFrame:
     """model_id of each record: by either hash, else by its display name."""
     by = lambda c, n: models.where(F.col(c).isNotNull()).select(F.col(c).alias(f"_{n}"), F.col("model_id").alias(f"id_{n}"))

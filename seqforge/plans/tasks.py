@@ -69,8 +69,8 @@ class _Probed:
     def windows(self, model):
         raise NotImplementedError
 
-    def measure(self, rows: DataFrame) -> dict[str, float]:
-        """Metrics of one layer's rows with their vectors."""
+    def measure(self, rows: DataFrame) -> dict[int, dict[str, float]]:
+        """Metrics of each layer of the rows with their vectors, whose jobs do not grow with the layers."""
         raise NotImplementedError
 
     def cut(self, model, rows: DataFrame) -> DataFrame:
@@ -81,8 +81,8 @@ class _Probed:
         reuse = reuse or Reuse(plan([self]))
         vec = reuse.vectors(self.corpus, model, self.cut(model, rows), rows, self.key, self.layers)
         if not self.sweep:
-            metrics_ = self.measure(rows.join(vec, self.key))
-            return TaskResult(self.name, "ok", self.score, metrics_, {"embedding_dim": len(vec.first().vec)})
+            (found,) = self.measure(rows.join(vec, self.key)).values()
+            return TaskResult(self.name, "ok", self.score, found, {"embedding_dim": len(vec.first().vec)})
         found, health = sweep(rows, vec, self.key, self.measure)
         best, more = choose_layer(rows.sparkSession, found, health, self.score)
         return TaskResult(self.name, "ok", self.score, more, {"best_layer": best["best_layer"], "considered": best["considered"], "excluded": best["excluded"], "would_have_picked": best["would_have_picked"], "depth_health_measured": health is not None})
@@ -90,13 +90,17 @@ class _Probed:
 
 def sweep(rows: DataFrame, vec: DataFrame, key: str, measure) -> tuple[dict[int, dict[str, float]], DataFrame | None]:
     """Metrics of each layer, and the layers' health: None where it cannot be measured, as of one layer alone."""
-    layers = sorted(r.layer_id for r in vec.select("layer_id").distinct().collect())
-    found = {k: measure(rows.join(vec.where(F.col("layer_id") == k), key)) for k in layers}
-    if len(layers) < 2 or vec.select(F.size("vec").alias("n")).distinct().count() > 1:
+    found = measure(rows.join(vec, key))
+    if len(found) < 2 or vec.select(F.size("vec").alias("n")).distinct().count() > 1:
         return found, None
     return found, vectors.depth_health(vec, key)
 
 
+def _of_layers(df: DataFrame) -> dict[int, dict]:
+    """The rows of a table of metrics, which has a row a layer."""
+    return {r.layer_id: {k: v for k, v in r.asDict().items() if k != "layer_id"} for r in df.collect()}
+
+
 def choose_layer(spark, found: dict[int, dict[str, float]], health: DataFrame | None, score: str) -> tuple[dict, dict[str, float]]:
     """The guarded best layer, and its metrics beside those of every layer."""
     scores = spark.createDataFrame([(k, None if m.get(score) is None else float(m[score])) for k, m in found.items()], "layer_id int, score double")
@@ -114,13 +118,14 @@ class GeneTask(_Probed):
         return gene_windows(F.col("seq"), model.max_context)
 
     def measure(self, rows):
-        out = probes.probe(rows, "essential", F.col("split") == "train", tol=1e-6)
-        report = metrics.macro(metrics.group_report(out, ["genome"], "essential", "prob"), ["auroc", "auprc"]).first().asDict()
-        pooled = metrics.confusion(out, "essential", "prob").first().asDict()
+        out = probes.probe_all(rows, "essential", F.col("split") == "train", tol=1e-8)
+        by = ("layer_id",)
+        report = _of_layers(metrics.macro(metrics.group_report(out, ["layer_id", "genome"], "essential", "prob"), ["auroc", "auprc"], by))
+        pooled = _of_layers(metrics.confusion(out, "essential", "prob", by=by))
         out.unpersist()
-        if not report["n_scored"]:
+        if not report or not all(r["n_scored"] for r in report.values()):
             raise ValueError("no genome has both classes")
-        return {k: float(v) for k, v in (report | pooled).items() if v is not None}
+        return {k: {n: float(v) for n, v in (report[k] | pooled[k]).items() if v is not None} for k in sorted(report)}
 
 
 class LikelihoodTask(GeneTask):
@@ -153,12 +158,12 @@ class EnzymeTask(_Probed):
         return enzyme_windows(F.col("sequence"), model.max_context, self.policy)
 
     def measure(self, rows):
-        out = probes.probe(rows, "label", F.col("split") == "train", scale=self.scale, multiclass=True, tol=1e-6)
-        found = metrics.macro_f1(out, "label", "predicted").first().asDict()
+        out = probes.probe_all(rows, "label", F.col("split") == "train", scale=self.scale, multiclass=True, tol=1e-8)
+        found = _of_layers(metrics.macro_f1(out, "label", "predicted", ("layer_id",)))
         out.unpersist()
-        if found["macro_f1"] is None:
+        if not found:
             raise ValueError("there are no test rows")
-        return {k: float(v) for k, v in found.items()}
+        return {k: {n: float(v) for n, v in found[k].items()} for k in sorted(found)}
 
 
 class VariantTask:
