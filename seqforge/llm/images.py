@@ -4,10 +4,11 @@
              and 256 binary tests on the smoothed patch, turned by it; the ``keypoints`` strongest of each
              cell of about CELL pixels a side count, so their number grows with the picture;
 2. collapse  images of equal size and pixels are one, with a weight; they are links without descriptors;
-3. tables    a descriptor's eight 32-bit parts are keys of eight Hamming tables; images with a key in common
+3. tables    a descriptor's ten 24-bit parts are keys of ten Hamming tables; images with a key in common
              are joined to groups, and these are dealt to tiles (tiles.py);
-4. consensus in a tile, descriptors with an equal 24-bit part that differ in up to FAR bits are near, and two
-             images with two near pairs that agree on a turn are matched. A link stands if one similarity transform
+4. consensus in a tile, descriptors with an equal part that differ in up to FAR bits are near, and two images with
+             two near pairs that agree on a turn are matched: such images have a key in common, so that step 3
+             loses no pair that step 4 would try. A link stands if one similarity transform
              (turn, zoom, shift) carries ``inliers`` matches that themselves turn as it does, and one more for
              each doubling of the matches beyond KEYPOINTS.
 
@@ -24,7 +25,8 @@ task needs about a hundred times the bytes of its largest image's pixels. Images
 are read: a table of few files is to be repartitioned before.
 
 The tables here have no images: the query draws one for each row of ``embeddings`` (scenes), cropped, turned
-or brightened by its id, so that close vectors give edited copies of one picture.
+or brightened by its id, so that close vectors give edited copies of one picture, and for each id n that 20
+divides an edited copy besides, as image -n - 1.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from .tiles import TILE, deal, spread
 
 KEYPOINTS, CELL, INLIERS = 24, 40, 6
 #: Images in a tile of a group that is not split; parts that a larger one is split into, and images in a part at most.
-TILE_IMAGES, PARTS, MOST = 128, 10, 5000
+TILE_IMAGES, PARTS, MOST = 128, 10, 4000
 STACK = 1 << 19  # pixels described at once
 LEVELS = (1.0, 1.4, 2.0)
 RADIUS, BITS, FAR = 8, 256, 56  # patch radius, tests, most differing bits of a match
@@ -51,8 +53,10 @@ _TESTS = np.clip(_rng.normal(0, RADIUS / 2, (BITS, 2, 2)), -RADIUS, RADIUS)
 _GRID = np.stack(np.meshgrid(np.arange(-RADIUS, RADIUS + 1), np.arange(-RADIUS, RADIUS + 1)), -1)
 _DISC = ((_GRID**2).sum(-1) <= RADIUS**2).astype(np.float32)
 KEYPOINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("turn", "u1"), ("bits", "u1", BITS // 8)])  # turn: 256ths of a circle
-#: Bits of a part by which near descriptors are found, and 256ths of a circle by which two near pairs may turn apart.
+#: Bits of a key of the Hamming tables, and 256ths of a circle by which two near pairs may turn apart.
 PART, APART = 24, 21
+#: Near pairs that are held before they are looked through, and more of them that must come before the next time.
+HELD, MORE = 1 << 22, 1 << 21
 _DRAWN = "image_id long, height int, width int, pixels binary"
 
 
@@ -210,11 +214,14 @@ def scenes(vectors: np.ndarray, block: int = 4) -> np.ndarray:
 
 
 def edited(picture: np.ndarray, kind: int) -> np.ndarray:
-    """A picture as it is (0), cropped by an eighth to a sixth of its sides (1), a quarter turned (2), or paler and brighter (3)."""
+    """A picture as it is (0), cropped by an eighth to a sixth of its sides (1), a quarter turned (2), paler and
+    brighter (3), or resized to 1.25 (4) or 0.75 (5) of its sides."""
     if kind == 1:
         return picture[2:-4, 5:-3]
     if kind == 2:
         return np.rot90(picture)
+    if kind > 3:
+        return np.clip(_resize(picture[None].astype(np.float32), 0.8 if kind == 4 else 4 / 3)[0], 0, 255).astype(np.uint8)
     return np.clip(picture * 0.75 + 40.0, 0, 255).astype(np.uint8) if kind == 3 else picture
 
 
@@ -224,15 +231,23 @@ def _image_columns(pictures: list[np.ndarray | None]):
 
 
 def drawn(vectors: DataFrame) -> DataFrame:
-    """image_id, height, width, pixels of a table of vec_id and embedding; other lengths than 64 give none."""
+    """image_id, height, width, pixels of a table of vec_id and embedding; other lengths than 64 give none.
+
+    A row whose vec_id n is divisible by 20 gives a second picture, -n - 1, an edited copy of the first: of
+    kinds 1 to 5 in turn."""
 
     def run(batches):
         for batch in batches:
-            cells = []
+            ids, cells = [], []
             for i, v in zip(batch["vec_id"].to_pylist(), batch["embedding"].to_pylist()):
                 whole = v is not None and len(v) == 64 and None not in v and np.isfinite(v).all()
-                cells.append(edited(scenes(np.array(v))[0], (i or 0) % 4) if whole else None)
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], *_image_columns(cells)], names=["image_id", "height", "width", "pixels"])
+                scene = scenes(np.array(v))[0] if whole else None
+                ids.append(i)
+                cells.append(edited(scene, (i or 0) % 4) if whole else None)
+                if whole and i is not None and i % 20 == 0:
+                    ids.append(-i - 1)
+                    cells.append(edited(scene, 1 + i // 20 % 5))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *_image_columns(cells)], names=["image_id", "height", "width", "pixels"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, _DRAWN)
 
@@ -251,7 +266,7 @@ def decoded(files: DataFrame) -> DataFrame:
 
 
 def keyed(images: DataFrame, keypoints: int = KEYPOINTS) -> DataFrame:
-    """image_id, digest of the pixels (null where they are none), points (KEYPOINT records) and keys of the Hamming tables (number, then 32 bits)."""
+    """image_id, digest of the pixels (null where they are none), points (KEYPOINT records) and keys of the Hamming tables."""
 
     def run(batches):
         for batch in batches:
@@ -273,11 +288,15 @@ def keyed(images: DataFrame, keypoints: int = KEYPOINTS) -> DataFrame:
     return images.select("image_id", "height", "width", "pixels").mapInArrow(run, "image_id long, digest binary, points binary, keys array<long>")
 
 
+def _parts(points: np.ndarray) -> list[np.ndarray]:
+    """The PART bits of each descriptor in each of the Hamming tables, as numbers."""
+    pieces = np.unpackbits(points["bits"], axis=1)[:, : BITS // PART * PART].reshape(len(points), -1, PART)
+    return [x @ (1 << np.arange(PART, dtype=np.int64)) for x in pieces.transpose(1, 0, 2)]
+
+
 def _keys(points: np.ndarray) -> list[int]:
-    """Keys of the Hamming tables: a table's number, then its 32 bits."""
-    if not len(points):
-        return []
-    return np.unique(np.ascontiguousarray(points["bits"]).view("<u4").astype(np.int64) | (np.arange(BITS // 32) << 32)).tolist()
+    """Keys of the Hamming tables: a table's number, then its bits."""
+    return np.unique([x | t << PART for t, x in enumerate(_parts(points))]).tolist() if len(points) else []
 
 
 class _Alike:
@@ -285,14 +304,15 @@ class _Alike:
     them does; from near pairs as they come."""
 
     def __init__(self, images: int, place: np.ndarray):
-        self.taken, self.place, self.held, self.size = np.zeros((images, images), bool), place, [], 0
+        self.taken, self.place, self.held, self.size, self.limit = np.zeros((images, images), bool), place, [], 0, HELD
 
     def add(self, pair, turn, i, j):
         fresh = ~self.taken.ravel()[pair]
         self.held.append(tuple(x[fresh] for x in (pair, turn, i, j)))
         self.size += len(self.held[-1][0])
-        if self.size > 1 << 22:
+        if self.size > self.limit:
             self.settle()
+            self.limit = max(HELD, self.size + MORE)
 
     def settle(self):
         if not self.held:
@@ -305,8 +325,13 @@ class _Alike:
         keys = keys[order]
         of = np.concatenate((np.arange(len(pair), dtype=np.int32), over.astype(np.int32)))[order]
         del order
-        for gap in (1, 2, 3):
-            at = np.flatnonzero((keys[gap:] >> 9 == keys[:-gap] >> 9) & (keys[gap:] - keys[:-gap] <= APART))
+        at = np.arange(len(keys))
+        for gap in range(1, len(keys)):  # until no image pair that is not taken has turns left within reach
+            at = at[: np.searchsorted(at, len(keys) - gap)]
+            at = at[(keys[at + gap] >> 9 == keys[at] >> 9) & (keys[at + gap] - keys[at] <= APART)]
+            at = at[~self.taken.ravel()[keys[at] >> 9]]
+            if not len(at):
+                break
             x, y = of[at], of[at + gap]
             a, b = self.place[i[x]] - self.place[i[y]], self.place[j[x]] - self.place[j[y]]
             long, wide = np.abs(a), np.abs(b)
@@ -327,8 +352,7 @@ def _tried(points: list[np.ndarray], part: np.ndarray | None) -> tuple[np.ndarra
     own = np.repeat(np.arange(len(points), dtype=np.int64), [len(p) for p in points])
     words = [np.ascontiguousarray(w) for w in np.ascontiguousarray(every["bits"]).view("<u8").T]
     found, turn = _Alike(len(points), (every["x"] + 1j * every["y"]).astype(np.complex64)), every["turn"]
-    pieces = np.unpackbits(every["bits"], axis=1)[:, : BITS // PART * PART].reshape(len(every), -1, PART)
-    parts = [x @ (1 << np.arange(PART, dtype=np.int64)) for x in pieces.transpose(1, 0, 2)]
+    parts = _parts(every)
     side = part[own] if part is not None else own
     for t, keys in enumerate(parts):
         order = np.argsort(keys)

@@ -198,14 +198,14 @@ def test_image_links_whatever_a_buckets_least(spark, monkeypatch):
     assert got[12] == got[13] == (12, 1) and all(got[i] == (i, 0) for i in range(12))
 
 
-def test_image_links_with_one_key_in_common(spark, monkeypatch):
+def test_image_links_with_two_keys_in_common(spark, monkeypatch):
     rng = np.random.default_rng(6)
     whole = np.zeros(12, images.KEYPOINT)
     whole["bits"], whole["x"], whole["y"] = rng.integers(0, 256, (12, images.BITS // 8)), *rng.uniform(0, 40, (2, 12))
     other = whole.copy()
-    other["bits"][:, ::4] ^= 1  # a bit of each part
-    other["bits"][0, 0] ^= 1
-    assert len(set(images._keys(whole)) & set(images._keys(other))) == 1
+    other["bits"][:, ::3] ^= 1  # a bit of each part
+    other["bits"][:2, 0] ^= 1
+    assert len(set(images._keys(whole)) & set(images._keys(other))) == 2
     held = spark.createDataFrame([(i, bytes([i]), p.tobytes(), images._keys(p)) for i, p in enumerate((whole, other))], "image_id long, digest binary, points binary, keys array<long>")
     monkeypatch.setattr(images, "keyed", lambda *_: held)
     assert {tuple(r) for r in images.copies(held).collect()} == {(0, 0, 1), (1, 0, 1)}
@@ -403,8 +403,41 @@ def test_picture_files(spark):
     assert {r.image_id: (r.class_id, r.n_links) for r in images.copies(images.decoded(files)).collect()} == {1: (1, 1), 4: (1, 1), 2: (2, 0), 3: (3, 0)}
 
 
+def test_image_pairs_however_many_turns_lie_between(monkeypatch):
+    # two pictures whose one pair of near pairs that agree lies among many of turns close by that do not
+    rng = np.random.default_rng(8)
+    n = 40
+    a, b = np.zeros(n, images.KEYPOINT), np.zeros(n, images.KEYPOINT)
+    a["bits"] = b["bits"] = rng.integers(0, 256, (n, images.BITS // 8))
+    a["x"], a["y"] = 10.0 * np.arange(n), 0
+    b["x"], b["y"] = 0, 0  # no line of b is long enough
+    b["x"][-1], b["y"][0] = 10.0 * (n - 1), 0
+    b["turn"] = np.linspace(0, images.APART, n).astype(np.uint8)
+    for held in (images.HELD, 3):
+        monkeypatch.setattr(images, "HELD", held)
+        assert [x.tolist() for x in images._tried([a, b], None)] == [[0], [1]]
+    b["x"][-1] = 0
+    assert [x.tolist() for x in images._tried([a, b], None)] == [[], []]
+
+
+def test_planted_copies_of_the_query(spark):
+    """The query's own pictures: its links are those of consensus on all pairs, and hold the planted copies."""
+    rng = np.random.default_rng(23)
+    vectors = rng.normal(size=(240, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = images.drawn(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"))
+    drawn = {r.image_id: np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width) for r in rows.collect()}
+    assert len(drawn) == 252 and sorted(drawn)[:2] == [-221, -201]
+    points = {i: images.describe(x[None])[0] for i, x in drawn.items()}
+    want = {i for i in range(0, 240, 20) if images.linked_by(points[i], points[-i - 1])}
+    got = {r.image_id: r for r in images.copies(rows.repartition(3)).collect()}
+    found = {i for i in want if got[i].n_links == got[-i - 1].n_links == 1 and got[i].class_id == got[-i - 1].class_id == -i - 1}
+    assert len(want) >= 9 and len(found) >= 0.9 * len(want)
+    assert sum(r.n_links for r in got.values()) == 2 * len(found)
+
+
 def test_recall_of_edited_copies():
-    """Tried pairs against consensus on all of them, by kind of edit."""
+    """Both stages, keys and tried pairs, against consensus on all pairs, by kind of edit."""
     rng = np.random.default_rng(17)
     vectors = rng.normal(size=(120, 64))
     plain = images.scenes(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
@@ -419,7 +452,9 @@ def test_recall_of_edited_copies():
         linked = np.array([images.linked_by(a, b) for a, b in zip(points, other)])
         i, j = images._tried(points + other, np.repeat([0, 1], 120))
         tried = set(zip(i.tolist(), j.tolist()))
-        found = np.array([(k, k + 120) in tried for k in range(120)])
+        shared = [set(images._keys(points[k])) & set(images._keys(other[k])) for k in range(120)]
+        found = np.array([(k, k + 120) in tried and len(shared[k]) > 0 for k in range(120)])
+        assert (found == [(k, k + 120) in tried for k in range(120)]).all()
         assert linked.mean() > 0.7 and found[linked].mean() >= 0.9, name
     i, j = np.triu_indices(120, 1)
     assert not images._linked(points, i, j, images.INLIERS).any()
