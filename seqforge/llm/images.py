@@ -44,7 +44,7 @@ from .tiles import TILE, deal, spread
 
 KEYPOINTS, CELL, INLIERS = 24, 40, 6
 #: Images in a tile of a group that is not split; parts that a larger one is split into, and images in a part at most.
-TILE_IMAGES, PARTS, MOST = 128, 10, 4000
+TILE_IMAGES, PARTS, MOST = 128, 10, 5000
 STACK = 1 << 19  # pixels described at once
 LEVELS = (1.0, 1.4, 2.0)
 RADIUS, BITS, FAR = 8, 256, 56  # patch radius, tests, most differing bits of a match
@@ -56,7 +56,7 @@ KEYPOINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("turn", "u1"), ("bits", "u1",
 #: Bits of a key of the Hamming tables, and 256ths of a circle by which two near pairs may turn apart.
 PART, APART = 24, 21
 #: Near pairs that are held before they are looked through, and more of them that must come before the next time.
-HELD, MORE = 1 << 22, 1 << 21
+HELD, MORE = 1 << 21, 1 << 20
 _DRAWN = "image_id long, height int, width int, pixels binary"
 
 
@@ -305,6 +305,7 @@ class _Alike:
 
     def __init__(self, images: int, place: np.ndarray):
         self.taken, self.place, self.held, self.size, self.limit = np.zeros((images, images), bool), place, [], 0, HELD
+        self.chosen = [np.zeros(0, np.int64)]
 
     def add(self, pair, turn, i, j):
         fresh = ~self.taken.ravel()[pair]
@@ -337,38 +338,57 @@ class _Alike:
             long, wide = np.abs(a), np.abs(b)
             own = np.exp((keys[at] & 511) * np.complex64(2j * np.pi / 256))
             good = (long > 3) & (wide > 3) & (wide < 3.3 * long) & (wide > 0.3 * long) & ((b * (a * own).conj()).real >= ALIKE * long * wide)
-            self.taken.ravel()[pair[x[good]]] = True
+            self.chosen.append(np.unique(pair[x[good]]))
+            self.taken.ravel()[self.chosen[-1]] = True
         rest = ~self.taken.ravel()[pair]
         self.held, self.size = [tuple(x[rest] for x in (pair, turn, i, j))], int(rest.sum())
 
     def pairs(self):
         self.settle()
-        return np.nonzero(self.taken)
+        return np.divmod(np.unique(np.concatenate(self.chosen)), len(self.taken))
+
+
+def _met(keys: np.ndarray, side: np.ndarray | None, at_once: int = 1 << 19):
+    """Numbers of all two rows of one key, of sides 0 and 1 if there are sides, about ``at_once`` of them at a time."""
+    order = np.argsort((keys if side is None else keys * 2 + side).astype(np.int32))
+    keys, n = keys[order], len(order)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    size = np.diff(np.append(first, n))
+    end = np.repeat(first + size, size)
+    if side is None:
+        left, low = np.arange(n), np.arange(1, n + 1)
+    else:
+        left = np.flatnonzero(side[order] == 0)
+        low = np.repeat(first + np.add.reduceat(side[order] == 0, first, dtype=np.int64), size)[left]
+    count = end[left] - low
+    left, low, count = left[count > 0], low[count > 0], count[count > 0]
+    till = np.cumsum(count)
+    lo = 0
+    while lo < len(count):
+        hi = max(lo + 1, int(np.searchsorted(till, (till[lo - 1] if lo else 0) + at_once)))
+        own = count[lo:hi]
+        start = np.repeat(low[lo:hi] - (np.cumsum(own) - own), own)
+        yield order[np.repeat(left[lo:hi], own)], order[start + np.arange(len(start))]
+        lo = hi
 
 
 def _tried(points: list[np.ndarray], part: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of images (of different parts, if given) to be matched, the lower number first."""
-    every = np.concatenate(points)
+    """Pairs of images (of different parts of two, if given) to be matched, the lower number first."""
+    every = np.frombuffer(b"".join(points), KEYPOINT)
+    if not len(every):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     own = np.repeat(np.arange(len(points), dtype=np.int64), [len(p) for p in points])
     words = [np.ascontiguousarray(w) for w in np.ascontiguousarray(every["bits"]).view("<u8").T]
-    found, turn = _Alike(len(points), (every["x"] + 1j * every["y"]).astype(np.complex64)), every["turn"]
+    found, turn = _Alike(len(points), (every["x"] + 1j * every["y"]).astype(np.complex64)), every["turn"].copy()
     parts = _parts(every)
-    side = part[own] if part is not None else own
+    side = (part != part.min()).astype(np.int64)[own] if part is not None else None
     for t, keys in enumerate(parts):
-        order = np.argsort(keys)
-        keys, sides, near_words = keys[order], side[order], [w[order] for w in words]
-        at = np.arange(len(order))
-        for gap in range(1, len(order)):
-            at = at[: np.searchsorted(at, len(order) - gap)]
-            at = at[keys[at] == keys[at + gap]]
-            if not len(at):
-                break
-            x = at[sides[at] != sides[at + gap]]
-            far = np.bitwise_count(near_words[0][x] ^ near_words[0][x + gap])
-            for w in near_words[1:]:
-                far = far + np.bitwise_count(w[x] ^ w[x + gap]).astype(np.uint16)
-            x = x[far <= FAR]
-            i, j = order[x], order[x + gap]
+        for i, j in _met(keys, side):
+            far = np.bitwise_count(words[0][i] ^ words[0][j]).astype(np.uint16)
+            for w in words[1:]:
+                far += np.bitwise_count(w[i] ^ w[j])
+            near = (far <= FAR) & (own[i] != own[j])
+            i, j = i[near], j[near]
             for earlier in parts[:t]:
                 once = earlier[i] != earlier[j]
                 i, j = i[once], j[once]
@@ -386,8 +406,8 @@ def _linked(points: list[np.ndarray], i: np.ndarray, j: np.ndarray, inliers: int
         out[k] = linked_by(points[i[k]], points[j[k]], inliers)
     width = int(count[count <= most].max(initial=0))
     bits, place, turn = np.zeros((len(points), width, BITS // 64), "<u8"), np.zeros((len(points), width), np.complex64), np.zeros((len(points), width), np.uint8)
-    for k, p in enumerate(points):
-        if 0 < len(p) <= width:
+    for k in np.unique((i, j)).tolist():
+        if 0 < len(p := points[k]) <= width:
             bits[k, : len(p)], place[k, : len(p)], turn[k, : len(p)] = np.ascontiguousarray(p["bits"]).view("<u8"), p["x"] + 1j * p["y"], p["turn"]
     rank, small = np.arange(width), np.flatnonzero(small & (np.minimum(count[i], count[j]) >= inliers))
     for lo in range(0, len(small), chunk):
