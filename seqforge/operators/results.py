@@ -27,6 +27,18 @@ def params_shown(n: Column) -> Column:
     return F.when(n >= 1e9, F.format_string("%.2fB", F.round(n / 1e9, 2))).otherwise(F.format_string("%.1fM", F.round(n / 1e6, 1)))
 
 
+def short_hash(model: Column) -> Column:
+    """Ten characters of a model's hash, without what precedes its first colon."""
+    return F.substring(F.regexp_replace(model, r"^[^:]*:", ""), 1, 10)
+
+
+def model_label(adapter: Column, version: Column, model: Column, name: Column) -> Column:
+    """adapter@version (short hash), after the model's display name if it has one: never the same for two hashes
+    that differ in those characters. Null if the adapter, version or hash is."""
+    base = F.concat(adapter, F.lit("@"), version, F.lit(" ("), short_hash(model), F.lit(")"))
+    return F.when(F.coalesce(name, F.lit("")) == "", base).otherwise(F.concat(name, F.lit(" \u00b7 "), base))
+
+
 def explode_records(records: DataFrame) -> DataFrame:
     """Nested records to long form."""
     task = records.select(F.col("model_hash").alias("model"), F.explode("tasks").alias("t"))

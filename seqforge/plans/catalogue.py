@@ -811,6 +811,15 @@ def formatting(spark, d):
     return L.table(spark, d, "part").select("p_partkey", results.shown(F.col("p_retailprice")).alias("shown"), results.params_shown(F.col("p_partkey") * 1000003).alias("params"))
 
 
+@query("""WITH m AS (SELECT s_suppkey, concat('sha:', md5(s_name)) AS model, CASE WHEN s_nationkey % 3 > 0 THEN s_name WHEN s_nationkey % 2 = 0 THEN '' END AS name, CAST(s_nationkey AS VARCHAR) AS version FROM supplier)
+  SELECT s_suppkey, concat(CASE WHEN coalesce(name, '') <> '' THEN concat(name, ' \u00b7 ') ELSE '' END, 'kmer@', version, ' (', substr(model, 5, 10), ')') AS label FROM m""")
+def model_labels(spark, d):
+    s = L.table(spark, d, "supplier")
+    name = F.when(F.col("s_nationkey") % 3 > 0, F.col("s_name")).when(F.col("s_nationkey") % 2 == 0, "")
+    model = F.concat(F.lit("sha:"), F.md5(F.col("s_name").cast("binary")))
+    return s.select("s_suppkey", results.model_label(F.lit("kmer"), F.col("s_nationkey").cast("string"), model, name).alias("label"))
+
+
 @query(f"""WITH {L.VARIANTS}, {_SPEAR}, a AS (SELECT dms_id, round(spearman, 8) AS s FROM sp) SELECT concat(dms_id, '_spearman') AS metric, s AS value FROM a
   UNION ALL SELECT 'breakout_spearman', arg_min(s, dms_id) FROM a WHERE dms_id LIKE 'A%'""")
 def assay_keys(spark, d):

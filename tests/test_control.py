@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqforge.models import EchoModel, KmerModel, Registry, Unsupported, length_batches
 from seqforge.operators import control, results
@@ -133,3 +134,10 @@ def test_queries_and_oracles_have_the_same_columns(spark):
     for name in ("auroc", "tidy", "negotiate"):
         assert found[name](spark, "/root/testdata/sf0.001").columns
     assert entry.entry(spark).count() > 0
+
+
+def test_model_labels(spark):
+    rows = [("x:0123456789abc", "A"), ("x:0123456789abc", ""), ("0123:45:6789abcdef", None), ("abc", "B"), (None, "C")]
+    df = spark.createDataFrame(rows, "model string, name string")
+    got = df.select(results.model_label(F.lit("kmer"), F.lit("1"), F.col("model"), F.col("name")).alias("l")).collect()
+    assert [r.l for r in got] == ["A \u00b7 kmer@1 (0123456789)", "kmer@1 (0123456789)", "kmer@1 (45:6789abc)", "B \u00b7 kmer@1 (abc)", None]
