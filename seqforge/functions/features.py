@@ -103,10 +103,14 @@ def corpus_key(sequences: list[str]) -> str:
 
 
 def corpus_keys(df: DataFrame, group: str, order: str, seq: str) -> DataFrame:
-    """group, corpus_key: the key of each group's sequences in order, hashed as the sorted rows stream by."""
-    counted = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(seq).alias("s")).where(F.col("s").isNotNull())
+    """group, corpus_key: the key of each group's sequences in order, hashed as the sorted rows stream by.
+
+    A group's number comes as a row before its sequences. Rows are dealt by a hash of the group: a partitioning by the
+    group itself may be taken over from below, and adaptive execution can give that one up."""
+    counted = df.select(F.col(group).alias("g"), F.lit(None).cast("long").alias("n"), F.col(order).alias("o"), F.col(seq).alias("s")).where(F.col("s").isNotNull())
     sizes = counted.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.join(sizes, "g").repartition("g").sortWithinPartitions("g", "o", "s").select("g", "n", "s")
+    both = counted.unionByName(sizes, allowMissingColumns=True)
+    rows = both.repartition(F.xxhash64("g")).sortWithinPartitions("g", F.col("n").isNull(), "o", "s").select("g", "n", "s")
 
     def run(batches):
         import hashlib
@@ -114,11 +118,12 @@ def corpus_keys(df: DataFrame, group: str, order: str, seq: str) -> DataFrame:
         now, digest, done = None, None, []
         for b in batches:
             for g, n, s in zip(*(c.to_pylist() for c in b.columns)):
-                if digest is None or g != now:
+                if n is not None:
                     if digest is not None:
                         done.append((now, digest.hexdigest()[:24]))
                     now, digest = g, hashlib.sha256(str(n).encode())
-                digest.update(b"\0" + s.encode())
+                else:
+                    digest.update(b"\0" + s.encode())
             yield _keyed(done)
             done = []
         if digest is not None:
