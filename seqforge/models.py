@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import features
+from .operators.vectors import SPARSE, sparse_array
 
 BASES = "ACGT"
 CAPABILITIES = ("tokenize", "score", "per_token", "variant_llr", "embed")
@@ -29,6 +30,7 @@ class SequenceModel(ABC):
     max_context: int | None = None
     n_layers: int | None = None
     pools: tuple[str, ...] = ("mean",)  # what ``embed`` can make of a sequence's tokens
+    sparse = False  # whether ``embed_sparse`` gives what ``embed`` gives of the last layer
 
     def tokenize(self, seqs: list[str]) -> list[list[int]]:
         raise Unsupported("tokenize")
@@ -51,6 +53,10 @@ class SequenceModel(ABC):
         """items x layers x width; models of more than one pooling take ``pool`` too. "last" is a slice of "all"."""
         raise Unsupported("embed")
 
+    def embed_sparse(self, seqs: list[str]) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+        """The width, and of each sequence the ascending places and values of its numbers that are not 0."""
+        raise Unsupported("embed_sparse")
+
     def embed_with_logprobs(self, seqs: list[str], layers: str = "last", pool: str = "mean") -> tuple[np.ndarray, list[list[float]]]:
         """What ``embed`` and ``per_token`` return, of one run of the network. Only for models that can."""
         raise Unsupported("embed_with_logprobs")
@@ -113,6 +119,21 @@ class SequenceModel(ABC):
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own)
         return df.select(*keys, seq).mapInArrow(run, f"{schema}, head string, layer_id int, vec array<double>")
 
+    def sparse_outputs(self, df: DataFrame, keys: list[str], seq: str) -> DataFrame:
+        """keys, head, layer_id, vec of the last layer, vec as ``vectors.SPARSE``: its bytes follow the numbers that are not 0."""
+        self.require("embed")
+        own, last = [df.schema[k] for k in keys], (self.n_layers or 1) - 1
+
+        def run(batches):
+            for b in batches:
+                width, rows = self.embed_sparse([s or "" for s in b[len(keys)].to_pylist()])
+                if any(np.isnan(x).any() for _, x in rows):
+                    raise ValueError(f"{self.name}: embeddings must hold no NaN")
+                yield _batch(b, keys, pa.array(range(b.num_rows)), "vectors", np.full(b.num_rows, last), sparse_array(width, rows))
+
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own)
+        return df.select(*keys, seq).mapInArrow(run, f"{schema}, head string, layer_id int, vec {SPARSE}")
+
     def embeddings(self, df: DataFrame, key: str, seq: str, layers: str = "last", pool: str = "mean") -> DataFrame:
         """key, layer_id, vec: one row for each item and layer."""
         return self.outputs(df, [key], seq, layers, pool).select(key, "layer_id", "vec")
@@ -200,12 +221,17 @@ class KmerModel(SequenceModel):
 
     def __init__(self, k: int = 3, n_layers: int = 0):
         self.k, self.n_layers, self.name = k, n_layers + 1, f"kmer{k}"
+        self.sparse = k > 3  # a sequence has as many k-mers as letters at most
 
     def embed(self, seqs, layers="last"):
         rows = [np.bincount(features.kmer_index(s.encode(), self.k), minlength=4**self.k) for s in seqs]
         vec = np.stack([c / max(1, c.sum()) for c in rows])
         return np.repeat(vec[:, None, :], self.n_layers if layers == "all" else 1, axis=1)
 
+    def embed_sparse(self, seqs):
+        found = [np.unique(features.kmer_index(s.encode(), self.k), return_counts=True) for s in seqs]
+        return 4**self.k, [(at, n / max(1, n.sum())) for at, n in found]
+
 
 class Registry:
     """Named things of a few kinds; a name twice or unknown raises."""

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import vectors
+
 MAX_ITER, TOL, C = 1000, 1e-9, 1.0
 #: Bytes of training features that one task of a fit takes.
 FIT_BYTES = 32 << 20
@@ -83,10 +85,15 @@ def probe_layers(emb: DataFrame, layers: list[int], evaluate, threads: int = 4)
 
 #: Steps that a direction remembers, and halvings of a step before the search ends.
 MEMORY, HALVINGS = 10, 40
+#: What a sum of losses may be off by, as a part of it.
+ROUND_OFF = 1e-12
 
 
 def minimise(w: np.ndarray, tol: float, max_iter: int) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
-    """A limited-memory quasi-Newton search as a coroutine: yields points, is sent (value, gradient), returns the least."""
+    """A limited-memory quasi-Newton search as a coroutine: yields points, is sent (value, gradient), returns the least.
+
+    Near the least, values differ by less than their round-off and cannot judge a step: there one is good if the slope
+    along it is less, and a step that promises less than can be seen of the value ends the search."""
     f, g = yield w
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(max_iter):
@@ -104,11 +111,14 @@ def minimise(w: np.ndarray, tol: float, max_iter: int) -> Generator[np.ndarray,
             d = d + s * (a - (y @ d) / (s @ y))
         if not d @ g < 0:
             d, steps = -g, []
+        near = ROUND_OFF * max(1.0, abs(f))
+        if -(d @ g) <= np.finfo(float).eps * near:
+            break
         size = 1.0 if steps else 1.0 / max(1.0, np.abs(g).max())
         for _ in range(HALVINGS):
             at = w + size * d
             value, slope = yield at
-            if value <= f + 1e-4 * size * (d @ g):
+            if value <= f + 1e-4 * size * (d @ g) or (value <= f + near and abs(slope @ d) <= 0.9 * abs(g @ d)):
                 break
             size /= 2
         else:
@@ -120,12 +130,41 @@ def minimise(w: np.ndarray, tol: float, max_iter: int) -> Generator[np.ndarray,
     return w
 
 
+class Sparse:
+    """Rows of which only the numbers that are not 0 are held."""
+
+    def __init__(self, column: pa.StructArray):
+        parts = dict(zip((f.name for f in column.type), column.flatten()))
+        sizes = np.diff(parts["at"].offsets.to_numpy())
+        self.rows, self.at = np.repeat(np.arange(len(column)), sizes), parts["at"].flatten().to_numpy()
+        self.x, self.shape = parts["x"].flatten().to_numpy(), (len(column), parts["size"][0].as_py())
+
+    def times(self, by: np.ndarray) -> np.ndarray:
+        """rows x outputs of outputs x width."""
+        return np.stack([np.bincount(self.rows, self.x * w[self.at], self.shape[0]) for w in by], axis=1)
+
+    def onto(self, slope: np.ndarray) -> np.ndarray:
+        """outputs x width of rows x outputs."""
+        return np.stack([np.bincount(self.at, self.x * s[self.rows], self.shape[1]) for s in slope.T])
+
+
+def _times(x, by: np.ndarray) -> np.ndarray:
+    return x.times(by) if isinstance(x, Sparse) else x @ by.T
+
+
+def _onto(slope: np.ndarray, x) -> np.ndarray:
+    return x.onto(slope) if isinstance(x, Sparse) else slope.T @ x
+
+
 def _by_layer(batch: pa.RecordBatch, names: list[str]):
     """(layer, its rows, their vectors as a matrix) for each layer of a batch."""
     layer = batch[names[0]].to_numpy()
     for k in np.unique(layer).tolist():
         at = np.flatnonzero(layer == k)
         own = batch[names[1]].take(pa.array(at))
+        if pa.types.is_struct(own.type):
+            yield k, at, Sparse(own)
+            continue
         yield k, at, own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
 
 
@@ -133,7 +172,38 @@ def _margins(x: np.ndarray, w: np.ndarray, mean: np.ndarray, sd: np.ndarray, out
     """rows x outputs; w: outputs x (width + 1), of standardised features and a constant."""
     w = w.reshape(outputs, -1)
     by = w[:, :-1] / sd
-    return x @ by.T + (w[:, -1] - by @ mean)
+    return _times(x, by) + (w[:, -1] - by @ mean)
+
+
+def _sparse_moments(fit: DataFrame, layer: str, vec: str) -> list[dict]:
+    """layer, n, kinds, mean and variance of each layer's sparse rows, the variance about the mean in a pass of its own.
+    What differs by round-off alone has none."""
+    sizes = fit.groupBy(layer).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("_y")).alias("kinds")).collect()  # a row a layer
+
+    def summed(of):
+        def run(batches):
+            out: dict[int, np.ndarray] = {}
+            for b in batches:
+                for k, _, x in _by_layer(b, [layer, vec]):
+                    out[k] = out.get(k, 0.0) + of(k, x)
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.float64()))], ["k", "v"])
+
+        return _sums_by_layer(fit.select(layer, vec).mapInArrow(run, "k long, v array<double>"))
+
+    n = {r[layer]: r.n for r in sizes}
+    mean = {k: v / n[k] for k, v in summed(lambda k, x: np.bincount(x.at, x.x, x.shape[1])).items()}
+    count = lambda x: np.bincount(x.at, minlength=x.shape[1])
+    about = summed(lambda k, x: np.bincount(x.at, (x.x - mean[k][x.at]) ** 2, x.shape[1]) + (x.shape[0] - count(x)) * mean[k] ** 2)
+    sound = {k: np.where(v / n[k] > (n[k] * np.finfo(float).eps * mean[k]) ** 2, v, 0.0) for k, v in about.items()}
+    return [{layer: r[layer], "n": r.n, "kinds": r.kinds, "mean": mean[r[layer]], "var": sound[r[layer]] / max(1, r.n - 1)} for r in sizes]
+
+
+def _sums_by_layer(parts: DataFrame) -> dict[int, np.ndarray]:
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = parts.groupBy("k").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).collect()  # a vector a layer
+    return {r.k: np.array(r.v) for r in rows}
 
 
 def probe_all(df: DataFrame, label: str, train: F.Column, layer: str = "layer_id", vec: str = "vec", c: float = C, scale: bool = True, multiclass: bool = False, max_iter: int = MAX_ITER, tol: float = TOL) -> DataFrame:
@@ -148,20 +218,21 @@ def probe_all(df: DataFrame, label: str, train: F.Column, layer: str = "layer_id
     held = df.withColumn("_train", train).withColumn("_y", (F.col(label) if multiclass else F.col(label).cast("int")).cast("string")).cache()
     try:
         fit = held.where("_train")
-        each = fit.groupBy(layer).agg(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.col(vec).cast("array<double>"))).alias("m"), F.sort_array(F.collect_set("_y")).alias("kinds"))
-        found = each.select(layer, vector_to_array("m.mean").alias("mean"), vector_to_array("m.variance").alias("var"), F.col("m.count").alias("n"), "kinds").collect()  # a row a layer
+        sparse = vectors.is_sparse(df, vec)
+        each = None if sparse else fit.groupBy(layer).agg(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.col(vec).cast("array<double>"))).alias("m"), F.sort_array(F.collect_set("_y")).alias("kinds"))
+        found = _sparse_moments(fit, layer, vec) if sparse else [r.asDict() for r in each.select(layer, vector_to_array("m.mean").alias("mean"), vector_to_array("m.variance").alias("var"), F.col("m.count").alias("n"), "kinds").collect()]  # a row a layer
         if not found:
             raise ValueError("there are no training rows")
-        if any(len(r.kinds) < 2 for r in found):
+        if any(len(r["kinds"]) < 2 for r in found):
             raise ValueError("the training rows are of one class")
-        kinds = sorted({k for r in found for k in r.kinds})
+        kinds = sorted({k for r in found for k in r["kinds"]})
         if not multiclass and not set(kinds) <= {"0", "1"}:
             raise ValueError("labels of a binary probe are 0 and 1")
         outputs, code = (len(kinds), {k: i for i, k in enumerate(kinds)}) if multiclass else (1, {"0": 0, "1": 1})
-        n = {r[layer]: r.n for r in found}
+        n = {r[layer]: r["n"] for r in found}
         mean = {r[layer]: np.array(r["mean"]) if scale else np.zeros(len(r["mean"])) for r in found}
-        sd = {r[layer]: np.array([(v * (r.n - 1) / r.n) ** 0.5 or 1.0 for v in r["var"]]) if scale else np.ones(len(r["mean"])) for r in found}
-        seen = {r[layer]: np.isin(kinds, r.kinds) for r in found}  # a class that a layer's rows lack is none of its own
+        sd = {r[layer]: np.array([(v * (r["n"] - 1) / r["n"]) ** 0.5 or 1.0 for v in r["var"]]) if scale else np.ones(len(r["mean"])) for r in found}
+        seen = {r[layer]: np.isin(kinds, r["kinds"]) for r in found}  # a class that a layer's rows lack is none of its own
 
         def sums(points: dict[int, np.ndarray]):
             def run(batches):
@@ -177,21 +248,25 @@ def probe_all(df: DataFrame, label: str, train: F.Column, layer: str = "layer_id
                             top = m.max(axis=1, keepdims=True)
                             p = np.exp(m - top)
                             total = p.sum(axis=1, keepdims=True)
-                            loss = (np.log(total[:, 0]) + top[:, 0] - m[np.arange(len(own)), own]).sum()
+                            # no difference of near numbers, whose round-off would grow with the rows
+                            i, rest, others = np.arange(len(own)), p.copy(), p.copy()
+                            rest[i, m.argmax(axis=1)] = 0
+                            others[i, own] = 0
+                            loss = (np.log1p(rest.sum(axis=1)) + top[:, 0] - m[i, own]).sum()
                             slope = p / total
-                            slope[np.arange(len(own)), own] -= 1
+                            slope[i, own] = -others.sum(axis=1) / total[:, 0]
                         else:
-                            z = m[:, 0]
-                            loss = (np.logaddexp(0, z) - own * z).sum()
-                            slope = (1 / (1 + np.exp(-np.clip(z, -700, 700))) - own)[:, None]
+                            way = np.where(own == 1, -1.0, 1.0)
+                            z = way * m[:, 0]
+                            loss = np.logaddexp(0, z).sum()
+                            slope = (way / (1 + np.exp(-np.clip(z, -700, 700))))[:, None]
                         all_ = slope.sum(axis=0)
-                        grad = np.concatenate(((slope.T @ x - np.outer(all_, mean[k])) / sd[k], all_[:, None]), axis=1)
+                        grad = np.concatenate(((_onto(slope, x) - np.outer(all_, mean[k])) / sd[k], all_[:, None]), axis=1)
                         out[k] = out.get(k, 0.0) + np.concatenate(([loss], grad.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.float64()))], ["k", "v"])
 
             parts = fit.select(layer, vec, "_y").mapInArrow(run, "k long, v array<double>")
-            rows = parts.groupBy("k").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).collect()  # a vector a layer
-            return {r.k: np.array(r.v) for r in rows}
+            return _sums_by_layer(parts)
 
         def judged(k: int, w: np.ndarray, v: np.ndarray) -> tuple[float, np.ndarray]:
             free = w.reshape(outputs, -1).copy()

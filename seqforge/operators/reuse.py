@@ -125,7 +125,9 @@ class Reuse:
     def _run(self, content: str, model, windows: DataFrame, items: DataFrame, key: str, wide: bool, pool: str, heads: tuple[str, ...]) -> None:
         width = "all" if wide else "last"
         self.passes.append((content, heads, width))
-        out = model.outputs(windows.select(key, "at", "window"), [key, "at"], "window", width, pool, heads)
+        sparse = model.sparse and not wide and pool == "mean" and heads == ("vectors",)
+        cut = windows.select(key, "at", "window")
+        out = model.sparse_outputs(cut, [key, "at"], "window") if sparse else model.outputs(cut, [key, "at"], "window", width, pool, heads)
         if "logprobs" in heads:
             out = self._table(out, content, pool, width, *heads, by=["head"])
             z = out.where("head = 'logprobs'").select(key, "at", "vec")
@@ -134,7 +136,7 @@ class Reuse:
         if "vectors" not in heads:
             return
         pooled = vectors.window_mean(out.where("head = 'vectors'"), [key, "layer_id"])
-        pooled = self._table(pooled, content, pool, width, "pooled", by=["layer_id"])
+        pooled = self._table(pooled, content, pool, width, *["sparse"] * sparse, "pooled", by=["layer_id"])
         layers = vectors.check_layers(pooled, items, key)
         older = self.vectors_of.get((content, pool))
         self.vectors_of[content, pool] = pooled, layers, wide

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Unit round-off by number type, for the verdict that a layer adds nothing.
 ROUND_OFF = {"float64": 2.0**-53, "float32": 2.0**-24, "float16": 2.0**-11, "bfloat16": 2.0**-8}
 SAMPLE_ROWS = 4096
+#: A vector of which only the numbers that are not 0 are held: its width, their ascending places, their values.
+SPARSE = "struct<size:int,at:array<int>,x:array<double>>"
+
+
+def is_sparse(df: DataFrame, vec: str = "vec") -> bool:
+    return df.schema[vec].dataType.simpleString() == SPARSE
+
+
+def sparse_array(width: int, rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """Places and values of each row as a column of ``SPARSE``."""
+    ends = pa.array(np.cumsum([0, *(len(at) for at, _ in rows)]).astype(np.int32))
+    at, x = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0) for i in (0, 1))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(t))) for v, t in ((at, np.int32), (x, np.float64))]
+    return pa.StructArray.from_arrays([pa.array(np.full(len(rows), width, np.int32)), *lists], ["size", "at", "x"])
 
 
 def long_form(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
@@ -44,9 +60,32 @@ def _summary(df: DataFrame, keys: list[str], how: str, vec: str = "vec") -> Data
 
 def window_mean(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
     """Element-wise mean over an instance's windows."""
+    if is_sparse(df, vec):
+        return _sparse_mean(df, keys, vec)
     return _summary(df, keys, "mean", vec)
 
 
+def _sparse_mean(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
+    each = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(f"{vec}.size").alias("size"), F.collect_list(vec).alias("l"))  # an item's own windows
+    each = each.select(*keys, "n", "size", *[F.flatten(f"l.{c}").alias(c) for c in ("at", "x")])
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows, width = [], b["size"][0].as_py()
+            for n, at, x in zip(b["n"].to_pylist(), b["at"], b["x"]):
+                at, x = at.values.to_numpy(), x.values.to_numpy()
+                if n > 1:
+                    at, place = np.unique(at, return_inverse=True)
+                    x = np.bincount(place, x, len(at)) / n
+                rows.append((at, x))
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keys), sparse_array(width, rows)], [*keys, "vec"])
+
+    return each.mapInArrow(run, f"{kinds}, vec {SPARSE}")
+
+
 def _moments(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
     """keys, mean and var (population) of vectors, element by element."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -70,7 +109,7 @@ def check_one_to_one(made: DataFrame, wanted: DataFrame, key: str, vec: str = "v
 
 def check_layers(df: DataFrame, items: DataFrame, key: str, vec: str = "vec") -> list[int]:
     """The layers of (key, layer_id, vec); raises unless each item has one vector without NaN in each. One job."""
-    nan = F.exists(vec, lambda x: F.isnan(x)) | F.col(vec).isNull()
+    nan = F.exists(f"{vec}.x" if is_sparse(df, vec) else vec, lambda x: F.isnan(x)) | F.col(vec).isNull()
     made = df.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_set("layer_id")).alias("_layers"), F.count(F.lit(1)).alias("_n"), F.max(nan).alias("_nan"))
     known = items.groupBy(key).agg(F.count(F.lit(1)).alias("_items"))
     both = known.join(made, F.col(key).eqNullSafe(F.col("_key")), "full")

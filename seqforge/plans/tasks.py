@@ -82,7 +82,7 @@ class _Probed:
         vec = reuse.vectors(self.corpus, model, self.cut(model, rows), rows, self.key, self.layers)
         if not self.sweep:
             (found,) = self.measure(rows.join(vec, self.key)).values()
-            return TaskResult(self.name, "ok", self.score, found, {"embedding_dim": len(vec.first().vec)})
+            return TaskResult(self.name, "ok", self.score, found, {"embedding_dim": vec.select("vec.size" if vectors.is_sparse(vec) else F.size("vec")).first()[0]})
         found, health = sweep(rows, vec, self.key, self.measure)
         best, more = choose_layer(rows.sparkSession, found, health, self.score)
         return TaskResult(self.name, "ok", self.score, more, {"best_layer": best["best_layer"], "considered": best["considered"], "excluded": best["excluded"], "would_have_picked": best["would_have_picked"], "depth_health_measured": health is not None})

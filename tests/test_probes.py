@@ -125,3 +125,47 @@ def test_best_taps(spark):
     assert not judged(spark, ref, []).passes
     flat = [("s", None, 0.6, True), ("n", None, 1.0, False)]
     assert judged(spark, flat, [r[:3] for r in flat]).tap_ok
+
+
+def test_vectors_of_many_kmers_are_held_by_what_is_not_zero(spark):
+    """Windows averaged, standardised and probed as dense vectors would be, by both kinds of probe."""
+    from seqforge.models import KmerModel
+    from seqforge.operators import vectors
+
+    letters = np.random.default_rng(5).choice(list("ACGT"), (40, 2, 30), p=[0.4, 0.3, 0.2, 0.1])
+    rows = [(i, i % 2, w, "".join(letters[i, w]) if (i, w) != (3, 0) else "AC" if i % 2 else "N") for i in range(40) for w in range(1 + i % 3 % 2)]
+    cut = spark.createDataFrame(rows, "id int, y int, at int, window string")
+    model = KmerModel(4)
+    sparse = vectors.window_mean(model.sparse_outputs(cut, ["id", "at"], "window"), ["id", "layer_id"])
+    dense = vectors.window_mean(model.outputs(cut, ["id", "at"], "window"), ["id", "layer_id"])
+    assert model.sparse and vectors.is_sparse(sparse) and not vectors.is_sparse(dense)
+    want = {r.id: np.array(r.vec) for r in dense.collect()}
+    for r in sparse.collect():
+        assert r.vec.size == 256 and len(r.vec.at) <= 60
+        full = np.zeros(256)
+        full[r.vec.at] = r.vec.x
+        assert np.allclose(full, want[r.id], atol=1e-15)
+    labels = cut.select("id", "y").distinct()
+    for more, column in ((dict(), "prob"), (dict(multiclass=True, scale=False), "predicted")):
+        got, exact = ({r.id: r[column] for r in probes.probe_all(labels.join(v, "id"), "y", F.col("id") % 4 != 0, tol=1e-9, **more).collect()} for v in (sparse, dense))
+        assert got.keys() == exact.keys() and len(got) == 10
+        assert got == exact if column == "predicted" else all(abs(got[k] - exact[k]) < 1e-5 for k in got)
+
+
+def test_a_search_ends_where_values_differ_by_round_off(spark):
+    """Separable rows, many of each kind: it took 30,581 evaluations, each of them a job."""
+    from seqforge.models import KmerModel
+
+    kinds = [(a, b) for a in (0, 1) for b in range(5)]
+    n, y = np.full(10, 3000.0), np.array([a for a, _ in kinds], float)
+    x = KmerModel(1).embed([("ACAAC" if a else "TGTTG") * (b + 10) for a, b in kinds])[:, 0]
+    z = np.c_[(x - n @ x / n.sum()) / np.where(x.std(axis=0) > 1e-12, x.std(axis=0), 1.0), np.ones(10)]
+    search = probes.minimise(np.zeros(5), 1e-8, 1000)
+    w, calls = next(search), 0
+    with pytest.raises(StopIteration):
+        while calls < 200:
+            m = z @ w
+            value, slope = (n * (np.logaddexp(0, m) - y * m)).sum() + (w[:-1] ** 2).sum() / 2, z.T @ (n * (1 / (1 + np.exp(-m)) - y)) + np.r_[w[:-1], 0]
+            calls += 1
+            w = search.send((value, slope))
+    assert calls < 60
