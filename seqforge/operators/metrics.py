@@ -8,6 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 
 #: Values that the optimiser takes to be of no more bytes than this are ranked with a group in one task.
 SMALL_BYTES = 64 << 20
@@ -25,6 +26,14 @@ def _small(df: DataFrame) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
 
 
+def _counted(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """by, columns and _n: how many rows each combination of them has. All ranks, medians and areas follow from these.
+
+    Of a large table they are written once, for several readers, and the optimiser knows their size from the files."""
+    each = df.groupBy(*by, *columns).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    return each if _small(df.select(*by, *columns)) else written(each, "counted")
+
+
 def _blocks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Adds ``_block``, which never falls as the value rises within its group, -1 for null.
 
@@ -59,11 +68,12 @@ def _running(rows: DataFrame, by: list[str], value: str, sums: list[str], down:
     return out.withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"_{c}") for c in sums}).drop("_block", *[f"_{c}" for c in sums])
 
 
-def group_median(df: DataFrame, by: list[str], column: str, name: str = "median") -> DataFrame:
-    """by and the exact median of each group's values, the mean of the middle two; nulls do not count.
+def group_median(df: DataFrame, by: list[str], column: str, name: str = "median", n: Column | None = None) -> DataFrame:
+    """by and the exact median of each group's values, the mean of the middle two; nulls do not count. A row
+    stands for ``n`` rows, one if there is no such column.
 
     The middle is found among running counts of distinct values, which blocks share between tasks."""
-    each = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    each = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.sum(F.lit(1.0) if n is None else n).alias("n"))
     ran = _running(each, by, "_v", ["n"])
     if _small(each):
         whole = ran.withColumn("_all", F.sum("n").over(Window.partitionBy(*by)))
@@ -74,9 +84,9 @@ def group_median(df: DataFrame, by: list[str], column: str, name: str = "median"
     return whole.groupBy(*by).agg(((at(lower) + at(upper)) / 2).alias(name))
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, rank: str) -> DataFrame:
+def average_rank(df: DataFrame, by: list[str], value: str, rank: str, n: Column | None = None) -> DataFrame:
     """by, value and its rank within the group, ties sharing the mean of theirs: a row a distinct value."""
-    each = df.groupBy(*by, value).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    each = df.groupBy(*by, value).agg(F.sum(F.lit(1.0) if n is None else n).alias("n"))
     return _running(each, by, value, ["n"]).select(*by, value, (F.col("before_n") + (F.col("n") + 1) / 2).alias(rank))
 
 
@@ -86,17 +96,17 @@ def finite(column: str | Column, what: str) -> Column:
     return F.when(F.isnan(column.cast("double")), F.raise_error(F.lit(f"a {what} is NaN"))).otherwise(column)
 
 
-def _distinct_scores(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
+def _distinct_scores(df: DataFrame, by: list[str], label: str, score: str, n: Column | None = None) -> DataFrame:
     """Positives and rows of each distinct score: what the windows below see, whatever the ties."""
-    return df.withColumn(score, finite(score, "score")).groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
+    n = F.lit(1.0) if n is None else n
+    return df.withColumn(score, finite(score, "score")).groupBy(*by, score).agg(F.sum(F.col(label).cast("double") * n).alias("pos"), F.sum(n).alias("n"))
 
 
-def auroc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
-    """Area under the ROC curve by ranks; null with one class only."""
-    ranked = _running(_distinct_scores(df, by, label, score).withColumn("neg", F.col("n") - F.col("pos")), by, score, ["neg"])
+def auroc(df: DataFrame, by: list[str], label: str, score: str, n: Column | None = None) -> DataFrame:
+    """Area under the ROC curve by ranks; null with one class only. A row stands for ``n`` rows."""
+    ranked = _running(_distinct_scores(df, by, label, score, n).withColumn("neg", F.col("n") - F.col("pos")), by, score, ["neg"])
     wins = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
-    p, n = F.sum("pos"), F.sum("neg")
-    return ranked.groupBy(*by).agg(F.try_divide(wins, p * n).alias("auroc"))
+    return ranked.groupBy(*by).agg(F.try_divide(wins, F.sum("pos") * F.sum("neg")).alias("auroc"))
 
 
 def average_precision(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
@@ -137,33 +147,49 @@ def macro_f1(df: DataFrame, truth: str, predicted: str, by: tuple[str, ...] = ()
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Absolute rank correlation, ties sharing ranks; null if either side is constant."""
-    pairs = df.select(*by, x, y)
+    return _spearman(_counted(df, by, [x, y]), by, x, y)
+
+
+def _spearman(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Of counted pairs. Ranks are taken from their mean, (rows + 1) / 2, so that sums of products are the covariances."""
+    n = F.col("_n")
     if _small(pairs):
-        rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
-        ranked = pairs.select(*by, rank(x).alias("rx"), rank(y).alias("ry"))
+        rank = lambda c: F.sum(n).over(Window.partitionBy(*by).orderBy(c)) - (F.sum(n).over(Window.partitionBy(*by, c)) - 1) / 2
+        ranked = pairs.select(*by, "_n", rank(x).alias("rx"), rank(y).alias("ry"), F.sum(n).over(Window.partitionBy(*by)).alias("_all"))
     else:
-        ranked = _beside(_beside(pairs, average_rank(df, by, x, "rx"), [*by, x]), average_rank(df, by, y, "ry"), [*by, y])
+        ranked = _beside(_beside(pairs, average_rank(pairs, by, x, "rx", n), [*by, x]), average_rank(pairs, by, y, "ry", n), [*by, y])
+        ranked = _beside(ranked, pairs.groupBy(*by).agg(F.sum(n).alias("_all")), by)
+    dx, dy = (F.col(c) - (F.col("_all") + 1) / 2 for c in ("rx", "ry"))
     varied = (F.max("rx") > F.min("rx")) & (F.max("ry") > F.min("ry"))
-    return ranked.groupBy(*by).agg(F.when(varied, F.abs(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")))).alias("spearman"), F.count(F.lit(1)).alias("n_variants"))
+    corr = F.try_divide(F.sum(n * dx * dy), F.sqrt(F.sum(n * dx * dx)) * F.sqrt(F.sum(n * dy * dy)))
+    return ranked.groupBy(*by).agg(F.when(varied, F.abs(corr)).alias("spearman"), F.sum(n).cast("long").alias("n_variants"))
 
 
 def _split(df: DataFrame, by: list[str], column: str, inclusive: bool) -> DataFrame:
-    middle = group_median(df, by, column, f"{column}_median")
+    middle = group_median(df, by, column, f"{column}_median", F.col("_n"))
     high = F.col(column) >= F.col(f"{column}_median") if inclusive else F.col(column) > F.col(f"{column}_median")
     return df.join(middle, by).withColumn(f"{column}_high", high.cast("int"))
 
 
 def median_auc(df: DataFrame, by: list[str], truth: str, score: str, inclusive: bool = True) -> DataFrame:
     """AUROC against the truth split at its median, whichever way round is larger."""
-    out = auroc(_split(df, by, truth, inclusive), by, f"{truth}_high", score)
+    return _median_auc(_counted(df, by, [truth, score]), by, truth, score, inclusive)
+
+
+def _median_auc(pairs: DataFrame, by: list[str], truth: str, score: str, inclusive: bool = True) -> DataFrame:
+    out = auroc(_split(pairs, by, truth, inclusive), by, f"{truth}_high", score, F.col("_n"))
     return out.select(*by, F.greatest("auroc", 1 - F.col("auroc")).alias("auc"))
 
 
 def median_mcc(df: DataFrame, by: list[str], truth: str, score: str, inclusive: bool = True) -> DataFrame:
     """Absolute Matthews correlation of both sides split at their medians; null with an empty side."""
-    both = _split(_split(df, by, truth, inclusive), by, score, inclusive)
+    return _median_mcc(_counted(df, by, [truth, score]), by, truth, score, inclusive)
+
+
+def _median_mcc(pairs: DataFrame, by: list[str], truth: str, score: str, inclusive: bool = True) -> DataFrame:
+    both = _split(_split(pairs, by, truth, inclusive), by, score, inclusive)
     t, s = F.col(f"{truth}_high") == 1, F.col(f"{score}_high") == 1
-    counts = both.groupBy(*by).agg(*[F.count_if(c).cast("double").alias(n) for n, c in (("tp", t & s), ("fp", ~t & s), ("tn", ~t & ~s), ("fn", t & ~s))])
+    counts = both.groupBy(*by).agg(*[F.sum(F.when(c, F.col("_n")).otherwise(0.0)).alias(n) for n, c in (("tp", t & s), ("fp", ~t & s), ("tn", ~t & ~s), ("fn", t & ~s))])
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     return counts.select(*by, F.abs(F.try_divide(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))).alias("mcc"))
 
@@ -176,9 +202,11 @@ def type_mean(df: DataFrame, kind: str, columns: list[str]) -> DataFrame:
 
 def variant_report(df: DataFrame, by: list[str], truth: str, score: str) -> DataFrame:
     """All metrics of each assay, over the variants that have a score."""
-    scored = df.where(F.col(score).isNotNull())
-    size = df.groupBy(*by).agg(F.count(score).alias("n_variants"), F.count_if(F.col(score).isNull()).alias("n_missing"))
-    return size.join(spearman(scored, by, truth, score).drop("n_variants"), by, "left").join(median_auc(scored, by, truth, score), by, "left").join(median_mcc(scored, by, truth, score), by, "left")
+    pairs, lacks = _counted(df, by, [truth, score]), F.col(score).isNull()
+    scored = pairs.where(~lacks)
+    rows = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0.0)).cast("long")
+    size = pairs.groupBy(*by).agg(rows(~lacks).alias("n_variants"), rows(lacks).alias("n_missing"))
+    return size.join(_spearman(scored, by, truth, score).drop("n_variants"), by, "left").join(_median_auc(scored, by, truth, score), by, "left").join(_median_mcc(scored, by, truth, score), by, "left")
 
 
 def score_summary(df: DataFrame, score: str) -> DataFrame:

@@ -155,3 +155,17 @@ def test_pooling_and_sampling(spark):
         assert vectors.pool(df, ["i"], "t", how).first().vec == want
     got = sorted(r.id for r in vectors.sample_rows(spark.range(1000), "id", 64).collect())
     assert got == sorted({i * 999 // 63 for i in range(64)})
+
+
+def test_metrics_work_on_counted_pairs(spark, monkeypatch):
+    """Rows of one pair count as one row from the first step on, with a table's size known from its files or not."""
+    rows = [("a", float(i % 7), float(i * i % 5)) for i in range(300)] + [("b", 1.0, None), ("b", 2.0, 3.0), ("b", 3.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, t double, s double")
+    seen = []
+    counted = metrics._counted
+    monkeypatch.setattr(metrics, "_counted", lambda *a: seen.append(counted(*a)) or seen[-1])
+    small = sorted(map(str, metrics.variant_report(df, ["g"], "t", "s").collect()))
+    assert [x.count() for x in seen] == [24]
+    monkeypatch.setattr(metrics, "SMALL_BYTES", 0)
+    assert sorted(map(str, metrics.variant_report(df, ["g"], "t", "s").collect())) == small
+    assert len(seen) == 2 and hasattr(seen[1], "table_path")
