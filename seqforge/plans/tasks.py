@@ -180,17 +180,20 @@ class VariantTask:
 
     def run(self, model, chosen, variants) -> TaskResult:
         known = variants.withColumn("_id", F.struct("dms_id", "variant_idx"))
-        if not known.groupBy("_id").count().where("count > 1").isEmpty():
+        many = lambda *by: not known.groupBy(*by).count().where("count > 1").isEmpty()
+        if many(F.xxhash64("dms_id", "variant_idx")) and many("dms_id", "variant_idx"):  # exact where hashes meet
             raise ValueError("a variant's number repeats within its assay")
         if chosen == ["variant_llr"]:
             items, limited = variant_items(known), F.col("reference")
             fits = F.lit(True) if model.max_context is None else F.length(limited) <= model.max_context
-            scored = model.variant_llrs(items.where(fits), "_id").withColumnRenamed("llr", "s")
+            scored = known.join(model.variant_llrs(items.where(fits), "_id").withColumnRenamed("llr", "s"), "_id", "left")
         else:
             fits = F.lit(True) if model.max_context is None else F.length("sequence") <= model.max_context
-            scored = model.scores(known.where(fits), "_id", "sequence").withColumnRenamed("score", "s")
+            scored = model.scores(known.where(fits), ["dms_id", "rna_type", "dms_score"], "sequence").withColumnRenamed("score", "s")
+            if model.max_context is not None:
+                scored = scored.unionByName(known.where(~F.coalesce(fits, F.lit(False))), allowMissingColumns=True)
         # written once: the metrics read the scores several times, the model runs once
-        table = written(known.join(scored, "_id", "left").select("dms_id", "rna_type", "dms_score", "s"), f"scores-{self.name}")
+        table = written(scored.select("dms_id", "rna_type", "dms_score", "s"), f"scores-{self.name}")
         report = metrics.variant_report(table, ["dms_id", "rna_type"], "dms_score", "s").persist()
         row = metrics.type_mean(report, "rna_type", ["spearman", "auc", "mcc"]).first().asDict()
         each = {f"{r.dms_id}_spearman": r.spearman for r in report.collect() if r.spearman is not None}  # a row an assay

@@ -279,3 +279,15 @@ def test_vectors_as_they_are(spark):
         vectors.pool(df, ["i"], "t", "other")
     assert vectors.padding_efficiency(spark.createDataFrame([], "batch int, length int")).first().efficiency == 1.0
     assert {r.dim: r.z for r in vectors.standardise(df, ["t"], F.lit(True)).where("t = 1").collect()} == {0: 1.0}
+
+
+def test_scores_pass_columns_through_and_run_once_a_sequence(spark):
+    class Told(EchoModel):
+        def score(self, seqs, reduction="mean"):
+            assert len(seqs) == len(set(seqs))
+            return super().score(seqs, reduction)
+
+    rows = [(i % 2, f"a{i}", "ACGT"[: 1 + i % 3]) for i in range(12)]
+    got = Told().scores(spark.createDataFrame(rows, "g int, k string, s string").coalesce(1), ["g", "k"], "s")
+    assert got.columns == ["g", "k", "score"]
+    assert {(r.g, r.k): r.score for r in got.collect()} == {(g, k): EchoModel().score([s])[0] for g, k, s in rows}
