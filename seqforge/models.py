@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,23 @@ class Unsupported(NotImplementedError):
     """A capability was used that the model does not declare."""
 
 
+def code_points(seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all letters of the sequences, one after another, and where each sequence ends in them."""
+    codes = np.frombuffer("".join(seqs).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes, np.cumsum([len(s) for s in seqs], dtype=np.int64)
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in slices whose strings of a column have so many bytes together; a longer one is alone."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 class SequenceModel(ABC):
     """A model works on lists of sequences; its columns run it on Arrow batches of a DataFrame."""
 
@@ -31,6 +49,7 @@ class SequenceModel(ABC):
     n_layers: int | None = None
     pools: tuple[str, ...] = ("mean",)  # what ``embed`` can make of a sequence's tokens
     sparse = False  # whether ``embed_sparse`` gives what ``embed`` gives of the last layer
+    run_bytes = 1 << 18  # of the sequences that one run is given together; what a task holds grows with it, not with a batch
 
     def tokenize(self, seqs: list[str]) -> list[list[int]]:
         raise Unsupported("tokenize")
@@ -80,7 +99,8 @@ class SequenceModel(ABC):
         def run(batches: Iterator[pa.RecordBatch]):
             for b in batches:
                 own = b[len(keys)].fill_null("").dictionary_encode()
-                made = pa.array(self.score(own.dictionary.to_pylist(), reduction), pa.float64())
+                each = runs([pa.RecordBatch.from_arrays([own.dictionary], ["s"])], 0, self.run_bytes)
+                made = pa.array([x for part in each for x in self.score(part[0].to_pylist(), reduction)], pa.float64())
                 yield pa.RecordBatch.from_arrays([*(b[i] for i in range(len(keys))), made.take(own.indices)], names=[*keys, "score"])
 
         kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
@@ -92,7 +112,7 @@ class SequenceModel(ABC):
         return self.embed(seqs, layers) if pool == "mean" else self.embed(seqs, layers, pool)
 
     def outputs(self, df: DataFrame, keys: list[str], seq: str, layers: str = "last", pool: str = "mean", heads: tuple[str, ...] = ("vectors",)) -> DataFrame:
-        """keys, head, layer_id, vec of one run of the model over each Arrow batch: a row "vectors" for each layer,
+        """keys, head, layer_id, vec of runs of the model over slices of each Arrow batch: a row "vectors" for each layer,
         a row "logprobs" with a number for each letter. Both heads together take a model that ``fuses``."""
         both = len(heads) == 2
         for head in heads:
@@ -104,9 +124,7 @@ class SequenceModel(ABC):
         own = [df.schema[k] for k in keys]
 
         def run(batches):
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in runs(batches, len(keys), self.run_bytes):
                 seqs = [s or "" for s in b[len(keys)].to_pylist()]
                 x, z = self.embed_with_logprobs(seqs, layers, pool) if both else (self._vectors(seqs, layers, pool), None) if "vectors" in heads else (None, self.per_token(seqs))
                 if x is not None:
@@ -118,9 +136,10 @@ class SequenceModel(ABC):
                     rows = pa.array(np.repeat(np.arange(n), m))
                     yield _batch(b, keys, rows, "vectors", np.tile(np.arange(m) + first, n), pa.ListArray.from_arrays(pa.array(np.arange(n * m + 1, dtype=np.int32) * w), pa.array(x.ravel())))
                 if z is not None:
-                    if [len(a) for a in z] != [len(s) for s in seqs] or not all(np.isfinite(a).all() for a in z):
+                    sizes, flat = [len(a) for a in z], np.concatenate([np.asarray(a, np.float64) for a in z])
+                    if sizes != [len(s) for s in seqs] or not np.isfinite(flat).all():
                         raise ValueError(f"{self.name}: log-probabilities must be one finite number for each letter")
-                    yield _batch(b, keys, pa.array(range(b.num_rows)), "logprobs", None, pa.array([np.asarray(a, np.float64) for a in z], pa.list_(pa.float64())))
+                    yield _batch(b, keys, pa.array(range(b.num_rows)), "logprobs", None, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(flat)))
 
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own)
         return df.select(*keys, seq).mapInArrow(run, f"{schema}, head string, layer_id int, vec array<double>")
@@ -131,7 +150,7 @@ class SequenceModel(ABC):
         own, last = [df.schema[k] for k in keys], (self.n_layers or 1) - 1
 
         def run(batches):
-            for b in batches:
+            for b in runs(batches, len(keys), self.run_bytes):
                 width, rows = self.embed_sparse([s or "" for s in b[len(keys)].to_pylist()])
                 if any(np.isnan(x).any() for _, x in rows):
                     raise ValueError(f"{self.name}: embeddings must hold no NaN")
@@ -181,7 +200,7 @@ class SequenceModel(ABC):
 
     def _lists(self, df, key, seq, make, name, arrow, kind):
         def run(batches):
-            for b in batches:
+            for b in runs(batches, 1, self.run_bytes):
                 yield pa.RecordBatch.from_arrays([b[0], pa.array(make([s or "" for s in b[1].to_pylist()]), pa.list_(arrow))], names=["key", name])
 
         return df.select(key, seq).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, {name} array<{kind}>").withColumnRenamed("key", key)

@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 SWEEP_WITHOUT_INPUT = ("no-input",)
 
 
+def exact_sum(z: Column) -> Column:
+    """The sum of an array's numbers with what rounding drops added at the end, so that it does not grow with their number."""
+
+    def step(a, x):
+        t, s = a["s"] + x, a["s"]
+        lost = F.when(F.abs(s) >= F.abs(x), (s - t) + x).otherwise((x - t) + s)
+        return F.struct(t.alias("s"), (a["lost"] + lost).alias("lost"))
+
+    return F.aggregate(z, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("lost")), step, lambda a: a["s"] + a["lost"])
+
+
 def reduce_logprobs(z: Column, how: str = "mean") -> Column:
     """Score of a sequence from its tokens' log-probabilities; 0 for none."""
     if how not in ("mean", "sum"):

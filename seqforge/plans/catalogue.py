@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..functions import sequences as S
-from ..models import BASES, EchoModel, KmerModel, SequenceModel, batched
+from ..models import BASES, EchoModel, KmerModel, SequenceModel, batched, code_points
 from ..tokens import KmerTokenModel, MixedModel, TokenModel, Tokens, spans_of
 from ..operators import control, metrics, probes, results, tensors, vectors
 from ..sources import tables
@@ -61,8 +61,15 @@ class CodeModel(SequenceModel):
     def site_logits(self, reference, pos0):
         return [ord(c) / (1.0 + pos0) for c in BASES]
 
+    def share(self, seqs, *sets):
+        """sequences x sets: the share of each set's letters."""
+        codes, ends = code_points(seqs)
+        sizes = np.diff(ends, prepend=0)
+        before = [np.concatenate(([0], np.cumsum(np.isin(codes, [ord(c) for c in letters])))) for letters in sets]
+        return np.stack([(n[ends] - n[ends - sizes]) / np.maximum(1, sizes) for n in before], axis=1)
+
     def embed(self, seqs, layers="last"):
-        return np.array([[[sum(c in "GC" for c in s) / max(1, len(s))]] for s in seqs])
+        return self.share(seqs, "GC")[:, :, None]
 
 
 class CountedModel(CodeModel):
@@ -76,13 +83,13 @@ class CountedModel(CodeModel):
 
     def embed(self, seqs, layers="last"):
         self.calls.add(len(seqs))
-        share = lambda s, letters: sum(c in letters for c in s) / max(1, len(s))
-        x = np.array([[[share(s, "A")], [share(s, "GC")]] for s in seqs])
+        x = self.share(seqs, "A", "GC")[:, :, None]
         return x if layers == "all" else x[:, 1:]
 
     def per_token(self, seqs):
         self.calls.add(len(seqs))
-        return [[-ord(c) / 100.0 for c in s] for s in seqs]
+        codes, ends = code_points(seqs)
+        return np.split(codes / -100.0, ends[:-1])
 
     def embed_with_logprobs(self, seqs, layers="last", pool="mean"):
         out = self.embed(seqs, layers), self.per_token(seqs)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..functions.sequences import assay_check, enzyme_windows, gene_windows, parse_mutant, scoreable
-from ..operators import metrics, probes, vectors
+from ..operators import metrics, probes, tensors, vectors
 from ..operators.control import TaskResult, run_tasks
 from ..operators.reuse import Reuse, plan
 from ..sources.shared import dropped, written
@@ -129,7 +129,8 @@ class GeneTask(_Probed):
 
 
 class LikelihoodTask(GeneTask):
-    """Essentiality without a probe: genes ranked by the mean log-probability of their letters over all windows."""
+    """Essentiality without a probe: genes ranked by the mean log-probability of their letters over all windows, to 12
+    places, so that equal means tie."""
 
     alternatives = [["per_token"]]
     head = "logprobs"
@@ -137,8 +138,8 @@ class LikelihoodTask(GeneTask):
     def run(self, model, chosen, rows, reuse=None) -> TaskResult:
         reuse = reuse or Reuse(plan([self]))
         z = reuse.logprobs(self.corpus, model, self.cut(model, rows), rows, self.key)
-        total = z.groupBy(self.key).agg(F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("total"), F.sum(F.size("vec")).alias("n"))
-        out = rows.join(total.select(self.key, F.try_divide("total", "n").alias("mean")), self.key).where(F.col("split") == "test")
+        total = z.groupBy(self.key).agg(F.sum(tensors.exact_sum(F.col("vec"))).alias("total"), F.sum(F.size("vec")).alias("n"))
+        out = rows.select(self.key, "genome", "essential", "split").join(total.select(self.key, F.round(F.try_divide("total", "n"), 12).alias("mean")), self.key).where(F.col("split") == "test")
         report = metrics.macro(metrics.group_report(out, ["genome"], "essential", "mean"), ["auroc", "auprc"]).first().asDict()
         if not report["n_scored"]:
             raise ValueError("no genome has both classes")

@@ -12,6 +12,7 @@ from seqforge.functions.sequences import affected_tokens
 from seqforge.models import EchoModel, KmerModel, SequenceModel, Unsupported
 from seqforge.operators import control, reuse, vectors
 from seqforge.plans import tasks
+from seqforge.plans.catalogue import CountedModel
 from seqforge.sources.shared import complete
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not see the tests' modules
@@ -71,6 +72,37 @@ def test_one_pass_of_both_heads(spark, items):
     assert [(h, w) for _, h, w in held.passes] == [(("vectors", "logprobs"), "all")]
 
 
+def test_a_run_is_given_a_bounded_part_of_a_batch(spark):
+    """What a task holds follows the slice, not the batch; the outputs are those of one run."""
+    most = spark.sparkContext.accumulator(0)
+
+    class Watched(Fused):
+        run_bytes = 1000
+
+        def embed_with_logprobs(self, seqs, layers="last", pool="mean"):
+            if len(seqs) > 1 and sum(map(len, seqs)) > self.run_bytes:
+                most.add(1)
+            return super().embed_with_logprobs(seqs, layers, pool)
+
+    rows = [(i, None if i == 5 else "ACGT" * (i % 7) + "A" * (2500 if i == 9 else 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "item int, seq string").coalesce(1)
+    model = Watched(spark)
+    out = model.outputs(df, ["item"], "seq", "all", heads=("vectors", "logprobs")).collect()
+    assert most.value == 0 and model.both.value == 400 and len(out) == 1200
+    z = {r.item: r.vec for r in out if r.head == "logprobs"}
+    assert all(z[i] == [-1.0 - (c == "A") for c in s or ""] for i, s in rows)
+    assert {(r.item, r.layer_id): r.vec for r in out if r.head == "vectors"} == {(i, k): [float(len(s or "") if k == 0 else (s or "").count("A"))] for i, s in rows for k in (0, 1)}
+
+
+def test_equal_means_tie(spark):
+    """Sequences of one composition have one mean log-probability, whatever their order and number of letters."""
+    seqs = ["ACGTN" * 200, "NTGCA" * 200, "A" * 500 + "C" * 500 + "G" * 500 + "T" * 500 + "N" * 500, "ACGTN"]
+    rows = [(i, seqs[i % 4], f"g{i % 2}", i // 2 % 2, "test") for i in range(16)]
+    genes = spark.createDataFrame(rows, "doc_id int, seq string, genome string, essential int, split string")
+    (task,) = control.run_tasks(CountedModel(spark.sparkContext.accumulator(0)), [tasks.LikelihoodTask("z", lambda s: genes)], spark)["tasks"]
+    assert task["status"] == "ok" and task["metrics"]["mean_auroc"] == 0.5, task
+
+
 def test_logprobs_first_serve_vectors_too(spark, items):
     model = Fused(spark)
     held = reuse.Reuse({"c": reuse.Demand(vectors=1, logprobs=1)})
