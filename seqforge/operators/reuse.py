@@ -74,6 +74,7 @@ class Reuse:
         self.vectors_of: dict[tuple[str, str], tuple[DataFrame, list[int], bool]] = {}
         self.logprobs_of: dict[str, DataFrame] = {}
         self.used: dict[str, set[str]] = {}
+        self.keys: dict[str, list[tuple[DataFrame, str]]] = {}
         self.passes: list[tuple[str, tuple[str, ...], str]] = []
 
     def vectors(self, corpus: str, model, windows: DataFrame, items: DataFrame, key: str, layers: str | int | list[int] = "last", pool: str = "mean") -> DataFrame:
@@ -103,6 +104,7 @@ class Reuse:
         self.left[corpus] = self.left.get(corpus, 1) - 1
         if self.left[corpus] > 0:
             return
+        self.keys.pop(corpus, None)
         gone = self.used.pop(corpus, set()) - set().union(*self.used.values())
         for own in [k for k in self.vectors_of if k[0] in gone]:
             self._drop(self.vectors_of.pop(own)[0])
@@ -110,7 +112,13 @@ class Reuse:
             self._drop(self.logprobs_of.pop(own))
 
     def _content(self, corpus: str, windows: DataFrame, key: str) -> str:
-        content = content_key(windows, key)
+        held = self.keys.setdefault(corpus, [])
+        own = windows.select(key, "at", "window")
+        # one plan over one corpus has one content: it is not read again for its hash
+        content = next((c for df, c in held if df.sameSemantics(own)), None)
+        if content is None:
+            content = content_key(own, key)
+            held.append((own, content))
         self.used.setdefault(corpus, set()).add(content)
         return content
 

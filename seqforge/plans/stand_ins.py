@@ -6,8 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequences import normalize
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,7 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def seqs(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id", F.col("quality").alias("essential"))
-    seq = F.regexp_replace(normalize(F.col("text")), "[^ACGTN]", "")
+    # what normalising gives of these letters: white space is none of them, and U is read as T where little is left
+    seq = F.replace(F.regexp_replace(F.upper("text"), "[^ACGTUN]+", ""), F.lit("U"), F.lit("T"))
     own = docs.select("doc_id", seq.alias("seq"), F.concat("lang", F.lit("/"), "source").alias("genome"), F.col("lang").alias("genus"))
     return own.join(labels, "doc_id", "left").withColumn("split", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train"))
 

@@ -118,7 +118,7 @@ class GeneTask(_Probed):
         return gene_windows(F.col("seq"), model.max_context)
 
     def measure(self, rows):
-        out = probes.probe_all(rows, "essential", F.col("split") == "train", tol=1e-8)
+        out = probes.probe_all(rows.select("layer_id", "vec", "genome", "essential", "split"), "essential", F.col("split") == "train", tol=1e-8)
         by = ("layer_id",)
         report = _of_layers(metrics.macro(metrics.group_report(out, ["layer_id", "genome"], "essential", "prob"), ["auroc", "auprc"], by))
         pooled = _of_layers(metrics.confusion(out, "essential", "prob", by=by))
@@ -159,7 +159,7 @@ class EnzymeTask(_Probed):
         return enzyme_windows(F.col("sequence"), model.max_context, self.policy)
 
     def measure(self, rows):
-        out = probes.probe_all(rows, "label", F.col("split") == "train", scale=self.scale, multiclass=True, tol=1e-8)
+        out = probes.probe_all(rows.select("layer_id", "vec", "label", "split"), "label", F.col("split") == "train", scale=self.scale, multiclass=True, tol=1e-8)
         found = _of_layers(metrics.macro_f1(out, "label", "predicted", ("layer_id",)))
         out.unpersist()
         if not found:

@@ -8,10 +8,10 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from seqforge.functions.sequences import affected_tokens
+from seqforge.functions.sequences import affected_tokens, normalize
 from seqforge.models import EchoModel, KmerModel, SequenceModel, Unsupported
 from seqforge.operators import control, reuse, vectors
-from seqforge.plans import tasks
+from seqforge.plans import stand_ins, tasks
 from seqforge.plans.catalogue import CountedModel
 from seqforge.sources.shared import complete
 
@@ -129,6 +129,35 @@ def test_a_pass_is_known_by_its_windows_not_by_its_name(spark, items):
     assert whole != short and whole == again and model.embedded.value == 40 and len(held.passes) == 2
 
 
+def test_one_plan_of_a_corpus_is_hashed_once(spark, items, monkeypatch):
+    hashed = []
+    monkeypatch.setattr(reuse, "content_key", lambda w, key, of=reuse.content_key: hashed.append(of(w, key)) or hashed[-1])
+    held = reuse.Reuse({"c": reuse.Demand(vectors=3)})
+    for width in (None, 3, None, 3):
+        held.vectors("c", Counted(spark), windows(items, width), items, "item")
+    assert len(hashed) == len(set(hashed)) == 2
+    held.vectors("c", Counted(spark), windows(items, 3).where("item < 99"), items, "item")  # another plan of the same rows
+    assert len(hashed) == 3 and hashed[1] == hashed[2] and len(held.passes) == 2
+
+
+def test_a_probe_holds_no_sequences(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(tasks.probes, "probe_all", lambda rows, *a, of=tasks.probes.probe_all, **k: seen.append(rows.columns) or of(rows, *a, **k))
+    rows = [(i, ("ACAAC" if i % 2 else "TGTTG") * 4, f"g{i % 3}", i % 2, "test" if i % 4 > 1 else "train") for i in range(48)]
+    genes = spark.createDataFrame(rows, "doc_id int, seq string, genome string, essential int, split string")
+    control.run_tasks(KmerModel(1), [tasks.GeneTask("genes", lambda s: genes)], spark)
+    assert seen and not {"seq", "sequence", "window"} & set(seen[0])
+
+
+def test_letters_of_documents(spark, tmp_path):
+    """The stand-ins' sequences are the normalised text's letters."""
+    texts = [" acgu\tn", "U", None, "", "\u00a0a\u2003 xyz TTU\n", "straße ÅçĠ ŉ N", "u" * 5000 + " " * 3000 + "Nn"]
+    spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", F.regexp_replace(normalize(F.col("text")), "[^ACGTN]", ""))
+    assert sorted(map(tuple, stand_ins.seqs(spark, str(tmp_path)).select("doc_id", "seq").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_a_wider_reader_promotes(spark, items):
     model = Counted(spark)
     held = reuse.Reuse({"c": reuse.Demand(vectors=2)})
