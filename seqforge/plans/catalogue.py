@@ -135,7 +135,9 @@ class HalvingModel(MixedModel):
     name, n_layers, multiple = "halving", 3, 16
 
     def run_padded(self, seqs, padded):
-        x = np.array([[ord(s[i]) if i < len(s) else 0 for i in range(padded)] for s in seqs], float)
+        codes, ends = code_points(seqs)
+        x, sizes = np.zeros((len(seqs), padded)), np.diff(ends, prepend=0)
+        x[np.arange(padded) < sizes[:, None]] = codes  # row by row
         return [x.reshape(len(seqs), -1, f).sum(axis=2, keepdims=True) for f in (1, 2, 8)]
 
 
@@ -441,8 +443,8 @@ for _h, _q in (("mean", "avg(x)"), ("max", "max(x)"), ("last", "arg_max(x, item)
 def mixed_resolution_pool(spark, d):
     """The network's layers of 1, 2 and 8 letters a place, pooled each over its own real places."""
     s = L.seqs(spark, d).where("seq <> ''")
-    by = [HalvingModel().embeddings(s, "doc_id", "seq", "all", how).select("doc_id", "layer_id", F.col("vec")[0].alias(n)) for how, n in (("mean", "mean"), ("max", "most"), ("last", "last"))]
-    return by[0].join(by[1], ["doc_id", "layer_id"]).join(by[2], ["doc_id", "layer_id"]).withColumn("mean", F.round("mean", 6))
+    p = HalvingModel().pooled(s, "doc_id", "seq", "all")
+    return p.select("doc_id", "layer_id", F.round(F.col("mean")[0], 6).alias("mean"), F.col("max")[0].alias("most"), F.col("last")[0].alias("last"))
 
 
 @query(f"""WITH e AS (SELECT vec_id, vec_id % 64 + 1 AS n, f, embedding FROM embeddings, (SELECT unnest([1, 2, 8]) AS f)),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import sequences as S
-from .models import BASES, SequenceModel, Unsupported, padded_lengths
+from .models import BASES, SequenceModel, Unsupported, padded_lengths, runs
 
 POOLS = ("mean", "max", "last", "bos", "none")
 
@@ -155,20 +155,46 @@ class MixedModel(SequenceModel):
         return min(max(math.ceil(n / (padded // states)), 1), states)
 
     def embed(self, seqs, layers="last", pool="mean"):
-        out: list = [None] * len(seqs)
+        return self.embed_pools(seqs, layers, (pool,))[0]
+
+    def embed_pools(self, seqs: list[str], layers: str, pools: tuple[str, ...]) -> np.ndarray:
+        """pools x items x layers x width of one run of the network."""
+        out: list = [[None] * len(seqs) for _ in pools]
+        of = {"mean": lambda v: v.mean(axis=0), "max": lambda v: v.max(axis=0), "last": lambda v: v[-1]}
         for padded, own in self._by_length(seqs):
             chosen = self._chosen(self.run_padded([seqs[i] for i in own], padded), layers)
             for row, i in enumerate(own):
                 real = [x[row] if self.include_special else x[row, : self.places(len(seqs[i]), padded, x.shape[1])] for x in chosen]
-                out[i] = [{"mean": lambda v: v.mean(axis=0), "max": lambda v: v.max(axis=0), "last": lambda v: v[-1]}[pool](v) for v in real]
+                for made, pool in zip(out, pools):
+                    made[i] = [of[pool](v) for v in real]
         return np.array(out, np.float64)
 
+    def pooled(self, df: DataFrame, key: str, seq: str, layers: str = "last", pools: tuple[str, ...] = ("mean", "max", "last")) -> DataFrame:
+        """key, layer_id and a vector named by each pooling, of one run of the network."""
+        self.require("embed")
+        if absent := [p for p in pools if p not in self.pools]:
+            raise Unsupported(f"{self.name} does not pool by {', '.join(absent)}; it does by {', '.join(self.pools)}")
+        first = 0 if layers == "all" else (self.n_layers or 1) - 1
+
+        def run(batches):
+            for b in runs(batches, 1, self.run_bytes):
+                x = self.embed_pools([s or "" for s in b[1].to_pylist()], layers, pools)
+                if np.isnan(x).any():
+                    raise ValueError(f"{self.name}: embeddings must hold no NaN")
+                _, n, m, w = x.shape
+                ends = pa.array(np.arange(n * m + 1, dtype=np.int32) * w)
+                vecs = [pa.ListArray.from_arrays(ends, pa.array(own.ravel())) for own in x]
+                yield pa.RecordBatch.from_arrays([b[0].take(pa.array(np.repeat(np.arange(n), m))), pa.array((np.tile(np.arange(m), n) + first).astype(np.int32)), *vecs], names=["key", "layer_id", *pools])
+
+        kinds = ", ".join(f"`{p}` array<double>" for p in pools)
+        return df.select(key, seq).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, layer_id int, {kinds}").withColumnRenamed("key", key)
+
     def token_vectors(self, df: DataFrame, key: str, seq: str, layers: str = "last") -> DataFrame:
         """key, layer_id, token, start, end, vec: every real place, f letters wide; layers of several lengths raise."""
         kind = df.schema[key].dataType.simpleString()
 
         def run(batches):
-            for b in batches:
+            for b in runs(batches, 1, self.run_bytes):
                 seqs, rows = [s or "" for s in b[1].to_pylist()], []
                 for padded, own in self._by_length(seqs):
                     chosen = self._chosen(self.run_padded([seqs[i] for i in own], padded), layers)

@@ -145,6 +145,26 @@ def test_mixed_resolutions(spark):
         model.token_vectors(df, "id", "s", "all").collect()
 
 
+def test_all_poolings_of_one_run(spark):
+    """The network runs once for all poolings, on bounded parts of a batch, and each is what a run of its own gives."""
+    calls = spark.sparkContext.accumulator(0)
+
+    class Watched(HalvingModel):
+        run_bytes = 100
+
+        def run_padded(self, seqs, padded):
+            calls.add(len(seqs) if len(seqs) == 1 or sum(map(len, seqs)) <= self.run_bytes else 10**6)
+            return super().run_padded(seqs, padded)
+
+    df = spark.createDataFrame([(i, None if i == 3 else "ACGTN" * (i % 7) + "G" * (i // 5)) for i in range(60)], "id int, s string").coalesce(1)
+    got = {(r.id, r.layer_id): (r["mean"], r["max"], r["last"]) for r in Watched().pooled(df, "id", "s", "all").collect()}
+    assert calls.value == 60 and len(got) == 180
+    for i, how in enumerate(("mean", "max", "last")):
+        assert {(r.id, r.layer_id): r.vec for r in HalvingModel().embeddings(df, "id", "s", "all", how).collect()} == {k: v[i] for k, v in got.items()}
+    with pytest.raises(Unsupported):
+        HalvingModel().pooled(df, "id", "s", pools=("mean", "bos"))
+
+
 def test_batches_of_one_padded_length(spark):
     rng = np.random.default_rng(2)
     lengths = rng.integers(0, 70, 300).tolist()
