@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import features
 from ..functions import sequences as S
 from ..models import BASES, EchoModel, KmerModel, SequenceModel, batched, code_points
-from ..tokens import KmerTokenModel, MixedModel, TokenModel, Tokens, spans_of
+from ..tokens import KmerTokenModel, MixedModel, TokenModel, Tokens
 from ..operators import control, metrics, probes, results, tensors, vectors
 from ..sources import tables
 from . import stand_ins as L
@@ -116,16 +116,20 @@ class WordModel(TokenModel):
     name, n_layers = "word", 1
 
     def run_tokens(self, seqs, layers):
-        out = []
-        for s in seqs:
-            pieces, at = [], 0
-            while at < len(s):
-                pieces.append(s[at : at + len(pieces) % 3 + 1])
-                at += len(pieces[-1])
-            pieces = ["<s>", *pieces, "</s>"]
-            special = np.array([True, *[False] * (len(pieces) - 2), True])
-            states = np.array([[[float(sum(map(ord, p))), 100.0 if k else float(len(p))]] for p, k in zip(pieces, special)])
-            out.append(Tokens(states, special, spans_of(pieces, special)))
+        codes, ends = code_points(seqs)
+        out, begin, outer = [], 0, [float(sum(map(ord, p))) for p in ("<s>", "</s>")]
+        for end in ends.tolist():
+            own, begin = codes[begin:end], end
+            j = np.arange(len(own) // 6 * 3 + 3)
+            start = 6 * (j // 3) + np.array([0, 1, 3])[j % 3]
+            start = start[start < len(own)]
+            n = len(start)
+            special, spans, states = np.ones(n + 2, bool), np.zeros((n + 2, 2), np.int64), np.full((n + 2, 1, 2), 100.0)
+            special[1:-1], states[[0, -1], 0, 0] = False, outer
+            if n:
+                spans[1:-1, 0], spans[1:-1, 1] = start, np.append(start[1:], len(own))
+                states[1:-1, 0, 0], states[1:-1, 0, 1] = np.add.reduceat(own, start, dtype=np.int64), spans[1:-1, 1] - start
+            out.append(Tokens(states, special, spans))
         return out
 
 

@@ -14,6 +14,8 @@ from .functions import sequences as S
 from .models import BASES, SequenceModel, Unsupported, padded_lengths, runs
 
 POOLS = ("mean", "max", "last", "bos", "none")
+#: Numbers of states that a batch of token vectors holds, a sequence's own being together.
+STATES = 1 << 20
 
 
 @dataclass
@@ -58,17 +60,32 @@ class TokenModel(SequenceModel):
         """key, layer_id, token, start, end, vec: pooling "none", of the real tokens with the letters that they cover."""
         kind = df.schema[key].dataType.simpleString()
 
+        first = 0 if layers == "all" else (self.n_layers or 1) - 1
+
+        def made(b, parts):
+            n, m = np.array([len(x) for _, x, _ in parts]), parts[0][1].shape[1]
+            states, spans = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+            token = np.arange(len(states)) - np.repeat(np.cumsum(n) - n, n)
+            columns = [np.tile(np.arange(m) + first, len(states)), *(np.repeat(c, m) for c in (token, spans[:, 0], spans[:, 1]))]
+            ends = np.arange(len(states) * m + 1, dtype=np.int32) * states.shape[2]
+            vec = pa.ListArray.from_arrays(pa.array(ends), pa.array(states.astype(np.float64).ravel()))
+            rows = pa.array(np.repeat([k for k, *_ in parts], n * m))
+            return pa.RecordBatch.from_arrays([b[0].take(rows), *(pa.array(c.astype(np.int32)) for c in columns), vec], names=["key", "layer_id", "token", "start", "end", "vec"])
+
         def run(batches):
-            for b in batches:
+            for b in runs(batches, 1, self.run_bytes):
+                parts, held = [], 0
                 for k, t in enumerate(self.run_tokens([s or "" for s in b[1].to_pylist()], layers)):
-                    real = np.flatnonzero(~t.special)
-                    n, m = len(real), t.states.shape[1]
-                    if not n:
+                    real = ~t.special
+                    if not real.any():
                         continue
-                    first = 0 if layers == "all" else (self.n_layers or 1) - 1
-                    columns = [np.tile(np.arange(m) + first, n).astype(np.int32), np.repeat(np.arange(n), m).astype(np.int32), *(np.repeat(t.spans[real, i], m).astype(np.int32) for i in (0, 1))]
-                    vec = t.states[real].reshape(n * m, -1).astype(np.float64)
-                    yield pa.RecordBatch.from_arrays([b[0].take(pa.array([k] * (n * m))), *map(pa.array, columns), pa.array(list(vec), pa.list_(pa.float64()))], names=["key", "layer_id", "token", "start", "end", "vec"])
+                    parts.append((k, t.states[real], t.spans[real]))
+                    held += parts[-1][1].size
+                    if held >= STATES:
+                        yield made(b, parts)
+                        parts, held = [], 0
+                if parts:
+                    yield made(b, parts)
 
         return df.select(key, seq).mapInArrow(run, f"key {kind}, layer_id int, token int, start int, end int, vec array<double>").withColumnRenamed("key", key)
 

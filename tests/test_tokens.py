@@ -3,6 +3,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -165,6 +166,36 @@ def test_all_poolings_of_one_run(spark):
         HalvingModel().pooled(df, "id", "s", pools=("mean", "bos"))
 
 
+def test_token_vectors_in_few_batches(spark, monkeypatch):
+    """Tokens of many sequences share a batch, and no batch holds more than a bound but for one sequence's own."""
+    made = []
+    df = spark.createDataFrame([(i, None if i == 3 else "ACGTN" * (i % 7)) for i in range(60)], "id int, s string").coalesce(1)
+    batch = [pa.RecordBatch.from_pydict({"id": [r.id for r in df.collect()], "s": [r.s for r in df.collect()]})]
+
+    class Direct:
+        schema = df.schema
+        select = lambda self, *c: self
+        withColumnRenamed = lambda self, *c: made
+
+        def mapInArrow(self, run, schema):
+            made[:] = list(run(batch))
+            return self
+
+    WordModel().token_vectors(Direct(), "id", "s")
+    assert len(made) == 1
+    whole = made[0].to_pylist()
+    monkeypatch.setattr(tokens, "STATES", 100)
+    WordModel().token_vectors(Direct(), "id", "s")
+    assert len(made) > 5 and max(b.num_rows for b in made) < 100 and [r for b in made for r in b.to_pylist()] == whole
+    text = {r["id"]: r["s"] or "" for r in batch[0].to_pylist()}
+    pieces = {}
+    for r in whole:
+        assert r["vec"] == [float(sum(map(ord, text[r["key"]][r["start"] : r["end"]]))), r["end"] - r["start"]]
+        assert r["token"] == len(pieces.setdefault(r["key"], [])) and r["layer_id"] == 0
+        pieces[r["key"]].append(text[r["key"]][r["start"] : r["end"]])
+    assert all("".join(pieces.get(i, [])) == s and all(len(p) == k % 3 + 1 for k, p in enumerate(pieces.get(i, [])[:-1])) for i, s in text.items())
+
+
 def test_batches_of_one_padded_length(spark):
     rng = np.random.default_rng(2)
     lengths = rng.integers(0, 70, 300).tolist()
