@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import features
 from .operators.vectors import SPARSE, sparse_array
+from .sources.shared import written
 
 BASES = "ACGT"
 CAPABILITIES = ("tokenize", "score", "per_token", "variant_llr", "embed")
@@ -29,6 +30,13 @@ def code_points(seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.cumsum([len(s) for s in seqs], dtype=np.int64)
 
 
+def exploded(df: DataFrame, key: str) -> DataFrame:
+    """key, ref (the reference's hash), reference, m: a row a mutation. The outer form is made without a filter on the
+    array's size, which the optimiser would parse every mutant for again."""
+    each = df.select(key, "reference", F.explode_outer("mutations").alias("m")).where("m IS NOT NULL")
+    return each.select(key, F.sha2("reference", 256).alias("ref"), "reference", "m")
+
+
 def runs(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The rows in order, in slices whose strings of a column have so many bytes together; a longer one is alone."""
     for b in batches:
@@ -168,7 +176,7 @@ class SequenceModel(ABC):
         distinct (reference, place) once, then its logits are joined back. To 12 places, so that equal sums tie
         whatever their order."""
         self.require("variant_llr")
-        sites = df.select(key, F.sha2("reference", 256).alias("ref"), "reference", F.explode("mutations").alias("m")).select(key, "ref", "reference", "m.pos0", "m.wt", "m.mut")
+        sites = exploded(df, key).select(key, "ref", "reference", "m.pos0", "m.wt", "m.mut")
 
         def run(batches):
             for b in batches:
@@ -176,8 +184,9 @@ class SequenceModel(ABC):
                 yield pa.RecordBatch.from_arrays([b["ref"], b["pos0"], pa.array(own, pa.list_(pa.float64()))], names=["ref", "pos0", "logits"])
 
         # a site is known by its reference's hash: whole references travel once a reference and place, to the model
-        each = sites.groupBy("ref", "pos0").agg(F.first("reference").alias("reference"))
-        scored = each.mapInArrow(run, "ref string, pos0 int, logits array<double>")
+        each = sites.select("ref", "pos0", "reference").distinct()
+        # written once, so that the join knows its size: few sites are sent to all tasks, many are dealt by site
+        scored = written(each.mapInArrow(run, "ref string, pos0 int, logits array<double>"), "sites")
         joined = sites.drop("reference").join(scored, ["ref", "pos0"]).withColumn("wt_logit", F.expr(f"element_at(logits, instr('{BASES}', wt))")).withColumn("mut_logit", F.expr(f"element_at(logits, instr('{BASES}', mut))"))
         return joined.groupBy(key).agg(F.round(F.sum(F.col("mut_logit") - F.col("wt_logit")), 12).alias("llr"))
 

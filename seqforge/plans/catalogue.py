@@ -14,6 +14,7 @@ from ..models import BASES, EchoModel, KmerModel, SequenceModel, batched, code_p
 from ..tokens import KmerTokenModel, MixedModel, TokenModel, Tokens
 from ..operators import control, metrics, probes, results, tensors, vectors
 from ..sources import tables
+from ..sources.shared import written
 from . import stand_ins as L
 from . import tasks
 
@@ -363,9 +364,10 @@ def echo_llr(spark, d):
 def llr_dedup_join(spark, d):
     v = L.variants(spark, d).where(S.scoreable(F.col("mutant"))).withColumn("mutations", S.parse_mutant(F.col("mutant"))).withColumn("reference", F.col("sequence")).withColumn("_id", F.struct("dms_id", "variant_idx"))
     llr = CodeModel().variant_llrs(v, "_id").groupBy("_id.dms_id").agg(F.round(F.sum("llr"), 6).alias("llr"))
-    sites = v.select("dms_id", "reference", F.explode("mutations.pos0").alias("pos0"))
+    # counted once for both numbers: a row an assay, reference and place
+    sites = written(v.select("dms_id", "reference", F.explode_outer("mutations.pos0").alias("pos0")).where("pos0 IS NOT NULL").groupBy("dms_id", "reference", "pos0").count(), "site-counts")
     n = sites.select("reference", "pos0").distinct().agg(F.count(F.lit(1)).alias("n_scored"))
-    return llr.join(sites.groupBy("dms_id").agg(F.count(F.lit(1)).alias("n_sites")), "dms_id").crossJoin(n)
+    return llr.join(sites.groupBy("dms_id").agg(F.sum("count").alias("n_sites")), "dms_id").crossJoin(n)
 
 
 def _pool(how, sql):

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import sequences as S
-from .models import BASES, SequenceModel, Unsupported, padded_lengths, runs
+from .models import BASES, SequenceModel, Unsupported, exploded, padded_lengths, runs
+from .sources.shared import written
 
 POOLS = ("mean", "max", "last", "bos", "none")
 #: Numbers of states that a batch of token vectors holds, a sequence's own being together.
@@ -119,10 +120,10 @@ class KmerTokenModel(SequenceModel):
         one multiset should tie whatever their order."""
         self.require("variant_llr")
         n, k, shift = F.length("reference"), self.k, self.shift
-        sites = df.select(key, F.sha2("reference", 256).alias("ref"), "reference", F.explode("mutations").alias("m")).select(key, "ref", "reference", "m.pos0", F.substring("reference", F.col("m.pos0") + 1, F.lit(1)).alias("wt"), "m.mut")
+        sites = exploded(df, key).select(key, "ref", "reference", "m.pos0", F.substring("reference", F.col("m.pos0") + 1, F.lit(1)).alias("wt"), "m.mut")
         tokens = S.affected_tokens(F.col("pos0"), n, k, shift)
         none = F.raise_error(F.concat(F.lit("no token covers place "), F.col("pos0").cast("string"), F.lit(" of a reference of "), n.cast("string"), F.lit(" letters")))
-        sets = sites.groupBy("ref", "pos0").agg(F.first("reference").alias("reference"))
+        sets = sites.select("ref", "pos0", "reference").distinct()
         sets = sets.withColumn("tokens", tokens).withColumn("tokens", F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(none))
 
         def run(batches):
@@ -136,7 +137,7 @@ class KmerTokenModel(SequenceModel):
                     out.append([[None if x is None else float(v) for x, v in zip(row, got)] for row, got in zip(numbers, logits)])
                 yield pa.RecordBatch.from_arrays([b["ref"], b["pos0"], pa.array(out, pa.list_(pa.list_(pa.float64())))], names=["ref", "pos0", "logits"])
 
-        scored = sets.mapInArrow(run, "ref string, pos0 int, logits array<array<double>>")
+        scored = written(sets.mapInArrow(run, "ref string, pos0 int, logits array<array<double>>"), "sets")
         at = lambda base: f"get(x, instr('{BASES}', {base}) - 1)"
         gains = F.expr(f"transform(logits, x -> {at('mut')} - {at('wt')})")
         known = sites.drop("reference").join(scored, ["ref", "pos0"]).withColumn("gains", gains)

@@ -141,3 +141,19 @@ def test_model_labels(spark):
     df = spark.createDataFrame(rows, "model string, name string")
     got = df.select(results.model_label(F.lit("kmer"), F.lit("1"), F.col("model"), F.col("name")).alias("l")).collect()
     assert [r.l for r in got] == ["A \u00b7 kmer@1 (0123456789)", "kmer@1 (0123456789)", "kmer@1 (45:6789abc)", "B \u00b7 kmer@1 (abc)", None]
+
+
+def test_mutants_are_parsed_once_and_sites_meet_by_hash(spark):
+    """No filter on the parsed array's size beside the parse, no sort of all sites, and rows without mutations give none."""
+    from seqforge.functions import sequences as S
+    from seqforge.models import exploded
+
+    rows = [(i, m, "ACGTACGT") for i, m in enumerate(["A1C", "A1C:C2G", "C2G", None, "A1C"])]
+    df = spark.createDataFrame(rows, "k int, mutant string, reference string").withColumn("mutations", S.parse_mutant(F.col("mutant")))
+    plan = exploded(df, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan and plan.count("regexp_extract_all") == 1
+    llrs = EchoModel().variant_llrs(df, "k")
+    assert "Sort" not in llrs._jdf.queryExecution().executedPlan().toString().replace("SortOrder", "")
+    got = {r.k: r.llr for r in llrs.collect()}
+    assert set(got) == {0, 1, 2, 4} and got[0] == got[4] and got[1] == round(got[0] + got[2], 12)
+    assert EchoModel().variant_llrs(df.where("mutant IS NULL"), "k").count() == 0
