@@ -290,8 +290,9 @@ def keyed(images: DataFrame, keypoints: int = KEYPOINTS) -> DataFrame:
 
 def _parts(points: np.ndarray) -> list[np.ndarray]:
     """The PART bits of each descriptor in each of the Hamming tables, as numbers."""
-    pieces = np.unpackbits(points["bits"], axis=1)[:, : BITS // PART * PART].reshape(len(points), -1, PART)
-    return [x @ (1 << np.arange(PART, dtype=np.int64)) for x in pieces.transpose(1, 0, 2)]
+    width = PART // 8
+    pieces = points["bits"][:, : BITS // PART * width].reshape(len(points), BITS // PART, width).astype(np.int64)
+    return list(np.ascontiguousarray(sum(pieces[..., k] << 8 * k for k in range(width)).T))
 
 
 def _keys(points: np.ndarray) -> list[int]:
@@ -299,6 +300,16 @@ def _keys(points: np.ndarray) -> list[int]:
     return np.unique([x | t << PART for t, x in enumerate(_parts(points))]).tolist() if len(points) else []
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 on in ascending order, and their places; packed with the place where both fit, as numbers sort faster than places."""
+    shift = len(keys).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + shift > 63:
+        order = np.argsort(keys)
+        return keys[order], order
+    packed = np.sort(keys << shift | np.arange(len(keys)))
+    return packed >> shift, packed & ((1 << shift) - 1)
+
+
 class _Alike:
     """Pairs of images with two near pairs of keypoints, apart in both, that turn alike and as the line between
     them does; from near pairs as they come."""
@@ -322,14 +333,15 @@ class _Alike:
         self.held = []
         over = np.flatnonzero(turn < APART)  # a circle's end meets its beginning
         keys = np.concatenate((pair * 512 + turn, pair[over] * 512 + turn[over] + 256))
-        order = np.argsort(keys)
-        keys = keys[order]
-        of = np.concatenate((np.arange(len(pair), dtype=np.int32), over.astype(np.int32)))[order]
-        del order
-        at = np.arange(len(keys))
+        keys, of = _sorted(keys)
+        late = of >= len(pair)
+        of[late] = over[of[late] - len(pair)]
         for gap in range(1, len(keys)):  # until no image pair that is not taken has turns left within reach
-            at = at[: np.searchsorted(at, len(keys) - gap)]
-            at = at[(keys[at + gap] >> 9 == keys[at] >> 9) & (keys[at + gap] - keys[at] <= APART)]
+            if gap == 1:  # keys of two image pairs are more than APART apart
+                at = np.flatnonzero(keys[1:] - keys[:-1] <= APART)
+            else:
+                at = at[: np.searchsorted(at, len(keys) - gap)]
+                at = at[keys[at + gap] - keys[at] <= APART]
             at = at[~self.taken.ravel()[keys[at] >> 9]]
             if not len(at):
                 break
@@ -348,9 +360,9 @@ class _Alike:
         return np.divmod(np.unique(np.concatenate(self.chosen)), len(self.taken))
 
 
-def _met(keys: np.ndarray, side: np.ndarray | None, at_once: int = 1 << 19):
-    """Numbers of all two rows of one key, of sides 0 and 1 if there are sides, about ``at_once`` of them at a time."""
-    order = np.argsort((keys if side is None else keys * 2 + side).astype(np.int32))
+def _met(keys: np.ndarray, order: np.ndarray, side: np.ndarray | None, at_once: int = 1 << 17):
+    """Places in ``order`` (by key, then side) of all two rows of one key, of sides 0 and 1 if there are sides, about
+    ``at_once`` of them at a time."""
     keys, n = keys[order], len(order)
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     size = np.diff(np.append(first, n))
@@ -368,7 +380,7 @@ def _met(keys: np.ndarray, side: np.ndarray | None, at_once: int = 1 << 19):
         hi = max(lo + 1, int(np.searchsorted(till, (till[lo - 1] if lo else 0) + at_once)))
         own = count[lo:hi]
         start = np.repeat(low[lo:hi] - (np.cumsum(own) - own), own)
-        yield order[np.repeat(left[lo:hi], own)], order[start + np.arange(len(start))]
+        yield np.repeat(left[lo:hi], own), start + np.arange(len(start))
         lo = hi
 
 
@@ -383,12 +395,16 @@ def _tried(points: list[np.ndarray], part: np.ndarray | None) -> tuple[np.ndarra
     parts = _parts(every)
     side = (part != part.min()).astype(np.int64)[own] if part is not None else None
     for t, keys in enumerate(parts):
-        for i, j in _met(keys, side):
-            far = np.bitwise_count(words[0][i] ^ words[0][j]).astype(np.uint16)
-            for w in words[1:]:
+        order = _sorted(keys if side is None else keys * 2 + side)[1]
+        here = [w[order] for w in words]  # rows that meet lie together
+        for i, j in _met(keys, order, side):
+            far = np.bitwise_count(here[0][i] ^ here[0][j]).astype(np.uint16)
+            for w in here[1:]:
                 far += np.bitwise_count(w[i] ^ w[j])
-            near = (far <= FAR) & (own[i] != own[j])
-            i, j = i[near], j[near]
+            near = np.flatnonzero(far <= FAR)
+            i, j = order[i[near]], order[j[near]]
+            other = own[i] != own[j]
+            i, j = i[other], j[other]
             for earlier in parts[:t]:
                 once = earlier[i] != earlier[j]
                 i, j = i[once], j[once]
@@ -397,52 +413,77 @@ def _tried(points: list[np.ndarray], part: np.ndarray | None) -> tuple[np.ndarra
     return found.pairs()
 
 
-def _linked(points: list[np.ndarray], i: np.ndarray, j: np.ndarray, inliers: int, most: int = 32, chunk: int = 1024) -> np.ndarray:
-    """linked_by of images i and j; pairs of up to ``most`` keypoints each in batches."""
+def _linked(points: list[np.ndarray], i: np.ndarray, j: np.ndarray, inliers: int, most: int = 256, cells: int = 1 << 19) -> np.ndarray:
+    """linked_by of images i and j; pairs of up to ``most`` keypoints each in batches of about ``cells`` comparisons."""
     count = np.array([len(p) for p in points])
-    small = np.maximum(count[i], count[j]) <= most
-    out = np.zeros(len(i), bool)
-    for k in np.flatnonzero(~small).tolist():
+    larger, out = np.maximum(count[i], count[j]), np.zeros(len(i), bool)
+    for k in np.flatnonzero(larger > most).tolist():
         out[k] = linked_by(points[i[k]], points[j[k]], inliers)
-    width = int(count[count <= most].max(initial=0))
-    bits, place, turn = np.zeros((len(points), width, BITS // 64), "<u8"), np.zeros((len(points), width), np.complex64), np.zeros((len(points), width), np.uint8)
-    for k in np.unique((i, j)).tolist():
-        if 0 < len(p := points[k]) <= width:
-            bits[k, : len(p)], place[k, : len(p)], turn[k, : len(p)] = np.ascontiguousarray(p["bits"]).view("<u8"), p["x"] + 1j * p["y"], p["turn"]
-    rank, small = np.arange(width), np.flatnonzero(small & (np.minimum(count[i], count[j]) >= inliers))
-    for lo in range(0, len(small), chunk):
-        own = small[lo : lo + chunk]
-        x, y = i[own], j[own]
+    every = np.frombuffer(b"".join(points), KEYPOINT)
+    first = np.cumsum(count) - count
+    words, place, turn = np.ascontiguousarray(every["bits"]).view("<u8"), (every["x"] + 1j * every["y"]).astype(np.complex64), every["turn"].copy()
+    fit = np.flatnonzero((larger <= most) & (np.minimum(count[i], count[j]) >= inliers))
+    fit = fit[np.argsort(larger[fit], kind="stable")]
+    lo = 0
+    while lo < len(fit):
+        width = -(-int(larger[fit[lo]]) // 8) * 8
+        own = fit[lo : min(lo + max(1, cells // width**2), int(np.searchsorted(larger[fit], width, side="right")))]
+        lo += len(own)
+        rank, (x, y) = np.arange(width), (i[own], j[own])
+        u, v = (np.minimum(first[k][:, None] + rank, len(every) - 1) for k in (x, y))
+        a, b = words[u], words[v]
         far = np.zeros((len(own), width, width), np.uint16)
         for w in range(BITS // 64):
-            far += np.bitwise_count(bits[x, :, None, w] ^ bits[y, None, :, w])
+            far += np.bitwise_count(a[:, :, None, w] ^ b[:, None, :, w])
         far[(rank >= count[x][:, None])[:, :, None] | (rank >= count[y][:, None])[:, None, :]] = 999
         near, back = far.argmin(2), far.argmin(1)
         keep = (np.take_along_axis(far, near[:, :, None], 2)[..., 0] <= FAR) & (np.take_along_axis(back, near, 1) == rank)
         matches = keep.sum(1)
         for m in np.unique(matches[matches >= inliers]).tolist():
-            for r in (rows := np.flatnonzero(matches == m))[:: (step := max(1, (1 << 20) // m**3))].tolist():
-                part = rows[np.searchsorted(rows, r) :][:step]
-                a = np.argsort(~keep[part], axis=1, kind="stable")[:, :m]
-                u, v, b = x[part][:, None], y[part][:, None], np.take_along_axis(near[part], a, 1)
-                out[own[part]] = _carried_each(place[u, a], place[v, b], _turned(turn[u, a], turn[v, b])) >= _needed(m, inliers)
+            rows, need = np.flatnonzero(matches == m), _needed(m, inliers)
+            at = np.nonzero(keep[rows])[1].reshape(len(rows), m)
+            to = np.take_along_axis(v[rows], near[rows[:, None], at], 1)
+            at = np.take_along_axis(u[rows], at, 1)
+            if len(k := np.flatnonzero(_may_turn(turn[to] - turn[at], need))):
+                out[own[rows[k]]] = _carry(place[at[k]], place[to[k]], _turned(turn[at[k]], turn[to[k]]), need)
     return out
 
 
-def _carried_each(pa_, pb, own) -> np.ndarray:
-    """_carried of each row."""
-    s, t = np.triu_indices(pa_.shape[1], 1)
-    span = pa_[:, s] - pa_[:, t]
-    fine = np.abs(span) > 3
-    turn = (pb[:, s] - pb[:, t]) / np.where(fine, span, 1)
-    fine &= (np.abs(turn) > 0.3) & (np.abs(turn) < 3.3)
-    row, hyp = np.nonzero(fine)
-    turn = turn[row, hyp]
-    shift = pb[row, s[hyp]] - turn * pa_[row, s[hyp]]
-    near = np.abs(turn[:, None] * pa_[row] + shift[:, None] - pb[row]) < 3.0
-    carried = (near & ((turn[:, None] * own[row].conj()).real >= ALIKE * np.abs(turn[:, None]))).sum(1)
-    out = np.zeros(len(pa_), np.int64)
-    np.maximum.at(out, row, carried)
+def _may_turn(turn: np.ndarray, need: int) -> np.ndarray:
+    """Whether ``need`` of each row's turns (256ths of a circle) lie in an arc as wide as those that one transform carries."""
+    some = np.zeros(len(turn), bool)
+    for k in range(turn.shape[1]):
+        some |= (turn - turn[:, k : k + 1] <= 2 * APART + 1).sum(1) >= need
+    return some
+
+
+def _carry(pa_, pb, own, need: int, cells: int = 1 << 17) -> np.ndarray:
+    """Whether _carried of each row is ``need`` or more; rows that have a transform are done, and a transform that
+    fewer matches turn like is not tried."""
+    m = pa_.shape[1]
+    s, t = np.triu_indices(m, 1)
+    order = np.argsort(t - s, kind="stable")
+    s, t, own = s[order], t[order], own.conj()
+    out = np.zeros(len(pa_), bool)
+    for first in range(0, len(pa_), step := max(1, cells // m**2)):
+        left, lo = np.arange(first, min(first + step, len(pa_))), 0
+        while lo < len(s) and len(left):
+            a, b = s[lo : (hi := lo + max(m, cells // (m * len(left))))], t[lo:hi]
+            lo = hi
+            x, y = pa_[left], pb[left]
+            span = x[:, a] - x[:, b]
+            fine = np.abs(span) > 3
+            turn = (y[:, a] - y[:, b]) / np.where(fine, span, 1)
+            size = np.abs(turn)
+            row, hyp = np.nonzero(fine & (size > 0.3) & (size < 3.3))
+            turn, size, row, a = turn[row, hyp], size[row, hyp], left[row], a[hyp]
+            alike = (turn[:, None] * own[row]).real >= ALIKE * size[:, None]
+            k = np.flatnonzero(alike.sum(1) >= need)
+            row, a, turn, alike = row[k], a[k], turn[k], alike[k]
+            shift = pb[row, a] - turn * pa_[row, a]
+            near = np.abs(turn[:, None] * pa_[row] + shift[:, None] - pb[row]) < 3.0
+            out[row[(near & alike).sum(1) >= need]] = True
+            left = left[~out[left]]
     return out
 
 

@@ -458,3 +458,19 @@ def test_recall_of_edited_copies():
         assert linked.mean() > 0.7 and found[linked].mean() >= 0.9, name
     i, j = np.triu_indices(120, 1)
     assert not images._linked(points, i, j, images.INLIERS).any()
+
+
+def test_image_pairs_of_many_keypoints_in_batches(monkeypatch):
+    """Pairs of more than 32 keypoints are matched in batches too, as linked_by matches each."""
+    rng = np.random.default_rng(29)
+    vectors = rng.normal(size=(25, 64))
+    plain = images.scenes(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+    pictures = [images.edited(x, kind) for x in plain for kind in (0, 1, 2, 4)]
+    points = [images.describe(np.ascontiguousarray(x)[None])[0] for x in pictures]
+    i, j = np.triu_indices(len(points), 1)
+    larger = np.maximum(*(np.array([len(p) for p in points])[k] for k in (i, j)))
+    want = [images.linked_by(points[a], points[b]) for a, b in zip(i.tolist(), j.tolist())]
+    calls = []
+    monkeypatch.setattr(images, "linked_by", lambda *_: calls.append(1))
+    assert images._linked(points, i, j, images.INLIERS).tolist() == want
+    assert not calls and (larger > 32).sum() > 1000 and 60 < sum(want) < 300 and np.array(want)[larger > 32].sum() > 30
