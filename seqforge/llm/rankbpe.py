@@ -12,6 +12,9 @@ the piece is; a piece of n bytes takes about n steps, with no rescans. The parts
 of positions. A pair that has changed since it was queued is left in its bucket and skipped when it is taken:
 its bytes are no longer the token of that rank. A bucket gives its leftmost position first.
 
+Pieces of up to SHORT bytes are encoded BLOCK at a time, each with its own queue, all of which push and pop
+together in array operations (RankQueues, merged_each); longer ones, and files without all 256 bytes, go one by one.
+
 Texts of characters below U+0240 are split by array operations that follow the pattern, others by the
 pattern itself. Each distinct piece is encoded once by a worker, which remembers a bounded number of them by
 64-bit hashes. Decoding joins the tokens' bytes, which are the text again.
@@ -33,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, texts, tokenizer_path
-from .textbuf import SpanHasher
+from .textbuf import U64, SpanHasher, mix64
 from .tokenizing import REMEMBER, BatchTokenizer, Cutter, _Table, slices
 
 WORD = 64  # bits of a word of the bitmap
+SHORT, BLOCK = 64, 2048  # bytes of a piece that is encoded with others, and pieces at once
 _BLANK = r"\p{White_Space}"
 
 
@@ -115,6 +119,110 @@ def merged(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]
     return ids
 
 
+class RankQueues:
+    """Queues of ranks, one a row, that push and pop together; a rank that is pushed twice is held once."""
+
+    def __init__(self, ranks: int, rows: int):
+        self.levels: list[np.ndarray] = []
+        while True:
+            ranks = -(-ranks // WORD)
+            self.levels.append(np.zeros((rows, ranks), U64))
+            if ranks <= 1:
+                break
+
+    def push(self, rows: np.ndarray, ranks: np.ndarray) -> None:
+        """A rank for each of the rows, which are distinct."""
+        for words in self.levels:
+            at = ranks >> 6
+            words[rows, at] |= U64(1) << (ranks & 63).astype(U64)
+            ranks = at
+
+    def filled(self, rows: np.ndarray) -> np.ndarray:
+        return rows[self.levels[-1][rows, 0] != 0]
+
+    def least(self, rows: np.ndarray) -> np.ndarray:
+        """The least rank of each of the rows, none of which is empty."""
+        rank = np.zeros(len(rows), np.int64)
+        for words in reversed(self.levels):
+            held = words[rows, rank]
+            rank = rank * WORD + np.bitwise_count(~held & (held - U64(1)))
+        return rank
+
+    def drop(self, rows: np.ndarray, ranks: np.ndarray) -> None:
+        """Takes each of the rows' ranks, which it holds, out of it."""
+        for words in self.levels:
+            at = ranks >> 6
+            words[rows, at] = held = words[rows, at] & ~(U64(1) << (ranks & 63).astype(U64))
+            empty = held == 0
+            rows, ranks = rows[empty], at[empty]
+            if not len(rows):
+                return
+
+
+class Joins:
+    """The rank of the token that two neighbouring tokens join to, for arrays of them: -1 where there is none."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        keys, joined = [], []
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
+                    keys.append(a << 32 | b)
+                    joined.append(rank)
+        self.table = _Table()
+        self.table.add(mix64(np.array(keys, U64)), np.array(joined, np.uint32), np.ones(len(keys), np.int64))
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        at = self.table.find(mix64(left.astype(U64) << U64(32) | right.astype(U64)))
+        return np.where(at < 0, -1, self.table.pool[at >> 32].astype(np.int64))
+
+
+def merged_each(data: np.ndarray, start: np.ndarray, end: np.ndarray, single: np.ndarray, joins: Joins, queues: RankQueues) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of pieces of 2 bytes or more, one after another, and how many each has; as merged gives them for pieces that are
+    no token. ``single``: the rank of each byte. ``queues``: as many rows as pieces at least, empty before and after."""
+    n = end - start
+    rows, width = np.arange(len(n)), int(n.max())
+    place = np.arange(width)
+    part = single[data[np.minimum(start[:, None] + place, len(data) - 1)]]  # the token that begins at a position, -1 for none
+    part[place >= n[:, None]] = -1
+    after = np.repeat(place[None, :] + 1, len(n), 0)  # where the next part begins
+    before = np.repeat(place[None, :] - 1, len(n), 0)
+    pair = np.full((len(n), width), -1)  # the rank of a part and the next one joined
+    for k in range(width - 1):
+        own = rows[n > k + 1]
+        rank = joins.of(part[own, k], part[own, k + 1])
+        own, rank = own[rank >= 0], rank[rank >= 0]
+        pair[own, k] = rank
+        queues.push(own, rank)
+    live = queues.filled(rows)
+    while len(live):
+        rank = queues.least(live)
+        there = pair[live] == rank[:, None]
+        count = there.sum(1)
+        gone = count < 2  # nothing of that rank is left in the row but what is taken now
+        queues.drop(live[gone], rank[gone])
+        own, at, rank = live[count > 0], there.argmax(1)[count > 0], rank[count > 0]
+        middle = after[own, at]
+        stop = after[own, middle]
+        part[own, at], part[own, middle] = rank, -1
+        after[own, at] = stop
+        pair[own, at] = pair[own, middle] = -1
+        for side in ("right", "left"):
+            if side == "right":
+                k = np.flatnonzero(stop < n[own])
+                before[own[k], stop[k]] = at[k]
+                row, left, right = own[k], at[k], stop[k]
+            else:
+                k = np.flatnonzero(at > 0)
+                row, left, right = own[k], before[own[k], at[k]], at[k]
+            found = joins.of(part[row, left], part[row, right])
+            pair[row, left] = found
+            row, found = row[found >= 0], found[found >= 0]
+            queues.push(row, found)
+        live = queues.filled(live)
+    return part[part >= 0], (part >= 0).sum(1)
+
+
 class PatternCutter(Cutter):
     """Byte spans of the pattern's matches, of any texts."""
 
@@ -171,14 +279,27 @@ class RankEncoder(BatchTokenizer):
         for token, rank in self.ranks.items():
             tokens[rank] = token
         self.bytes, self.decimals = _joined(tokens), _joined([b"%d," % i for i in range(top)])
+        self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        if (self.single >= 0).all():
+            self.joins, self.queues = Joins(self.ranks), RankQueues(top, BLOCK)
 
     def _learn(self, data, start, end, keys) -> None:
+        raw, whole = data.tobytes(), self.ranks.get
+        known = np.array([whole(raw[a:b], -1) for a, b in zip(start.tolist(), end.tolist())], np.int64)
+        together = (known < 0) & (end - start <= SHORT) & (self.single >= 0).all()
+        self.table.add(keys[known >= 0], known[known >= 0].astype(np.uint32), np.ones(int((known >= 0).sum()), np.int64))
+        short = np.flatnonzero(together)
+        short = short[np.argsort((end - start)[short], kind="stable")]
+        for own in (short[lo : lo + BLOCK] for lo in range(0, len(short), BLOCK)):
+            ids, lengths = merged_each(data, start[own], end[own], self.single, self.joins, self.queues)
+            self.table.add(keys[own], ids.astype(np.uint32), lengths)
+        single = np.flatnonzero((known < 0) & ~together)
         ids, lengths = [], []
-        for a, b in zip(start.tolist(), end.tolist()):
-            found = merged(data[a:b].tobytes(), self.ranks, self.queue)
+        for a, b in zip(start[single].tolist(), end[single].tolist()):
+            found = merged(raw[a:b], self.ranks, self.queue)
             ids += found
             lengths.append(len(found))
-        self.table.add(keys, np.array(ids, np.uint32), np.array(lengths, np.int64))
+        self.table.add(keys[single], np.array(ids, np.uint32), np.array(lengths, np.int64))
 
 
 def _joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

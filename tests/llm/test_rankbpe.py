@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -108,3 +109,26 @@ def test_files(name):
         assert own.ranks[base64.b64decode(f.readline().split()[0])] == 0
     ids, at = own.ids(pa.array([None, "", "plain words, and more"]))
     assert at.tolist()[:3] == [0, 0, 0] and rankbpe.spelled(ids, own.bytes) == b"plain words, and more"
+
+
+def test_pieces_encoded_together(monkeypatch):
+    """Pieces of up to SHORT bytes do not go through one queue each, and have the ids of merged, whatever the ranks."""
+    rng = random.Random(7)
+    for _ in range(40):
+        ranks = {bytes([c]): i for i, c in enumerate(b"abc")}
+        words = sorted({bytes(rng.choices(b"abc", k=rng.randint(2, 6))) for _ in range(60)}, key=lambda _: rng.random())
+        ranks |= {w: 3 + i for i, w in enumerate(words)} | {bytes([c]): 200 + c for c in range(256) if c not in b"abc"}
+        top = max(ranks.values()) + 1
+        pieces = [p for p in {bytes(rng.choices(b"abcd", weights=(5, 2, 1, 1), k=rng.randint(2, 64))) for _ in range(80)} if p not in ranks]
+        end = np.cumsum([len(p) for p in pieces])
+        single = np.array([ranks[bytes([b])] for b in range(256)])
+        queues = rankbpe.RankQueues(top, len(pieces))
+        ids, lengths = rankbpe.merged_each(np.frombuffer(b"".join(pieces), np.uint8), end - [len(p) for p in pieces], end, single, rankbpe.Joins(ranks), queues)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [rescanned(p, ranks) for p in pieces]
+        assert not any(words.any() for words in queues.levels)
+    own, calls = rankbpe.RankEncoder(PATH), []
+    one = rankbpe.merged
+    monkeypatch.setattr(rankbpe, "merged", lambda piece, *more: calls.append(piece) or one(piece, *more))
+    text = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 60))) for _ in range(3000)) + " " + "xq" * 40
+    ids, _ = own.ids(pa.array([text]))
+    assert ids.tolist() == library.encode_ordinary(text) and calls == [b" " + b"xq" * 40]
