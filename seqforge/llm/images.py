@@ -56,8 +56,13 @@ KEYPOINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("turn", "u1"), ("bits", "u1",
 #: Bits of a key of the Hamming tables, and 256ths of a circle by which two near pairs may turn apart.
 PART, APART = 24, 21
 #: Near pairs that are held before they are looked through, and more of them that must come before the next time.
-HELD, MORE = 1 << 21, 1 << 20
+HELD, MORE = 1 << 19, 1 << 18
+#: Keypoints of the images whose near pairs are looked for at a time, and corners that are tested at a time.
+BLOCK, CORNERS = 1 << 14, 1 << 10
+#: Bytes of keypoints sent to a task of tiles, about.
+SHIPPED = 1 << 24
 _DRAWN = "image_id long, height int, width int, pixels binary"
+_KEYED = "image_id long, digest binary, points binary, keys array<long>"
 
 
 def _blur(x, times=1):
@@ -115,14 +120,15 @@ def describe(stack: np.ndarray, keypoints: int = KEYPOINTS) -> list[np.ndarray]:
     level, image, y, col, k = level[order], image[order], y[order], col[order], k[order]
     for n, (_, x) in enumerate(levels):
         if len(own := np.flatnonzero(level == n)):
-            k["turn"][own], k["bits"][own] = _tested(x, image[own], y[own], col[own])
+            smooth = np.pad(_blur(x, 2), ((0, 0), (2 * RADIUS, 2 * RADIUS), (2 * RADIUS, 2 * RADIUS)), mode="edge")
+            for some in (own[lo : lo + CORNERS] for lo in range(0, len(own), CORNERS)):
+                k["turn"][some], k["bits"][some] = _tested(smooth, image[some], y[some], col[some])
     first = np.searchsorted(image, np.arange(len(stack) + 1))
     return [k[a:b] for a, b in zip(first[:-1], first[1:])]
 
 
-def _tested(x, image, y, col):
-    """Direction of the centroid around each corner of a level, and its binary tests turned by it."""
-    smooth = np.pad(_blur(x, 2), ((0, 0), (2 * RADIUS, 2 * RADIUS), (2 * RADIUS, 2 * RADIUS)), mode="edge")
+def _tested(smooth, image, y, col):
+    """Direction of the centroid around each corner of a smoothed, padded level, and its binary tests turned by it."""
     cy, cx = y + 2 * RADIUS, col + 2 * RADIUS
     patch = smooth[image[:, None, None], cy[:, None, None] + _GRID[..., 1], cx[:, None, None] + _GRID[..., 0]] * _DISC
     angle = np.arctan2((patch * _GRID[..., 1]).sum((1, 2)), (patch * _GRID[..., 0]).sum((1, 2)))
@@ -230,16 +236,11 @@ def _image_columns(pictures: list[np.ndarray | None]):
     return [*sizes, pa.array([None if x is None else np.ascontiguousarray(x).tobytes() for x in pictures], pa.binary())]
 
 
-def drawn(vectors: DataFrame) -> DataFrame:
-    """image_id, height, width, pixels of a table of vec_id and embedding; other lengths than 64 give none.
-
-    A row whose vec_id n is divisible by 20 gives a second picture, -n - 1, an edited copy of the first: of
-    kinds 1 to 5 in turn."""
-
-    def run(batches):
-        for batch in batches:
-            ids, cells = [], []
-            for i, v in zip(batch["vec_id"].to_pylist(), batch["embedding"].to_pylist()):
+def _drawings(batches):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part, ids, cells = batch.slice(lo, 256), [], []
+            for i, v in zip(part["vec_id"].to_pylist(), part["embedding"].to_pylist()):
                 whole = v is not None and len(v) == 64 and None not in v and np.isfinite(v).all()
                 scene = scenes(np.array(v))[0] if whole else None
                 ids.append(i)
@@ -249,7 +250,17 @@ def drawn(vectors: DataFrame) -> DataFrame:
                     cells.append(edited(scene, 1 + i // 20 % 5))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *_image_columns(cells)], names=["image_id", "height", "width", "pixels"])
 
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, _DRAWN)
+
+def _vectors(vectors: DataFrame) -> DataFrame:
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+
+
+def drawn(vectors: DataFrame) -> DataFrame:
+    """image_id, height, width, pixels of a table of vec_id and embedding; other lengths than 64 give none.
+
+    A row whose vec_id n is divisible by 20 gives a second picture, -n - 1, an edited copy of the first: of
+    kinds 1 to 5 in turn."""
+    return _vectors(vectors).mapInArrow(_drawings, _DRAWN)
 
 
 def decoded(files: DataFrame) -> DataFrame:
@@ -265,33 +276,38 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.select(F.col("image_id").cast("long").alias("image_id"), "content").mapInArrow(run, _DRAWN)
 
 
+def _described(batches, keypoints: int):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part, shapes = batch.slice(lo, 256), {}
+            rows, digests = [np.zeros(0, KEYPOINT)] * part.num_rows, [None] * part.num_rows
+            for i, (h, w, p) in enumerate(zip(*(part[c].to_pylist() for c in ("height", "width", "pixels")))):
+                if p and h and w and h * w == len(p):
+                    shapes.setdefault((h, w), []).append((i, p))
+                    digests[i] = hashlib.blake2b(b"%d %d " % (h, w) + p, digest_size=16).digest()
+            for (h, w), every in shapes.items():
+                for own in (every[a : a + max(1, STACK // (h * w))] for a in range(0, len(every), max(1, STACK // (h * w)))):
+                    stack = np.stack([np.frombuffer(p, np.uint8).reshape(h, w) for _, p in own])
+                    for (i, _), k in zip(own, describe(stack, keypoints)):
+                        rows[i] = k
+            keys = [_keys(k) for k in rows]
+            yield pa.RecordBatch.from_arrays([part["image_id"], pa.array(digests, pa.binary()), pa.array([k.tobytes() for k in rows], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["image_id", "digest", "points", "keys"])
+
+
 def keyed(images: DataFrame, keypoints: int = KEYPOINTS) -> DataFrame:
     """image_id, digest of the pixels (null where they are none), points (KEYPOINT records) and keys of the Hamming tables."""
+    return images.select("image_id", "height", "width", "pixels").mapInArrow(lambda batches: _described(batches, keypoints), _KEYED)
 
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part, shapes = batch.slice(lo, 256), {}
-                rows, digests = [np.zeros(0, KEYPOINT)] * part.num_rows, [None] * part.num_rows
-                for i, (h, w, p) in enumerate(zip(*(part[c].to_pylist() for c in ("height", "width", "pixels")))):
-                    if p and h and w and h * w == len(p):
-                        shapes.setdefault((h, w), []).append((i, p))
-                        digests[i] = hashlib.blake2b(b"%d %d " % (h, w) + p, digest_size=16).digest()
-                for (h, w), every in shapes.items():
-                    for own in (every[a : a + max(1, STACK // (h * w))] for a in range(0, len(every), max(1, STACK // (h * w)))):
-                        stack = np.stack([np.frombuffer(p, np.uint8).reshape(h, w) for _, p in own])
-                        for (i, _), k in zip(own, describe(stack, keypoints)):
-                            rows[i] = k
-                keys = [_keys(k) for k in rows]
-                yield pa.RecordBatch.from_arrays([part["image_id"], pa.array(digests, pa.binary()), pa.array([k.tobytes() for k in rows], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["image_id", "digest", "points", "keys"])
-
-    return images.select("image_id", "height", "width", "pixels").mapInArrow(run, "image_id long, digest binary, points binary, keys array<long>")
+
+def drawn_keyed(vectors: DataFrame, keypoints: int = KEYPOINTS) -> DataFrame:
+    """``keyed(drawn(vectors))`` in one Python worker a task instead of two, which would both keep their memory."""
+    return _vectors(vectors).mapInArrow(lambda batches: _described(_drawings(batches), keypoints), _KEYED)
 
 
 def _parts(points: np.ndarray) -> list[np.ndarray]:
     """The PART bits of each descriptor in each of the Hamming tables, as numbers."""
     width = PART // 8
-    pieces = points["bits"][:, : BITS // PART * width].reshape(len(points), BITS // PART, width).astype(np.int64)
+    pieces = points["bits"][:, : BITS // PART * width].reshape(len(points), BITS // PART, width).astype(np.int32)
     return list(np.ascontiguousarray(sum(pieces[..., k] << 8 * k for k in range(width)).T))
 
 
@@ -311,11 +327,11 @@ def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Alike:
-    """Pairs of images with two near pairs of keypoints, apart in both, that turn alike and as the line between
-    them does; from near pairs as they come."""
+    """Pairs of images, one of ``left`` and one of ``right`` numbers, with two near pairs of keypoints, apart in both,
+    that turn alike and as the line between them does; from near pairs as they come."""
 
-    def __init__(self, images: int, place: np.ndarray):
-        self.taken, self.place, self.held, self.size, self.limit = np.zeros((images, images), bool), place, [], 0, HELD
+    def __init__(self, left: int, right: int, place: np.ndarray):
+        self.taken, self.place, self.held, self.size, self.limit = np.zeros((left, right), bool), place, [], 0, HELD
         self.chosen = [np.zeros(0, np.int64)]
 
     def add(self, pair, turn, i, j):
@@ -357,23 +373,13 @@ class _Alike:
 
     def pairs(self):
         self.settle()
-        return np.divmod(np.unique(np.concatenate(self.chosen)), len(self.taken))
-
-
-def _met(keys: np.ndarray, order: np.ndarray, side: np.ndarray | None, at_once: int = 1 << 17):
-    """Places in ``order`` (by key, then side) of all two rows of one key, of sides 0 and 1 if there are sides, about
-    ``at_once`` of them at a time."""
-    keys, n = keys[order], len(order)
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    size = np.diff(np.append(first, n))
-    end = np.repeat(first + size, size)
-    if side is None:
-        left, low = np.arange(n), np.arange(1, n + 1)
-    else:
-        left = np.flatnonzero(side[order] == 0)
-        low = np.repeat(first + np.add.reduceat(side[order] == 0, first, dtype=np.int64), size)[left]
-    count = end[left] - low
-    left, low, count = left[count > 0], low[count > 0], count[count > 0]
+        return np.divmod(np.unique(np.concatenate(self.chosen)), self.taken.shape[1])
+
+
+def _met(low: np.ndarray, high: np.ndarray, at_once: int = 1 << 17):
+    """Numbers n and all numbers from low[n] to high[n], about ``at_once`` of them at a time."""
+    left = np.flatnonzero(high > low)
+    low, count = low[left], (high - low)[left]
     till = np.cumsum(count)
     lo = 0
     while lo < len(count):
@@ -384,33 +390,62 @@ def _met(keys: np.ndarray, order: np.ndarray, side: np.ndarray | None, at_once:
         lo = hi
 
 
-def _tried(points: list[np.ndarray], part: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of images (of different parts of two, if given) to be matched, the lower number first."""
+def _near(points: list[np.ndarray], part: np.ndarray | None):
+    """Pairs of images (of different parts of two, if given) to be matched, the lower number first, in arrays.
+
+    Images of about BLOCK keypoints at a time are compared with all others, in every table, so that what is
+    held of near pairs does not grow with the square of the tile."""
     every = np.frombuffer(b"".join(points), KEYPOINT)
     if not len(every):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    own = np.repeat(np.arange(len(points), dtype=np.int64), [len(p) for p in points])
+        return
+    count = np.array([len(p) for p in points])
+    own, first = np.repeat(np.arange(len(points), dtype=np.int32), count), np.cumsum(count) - count
     words = [np.ascontiguousarray(w) for w in np.ascontiguousarray(every["bits"]).view("<u8").T]
-    found, turn = _Alike(len(points), (every["x"] + 1j * every["y"]).astype(np.complex64)), every["turn"].copy()
-    parts = _parts(every)
-    side = (part != part.min()).astype(np.int64)[own] if part is not None else None
-    for t, keys in enumerate(parts):
-        order = _sorted(keys if side is None else keys * 2 + side)[1]
-        here = [w[order] for w in words]  # rows that meet lie together
-        for i, j in _met(keys, order, side):
-            far = np.bitwise_count(here[0][i] ^ here[0][j]).astype(np.uint16)
-            for w in here[1:]:
-                far += np.bitwise_count(w[i] ^ w[j])
-            near = np.flatnonzero(far <= FAR)
-            i, j = order[i[near]], order[j[near]]
-            other = own[i] != own[j]
-            i, j = i[other], j[other]
-            for earlier in parts[:t]:
-                once = earlier[i] != earlier[j]
-                i, j = i[once], j[once]
-            i, j = np.minimum(i, j).astype(np.int32), np.maximum(i, j).astype(np.int32)
-            found.add(own[i] * len(points) + own[j], turn[j] - turn[i], i, j)
-    return found.pairs()
+    place, turn = (every["x"] + 1j * every["y"]).astype(np.complex64), every["turn"].copy()
+    parts = [np.concatenate(c) for c in zip(*(_parts(every[lo : lo + BLOCK]) for lo in range(0, len(every), BLOCK)))]
+    side = np.ones(len(points), bool) if part is None else part != part.min()
+    mine, other, number = np.flatnonzero(side if part is None else ~side), np.flatnonzero(side), np.cumsum(side) - 1
+    rows, tables = np.flatnonzero(side[own]), []
+    for keys in parts:
+        keys, order = _sorted(keys[rows].astype(np.int64))
+        tables.append((keys.astype(np.int32), rows[order].astype(np.int32)))
+    block = (np.cumsum(count[mine]) - count[mine]) // BLOCK
+    for images in np.split(mine, np.flatnonzero(np.diff(block)) + 1):
+        found, size = _Alike(len(images), len(other), place), count[images]
+        here = np.repeat(np.arange(len(images)), size)
+        left = np.repeat(first[images] - (np.cumsum(size) - size), size) + np.arange(len(here))
+        for t, (keys, order) in enumerate(tables):
+            mark, by = _sorted(parts[t][left].astype(np.int64))
+            low, high = (np.searchsorted(keys, mark.astype(np.int32), end) for end in ("left", "right"))
+            if part is None:  # only those behind
+                at = np.empty(len(order), np.int64)
+                at[order] = np.arange(len(order))
+                low = at[left[by]] + 1
+            ours, theirs = ([w[k] for w in words] for k in (left[by], order))  # rows that meet lie together
+            for i, j in _met(low, high):
+                far = np.bitwise_count(ours[0][i] ^ theirs[0][j]).astype(np.uint16)
+                for v, w in zip(ours[1:], theirs[1:]):
+                    far += np.bitwise_count(v[i] ^ w[j])
+                close = np.flatnonzero(far <= FAR)
+                n, j = by[i[close]], order[j[close]]
+                i = left[n]
+                fresh = own[i] != own[j]
+                for earlier in parts[:t]:
+                    fresh &= earlier[i] != earlier[j]
+                n, i, j = n[fresh], i[fresh], j[fresh]
+                pair = here[n] * len(other) + number[own[j]]
+                i, j = np.minimum(i, j).astype(np.int32), np.maximum(i, j).astype(np.int32)
+                found.add(pair, turn[j] - turn[i], i, j)
+        x, y = found.pairs()
+        x, y = images[x], other[y]
+        yield np.minimum(x, y), np.maximum(x, y)
+
+
+def _tried(points: list[np.ndarray], part: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``_near``."""
+    none = np.zeros(0, np.int64)
+    i, j = (np.concatenate(c) for c in zip((none, none), *_near(points, part)))
+    return i, j
 
 
 def _linked(points: list[np.ndarray], i: np.ndarray, j: np.ndarray, inliers: int, most: int = 256, cells: int = 1 << 19) -> np.ndarray:
@@ -493,12 +528,7 @@ def _compare(group: pa.Table, inliers: int) -> pa.Table:
     mode, tile, a, b = (group[c][0].as_py() for c in TILE)
     ids, weight = group["node"].to_numpy(), group["copies"].to_numpy()
     points = [np.frombuffer(x.as_buffer(), KEYPOINT) for x in group["points"].combine_chunks()]
-    i, j = _tried(points, group["part"].to_numpy() if a != b else None)
-    if mode:  # a pair belongs to the tile of its least common key
-        keys = [_keys(p) for p in points]
-        here = [min(set(keys[x]) & set(keys[y])) == tile for x, y in zip(i.tolist(), j.tolist())]
-        i, j = i[here], j[here]
-    some = _linked(points, i, j, inliers)
+    keys = [_keys(p) for p in points] if mode else None
     root, n, linked = list(range(len(ids))), [0] * len(ids), set()
 
     def find(x):
@@ -506,25 +536,37 @@ def _compare(group: pa.Table, inliers: int) -> pa.Table:
             root[x] = x = root[root[x]]
         return x
 
-    for x, y in zip(i[some].tolist(), j[some].tolist()):
-        n[x], n[y] = n[x] + int(weight[y]), n[y] + int(weight[x])
-        linked |= {x, y}
-        x, y = sorted((find(x), find(y)))
-        root[y] = x
+    for i, j in _near(points, group["part"].to_numpy() if a != b else None):
+        if mode:  # a pair belongs to the tile of its least common key
+            here = [min(set(keys[x]) & set(keys[y])) == tile for x, y in zip(i.tolist(), j.tolist())]
+            i, j = i[here], j[here]
+        some = _linked(points, i, j, inliers)
+        for x, y in zip(i[some].tolist(), j[some].tolist()):
+            n[x], n[y] = n[x] + int(weight[y]), n[y] + int(weight[x])
+            linked |= {x, y}
+            x, y = sorted((find(x), find(y)))
+            root[y] = x
     own = sorted(linked)
     return pa.table([pa.array(c, pa.int64()) for c in ([int(ids[k]) for k in own], [n[k] for k in own], [int(ids[find(k)]) for k in own])], names=["node", "links", "other"])
 
 
 def copies(images: DataFrame, keypoints: int = KEYPOINTS, inliers: int = INLIERS, tile: int = TILE_IMAGES) -> DataFrame:
     """image_id, class_id, n_links: a row for each image."""
-    held = cut(keyed(images, keypoints), "described")
+    return linked_copies(keyed(images, keypoints), inliers, tile)
+
+
+def linked_copies(described: DataFrame, inliers: int = INLIERS, tile: int = TILE_IMAGES) -> DataFrame:
+    """``copies`` of what ``keyed`` has made of images."""
+    held = cut(described, "described")
     one = held.where("image_id IS NOT NULL AND digest IS NOT NULL").groupBy("image_id").agg(F.min("digest").alias("digest"))
     reps = cut(one.groupBy("digest").agg(F.min("image_id").alias("node"), F.count("*").alias("copies")), "reps")
     named = one.join(reps, "digest").select(F.col("image_id").alias("id"), "node", "copies")
     own = held.join(reps.select(F.col("digest").alias("d"), "node", "copies"), (F.col("image_id") == F.col("node")) & (F.col("digest") == F.col("d")))
     own = cut(own.select("node", "copies", "points", "keys").dropDuplicates(["node"]), "own")
-    dealt = deal(own.select("node", F.length("points").cast("long").alias("size"), "keys"), max(1, tile // 2), MOST, PARTS)
-    tiles = spread(own.select("node", "copies", "points").join(dealt, "node"), "copies", "points").repartition(partitions(images), *TILE)
+    sized = own.select("node", F.length("points").cast("long").alias("size"))
+    dealt = cut(deal(own.select("node", F.length("points").cast("long").alias("size"), "keys"), max(1, tile // 2), MOST, PARTS), "dealt").hint("merge")  # small as a file only
+    sent = sized.join(dealt, "node").agg(F.sum(F.col("size") * F.aggregate("deals", F.lit(0).cast("long"), lambda n, d: n + d["parts"]))).first()[0] or 0
+    tiles = spread(own.select("node", "copies", "points").join(dealt, "node"), "copies", "points").repartition(max(partitions(held), sent // SHIPPED + 1), *TILE)
     linked = cut(tiles.groupBy(*TILE).applyInArrow(lambda g: _compare(g, inliers), "node long, links long, other long"), "linked")
     count = linked.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "n")
     classes = components(linked.select(F.col("node").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("c"), "root")
@@ -535,4 +577,4 @@ def copies(images: DataFrame, keypoints: int = KEYPOINTS, inliers: int = INLIERS
 
 def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return copies(drawn(vectors.repartition(partitions(vectors, 1 << 19))))
+    return linked_copies(drawn_keyed(vectors.repartition(partitions(vectors, 1 << 19))))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -474,3 +475,25 @@ def test_image_pairs_of_many_keypoints_in_batches(monkeypatch):
     monkeypatch.setattr(images, "linked_by", lambda *_: calls.append(1))
     assert images._linked(points, i, j, images.INLIERS).tolist() == want
     assert not calls and (larger > 32).sum() > 1000 and 60 < sum(want) < 300 and np.array(want)[larger > 32].sum() > 30
+
+
+def test_a_tile_holds_the_near_pairs_of_some_images_only():
+    """Millions of near pairs that agree on no turn, and a few links: memory is a multiple of the descriptors', not of the pairs."""
+    rng = np.random.default_rng(31)
+    base = rng.integers(0, 256, (40, 24, images.BITS // 8)).astype(np.uint8)
+    made = np.zeros((4000, 24), images.KEYPOINT)
+    made["bits"] = base[np.arange(4000) // 2 % 40] ^ (1 << rng.integers(0, 8, (4000, 24, 32)) * (rng.random((4000, 24, 32)) < 0.1)).astype(np.uint8)
+    made["x"], made["y"], made["turn"] = 0, rng.uniform(0, 3, (4000, 24)), rng.integers(0, 256, (4000, 24))  # no line is long enough
+    kinds = rng.integers(0, 256, (30, 24, images.BITS // 8)).astype(np.uint8)
+    for k in range(30):  # links: images 2k and 101 + 2k, of different parts
+        for n in (2 * k, 101 + 2 * k):
+            made[n]["bits"], made[n]["x"], made[n]["y"], made[n]["turn"] = kinds[k], 7 * np.arange(24) % 45, 11 * np.arange(24) % 43, 9
+    own = pa.array(range(4000), pa.int64())
+    same = lambda x, kind: pa.array([x] * 4000, kind)
+    group = pa.table({"mode": same(0, pa.int32()), "tile": same(0, pa.int64()), "a": same(0, pa.int32()), "b": same(1, pa.int32()), "part": pa.array(np.arange(4000) % 2), "node": own, "copies": same(1, pa.int64()), "points": [p.tobytes() for p in made]})
+    tracemalloc.start()
+    got = images._compare(group, images.INLIERS).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted((r["node"], r["links"], r["other"]) for r in got) == sorted((n, 1, 2 * k) for k in range(30) for n in (2 * k, 101 + 2 * k))
+    assert peak < 45 * made.nbytes
