@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table
+from .common import cut, discard, partitions, table
 from .components import components
 from .tiles import TILE, deal, spread
 
@@ -558,19 +558,21 @@ def copies(images: DataFrame, keypoints: int = KEYPOINTS, inliers: int = INLIERS
 def linked_copies(described: DataFrame, inliers: int = INLIERS, tile: int = TILE_IMAGES) -> DataFrame:
     """``copies`` of what ``keyed`` has made of images."""
     held = cut(described, "described")
-    one = held.where("image_id IS NOT NULL AND digest IS NOT NULL").groupBy("image_id").agg(F.min("digest").alias("digest"))
+    ids, fewest = cut(held.select("image_id", "digest"), "ids"), partitions(held)
+    one = ids.where("image_id IS NOT NULL AND digest IS NOT NULL").groupBy("image_id").agg(F.min("digest").alias("digest"))
     reps = cut(one.groupBy("digest").agg(F.min("image_id").alias("node"), F.count("*").alias("copies")), "reps")
     named = one.join(reps, "digest").select(F.col("image_id").alias("id"), "node", "copies")
     own = held.join(reps.select(F.col("digest").alias("d"), "node", "copies"), (F.col("image_id") == F.col("node")) & (F.col("digest") == F.col("d")))
     own = cut(own.select("node", "copies", "points", "keys").dropDuplicates(["node"]), "own")
+    discard(held)
     sized = own.select("node", F.length("points").cast("long").alias("size"))
     dealt = cut(deal(own.select("node", F.length("points").cast("long").alias("size"), "keys"), max(1, tile // 2), MOST, PARTS), "dealt").hint("merge")  # small as a file only
     sent = sized.join(dealt, "node").agg(F.sum(F.col("size") * F.aggregate("deals", F.lit(0).cast("long"), lambda n, d: n + d["parts"]))).first()[0] or 0
-    tiles = spread(own.select("node", "copies", "points").join(dealt, "node"), "copies", "points").repartition(max(partitions(held), sent // SHIPPED + 1), *TILE)
+    tiles = spread(own.select("node", "copies", "points").join(dealt, "node"), "copies", "points").repartition(max(fewest, sent // SHIPPED + 1), *TILE)
     linked = cut(tiles.groupBy(*TILE).applyInArrow(lambda g: _compare(g, inliers), "node long, links long, other long"), "linked")
     count = linked.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "n")
     classes = components(linked.select(F.col("node").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("c"), "root")
-    out = held.select("image_id").join(named, F.col("image_id") == F.col("id"), "left").join(classes, F.col("node") == F.col("c"), "left").join(count, F.col("node") == F.col("n"), "left")
+    out = ids.select("image_id").join(named, F.col("image_id") == F.col("id"), "left").join(classes, F.col("node") == F.col("c"), "left").join(count, F.col("node") == F.col("n"), "left")
     links = F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
     return out.select("image_id", F.coalesce("root", "node", "image_id").alias("class_id"), links.cast("long").alias("n_links"))
 
